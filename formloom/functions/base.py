@@ -60,3 +60,9 @@ def r6(c: Column) -> Column:
 
 def radicand(c: Column) -> Column:
     return F.sqrt(F.greatest(c, F.lit(0.0)))
+
+
+def zip_named(**arrays: Column) -> Column:
+    """Zip two equally long arrays into structs with the given field names."""
+    (na, a), (nb, b) = arrays.items()
+    return F.zip_with(a, b, lambda u, v: F.struct(u.alias(na), v.alias(nb)))

@@ -98,7 +98,7 @@ def centroid_dist(coo: Column) -> Column:
 
 
 def translate(coo: Column, x=0.0, y=0.0) -> Column:
-    return move(coo, lambda p: (p["x"] + dbl(x), p["y"] + dbl(y)))
+    return lets(lambda t: move(coo, lambda p: (p["x"] + t["x"], p["y"] + t["y"])), x=dbl(x), y=dbl(y))
 
 
 def scale(coo: Column, size=None) -> Column:
@@ -496,7 +496,7 @@ def sample(coo: Column, n) -> Column:
 
 
 def sample_landmarks(ldk: Column, n, size: Column) -> Column:
-    return F.transform(ldk, lambda l: F.ceil(l * (lit(n) / size)).cast("int"))
+    return let(lit(n) / size, lambda r: F.transform(ldk, lambda l: F.ceil(l * r).cast("int")))
 
 
 def sample_prop(coo: Column, prop) -> Column:
@@ -540,7 +540,7 @@ def reverse(coo: Column) -> Column:
 
 
 def reverse_landmarks(ldk: Column, n: Column) -> Column:
-    return F.transform(ldk, lambda l: n + 1 - l)
+    return let(n + 1, lambda m: F.transform(ldk, lambda l: m - l))
 
 
 def extract(coo: Column, ids: Column) -> Column:

@@ -156,17 +156,15 @@ def facet_volume(p: np.ndarray, faces: np.ndarray) -> float:
 # ---- one outline ---------------------------------------------------------------
 
 
-@F.pandas_udf("array<int>")
-def _outline_hull(x: pd.Series, y: pd.Series) -> pd.Series:
-    def one(u, v):
-        ids = hull_order(np.asarray(u, float), np.asarray(v, float))
-        return np.roll(ids, -int(np.argmin(ids))) + 1
-    return pd.Series([one(u, v) for u, v in zip(x, y)])
-
-
 def with_hull_ids(outlines: DataFrame) -> DataFrame:
     """Adds ``hull``: vertex indices, counter-clockwise from the lowest index."""
-    return outlines.withColumn("hull", _outline_hull(O.xs(F.col("coo")), O.ys(F.col("coo"))))
+    @F.pandas_udf("array<int>")
+    def vertices(x: pd.Series, y: pd.Series) -> pd.Series:
+        def one(u, v):
+            ids = hull_order(np.asarray(u, float), np.asarray(v, float))
+            return np.roll(ids, -int(np.argmin(ids))) + 1
+        return pd.Series([one(u, v) for u, v in zip(x, y)])
+    return outlines.withColumn("hull", vertices(O.xs(F.col("coo")), O.ys(F.col("coo"))))
 
 
 def with_caliper(outlines: DataFrame) -> DataFrame:

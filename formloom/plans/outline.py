@@ -155,10 +155,10 @@ FROM pts p JOIN pts q ON p.id = q.id AND q.seq = p.seq % 64 + 1""")
 
 @query("fun_23", """WITH @pts SELECT id, seq, R6(sqrt(x*x+y*y)) AS modulus, R6(atan2(y,x)) AS argument, R6(x) AS x, R6(y) AS y FROM pts""")
 def polar(spark, d):
-    o = X.outlines(spark, d).select("id", let(O.to_polar(COO), lambda q: F.arrays_zip(
-        q.alias("q"), O.from_polar(q).alias("p"))).alias("z"))
+    o = X.outlines(spark, d).select("id", let(O.to_polar(COO), lambda q: B.zip_named(
+        q=q, p=O.from_polar(q))).alias("z"))
     o = o.select("id", F.posexplode("z").alias("s", "z"))
-    q, p = F.col("z").getField("0"), F.col("z").getField("1")
+    q, p = F.col("z.q"), F.col("z.p")
     return o.select("id", (F.col("s") + 1).cast("int").alias("seq"), r6(q["mod"]).alias("modulus"),
                     r6(q["arg"]).alias("argument"), r6(p["x"]).alias("x"), r6(p["y"]).alias("y"))
 
@@ -191,10 +191,10 @@ _ANG = """ang AS (SELECT p.id, p.seq, p.label, atan2((q.x-p.x)*(r.y-p.y) - (q.y-
 (q.x-p.x)*(r.x-p.x) + (q.y-p.y)*(r.y-p.y)) AS t, sqrt((r.x-p.x)**2 + (r.y-p.y)**2) AS l FROM pts p
 JOIN pts q ON q.id = p.id AND q.seq = CASE WHEN p.seq = 1 THEN 64 ELSE p.seq - 1 END
 JOIN pts r ON r.id = p.id AND r.seq = p.seq % 64 + 1)"""
-_RECT = """rl AS (SELECT id, 4/(4-pi())*(sum_l/min(p) - pi()/4) AS rect FROM (
+_RECT = """rl AS (SELECT id, 4/(4-pi())*(max(sum_l)/min(p) - pi()/4) AS rect FROM (
 SELECT c.id, c.alpha, sum(l) AS sum_l, sum(l*(abs(cos(t+alpha)) + abs(sin(t+alpha)))) AS p FROM ang e JOIN (
 SELECT id, seq, k, abs(t - k*pi()/2) AS alpha FROM ang, range(1, 5) r(k)) c USING (id)
-GROUP BY c.id, c.seq, c.k, c.alpha) GROUP BY id, sum_l)"""
+GROUP BY c.id, c.seq, c.k, c.alpha) GROUP BY id)"""
 row_query("fun_32", {"rectilinearity": lambda c: r6(O.rectilinearity(c))},
           f"WITH @pts, {_ANG}, {_RECT} SELECT id, R6(min(rect)) AS rectilinearity FROM rl GROUP BY id")
 
@@ -237,9 +237,9 @@ SELECT id, seq, R6(q - floor(q/(2*pi()))*2*pi()) AS v FROM u""")
 CASE WHEN (1 + id % 8 - 10 + 64) % 64 = 0 THEN 1 ELSE (1 + id % 8 - 10 + 64) % 64 END::INT AS first_ldk FROM pts""")
 def slid(spark, d):
     o = X.landmarks(X.outlines(spark, d)).select(
-        "id", O.slide(COO, 10).alias("coo"),
+        "id", O.slide(COO, 10).alias("moved"),
         F.element_at(O.slide_landmarks(F.col("ldk"), 10, F.size("coo")), 1).alias("first_ldk"))
-    return long(o, COO, "id", "first_ldk")
+    return long(o, F.col("moved"), "id", "first_ldk")
 
 
 @query("win_06", """WITH @ctr, c AS (SELECT id, 'up' AS direction, seq, abs(x) AS d FROM ctr WHERE y > 0
@@ -290,9 +290,9 @@ FROM cf JOIN range(0, 100) t(k) ON total*k/100 >= lo AND total*k/100 < hi""")
 SELECT id, (i + 1)::INT AS seq, R6(x) AS x, R6(y) AS y, ceil((1 + id % 8)*(24.0/64))::INT AS first_ldk FROM pts JOIN k ON seq = s""")
 def subsampled(spark, d):
     o = X.landmarks(X.outlines(spark, d)).select(
-        "id", O.sample_prop(COO, 0.375).alias("coo"),
+        "id", O.sample_prop(COO, 0.375).alias("sub"),
         F.element_at(O.sample_landmarks(F.col("ldk"), 24, F.size("coo")), 1).alias("first_ldk"))
-    return long(o, COO, "id", "first_ldk")
+    return long(o, F.col("sub"), "id", "first_ldk")
 
 
 coo_query("win_12", lambda c: O.sample_angles(c, 16), """WITH @ctr, b AS (SELECT id, i, arg_max(seq, (c, -seq)) AS s FROM (
@@ -323,9 +323,9 @@ def trimmed(spark, d):
 
 @query("win_15", """WITH @pts SELECT id, (65 - seq)::INT AS seq, R6(x) AS x, R6(y) AS y, (65 - (1 + id % 8))::INT AS first_ldk FROM pts""")
 def reversed_order(spark, d):
-    o = X.landmarks(X.outlines(spark, d)).select("id", O.reverse(COO).alias("coo"), F.element_at(
+    o = X.landmarks(X.outlines(spark, d)).select("id", O.reverse(COO).alias("back"), F.element_at(
         O.reverse_landmarks(F.col("ldk"), F.size("coo")), 1).alias("first_ldk"))
-    return long(o, COO, "id", "first_ldk")
+    return long(o, F.col("back"), "id", "first_ldk")
 
 
 coo_query("win_16", lambda c: O.extract(c, F.col("ldk")), """WITH @pts, l AS (SELECT vec_id AS id, unnest([1 + vec_id % 8, 17, 33, 49]) AS s,
@@ -366,11 +366,11 @@ CASE (id + seq*seq) % 8 WHEN 0 THEN 0 WHEN 4 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1
 def chain(spark, d):
     codes = F.transform(COO, lambda p, i: ((F.col("id") + (i + 1) * (i + 1)) % 8).cast("int"))
     o = X.outlines(spark, d).select("id", O.chain_decode(codes).alias("pix"))
-    o = o.select("id", F.posexplode(F.arrays_zip("pix", F.concat(
-        F.array(F.lit(None).cast("int")), O.chain_code(F.col("pix"))).alias("code"))).alias("s", "z"))
+    o = o.select("id", F.posexplode(B.zip_named(pix=F.col("pix"), code=F.concat(
+        F.array(F.lit(None).cast("int")), O.chain_code(F.col("pix"))))).alias("s", "z"))
     z = F.col("z")
     return o.select("id", (F.col("s") + 1).cast("int").alias("seq"), z["pix"]["x"].alias("x"),
-                    z["pix"]["y"].alias("y"), z.getField("1").alias("code"))
+                    z["pix"]["y"].alias("y"), z["code"].alias("code"))
 
 
 # ---- set-level summaries of outlines ----------------------------------------
