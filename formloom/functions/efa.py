@@ -119,7 +119,7 @@ def make_positive(harm: Column) -> Column:
 
 def to_coe(harm: Column) -> Column:
     """Dense vector, values below 1e-12 set to 0."""
-    flat = let(harm, lambda g: F.concat(*[F.transform(g, lambda m, x=x: m[x]) for x in LETTERS]))
+    flat = let(harm, lambda g: F.concat(*[g.getField(x) for x in LETTERS]))
     return F.transform(flat, lambda v: F.when(F.abs(v) < 1e-12, F.lit(0.0)).otherwise(v))
 
 

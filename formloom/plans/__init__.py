@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("outline",)
+MODULES = ("outline", "fourier")
 
 
 def load():
