@@ -58,10 +58,6 @@ def r6(c: Column) -> Column:
     return F.round(c, 6) + F.lit(0.0)
 
 
-def radicand(c: Column) -> Column:
-    return F.sqrt(F.greatest(c, F.lit(0.0)))
-
-
 def zip_named(**arrays: Column) -> Column:
     """Zip two equally long arrays into structs with the given field names."""
     (na, a), (nb, b) = arrays.items()

@@ -3,7 +3,7 @@
 ``harm ARRAY<STRUCT<a,b,c,d>>`` holds one entry per harmonic, ``coe
 ARRAY<DOUBLE>`` the same numbers as ``a1..an b1..bn c1..cn d1..dn``.  Forward
 and inverse transforms stay inside one row, so a set of any size is a single
-map stage.
+map stage; both are products of points and harmonics and run as batch kernels.
 """
 
 from __future__ import annotations
@@ -11,8 +11,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import kernels
 from . import outline as O
-from .base import PI, TWO_PI, dbl, fmod, fsum, let, lets, lit, pt
+from .base import PI, dbl, fmod, fsum, let, lets, lit, pt
 
 LETTERS = ("a", "b", "c", "d")
 
@@ -21,43 +22,24 @@ def abcd(a, b, c, d) -> Column:
     return F.struct(a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d"))
 
 
-def forward(coo: Column, nb_h, smooth_it: int = 0) -> Column:
-    """Struct ``harm, ao, co``; ``nb_h`` is capped at half the point count."""
-    shape = O.unclose(coo)
+def with_forward(df: DataFrame, nb_h, coo="coo", out: str = "ef", smooth_it: int = 0) -> DataFrame:
+    """Adds struct ``harm, ao, co``; ``nb_h`` is capped at half the point count.
+
+    ``coo`` is a column name or an outline expression.
+    """
+    shape = O.unclose(coo if isinstance(coo, Column) else F.col(coo))
     if smooth_it:
         shape = O.smooth(shape, smooth_it)
+    raw = kernels.fourier(F.col("_s.x"), F.col("_s.y"), lit(nb_h).cast("int"))
+    k = F.col("_k")
+    return (df.withColumn("_s", shape).withColumn("_k", raw).drop("_s").withColumn(out, F.struct(
+        harmonics(k["a"], k["b"], k["c"], k["d"]).alias("harm"),
+        k["ao"].alias("ao"), k["co"].alias("co"))).drop("_k"))
 
-    def prepared(c):
-        return F.zip_with(c, O.with_prev(c), lambda p, q: let(
-            F.greatest(O.dist(p, q), F.lit(1e-10)), lambda t: F.struct(
-                p["x"].alias("x"), p["y"].alias("y"), t.alias("t"),
-                ((p["x"] - q["x"]) / t).alias("u"), ((p["y"] - q["y"]) / t).alias("v"))))
 
-    def body(k):
-        total = F.element_at(k["cum"], -1)
-
-        def harmonic(h):
-            w = let(h * F.lit(TWO_PI) / total, lambda w: F.transform(k["cum"], lambda t: F.struct(
-                F.cos(w * t).alias("c"), F.sin(w * t).alias("s"))))
-            diff = let(w, lambda z: F.zip_with(
-                F.slice(z, F.lit(2), F.size(z) - 1), F.slice(z, F.lit(1), F.size(z) - 1),
-                lambda e, f: F.struct((e["c"] - f["c"]).alias("c"), (e["s"] - f["s"]).alias("s"))))
-            sums = F.aggregate(
-                F.zip_with(k["e"], diff, lambda e, g: F.struct(
-                    e["u"].alias("u"), e["v"].alias("v"), g["c"].alias("c"), g["s"].alias("s"))),
-                abcd(*[F.lit(0.0)] * 4),
-                lambda acc, e: abcd(acc["a"] + e["u"] * e["c"], acc["b"] + e["u"] * e["s"],
-                                    acc["c"] + e["v"] * e["c"], acc["d"] + e["v"] * e["s"]))
-            return lets(lambda g: abcd(g["f"] * g["s"]["a"], g["f"] * g["s"]["b"],
-                                       g["f"] * g["s"]["c"], g["f"] * g["s"]["d"]),
-                        f=total / (2 * PI * PI * h * h), s=sums)
-        return F.struct(
-            F.transform(F.sequence(F.lit(1), F.least(lit(nb_h), F.floor(F.size(k["e"]) / 2).cast("int"))),
-                        harmonic).alias("harm"),
-            (2 * fsum(k["e"], lambda e: e["x"] * e["t"] / total)).alias("ao"),
-            (2 * fsum(k["e"], lambda e: e["y"] * e["t"] / total)).alias("co"))
-    return let(shape, lambda c: let(prepared(c), lambda e: lets(
-        body, e=e, cum=O.running(F.transform(e, lambda q: q["t"])))))
+def harmonics(a, b, c, d) -> Column:
+    """Array of ``a, b, c, d`` structs from four arrays."""
+    return F.transform(a, lambda v, i: abcd(v, F.get(b, i), F.get(c, i), F.get(d, i)))
 
 
 def normalise(ef: Column, start: bool = False) -> Column:
@@ -130,19 +112,14 @@ def from_coe(coe: Column) -> Column:
             F.element_at(v, 2 * n + h), F.element_at(v, 3 * n + h)))))
 
 
-def inverse(harm: Column, ao=0.0, co=0.0, nb_h=None, nb_pts: int = 120) -> Column:
-    """Outline of ``nb_pts`` points from the first ``nb_h`` harmonics."""
-    used = harm if nb_h is None else F.slice(harm, F.lit(1), lit(nb_h))
-
-    def point(g, th):
-        terms = F.transform(g, lambda m, i: lets(lambda t: pt(
-            m["a"] * t["c"] + m["b"] * t["s"], m["c"] * t["c"] + m["d"] * t["s"]),
-            c=F.cos((i + 1) * th), s=F.sin((i + 1) * th)))
-        return F.aggregate(terms, pt(dbl(ao) / 2, dbl(co) / 2),
-                           lambda acc, t: pt(acc["x"] + t["x"], acc["y"] + t["y"]))
-    return let(used, lambda g: F.transform(
-        F.sequence(F.lit(0), F.lit(nb_pts - 1)),
-        lambda k: let(k * F.lit(TWO_PI) / nb_pts, lambda th: point(g, th))))
+def with_inverse(df: DataFrame, harm="harm", ao=0.0, co=0.0, nb_h=None, nb_pts: int = 120,
+                 out: str = "shape") -> DataFrame:
+    """Adds the outline of ``nb_pts`` points from the first ``nb_h`` harmonics."""
+    h = harm if isinstance(harm, Column) else F.col(harm)
+    h = h if nb_h is None else F.slice(h, F.lit(1), lit(nb_h))
+    xy = kernels.inverse_fourier(*[F.col(f"_g.{x}") for x in LETTERS], dbl(ao), dbl(co), nb_pts)
+    return (df.withColumn("_g", h).withColumn("_k", xy).drop("_g")
+            .withColumn(out, F.zip_with("_k.x", "_k.y", pt)).drop("_k"))
 
 
 def power(harm: Column) -> Column:
@@ -212,16 +189,17 @@ def efourier(outlines: DataFrame, nb_h: int, smooth_it: int = 0, norm: bool = Tr
     h = F.lit(nb_h)
     if cap:
         h = F.least(h, outlines.agg((F.floor(F.min(F.size("coo")) / 2) - 1).cast("int").alias("q")).scalar())
-    ef = forward(F.col("coo"), F.col("_h"), smooth_it)
-    harm = (make_positive(normalise(ef, start)["harm"]) if norm else ef["harm"])
     keep = [c for c in outlines.columns if c != "coo"]
-    return outlines.withColumn("_h", h).select(*keep, to_coe(harm).alias("coe"))
+    ef = with_forward(outlines.withColumn("_h", h), F.col("_h"), smooth_it=smooth_it)
+    harm = (make_positive(normalise(F.col("ef"), start)["harm"]) if norm else F.col("ef.harm"))
+    return ef.select(*keep, to_coe(harm).alias("coe"))
 
 
 def long_coefficients(coefs: DataFrame, key: str = "id") -> DataFrame:
     """``(key, letter, h, value)``."""
-    ex = coefs.select(key, F.size("coe").alias("_p"), F.posexplode("coe").alias("_k", "value"))
-    n = (F.col("_p") / 4).cast("int")
-    return ex.select(key, F.element_at(F.array(*[F.lit(x) for x in "ABCD"]),
-                                       F.floor(F.col("_k") / n).cast("int") + 1).alias("letter"),
-                     (F.col("_k") % n + 1).cast("int").alias("h"), "value")
+    def rows(v):
+        n = (F.size(v) / 4).cast("int")
+        return let(n, lambda n: F.transform(v, lambda e, i: F.struct(
+            F.element_at(F.array(*[F.lit(x) for x in "ABCD"]), F.floor(i / n).cast("int") + 1).alias("letter"),
+            (i % n + 1).alias("h"), e.alias("value"))))
+    return coefs.select(key, F.explode(let(F.col("coe"), rows)).alias("r")).select(key, "r.*")

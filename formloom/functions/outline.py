@@ -7,10 +7,11 @@ go to the lowest index.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import PI, TWO_PI, dbl, double_array, fmod, fsum, let, lets, lit, pt, radicand
+from . import kernels
+from .base import PI, TWO_PI, dbl, fmod, fsum, let, lets, lit, pt, zip_named
 
 # ---- access -------------------------------------------------------------
 
@@ -597,9 +598,10 @@ def nearest(p: Column, coo: Column) -> Column:
         F.hypot(e["x"] - q["x"], e["y"] - q["y"]).alias("d"), (i + 1).alias("i")))))
 
 
-def nearest_each(a: Column, b: Column) -> Column:
-    """For every point of ``a`` the nearest point of ``b``."""
-    return let(b, lambda c: F.transform(a, lambda p: nearest(p, c)))
+def with_nearest(df: DataFrame, a: Column, b: Column, out: str = "near") -> DataFrame:
+    """Adds for every point of ``a`` the nearest of ``b``: struct of arrays ``d, i``."""
+    return df.withColumn("_a", a).withColumn("_b", b).withColumn(out, kernels.nearest(
+        F.col("_a.x"), F.col("_a.y"), F.col("_b.x"), F.col("_b.y"))).drop("_a", "_b")
 
 
 def matched_distance(a: Column, b: Column) -> Column:
@@ -696,22 +698,16 @@ def rectangularity(coo: Column) -> Column:
     return let(coo, lambda c: let(length_width(c), lambda d: area(c) / (d["length"] * d["width"])))
 
 
-def rectilinearity(coo: Column) -> Column:
+def with_rectilinearity(df: DataFrame, coo: Column, out: str = "rectilinearity") -> DataFrame:
     """Smallest rotated city-block perimeter over 4n candidate turns.
 
     |cos|+|sin| of the turned edge weighs each edge; vertex angles stand for
     edge directions.
     """
-    def body(k):
-        def rotated(alpha):
-            return fsum(F.zip_with(k["l"], k["t"], lambda l, t: l * (
-                F.abs(F.cos(t + alpha)) + F.abs(F.sin(t + alpha)))))
-        cands = F.flatten(F.transform(
-            double_array([PI / 2, PI, 3 * PI / 2, TWO_PI]),
-            lambda q: F.transform(k["t"], lambda t: F.abs(t - q))))
-        return F.lit(4 / (4 - PI)) * (fsum(k["l"]) / F.array_min(F.transform(cands, rotated)) - PI / 4)
-    return let(unclose(coo), lambda c: lets(
-        body, l=F.zip_with(c, with_next(c), dist), t=edge_angles(c)))
+    edges = let(unclose(coo), lambda c: zip_named(l=F.zip_with(c, with_next(c), dist), t=edge_angles(c)))
+    least = kernels.least_rotated_perimeter(F.col("_e.l"), F.col("_e.t"), [PI / 2, PI, 3 * PI / 2, TWO_PI])
+    return df.withColumn("_e", edges).withColumn("_p", least).withColumn(
+        out, F.lit(4 / (4 - PI)) * (fsum(F.col("_e.l")) / F.col("_p") - PI / 4)).drop("_e", "_p")
 
 
 # ---- chain code ----------------------------------------------------------
@@ -739,21 +735,3 @@ def chain_decode(codes: Column) -> Column:
             let(F.element_at(acc, -1), lambda l: F.struct(
                 (l["x"] + s["x"]).alias("x"), (l["y"] + s["y"]).alias("y")))))),
         F.lit(2), F.greatest(F.size(codes), F.lit(0)))
-
-
-# ---- longest chord -----------------------------------------------------------
-
-
-def caliper(coo: Column, hull: Column) -> Column:
-    """Struct ``length, i, j`` (i < j) over the hull vertices only.
-
-    The two ends of the longest chord are always hull vertices.
-    """
-    def body(k):
-        ends = F.transform(k["h"], lambda i: F.struct(
-            i.alias("i"), F.element_at(k["c"], i)["x"].alias("x"), F.element_at(k["c"], i)["y"].alias("y")))
-        return let(ends, lambda e: let(F.array_max(F.transform(e, lambda p: F.array_max(F.transform(
-            e, lambda q: F.when(p["i"] < q["i"], F.struct(
-                dist(p, q).alias("d"), (-p["i"]).alias("i"), (-q["i"]).alias("j"))))))),
-            lambda m: F.struct(m["d"].alias("length"), (-m["i"]).alias("i"), (-m["j"]).alias("j"))))
-    return lets(body, c=coo, h=hull)

@@ -9,16 +9,15 @@ from pyspark.sql import functions as F
 
 from ..functions import efa as E
 from ..functions import outline as O
-from ..functions.base import let
 from .ranks import quantiles
 
 
 def power_profile(outlines: DataFrame, nb_h: int, drop: int = 1,
                   keys: Sequence[str] = (), norm: bool = False) -> DataFrame:
     """``keys, h, med``: median cumulative power (%) per harmonic over shapes."""
-    ef = E.forward(F.col("coo"), nb_h)
-    harm = E.normalise(ef)["harm"] if norm else ef["harm"]
-    rows = outlines.select(*keys, F.posexplode(E.cumulative_power(harm, drop)).alias("_p", "value"))
+    ef = E.with_forward(outlines, nb_h)
+    harm = E.normalise(F.col("ef"))["harm"] if norm else F.col("ef.harm")
+    rows = ef.select(*keys, F.posexplode(E.cumulative_power(harm, drop)).alias("_p", "value"))
     rows = rows.select(*keys, (F.col("_p") + 1 + drop).cast("int").alias("h"), "value")
     return quantiles(rows, [*keys, "h"], "value", [0.5], ["med"])
 
@@ -32,14 +31,17 @@ def power_calibration(profile: DataFrame, thresholds: Sequence[float] = (90, 95,
         for i, t in enumerate(thresholds)])).alias("r")).select("r.*")
 
 
+def _at_ranks(ef: DataFrame, ranks: Sequence[int], nb_pts: int) -> DataFrame:
+    """One row per (outline, rank) with the rebuilt ``shape``."""
+    rows = ef.withColumn("rank", F.explode(F.array(*[F.lit(int(r)) for r in ranks])))
+    return E.with_inverse(rows, F.col("ef.harm"), F.col("ef.ao"), F.col("ef.co"), F.col("rank"), nb_pts)
+
+
 def reconstructions(outlines: DataFrame, ranks: Sequence[int], nb_pts: int = 120) -> DataFrame:
     """``id, rank, seq, x, y``: each centred outline rebuilt at several ranks."""
-    ef = outlines.select("id", E.forward(O.center(F.col("coo")), max(ranks)).alias("ef"))
-    built = let(F.col("ef"), lambda f: F.array(*[F.struct(
-        F.lit(r).alias("rank"), E.inverse(f["harm"], f["ao"], f["co"], r, nb_pts).alias("shape"))
-        for r in ranks]))
-    rows = ef.select("id", F.explode(built).alias("b"))
-    return rows.select("id", "b.rank", F.posexplode("b.shape").alias("_s", "p")).select(
+    ef = E.with_forward(outlines, max(ranks), O.center(F.col("coo"))).select("id", "ef")
+    rows = _at_ranks(ef, ranks, nb_pts)
+    return rows.select("id", "rank", F.posexplode("shape").alias("_s", "p")).select(
         "id", "rank", (F.col("_s") + 1).cast("int").alias("seq"),
         F.col("p.x").alias("x"), F.col("p.y").alias("y"))
 
@@ -52,23 +54,18 @@ def deviations(outlines: DataFrame, ranks: Sequence[int], nb_pts: int = 120, fac
     index).  Distances stay inside each row; only n x ranks x points numbers
     are aggregated.
     """
-    def per_shape(coo):
-        def ranked(k):
-            def one(r):
-                built = E.inverse(k["ef"]["harm"], k["ef"]["ao"], k["ef"]["co"], r, nb_pts)
-                if method == "nearest":
-                    d = F.transform(O.nearest_each(built, k["best"]), lambda n: n["d"])
-                else:
-                    d = O.matched_distance(built, k["best"])
-                return F.transform(d, lambda v: v / k["size"])
-            return F.array(*[F.struct(F.lit(r).alias("rank"), one(r).alias("d")) for r in ranks])
-        return let(F.struct(
-            E.forward(coo, max(ranks)).alias("ef"),
-            O.interpolate(coo, F.floor(F.size(coo) * factor).cast("int")
-                          if method == "nearest" else nb_pts).alias("best"),
-            (O.centroid_size(coo) if norm_size else F.lit(1.0)).alias("size")), ranked)
-    rows = outlines.select(F.explode(let(F.col("coo"), per_shape)).alias("r"))
-    rows = rows.select("r.rank", F.posexplode("r.d").alias("_p", "d")).select(
-        "rank", (F.col("_p") + 1).cast("int").alias("pt"), "d")
+    coo = F.col("coo")
+    points = F.floor(F.size(coo) * F.lit(float(factor))).cast("int") if method == "nearest" else nb_pts
+    ef = E.with_forward(outlines, max(ranks)).select(
+        "ef", O.interpolate(coo, points).alias("best"),
+        (O.centroid_size(coo) if norm_size else F.lit(1.0)).alias("size"))
+    rows = _at_ranks(ef, ranks, nb_pts)
+    if method == "nearest":
+        rows = O.with_nearest(rows, F.col("shape"), F.col("best"))
+        d = F.col("near.d")
+    else:
+        d = O.matched_distance(F.col("shape"), F.col("best"))
+    rows = rows.select("rank", "size", F.posexplode(d).alias("_p", "d")).select(
+        "rank", (F.col("_p") + 1).cast("int").alias("pt"), (F.col("d") / F.col("size")).alias("d"))
     med = quantiles(rows, ["rank", "pt"], "d", [0.5], ["med"])
     return med.join(rows.groupBy("rank", "pt").agg(F.stddev_samp("d").alias("sd")), ["rank", "pt"])

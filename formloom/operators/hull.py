@@ -18,7 +18,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -156,21 +156,34 @@ def facet_volume(p: np.ndarray, faces: np.ndarray) -> float:
 # ---- one outline ---------------------------------------------------------------
 
 
-def with_hull_ids(outlines: DataFrame) -> DataFrame:
-    """Adds ``hull``: vertex indices, counter-clockwise from the lowest index."""
-    @F.pandas_udf("array<int>")
-    def vertices(x: pd.Series, y: pd.Series) -> pd.Series:
-        def one(u, v):
-            ids = hull_order(np.asarray(u, float), np.asarray(v, float))
-            return np.roll(ids, -int(np.argmin(ids))) + 1
-        return pd.Series([one(u, v) for u, v in zip(x, y)])
-    return outlines.withColumn("hull", vertices(O.xs(F.col("coo")), O.ys(F.col("coo"))))
-
+def _hull_of(coo) -> Column:
+    """Struct ``hull`` (vertex indices), ``length, i, j`` (longest chord, i < j).
 
-def with_caliper(outlines: DataFrame) -> DataFrame:
-    """Adds ``caliper`` struct ``length, i, j``: the longest chord."""
-    return with_hull_ids(outlines).withColumn(
-        "caliper", O.caliper(F.col("coo"), F.col("hull"))).drop("hull")
+    The ends of the longest chord are hull vertices, so only those are paired.
+    """
+    @F.pandas_udf("hull array<int>, length double, i int, j int")
+    def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        def one(u, v):
+            u, v = np.asarray(u, float), np.asarray(v, float)
+            ids = hull_order(u, v)
+            ids = np.roll(ids, -int(np.argmin(ids)))
+            s = np.sort(ids)
+            best = (0.0, int(s[0]), int(s[0]))
+            for k, p in enumerate(s[:-1]):
+                d = np.hypot(u[s[k + 1:]] - u[p], v[s[k + 1:]] - v[p])
+                m = int(d.argmax())
+                if d[m] > best[0]:
+                    best = (float(d[m]), int(p), int(s[k + 1 + m]))
+            return ids + 1, best[0], best[1] + 1, best[2] + 1
+        return pd.DataFrame([one(u, v) for u, v in zip(x, y)], columns=["hull", "length", "i", "j"])
+    return run(coo.getField("x"), coo.getField("y"))
+
+
+def with_hull(outlines: DataFrame) -> DataFrame:
+    """Adds ``hull`` (vertex indices, counter-clockwise from the lowest) and
+    ``caliper`` struct ``length, i, j``: the longest chord."""
+    return (outlines.withColumn("_h", _hull_of(F.col("coo"))).withColumn("hull", F.col("_h.hull"))
+            .withColumn("caliper", F.struct("_h.length", "_h.i", "_h.j")).drop("_h"))
 
 
 def onion(outlines: DataFrame, close: bool = True) -> DataFrame:
@@ -189,7 +202,7 @@ def onion(outlines: DataFrame, close: bool = True) -> DataFrame:
             return out
         return pd.Series([one(u, v) for u, v in zip(x, y)])
     c = F.col("coo")
-    return outlines.select("id", "coo", F.explode(peel(O.xs(c), O.ys(c))).alias("l")).select(
+    return outlines.select("id", "coo", F.explode(peel(c.getField("x"), c.getField("y"))).alias("l")).select(
         "id", "l.layer", "l.ord", "l.seq", F.element_at(c, F.col("l.seq"))["x"].alias("x"),
         F.element_at(c, F.col("l.seq"))["y"].alias("y"))
 

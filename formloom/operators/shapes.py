@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import draws
 from ..functions import outline as O
 from ..functions.base import let, pt
-from .hull import with_hull_ids
+from .hull import with_hull
 
 
 def template_relatively(outlines: DataFrame, size: float = 1.0) -> DataFrame:
@@ -43,9 +43,9 @@ def descriptors(outlines: DataFrame, rectilinearity: bool = False) -> DataFrame:
     """One row of 15 (16) shape descriptors per outline."""
     keep = [c for c in outlines.columns if c != "coo"]
     c = F.col("coo")
-    base = with_hull_ids(outlines).select(
+    base = with_hull(outlines).select(
         *keep, "coo", O.extract(c, F.col("hull")).alias("h"), O.area(c).alias("area"),
-        O.perimeter(c).alias("perim"), O.length_width(c).alias("lw"), O.caliper(c, F.col("hull"))["length"].alias("calliper"))
+        O.perimeter(c).alias("perim"), O.length_width(c).alias("lw"), F.col("caliper.length").alias("calliper"))
     area, perim, lw = F.col("area"), F.col("perim"), F.col("lw")
     out = [
         area, F.col("calliper"), O.centroid_size(c).alias("centsize"),
@@ -60,5 +60,6 @@ def descriptors(outlines: DataFrame, rectilinearity: bool = False) -> DataFrame:
         (area / (lw["length"] * lw["width"])).alias("rectangularity"),
         (area / O.area(F.col("h"))).alias("solidity"), lw["width"].alias("width")]
     if rectilinearity:
-        out.append(O.rectilinearity(c).alias("rectilinearity"))
+        base = O.with_rectilinearity(base, c)
+        out.append(F.col("rectilinearity"))
     return base.select(*keep, *out)

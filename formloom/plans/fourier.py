@@ -6,10 +6,8 @@ from pyspark.sql import functions as F
 
 from .. import fixtures as X
 from ..functions import efa as E
-from ..functions import outline as O
-from ..functions.base import let, r6
+from ..functions.base import r6
 from ..operators import fourier as FO
-from ..operators.ranks import quantiles
 from .outline import COO, long
 from .registry import query
 
@@ -26,7 +24,7 @@ HARM = "id, h, R6(a) AS a, R6(b) AS b, R6(c) AS c, R6(d) AS d"
 
 @query("efa_01", f"WITH @ef, @ef0 SELECT {HARM}, R6(ao) AS ao, R6(co) AS co FROM ef JOIN ef0 USING (id)")
 def forward(spark, d):
-    o = X.outlines(spark, d).select("id", E.forward(COO, 12).alias("ef"))
+    o = E.with_forward(X.outlines(spark, d), 12)
     o = o.select("id", "ef.harm", r6(F.col("ef.ao")).alias("ao"), r6(F.col("ef.co")).alias("co"))
     return harmonics(o, "harm", "id", "ao", "co")
 
@@ -39,7 +37,7 @@ def set_coefficients(spark, d):
 
 @query("efa_03", f"WITH @efn SELECT {HARM}, R6(size) AS size, R6(th) AS theta, R6(psi) AS psi FROM efn JOIN nrm USING (id)")
 def normalised(spark, d):
-    o = X.outlines(spark, d).select("id", E.normalise(E.forward(COO, 12)).alias("n")).select(
+    o = E.with_forward(X.outlines(spark, d), 12).select("id", E.normalise(F.col("ef")).alias("n")).select(
         "id", "n.harm", *[r6(F.col(f"n.{k}")).alias(k) for k in ("size", "theta", "psi")])
     return harmonics(o, "harm", "id", "size", "theta", "psi")
 
@@ -49,18 +47,18 @@ R6(max(ao)/2 + sum(a*cos(2*pi()*h*k/60) + b*sin(2*pi()*h*k/60))) AS x,
 R6(max(co)/2 + sum(c*cos(2*pi()*h*k/60) + d*sin(2*pi()*h*k/60))) AS y
 FROM ef JOIN ef0 USING (id), range(0, 60) t(k) WHERE h <= 8 GROUP BY ef.id, k""")
 def inverse(spark, d):
-    shape = let(E.forward(COO, 12), lambda f: E.inverse(f["harm"], f["ao"], f["co"], 8, 60))
-    return long(X.outlines(spark, d), shape)
+    ef = E.with_forward(X.outlines(spark, d), 12)
+    return long(E.with_inverse(ef, F.col("ef.harm"), F.col("ef.ao"), F.col("ef.co"), 8, 60), F.col("shape"))
 
 
 @query("efa_05", f"WITH @ef SELECT {HARM} FROM ef")
 def denormalised(spark, d):
-    return harmonics(X.outlines(spark, d), E.denormalise(E.normalise(E.forward(COO, 12)))["harm"])
+    return harmonics(E.with_forward(X.outlines(spark, d), 12), E.denormalise(E.normalise(F.col("ef")))["harm"])
 
 
 @query("efa_06", "WITH @ef SELECT id, h, R6((a*a + b*b + c*c + d*d)/2) AS power FROM ef")
 def power(spark, d):
-    o = X.outlines(spark, d).select("id", F.posexplode(E.power(E.forward(COO, 12)["harm"])).alias("p", "v"))
+    o = E.with_forward(X.outlines(spark, d), 12).select("id", F.posexplode(E.power(F.col("ef.harm"))).alias("p", "v"))
     return o.select("id", (F.col("p") + 1).cast("int").alias("h"), r6(F.col("v")).alias("power"))
 
 

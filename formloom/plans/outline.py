@@ -195,8 +195,10 @@ _RECT = """rl AS (SELECT id, 4/(4-pi())*(max(sum_l)/min(p) - pi()/4) AS rect FRO
 SELECT c.id, c.alpha, sum(l) AS sum_l, sum(l*(abs(cos(t+alpha)) + abs(sin(t+alpha)))) AS p FROM ang e JOIN (
 SELECT id, seq, k, abs(t - k*pi()/2) AS alpha FROM ang, range(1, 5) r(k)) c USING (id)
 GROUP BY c.id, c.seq, c.k, c.alpha) GROUP BY id)"""
-row_query("fun_32", {"rectilinearity": lambda c: r6(O.rectilinearity(c))},
-          f"WITH @pts, {_ANG}, {_RECT} SELECT id, R6(min(rect)) AS rectilinearity FROM rl GROUP BY id")
+@query("fun_32", f"WITH @pts, {_ANG}, {_RECT} SELECT id, R6(rect) AS rectilinearity FROM rl")
+def rectilinearity(spark, d):
+    o = O.with_rectilinearity(X.outlines(spark, d), COO)
+    return o.select("id", r6(F.col("rectilinearity")).alias("rectilinearity"))
 
 
 @query("fun_34", """WITH @scores, m AS (SELECT min("PC1") AS lo, max("PC1" - (SELECT min("PC1") FROM scores)) AS span FROM scores)
@@ -406,7 +408,8 @@ SELECT id, seq, R6(min(d)) AS d, arg_min(s, (d, s))::INT AS pos FROM (SELECT a.i
 sqrt((a.x-p.x)**2 + (a.y-p.y)**2) AS d FROM a JOIN pts p ON p.id = a.id) GROUP BY id, seq""")
 def nearest_points(spark, d):
     other = O.scale_y(O.scale_x(O.sample(COO, 16), 1.1), 1.1)
-    o = X.outlines(spark, d).select("id", F.posexplode(O.nearest_each(other, COO)).alias("s", "n"))
+    o = O.with_nearest(X.outlines(spark, d), other, COO)
+    o = o.select("id", F.posexplode(B.zip_named(d=F.col("near.d"), i=F.col("near.i"))).alias("s", "n"))
     return o.select("id", (F.col("s") + 1).cast("int").alias("seq"), r6(F.col("n.d")).alias("d"), F.col("n.i").alias("pos"))
 
 
@@ -418,8 +421,8 @@ R6(sqrt((p.x-c.x)**2 + (p.y-c.y)**2)) AS v FROM pts p JOIN ctr c ON c.id = p.id
 FROM pts a JOIN pts b ON a.id = b.id AND a.seq < b.seq)
 SELECT id, R6(max(d)) AS length, arg_max(i, (d, -i, -j))::INT AS i, arg_max(j, (d, -i, -j))::INT AS j FROM d GROUP BY id""")
 def callipers(spark, d):
-    from ..operators.hull import with_caliper
-    return with_caliper(X.outlines(spark, d)).select(
+    from ..operators.hull import with_hull
+    return with_hull(X.outlines(spark, d)).select(
         "id", r6(F.col("caliper.length")).alias("length"), F.col("caliper.i").alias("i"), F.col("caliper.j").alias("j"))
 
 
@@ -431,8 +434,8 @@ JOIN pts b ON b.id = c.id AND b.seq = j)
 SELECT id, seq, R6((ux*(x-ax) + uy*(y-ay))/(ux*ux+uy*uy) - 0.5) AS x, R6((ux*(y-ay) - uy*(x-ax))/(ux*ux+uy*uy)) AS y
 FROM pts JOIN l USING (id)""")
 def calliper_aligned(spark, d):
-    from ..operators.hull import with_caliper
-    return long(with_caliper(X.outlines(spark, d)), O.bookstein(COO, F.col("caliper.i"), F.col("caliper.j")))
+    from ..operators.hull import with_hull
+    return long(with_hull(X.outlines(spark, d)), O.bookstein(COO, F.col("caliper.i"), F.col("caliper.j")))
 
 
 # hull vertices of one outline: no other vertex lies right of the edge to the next
@@ -447,8 +450,8 @@ count(*) OVER (PARTITION BY id) AS m FROM he) WHERE rn < m GROUP BY id)"""
 @query("fun_31", f"""WITH @stp, {_PE}, {_AR}, {_HULL1} SELECT id, R6(hp/p) AS convexity, R6(a/ha) AS solidity
 FROM pe JOIN ar USING (id) JOIN hs USING (id) JOIN hf USING (id)""")
 def hull_ratios(spark, d):
-    from ..operators.hull import with_hull_ids
-    o = with_hull_ids(X.outlines(spark, d))
+    from ..operators.hull import with_hull
+    o = with_hull(X.outlines(spark, d))
     return o.select("id", r6(O.perimeter(O.extract(COO, F.col("hull"))) / O.perimeter(COO)).alias("convexity"),
                     r6(O.area(COO) / O.area(O.extract(COO, F.col("hull")))).alias("solidity"))
 
