@@ -66,3 +66,27 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def outlines_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
     return landmarks(outlines(spark, sf_dir))
+
+
+SIDE = 32
+
+
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One 32 x 32 mask per outline: 0 inside 10 r of the nearest angle, else 1."""
+    def pixel(k):
+        row, col = F.floor(k / SIDE), k % SIDE
+        dx, dy = (col - 16).cast("double"), (row - 16).cast("double")
+        turn = F.pmod(F.atan2(dy, dx), F.lit(TWO_PI)) / F.lit(TWO_PI) * 64
+        r = 1 + F.get("embedding", (F.floor(turn + 0.5) % 64).cast("int")).cast("double")
+        return F.when(F.hypot(dx, dy) <= 10 * r, F.lit(0.0)).otherwise(F.lit(1.0))
+    return table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("img"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"),
+        F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), pixel).alias("v"))
+
+
+def model_tables(spark: SparkSession, sf_dir: str, nb_h: int = 6, pcs: int = 5):
+    """A model with a cosine basis as rotation; center and sdev from the data."""
+    from .functions import efa
+    from .operators.pca import project, table_model
+    coefs = efa.efourier(outlines(spark, sf_dir), nb_h)
+    return table_model(coefs, pcs), coefs

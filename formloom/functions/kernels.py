@@ -126,3 +126,26 @@ def least_rotated_perimeter(lengths: Column, angles: Column, turns: Sequence[flo
             out.append(best)
         return pd.Series(out)
     return run(lengths, angles)
+
+
+def affine(v: Column, pre: np.ndarray, matrix: np.ndarray, post: np.ndarray) -> Column:
+    """``(v - pre) @ matrix + post`` for an array column; NULL stays NULL.
+
+    Vectors shorter than the matrix are padded with zeros (before ``pre``),
+    longer ones are cut.
+    """
+    pre, matrix, post = (np.asarray(m, float) for m in (pre, matrix, post))
+
+    @F.pandas_udf("array<double>")
+    def run(v: pd.Series) -> pd.Series:
+        p, out = len(matrix), [None] * len(v)
+        for n, rows in _chunks(_lengths(v), lambda n: max(matrix.shape)):
+            if n < 0:
+                continue
+            m = np.zeros((len(rows), p))
+            m[:, :min(n, p)] = _stack(v, rows)[:, :p]
+            r = (m - pre) @ matrix + post
+            for j, i in enumerate(rows):
+                out[i] = r[j]
+        return pd.Series(out)
+    return run(v)

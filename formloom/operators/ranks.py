@@ -55,13 +55,15 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
         F.max(F.when(F.col("_i") == i, val)).alias(n) for i, n in enumerate(names)])
 
 
-def row_index(df: DataFrame, key: str, out: str = "row_index", buckets: int | None = None) -> DataFrame:
+def row_index(df: DataFrame, key: str, out: str = "row_index", within: Sequence[str] = (),
+              buckets: int | None = None) -> DataFrame:
     """Adds the 1-based position of every row in the order of the unique ``key``.
 
-    Split points come from a hash sample of fixed size, so every bucket is a
-    bounded share of the rows; only bucket counts are summed globally.
+    With ``within`` positions count per group.  Split points come from a hash
+    sample of fixed size, so every bucket is a bounded share of the rows, also
+    of a hot group; only bucket counts are summed over the whole order.
     """
-    spark = df.sparkSession
+    spark, within = df.sparkSession, list(within)
     buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
     sample = [r[0] for r in df.select(key).orderBy(F.xxhash64(key), key).limit(32 * buckets).collect()]
     sample.sort()
@@ -70,13 +72,14 @@ def row_index(df: DataFrame, key: str, out: str = "row_index", buckets: int | No
     bounds = F.array(*[F.lit(c).cast(kind) for c in cuts]) if cuts else None
     tagged = df.withColumn("_b", F.size(F.filter(bounds, lambda c: c <= F.col(key)))
                            if bounds is not None else F.lit(0))
-    counts = tagged.groupBy("_b").agg(F.count("*").alias("_n"))
-    # at most one row per bucket: small by construction
+    counts = tagged.groupBy(*within, "_b").agg(F.count("*").alias("_n"))
+    # at most one row per bucket (and group)
     offsets = counts.withColumn("_o", F.sum("_n").over(
-        Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, 0)) - F.col("_n")).drop("_n")
-    pos = F.row_number().over(Window.partitionBy("_b").orderBy(key))
-    return (tagged.withColumn("_p", pos).join(F.broadcast(offsets), "_b")
-            .withColumn(out, (F.col("_o") + F.col("_p")).cast("bigint")).drop("_b", "_o", "_p"))
+        Window.partitionBy(*within).orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+        - F.col("_n")).drop("_n")
+    pos = F.row_number().over(Window.partitionBy(*within, "_b").orderBy(key))
+    placed = tagged.withColumn("_p", pos).join(offsets if within else F.broadcast(offsets), [*within, "_b"])
+    return placed.withColumn(out, (F.col("_o") + F.col("_p")).cast("bigint")).drop("_b", "_o", "_p")
 
 
 def lowest_hashes(df: DataFrame, keys: Sequence[str], hexes: str, k: Column) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("outline", "fourier")
+MODULES = ("outline", "fourier", "sources", "tables")
 
 
 def load():

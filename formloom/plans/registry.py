@@ -75,6 +75,19 @@ VIEWS = {
   unnest([a*sg, b*sg, c*sg, d*sg]) AS v FROM (
   SELECT e.*, CASE WHEN f.a < 0 THEN -1 ELSE 1 END AS sg FROM efn e JOIN efn f
   ON e.id = f.id AND f.h = 1)))""",
+    # six harmonics as 24 numbered coefficients; cosine axes; model projections
+    "cf": """cf AS (SELECT id, label, (strpos('ABCD', letter) - 1)*6 + h AS pos, value FROM coe WHERE h <= 6)""",
+    "rot": """rot AS (SELECT i AS pos, k AS pc, sqrt(2/24.0)*cos(pi()*(i - 0.5)*k/24) AS loading
+  FROM range(1, 25) a(i), range(1, 6) b(k))""",
+    "mn": """mn AS (SELECT pos, avg(value) AS m FROM cf GROUP BY pos)""",
+    "sc": """sc AS (SELECT id, label, pc::INT AS pc, sum((value - m)*loading) AS score FROM cf JOIN mn USING (pos)
+  JOIN rot USING (pos) GROUP BY id, label, pc)""",
+    "sdv": """sdv AS (SELECT pc, stddev_samp(score) AS sdev FROM sc GROUP BY pc)""",
+    # binary 32 x 32 images
+    "pix": """pix AS (SELECT vec_id AS img, (k//32)::INT AS "row", (k%32)::INT AS col,
+  CASE WHEN sqrt((k%32 - 16)**2 + (k//32 - 16)**2) <= 10*(1 + embedding[
+    ((floor((a - floor(a/(2*pi()))*2*pi())/(2*pi())*64 + 0.5)::INT) % 64) + 1]::DOUBLE) THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS v
+  FROM embeddings, (SELECT k, atan2(k//32 - 16, k%32 - 16) AS a FROM range(0, 1024) t(k)))""",
 }
 
 REQUIRES = {
@@ -83,7 +96,11 @@ REQUIRES = {
     "ef": ["pts", "wrap", "cum"], "ef0": ["pts", "wrap", "cum"],
     "nrm": ["pts", "wrap", "cum", "ef"], "efn": ["pts", "wrap", "cum", "ef", "nrm"],
     "coe": ["pts", "wrap", "cum", "ef", "nrm", "efn"],
+    "cf": ["pts", "wrap", "cum", "ef", "nrm", "efn", "coe"],
 }
+REQUIRES["mn"] = [*REQUIRES["cf"], "cf"]
+REQUIRES["sc"] = [*REQUIRES["mn"], "mn", "rot"]
+REQUIRES["sdv"] = [*REQUIRES["sc"], "sc"]
 
 
 def _rounding(sql: str) -> str:
