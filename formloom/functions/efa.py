@@ -32,7 +32,7 @@ def with_forward(df: DataFrame, nb_h, coo="coo", out: str = "ef", smooth_it: int
         shape = O.smooth(shape, smooth_it)
     raw = kernels.fourier(F.col("_s.x"), F.col("_s.y"), lit(nb_h).cast("int"))
     k = F.col("_k")
-    return (df.withColumn("_s", shape).withColumn("_k", raw).drop("_s").withColumn(out, F.struct(
+    return (kernels.hold(df, "_s", shape).withColumn("_k", raw).drop("_s").withColumn(out, F.struct(
         harmonics(k["a"], k["b"], k["c"], k["d"]).alias("harm"),
         k["ao"].alias("ao"), k["co"].alias("co"))).drop("_k"))
 
@@ -118,7 +118,7 @@ def with_inverse(df: DataFrame, harm="harm", ao=0.0, co=0.0, nb_h=None, nb_pts:
     h = harm if isinstance(harm, Column) else F.col(harm)
     h = h if nb_h is None else F.slice(h, F.lit(1), lit(nb_h))
     xy = kernels.inverse_fourier(*[F.col(f"_g.{x}") for x in LETTERS], dbl(ao), dbl(co), nb_pts)
-    return (df.withColumn("_g", h).withColumn("_k", xy).drop("_g")
+    return (kernels.hold(df, "_g", h).withColumn("_k", xy).drop("_g")
             .withColumn(out, F.zip_with("_k.x", "_k.y", pt)).drop("_k"))
 
 

@@ -6,9 +6,9 @@ Everything linear in the outline stays in JVM expressions.  A kernel sees one
 Arrow batch at a time and works through it in chunks of bounded size, so the
 batch may mix outlines of any length.
 
-Kernels read plain columns: the ``with_*`` functions put their input into a
-column first and read two or more of its fields, so that it is computed once
-and not inlined.
+Kernels read plain columns.  ``hold`` puts their input into a column that the
+optimizer does not inline into the call: Spark does not find a Python function
+whose argument holds nested lambdas, and would compute the argument per use.
 """
 
 from __future__ import annotations
@@ -17,12 +17,17 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 CHUNK = 2_000_000
 
 
+def hold(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds ``value`` as a column computed exactly once per row (a narrow step)."""
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c != name], F.explode_outer(F.array(value)).alias(name))
+
+
 def _chunks(lengths: np.ndarray, cost_per_row):
     """Row positions grouped by equal length, each group at most CHUNK cells."""
     for n in np.unique(lengths):

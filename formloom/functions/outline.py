@@ -600,8 +600,9 @@ def nearest(p: Column, coo: Column) -> Column:
 
 def with_nearest(df: DataFrame, a: Column, b: Column, out: str = "near") -> DataFrame:
     """Adds for every point of ``a`` the nearest of ``b``: struct of arrays ``d, i``."""
-    return df.withColumn("_a", a).withColumn("_b", b).withColumn(out, kernels.nearest(
-        F.col("_a.x"), F.col("_a.y"), F.col("_b.x"), F.col("_b.y"))).drop("_a", "_b")
+    held = kernels.hold(df, "_n", F.struct(a.alias("a"), b.alias("b")))
+    return held.withColumn(out, kernels.nearest(
+        F.col("_n.a.x"), F.col("_n.a.y"), F.col("_n.b.x"), F.col("_n.b.y"))).drop("_n")
 
 
 def matched_distance(a: Column, b: Column) -> Column:
@@ -706,7 +707,7 @@ def with_rectilinearity(df: DataFrame, coo: Column, out: str = "rectilinearity")
     """
     edges = let(unclose(coo), lambda c: zip_named(l=F.zip_with(c, with_next(c), dist), t=edge_angles(c)))
     least = kernels.least_rotated_perimeter(F.col("_e.l"), F.col("_e.t"), [PI / 2, PI, 3 * PI / 2, TWO_PI])
-    return df.withColumn("_e", edges).withColumn("_p", least).withColumn(
+    return kernels.hold(df, "_e", edges).withColumn("_p", least).withColumn(
         out, F.lit(4 / (4 - PI)) * (fsum(F.col("_e.l")) / F.col("_p") - PI / 4)).drop("_e", "_p")
 
 

@@ -36,10 +36,16 @@ def bandwidths(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     return base.select(*keys, "n", "x0", "x1", "y0", "y1", h("x").alias("hx"), h("y").alias("hy"))
 
 
-def density(df: DataFrame, keys: Sequence[str], x: str, y: str, n_grid: int = 50, min_points: int = 10) -> DataFrame:
-    """``keys, ix, iy, x, y, z`` over the data range of every group."""
+def density(df: DataFrame, keys: Sequence[str], x: str, y: str, n_grid: int = 50, min_points: int = 10,
+            limits: DataFrame | None = None, limit_keys: Sequence[str] = ()) -> DataFrame:
+    """``keys, ix, iy, x, y, z`` over the data range of every group.
+
+    ``limits`` (``limit_keys, x0, x1, y0, y1``) sets the grid's range instead.
+    """
     keys = list(keys)
     band = bandwidths(df, keys, x, y).filter(F.col("n") >= min_points)
+    if limits is not None:
+        band = band.drop("x0", "x1", "y0", "y1").join(limits, list(limit_keys))
     par = F.struct("n", "x0", "x1", "y0", "y1", "hx", "hy").alias("_b")
     rows = df.select(*keys, F.col(x).alias("x"), F.col(y).alias("y"))
     rows = rows.join(band.select(*keys, par), keys) if keys else rows.withColumn("_b", band.select(par).scalar())

@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions import kernels
 from ..functions import outline as O
 
 FLUSH_ROWS = 500_000
@@ -182,7 +183,7 @@ def _hull_of(coo) -> Column:
 def with_hull(outlines: DataFrame) -> DataFrame:
     """Adds ``hull`` (vertex indices, counter-clockwise from the lowest) and
     ``caliper`` struct ``length, i, j``: the longest chord."""
-    return (outlines.withColumn("_h", _hull_of(F.col("coo"))).withColumn("hull", F.col("_h.hull"))
+    return (kernels.hold(outlines, "coo", F.col("coo")).withColumn("_h", _hull_of(F.col("coo"))).withColumn("hull", F.col("_h.hull"))
             .withColumn("caliper", F.struct("_h.length", "_h.i", "_h.j")).drop("_h"))
 
 
@@ -202,7 +203,8 @@ def onion(outlines: DataFrame, close: bool = True) -> DataFrame:
             return out
         return pd.Series([one(u, v) for u, v in zip(x, y)])
     c = F.col("coo")
-    return outlines.select("id", "coo", F.explode(peel(c.getField("x"), c.getField("y"))).alias("l")).select(
+    held = kernels.hold(outlines, "coo", c)
+    return held.select("id", "coo", F.explode(peel(c.getField("x"), c.getField("y"))).alias("l")).select(
         "id", "l.layer", "l.ord", "l.seq", F.element_at(c, F.col("l.seq"))["x"].alias("x"),
         F.element_at(c, F.col("l.seq"))["y"].alias("y"))
 

@@ -42,12 +42,15 @@ class Basis:
 
 def moments(df: DataFrame, v: str) -> tuple[int, np.ndarray, np.ndarray]:
     """Row count, mean and covariance (n-1) of an array column."""
-    p = df.select(F.max(F.size(v)).alias("p")).first().p
-    if p is None or p > MAX_COEFFICIENTS:
-        raise ValueError(f"between 1 and {MAX_COEFFICIENTS} coefficients are supported, got {p}")
-    vec = df.select(array_to_vector(F.col(v)).alias("v"))
-    s = vec.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")).first().s
-    corr = Correlation.corr(vec, "v").first()[0].toArray()
+    vec = df.select(F.size(v).alias("p"), array_to_vector(F.col(v)).alias("v")).persist()
+    try:
+        p = vec.agg(F.max("p").alias("p")).first().p
+        if p is None or p > MAX_COEFFICIENTS:
+            raise ValueError(f"between 1 and {MAX_COEFFICIENTS} coefficients are supported, got {p}")
+        s = vec.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")).first().s
+        corr = Correlation.corr(vec, "v").first()[0].toArray()
+    finally:
+        vec.unpersist()
     sd = np.sqrt(np.maximum(s.variance.toArray(), 0))
     corr = np.where(np.isfinite(corr), corr, 0.0)
     np.fill_diagonal(corr, 1.0)
@@ -133,7 +136,7 @@ def project(df: DataFrame, basis: Basis, v: str = "coe", out: str = "scores") ->
     """Adds scores centred by the MODEL's mean."""
     p, k = basis.rotation.shape
     rot = basis.rotation if basis.scale is None else basis.rotation / basis.scale[:, None]
-    return df.withColumn(out, kernels.affine(F.col(v), basis.center, rot, np.zeros(k)))
+    return kernels.hold(df, v, F.col(v)).withColumn(out, kernels.affine(F.col(v), basis.center, rot, np.zeros(k)))
 
 
 def reproject(df: DataFrame, basis: Basis, v: str = "coe", out: str = "scores") -> DataFrame:
@@ -181,8 +184,8 @@ def scree_plot(scree_table: DataFrame, prop: float = 0.99) -> DataFrame:
 
 
 def _density(v, mid, sd):
-    z = (v - mid) / sd
-    return F.exp(-z * z / 2) / (sd * TWO_PI ** 0.5)
+    z = (v - mid) / F.when(sd > 0, sd)
+    return F.when(sd > 0, F.exp(-z * z / 2) / (sd * TWO_PI ** 0.5))
 
 
 def outliers(scores: DataFrame, conf: float = 1e-3, nax: int | None = None, middle: str = "median",
@@ -221,7 +224,8 @@ def coefficients_at(requests: DataFrame, basis: Basis, scores: str = "scores", k
     m = basis.rotation.T * amplitude
     if kind == "sd":
         m = basis.sdev[:, None] * m
-    return requests.withColumn(out, kernels.affine(F.col(scores), np.zeros(len(m)), m, basis.center))
+    held = kernels.hold(requests, scores, F.col(scores))
+    return held.withColumn(out, kernels.affine(F.col(scores), np.zeros(len(m)), m, basis.center))
 
 
 def reconstruct(requests: DataFrame, basis: Basis, scores: str = "scores", kind: str = "sd",

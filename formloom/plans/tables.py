@@ -438,7 +438,7 @@ def converged(spark, d):
 
 
 @query("srt_05", """SELECT R6(min(f)) AS fraction, n AS realized_n FROM (SELECT f, least(greatest(2, floor(f*t)), t)::BIGINT AS n FROM
-(SELECT unnest([0.001, 0.002, 0.1, 0.1001, 0.5, 1.0, 1.5]) AS f), (SELECT count(*) AS t FROM embeddings)) GROUP BY n""")
+(SELECT unnest([0.001, 0.002, 0.1, 0.1001, 0.5, 1.0, 1.5])::DOUBLE AS f), (SELECT count(*) AS t FROM embeddings)) GROUP BY n""")
 def schedule(spark, d):
     n = X.table(spark, d, "embeddings").agg(F.count("*").alias("n"))
     s = T.fraction_schedule(n, [0.001, 0.002, 0.1, 0.1001, 0.5, 1.0, 1.5, 0.5])
