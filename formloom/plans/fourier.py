@@ -8,7 +8,7 @@ from .. import fixtures as X
 from ..functions import efa as E
 from ..functions.base import r6
 from ..operators import fourier as FO
-from .outline import COO, long
+from .outline import long
 from .registry import query
 
 
@@ -80,7 +80,7 @@ def median_profile(spark, d):
 @query("efa_07_label", f"WITH @efn, {_CUMPOW.format(src='efn')} SELECT label, h, R6(median(v)) AS med FROM cp GROUP BY label, h")
 def label_profile(spark, d):
     """Centre, scale, start on the left, 12 normalised harmonics, median power per label."""
-    o = X.outlines(spark, d).withColumn("coo", E.normalise_shape(COO, "left"))
+    o = X.outlines(spark, d).withColumn("coo", E.normalise_shape(F.col("coo"), "left"))
     return FO.power_profile(o, 12, keys=["label"], norm=True).select("label", "h", r6(F.col("med")).alias("med"))
 
 
@@ -153,4 +153,4 @@ def without_asymmetry(spark, d):
 f AS (SELECT id, arg_min(seq, (abs(x), seq)) AS s0 FROM ctr WHERE y > 0 GROUP BY id)
 SELECT c.id, ((seq - s0 + 64) % 64 + 1)::INT AS seq, R6(x/k) AS x, R6(y/k) AS y FROM ctr c JOIN cs USING (id) JOIN f ON f.id = c.id""")
 def normalisation_pipeline(spark, d):
-    return long(X.outlines(spark, d), E.normalise_shape(COO, "up"))
+    return long(X.outlines(spark, d), E.normalise_shape(F.col("coo"), "up"))

@@ -9,7 +9,6 @@ from ..functions import outline as O
 from ..functions.base import r6
 from ..operators import joins as J
 from ..operators import tables as T
-from .outline import COO
 from .registry import query
 
 
@@ -17,7 +16,7 @@ def _files(spark, d):
     """Shape files with repeated stems in mixed case; every 13th shape is too short."""
     path = F.concat(F.lit("/shapes/d"), (F.col("id") % 3).cast("string"), F.lit("/Shape_"),
                     (F.col("id") % 400).cast("string"), F.lit(".jpg"))
-    short = F.when(F.col("id") % 13 == 0, F.slice(COO, 1, 2)).otherwise(COO)
+    short = F.when(F.col("id") % 13 == 0, F.slice(F.col("coo"), 1, 2)).otherwise(F.col("coo"))
     return X.outlines(spark, d).select(path.alias("path"), short.alias("coo"))
 
 
@@ -55,8 +54,8 @@ round_even(400 - (400 - (o.y + 0.3)), 0) AS y FROM (SELECT vec_id AS id, unnest(
 JOIN o ON o.id = t.id AND o.seq = t.s)
 SELECT id, i::INT AS i, arg_min(s, (d, s))::INT AS ldk FROM (SELECT l.id, i, o.seq AS s, sqrt((l.x-o.x)**2 + (l.y-o.y)**2) AS d FROM l JOIN o ON o.id = l.id) GROUP BY id, i""")
 def tied_landmarks(spark, d):
-    o = X.landmarks(X.outlines(spark, d)).withColumn("coo", O.move(COO, lambda p: (p["x"] * 100 + 200, p["y"] * 100 + 200)))
-    marks = o.select(F.col("id").alias("stem"), F.posexplode(O.extract(COO, F.col("ldk"))).alias("k", "p")).select(
+    o = X.landmarks(X.outlines(spark, d)).withColumn("coo", O.move(F.col("coo"), lambda p: (p["x"] * 100 + 200, p["y"] * 100 + 200)))
+    marks = o.select(F.col("id").alias("stem"), F.posexplode(O.extract(F.col("coo"), F.col("ldk"))).alias("k", "p")).select(
         "stem", (F.col("k") + 1).alias("seq"), F.col("p.x").alias("x"), (400 - (F.col("p.y") + 0.3)).alias("y"))
     tied = J.tie_landmarks(o.select(F.col("id").alias("stem"), F.lit(400).alias("height"), "coo"), marks)
     return tied.select(F.col("stem").alias("id"), F.posexplode("ldk").alias("k", "ldk")).select(

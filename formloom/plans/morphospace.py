@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixtures as X
 from ..functions.base import r6
 from ..operators import pca as P
-from .outline import COO, long
+from .outline import long
 from .registry import query
 
 

@@ -10,7 +10,6 @@ from ..functions import outline as O
 from ..functions.base import PI, let, pt, r6
 from .registry import query
 
-COO = F.col("coo")
 
 
 def long(df, coo, *keep):
@@ -28,17 +27,17 @@ def values(df, arr, name="v"):
 
 def coo_query(name, fn, sql):
     """Register an outline -> outline function."""
-    query(name, sql)(lambda spark, d: long(X.landmarks(X.outlines(spark, d)), fn(COO)))
+    query(name, sql)(lambda spark, d: long(X.landmarks(X.outlines(spark, d)), fn(F.col("coo"))))
 
 
 def arr_query(name, fn, sql):
-    query(name, sql)(lambda spark, d: values(X.outlines(spark, d), fn(COO)))
+    query(name, sql)(lambda spark, d: values(X.outlines(spark, d), fn(F.col("coo"))))
 
 
 def row_query(name, cols, sql):
     """Register scalar functions: ``{column: Column builder}``."""
     query(name, sql)(lambda spark, d: X.outlines(spark, d).select(
-        "id", *[fn(COO).alias(k) for k, fn in cols.items()]))
+        "id", *[fn(F.col("coo")).alias(k) for k, fn in cols.items()]))
 
 
 XY = "id, seq, R6(x) AS x, R6(y) AS y"
@@ -66,7 +65,7 @@ k AS (SELECT *, least(s/(x1-x0), s/(y1-y0)) AS k FROM r)
 SELECT id, seq, R6(k*x + k*((x1-x0)/2 - x1)) AS x, R6(k*y + k*((y1-y0)/2 - y1)) AS y FROM pts JOIN k USING (id)""")
 def relative_template(spark, d):
     from ..operators.shapes import template_relatively
-    return long(template_relatively(X.outlines(spark, d)), COO)
+    return long(template_relatively(X.outlines(spark, d)), F.col("coo"))
 
 
 coo_query("fun_09", lambda c: O.rotate_about(O.rotate(c, PI / 6), PI / 4, 1.0, 0.5), """WITH @pts,
@@ -82,7 +81,7 @@ SELECT id, seq, R6(x*cos(t) - y*sin(t) + mx) AS x, R6(x*sin(t) + y*cos(t) + my)
 SELECT id, seq, R6(x) AS x, R6(y) AS y, R6(y - avg(y) OVER (PARTITION BY id)) AS y0 FROM r""")
 def aligned(spark, d):
     o = X.outlines(spark, d).select("id", F.arrays_zip(
-        O.align(COO).alias("a"), O.align_x(COO).alias("b")).alias("z"))
+        O.align(F.col("coo")).alias("a"), O.align_x(F.col("coo")).alias("b")).alias("z"))
     return o.select("id", F.posexplode("z").alias("s", "z")).select(
         "id", (F.col("s") + 1).cast("int").alias("seq"), r6(F.col("z.a.x")).alias("x"),
         r6(F.col("z.a.y")).alias("y"), r6(F.col("z.b.y")).alias("y0"))
@@ -115,16 +114,16 @@ R6(x + 0.04*concat('0x', substr(md5(concat_ws(':', 7, id, seq, 'x')), 1, 8))::BI
 R6(y + 0.04*concat('0x', substr(md5(concat_ws(':', 7, id, seq, 'y')), 1, 8))::BIGINT/4294967296.0 - 0.02) AS y FROM pts""")
 def jittered(spark, d):
     from ..operators.shapes import jitter
-    return long(jitter(X.outlines(spark, d), 0.02, seed=7), COO)
+    return long(jitter(X.outlines(spark, d), 0.02, seed=7), F.col("coo"))
 
 
 @query("fun_20", """WITH @ctr, h AS (SELECT 'up' AS side, * FROM ctr WHERE y >= 0 UNION ALL SELECT 'down', * FROM ctr WHERE y <= 0
 UNION ALL SELECT 'right', * FROM ctr WHERE x >= 0 UNION ALL SELECT 'left', * FROM ctr WHERE x <= 0)
 SELECT id, side, row_number() OVER (PARTITION BY id, side ORDER BY seq)::INT AS seq, R6(x) AS x, R6(y) AS y FROM h""")
 def halves(spark, d):
-    o = X.outlines(spark, d).select("id", F.explode(let(O.center(COO), lambda c: F.array(*[
+    o = X.outlines(spark, d).select("id", F.explode(let(O.center(F.col("coo")), lambda c: F.array(*[
         F.struct(F.lit(s).alias("side"), O.half(c, s).alias("coo")) for s in ("up", "down", "left", "right")]))).alias("h"))
-    return long(o.select("id", "h.side", "h.coo"), COO, "id", "side")
+    return long(o.select("id", "h.side", "h.coo"), F.col("coo"), "id", "side")
 
 
 def _ray_sql(angle):
@@ -143,8 +142,8 @@ def rays(spark, d):
     far = 10.0
     import math
     return o.select("id", F.explode(F.array(*[F.struct(
-        r6(F.lit(a)).alias("angle"), O.ray_index(COO, a).alias("idx"),
-        O.segment_index(COO, 0.0, 0.0, far * math.cos(a), far * math.sin(a)).alias("seg_idx"))
+        r6(F.lit(a)).alias("angle"), O.ray_index(F.col("coo"), a).alias("idx"),
+        O.segment_index(F.col("coo"), 0.0, 0.0, far * math.cos(a), far * math.sin(a)).alias("seg_idx"))
         for a in (0.3, 2.0)])).alias("r")).select("id", "r.*")
 
 
@@ -155,7 +154,7 @@ FROM pts p JOIN pts q ON p.id = q.id AND q.seq = p.seq % 64 + 1""")
 
 @query("fun_23", """WITH @pts SELECT id, seq, R6(sqrt(x*x+y*y)) AS modulus, R6(atan2(y,x)) AS argument, R6(x) AS x, R6(y) AS y FROM pts""")
 def polar(spark, d):
-    o = X.outlines(spark, d).select("id", let(O.to_polar(COO), lambda q: B.zip_named(
+    o = X.outlines(spark, d).select("id", let(O.to_polar(F.col("coo")), lambda q: B.zip_named(
         q=q, p=O.from_polar(q))).alias("z"))
     o = o.select("id", F.posexplode("z").alias("s", "z"))
     q, p = F.col("z.q"), F.col("z.p")
@@ -197,7 +196,7 @@ SELECT id, seq, k, abs(t - k*pi()/2) AS alpha FROM ang, range(1, 5) r(k)) c USIN
 GROUP BY c.id, c.seq, c.k, c.alpha) GROUP BY id)"""
 @query("fun_32", f"WITH @pts, {_ANG}, {_RECT} SELECT id, R6(rect) AS rectilinearity FROM rl")
 def rectilinearity(spark, d):
-    o = O.with_rectilinearity(X.outlines(spark, d), COO)
+    o = O.with_rectilinearity(X.outlines(spark, d), F.col("coo"))
     return o.select("id", r6(F.col("rectilinearity")).alias("rectilinearity"))
 
 
@@ -224,7 +223,7 @@ arr_query("win_02", O.steps, "WITH @stp SELECT id, (seq - 1)::INT AS seq, R6(d)
 
 @query("win_03", f"WITH @pts, {_ANG} SELECT id, seq, R6(t) AS v, R6(abs(t)) AS acos FROM ang")
 def vertex_angles(spark, d):
-    z = F.arrays_zip(O.edge_angles(COO).alias("a"), O.edge_angles(COO, "acos").alias("b"))
+    z = F.arrays_zip(O.edge_angles(F.col("coo")).alias("a"), O.edge_angles(F.col("coo"), "acos").alias("b"))
     o = X.outlines(spark, d).select("id", F.posexplode(z).alias("s", "z"))
     return o.select("id", (F.col("s") + 1).cast("int").alias("seq"), r6(F.col("z.a")).alias("v"),
                     r6(F.col("z.b")).alias("acos"))
@@ -239,7 +238,7 @@ SELECT id, seq, R6(q - floor(q/(2*pi()))*2*pi()) AS v FROM u""")
 CASE WHEN (1 + id % 8 - 10 + 64) % 64 = 0 THEN 1 ELSE (1 + id % 8 - 10 + 64) % 64 END::INT AS first_ldk FROM pts""")
 def slid(spark, d):
     o = X.landmarks(X.outlines(spark, d)).select(
-        "id", O.slide(COO, 10).alias("moved"),
+        "id", O.slide(F.col("coo"), 10).alias("moved"),
         F.element_at(O.slide_landmarks(F.col("ldk"), 10, F.size("coo")), 1).alias("first_ldk"))
     return long(o, F.col("moved"), "id", "first_ldk")
 
@@ -251,9 +250,9 @@ f AS (SELECT id, direction, arg_min(seq, (d, seq)) AS s0 FROM c GROUP BY id, dir
 SELECT p.id, direction, ((seq - s0 + 64) % 64 + 1)::INT AS seq, R6(x) AS x, R6(y) AS y FROM pts p JOIN f ON p.id = f.id""")
 def slid_to_direction(spark, d):
     o = X.outlines(spark, d).select("id", F.explode(F.array(*[F.struct(
-        F.lit(s).alias("direction"), O.slide_direction(COO, s).alias("coo"))
+        F.lit(s).alias("direction"), O.slide_direction(F.col("coo"), s).alias("coo"))
         for s in ("up", "down", "left", "right")])).alias("h")).select("id", "h.direction", "h.coo")
-    return long(o, COO, "id", "direction")
+    return long(o, F.col("coo"), "id", "direction")
 
 
 coo_query("win_07", lambda c: O.slide_gap(c, force=True), """WITH @stp, w AS (SELECT id, arg_max(seq, (d, -seq)) AS s0
@@ -292,7 +291,7 @@ FROM cf JOIN range(0, 100) t(k) ON total*k/100 >= lo AND total*k/100 < hi""")
 SELECT id, (i + 1)::INT AS seq, R6(x) AS x, R6(y) AS y, ceil((1 + id % 8)*(24.0/64))::INT AS first_ldk FROM pts JOIN k ON seq = s""")
 def subsampled(spark, d):
     o = X.landmarks(X.outlines(spark, d)).select(
-        "id", O.sample_prop(COO, 0.375).alias("sub"),
+        "id", O.sample_prop(F.col("coo"), 0.375).alias("sub"),
         F.element_at(O.sample_landmarks(F.col("ldk"), 24, F.size("coo")), 1).alias("first_ldk"))
     return long(o, F.col("sub"), "id", "first_ldk")
 
@@ -308,9 +307,9 @@ SELECT vec_id AS id, unnest([1 + vec_id % 8, 17, 33, 49]) AS s, unnest([1, 2, 3,
 SELECT l.id, i::INT AS run, (seq - s + 1)::INT AS seq, R6(x) AS x, R6(y) AS y FROM l JOIN pts p ON p.id = l.id AND p.seq BETWEEN s AND e""")
 def sliced(spark, d):
     o = X.landmarks(X.outlines(spark, d)).select(
-        "id", F.posexplode(O.slice_runs(COO, F.col("ldk"))).alias("r", "coo")).select(
+        "id", F.posexplode(O.slice_runs(F.col("coo"), F.col("ldk"))).alias("r", "coo")).select(
         "id", (F.col("r") + 1).cast("int").alias("run"), "coo")
-    return long(o, COO, "id", "run")
+    return long(o, F.col("coo"), "id", "run")
 
 
 @query("win_14", """WITH @pts SELECT id, 'both' AS part, (seq - 3)::INT AS seq, R6(x) AS x, R6(y) AS y FROM pts WHERE seq BETWEEN 4 AND 61
@@ -318,14 +317,14 @@ UNION ALL SELECT id, 'top', (seq - 3)::INT, R6(x), R6(y) FROM pts WHERE seq > 3
 UNION ALL SELECT id, 'bottom', seq, R6(x), R6(y) FROM pts WHERE seq <= 61""")
 def trimmed(spark, d):
     o = X.outlines(spark, d).select("id", F.explode(F.array(*[
-        F.struct(F.lit(n).alias("part"), fn(COO, 3).alias("coo"))
+        F.struct(F.lit(n).alias("part"), fn(F.col("coo"), 3).alias("coo"))
         for n, fn in (("both", O.trim), ("top", O.trim_top), ("bottom", O.trim_bottom))])).alias("h"))
-    return long(o.select("id", "h.part", "h.coo"), COO, "id", "part")
+    return long(o.select("id", "h.part", "h.coo"), F.col("coo"), "id", "part")
 
 
 @query("win_15", """WITH @pts SELECT id, (65 - seq)::INT AS seq, R6(x) AS x, R6(y) AS y, (65 - (1 + id % 8))::INT AS first_ldk FROM pts""")
 def reversed_order(spark, d):
-    o = X.landmarks(X.outlines(spark, d)).select("id", O.reverse(COO).alias("back"), F.element_at(
+    o = X.landmarks(X.outlines(spark, d)).select("id", O.reverse(F.col("coo")).alias("back"), F.element_at(
         O.reverse_landmarks(F.col("ldk"), F.size("coo")), 1).alias("first_ldk"))
     return long(o, F.col("back"), "id", "first_ldk")
 
@@ -351,11 +350,11 @@ m AS (SELECT id, avg(x) - avg(x2) AS ox, avg(y) - avg(y2) AS oy FROM s GROUP BY
 SELECT id, seq, R6(x2 + ox) AS x, R6(y2 + oy) AS y, 61::INT AS closed_n, false AS was_closed, true AS is_closed,
 60::INT AS reopened_n FROM s JOIN m USING (id)""")
 def closing(spark, d):
-    part = F.slice(COO, 1, 60)
+    part = F.slice(F.col("coo"), 1, 60)
     o = X.outlines(spark, d).select("id", part.alias("coo")).select(
-        "id", O.force_close(COO).alias("forced"), F.size(O.close(COO)).alias("closed_n"),
-        O.is_closed(COO).alias("was_closed"), O.is_closed(O.close(COO)).alias("is_closed"),
-        F.size(O.unclose(O.close(COO))).alias("reopened_n"))
+        "id", O.force_close(F.col("coo")).alias("forced"), F.size(O.close(F.col("coo"))).alias("closed_n"),
+        O.is_closed(F.col("coo")).alias("was_closed"), O.is_closed(O.close(F.col("coo"))).alias("is_closed"),
+        F.size(O.unclose(O.close(F.col("coo")))).alias("reopened_n"))
     return long(o, F.col("forced"), "id", "closed_n", "was_closed", "is_closed", "reopened_n")
 
 
@@ -366,7 +365,7 @@ CASE (id + seq*seq) % 8 WHEN 0 THEN 0 WHEN 4 THEN 0 WHEN 1 THEN 1 WHEN 2 THEN 1
 @query("win_21", f"""WITH @pts, {_PIX} SELECT id, seq, (sum(sx) OVER (PARTITION BY id ORDER BY seq))::INT AS x,
 (sum(sy) OVER (PARTITION BY id ORDER BY seq))::INT AS y, (CASE WHEN seq = 1 THEN NULL ELSE code END)::INT AS code FROM pix""")
 def chain(spark, d):
-    codes = F.transform(COO, lambda p, i: ((F.col("id") + (i + 1) * (i + 1)) % 8).cast("int"))
+    codes = F.transform(F.col("coo"), lambda p, i: ((F.col("id") + (i + 1) * (i + 1)) % 8).cast("int"))
     o = X.outlines(spark, d).select("id", O.chain_decode(codes).alias("pix"))
     o = o.select("id", F.posexplode(B.zip_named(pix=F.col("pix"), code=F.concat(
         F.array(F.lit(None).cast("int")), O.chain_code(F.col("pix"))))).alias("s", "z"))
@@ -380,8 +379,8 @@ def chain(spark, d):
 @query("agg_03", """WITH @ctr SELECT id, R6(max(mx)) AS cx, R6(max(my)) AS cy, R6(avg(sqrt(x*x+y*y))) AS mean_radius FROM ctr GROUP BY id""")
 def radius_metadata(spark, d):
     return X.outlines(spark, d).select(
-        "id", r6(O.centroid(COO)["x"]).alias("cx"), r6(O.centroid(COO)["y"]).alias("cy"),
-        r6(let(O.centroid_dist(COO), lambda v: B.fsum(v) / F.size(v))).alias("mean_radius"))
+        "id", r6(O.centroid(F.col("coo"))["x"]).alias("cx"), r6(O.centroid(F.col("coo"))["y"]).alias("cy"),
+        r6(let(O.centroid_dist(F.col("coo")), lambda v: B.fsum(v) / F.size(v))).alias("mean_radius"))
 
 
 @query("agg_04", """WITH @pts, r AS (SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM pts),
@@ -392,7 +391,7 @@ def set_range(spark, d):
     from ..operators.shapes import set_range as rng
     o = X.outlines(spark, d)
     box = rng(o, enlarge=0.1)
-    return o.select("id", r6(O.diff_range(COO)["x"]).alias("dx"), r6(O.diff_range(COO)["y"]).alias("dy"),
+    return o.select("id", r6(O.diff_range(F.col("coo"))["x"]).alias("dx"), r6(O.diff_range(F.col("coo"))["y"]).alias("dy"),
                     box.scalar().alias("b")).select("id", "dx", "dy", *[
                         r6(F.col("b")[k]).alias(k) for k in ("x0", "x1", "y0", "y1")])
 
@@ -407,8 +406,8 @@ SELECT i, round_even(1 + i*63/16.0, 0)::INT AS s FROM range(0, 16) t(i)) ON seq
 SELECT id, seq, R6(min(d)) AS d, arg_min(s, (d, s))::INT AS pos FROM (SELECT a.id, a.seq, p.seq AS s,
 sqrt((a.x-p.x)**2 + (a.y-p.y)**2) AS d FROM a JOIN pts p ON p.id = a.id) GROUP BY id, seq""")
 def nearest_points(spark, d):
-    other = O.scale_y(O.scale_x(O.sample(COO, 16), 1.1), 1.1)
-    o = O.with_nearest(X.outlines(spark, d), other, COO)
+    other = O.scale_y(O.scale_x(O.sample(F.col("coo"), 16), 1.1), 1.1)
+    o = O.with_nearest(X.outlines(spark, d), other, F.col("coo"))
     o = o.select("id", F.posexplode(B.zip_named(d=F.col("near.d"), i=F.col("near.i"))).alias("s", "n"))
     return o.select("id", (F.col("s") + 1).cast("int").alias("seq"), r6(F.col("n.d")).alias("d"), F.col("n.i").alias("pos"))
 
@@ -435,7 +434,7 @@ SELECT id, seq, R6((ux*(x-ax) + uy*(y-ay))/(ux*ux+uy*uy) - 0.5) AS x, R6((ux*(y-
 FROM pts JOIN l USING (id)""")
 def calliper_aligned(spark, d):
     from ..operators.hull import with_hull
-    return long(with_hull(X.outlines(spark, d)), O.bookstein(COO, F.col("caliper.i"), F.col("caliper.j")))
+    return long(with_hull(X.outlines(spark, d)), O.bookstein(F.col("coo"), F.col("caliper.i"), F.col("caliper.j")))
 
 
 # hull vertices of one outline: no other vertex lies right of the edge to the next
@@ -452,8 +451,8 @@ FROM pe JOIN ar USING (id) JOIN hs USING (id) JOIN hf USING (id)""")
 def hull_ratios(spark, d):
     from ..operators.hull import with_hull
     o = with_hull(X.outlines(spark, d))
-    return o.select("id", r6(O.perimeter(O.extract(COO, F.col("hull"))) / O.perimeter(COO)).alias("convexity"),
-                    r6(O.area(COO) / O.area(O.extract(COO, F.col("hull")))).alias("solidity"))
+    return o.select("id", r6(O.perimeter(O.extract(F.col("coo"), F.col("hull"))) / O.perimeter(F.col("coo"))).alias("convexity"),
+                    r6(O.area(F.col("coo")) / O.area(O.extract(F.col("coo"), F.col("hull")))).alias("solidity"))
 
 
 @query("fun_33", f"""WITH @ctr, @axes, @stp, {_PE}, {_AR}, {_LW}, {_HULL1}, {_ANG}, {_RECT},

@@ -13,7 +13,7 @@ from ..operators import resample as R
 from ..operators import stability as S
 from ..operators import tables as T
 from .morphospace import inverse_sql
-from .outline import COO, long
+from .outline import long
 from .registry import query
 from .tables import RUNS, SUMMARY, draw_runs, hull_sql
 

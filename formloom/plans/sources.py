@@ -12,7 +12,7 @@ from ..session import scratch
 from ..sources import images as I
 from ..sources import model as M
 from ..sources import text as S
-from .outline import COO, long
+from .outline import long
 from .registry import query
 
 DIR_ID = r"id=([^/]+)/"
@@ -23,7 +23,7 @@ def outline_files(spark, d):
     path = scratch(spark, "txt")
     S.write_outlines(X.outlines(spark, d), path)
     o = S.read_outlines(spark, path, DIR_ID)
-    return long(o.select(F.col("id").cast("bigint").alias("id"), "coo"), COO)
+    return long(o.select(F.col("id").cast("bigint").alias("id"), "coo"), F.col("coo"))
 
 
 @query("src_02", """WITH @pts SELECT 's' || id AS specimen, 0.5::DOUBLE AS scale, 'curve' AS part, 1::INT AS part_no, seq, R6(x) AS x, R6(y) AS y FROM pts
@@ -51,7 +51,7 @@ def curve_files(spark, d):
     path = scratch(spark, "curves")
     _locus_lines(X.outlines(spark, d)).write.partitionBy("id").text(path)
     c = S.read_curve_points(spark, path, DIR_ID).withColumn("specimen", F.col("specimen").cast("bigint"))
-    return long(c, COO, "locus", "specimen")
+    return long(c, F.col("coo"), "locus", "specimen")
 
 
 @query("src_04", """WITH @pts SELECT l.id AS specimen, 'lm' || i AS name, R6(x) AS x, R6(y) AS y FROM (
@@ -59,7 +59,7 @@ SELECT vec_id AS id, unnest([1 + vec_id % 8, 17, 33, 49]) AS s, unnest([1, 2, 3,
 JOIN pts p ON p.id = l.id AND p.seq = l.s""")
 def landmark_files(spark, d):
     path = scratch(spark, "marks")
-    o = X.landmarks(X.outlines(spark, d)).select("id", F.posexplode(O.extract(COO, F.col("ldk"))).alias("i", "p"))
+    o = X.landmarks(X.outlines(spark, d)).select("id", F.posexplode(O.extract(F.col("coo"), F.col("ldk"))).alias("i", "p"))
     o.select("id", F.concat_ws(" ", F.concat(F.lit("lm"), (F.col("i") + 1).cast("string")), F.col("p.x").cast("string"),
                                F.col("p.y").cast("string")).alias("value")).write.partitionBy("id").text(path)
     m = S.read_landmark_points(spark, path, DIR_ID)
@@ -71,12 +71,12 @@ def roll_up(spark, d):
     p = X.points(spark, d).select(
         F.col("id").alias("specimen"), F.concat(F.lit("arc"), F.floor((F.col("seq") - 1) / 16).cast("string")).alias("locus"),
         ((F.col("seq") - 1) % 16 + 1).alias("seq"), "x", "y")
-    return long(S.by_locus(p), COO, "locus", "specimen")
+    return long(S.by_locus(p), F.col("coo"), "locus", "specimen")
 
 
 @query("src_06")
 def traced_outlines(spark, d):
-    return long(I.extract_outlines(X.images(spark, d)).withColumnRenamed("img", "id"), COO)
+    return long(I.extract_outlines(X.images(spark, d)).withColumnRenamed("img", "id"), F.col("coo"))
 
 
 @query("src_07", """WITH @pix, f AS (SELECT img, max(CASE WHEN ("row" IN (0, 31) OR col IN (0, 31)) AND v <> 1 THEN 2 ELSE 0 END) AS pad FROM pix GROUP BY img),

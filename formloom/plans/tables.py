@@ -16,7 +16,7 @@ from ..operators import hull as H
 from ..operators import tables as T
 from ..operators.joins import first_match
 from ..sources.text import pc_columns
-from .outline import COO, long
+from .outline import long
 from .registry import query
 
 # ---- filters and validation ---------------------------------------------------
@@ -61,7 +61,7 @@ def composed_group(spark, d):
 
 def _damaged(spark, d):
     """Every 7th outline misses a coordinate, every 11th has two points, every 13th an infinity."""
-    hole = F.transform(COO, lambda p, i: F.struct(
+    hole = F.transform(F.col("coo"), lambda p, i: F.struct(
         F.when((F.col("id") % 7 == 0) & (i == 5), F.lit(None).cast("double"))
         .when((F.col("id") % 13 == 0) & (i == 9), F.lit(float("inf"))).otherwise(p["x"]).alias("x"), p["y"].alias("y")))
     return X.landmarks(X.outlines(spark, d)).withColumn("coo", hole).withColumn(
@@ -75,7 +75,7 @@ def bad_shapes(spark, d):
 
 @query("prj_08", "SELECT vec_id AS id, vec_id % 7 <> 0 AND vec_id % 11 <> 0 AND vec_id % 13 <> 0 AS valid FROM embeddings")
 def valid_imports(spark, d):
-    return _damaged(spark, d).select("id", O.is_valid_import(COO).alias("valid"))
+    return _damaged(spark, d).select("id", O.is_valid_import(F.col("coo")).alias("valid"))
 
 
 @query("prj_09", """SELECT count(*) AS n_shapes, count(*) AS n_coo, true AS same_landmark_count, false AS landmarks_in_range,
@@ -111,7 +111,7 @@ def flattened_classes(spark, d):
 def built_shapes(spark, d):
     p = X.points(spark, d)
     fac = X.table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label")
-    return long(T.build_outlines(p.select("id", "seq", "x", "y"), fac), COO, "id", "label")
+    return long(T.build_outlines(p.select("id", "seq", "x", "y"), fac), F.col("coo"), "id", "label")
 
 
 @query("prj_13", "WITH @coe SELECT id, 'efourier' AS method, true AS norm, 48::INT AS n_coef, R6(sum(value)) AS total FROM coe GROUP BY id")
@@ -129,7 +129,7 @@ def layouts(spark, d):
     o = X.outlines(spark, d)
     back = T.from_wide(T.to_wide(o, 64), 64)
     again = T.build_outlines(X.to_points(back))
-    p = again.select("id", F.posexplode(T.split_lengths(COO, [16, 24, 24])).alias("i", "piece_coo")).select(
+    p = again.select("id", F.posexplode(T.split_lengths(F.col("coo"), [16, 24, 24])).alias("i", "piece_coo")).select(
         "id", (F.col("i") + 1).cast("int").alias("piece"), "piece_coo")
     return long(p, F.col("piece_coo"), "id", "piece")
 
@@ -169,7 +169,7 @@ def rearranged(spark, d):
 k AS (SELECT id, id || ' (' || row_number() OVER (ORDER BY id) || ')' AS label FROM m WHERE id % 7 <> 0 AND id % 11 <> 0 AND id % 13 <> 0)
 SELECT id, k.label, seq, R6(x/m) AS x, R6(y/m) AS y FROM ctr JOIN m USING (id) JOIN k USING (id)""")
 def panel(spark, d):
-    return long(T.panel(_damaged(spark, d)), COO, "id", "label")
+    return long(T.panel(_damaged(spark, d)), F.col("coo"), "id", "label")
 
 
 @query("prj_19", """WITH @scores SELECT 'PC1-PC2' AS pair, "ID", R6("PC1") AS x, R6("PC2") AS y FROM scores
