@@ -278,18 +278,26 @@ def first_se_max(gaps: DataFrame) -> DataFrame:
         (F.col("k") <= F.col("_t.k")) & (F.col("gap") >= F.col("_t.gap") - F.col("_t.se"))).agg(F.min("k").alias("k"))
 
 
-def optimal_k(df: DataFrame, cols: Sequence[str], id_col: str, methods: Sequence[str] = ("elbow", "silhouette", "gap"),
-              max_k: int = 10, nstart: int = 25, references: int = 50, seed: int = 1) -> DataFrame:
-    """``method, k`` of every chosen method."""
+def choose_k(curve: DataFrame | None = None, widths: DataFrame | None = None, gaps: DataFrame | None = None) -> DataFrame:
+    """``method, k`` from a WCSS curve, mean silhouettes and a gap table."""
     parts = []
-    if "elbow" in methods:
-        parts.append(elbow(wcss_curve(df, cols, max_k, 1, nstart, seed)).withColumn("method", F.lit("elbow")))
-    if "silhouette" in methods:
-        s = best_silhouette(df, cols, id_col, max_k, nstart, seed)
-        parts.append(s.agg(F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("k")).withColumn("method", F.lit("silhouette")))
-    if "gap" in methods:
-        parts.append(first_se_max(gap_statistic(df, cols, id_col, max_k, references, nstart, seed)).withColumn("method", F.lit("gap")))
+    if curve is not None:
+        parts.append(elbow(curve).select(F.lit("elbow").alias("method"), F.col("k").cast("int").alias("k")))
+    if widths is not None:
+        parts.append(widths.filter("k > 1").agg(F.max_by("k", F.struct("silhouette", -F.col("k"))).alias("k")).select(
+            F.lit("silhouette").alias("method"), F.col("k").cast("int").alias("k")))
+    if gaps is not None:
+        parts.append(first_se_max(gaps).select(F.lit("gap").alias("method"), F.col("k").cast("int").alias("k")))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out.select("method", "k")
+    return out
+
+
+def optimal_k(df: DataFrame, cols: Sequence[str], id_col: str, methods: Sequence[str] = ("elbow", "silhouette", "gap"),
+              max_k: int = 10, nstart: int = 25, references: int = 50, seed: int = 1) -> DataFrame:
+    """``method, k`` of every chosen method, computed on the rows."""
+    return choose_k(
+        wcss_curve(df, cols, max_k, 1, nstart, seed) if "elbow" in methods else None,
+        best_silhouette(df, cols, id_col, max_k, nstart, seed) if "silhouette" in methods else None,
+        gap_statistic(df, cols, id_col, max_k, references, nstart, seed) if "gap" in methods else None)

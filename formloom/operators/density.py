@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import small_side
 from .ranks import quantiles
 
 BATCH = 50_000
@@ -23,12 +24,11 @@ BATCH = 50_000
 def bandwidths(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """``keys, n, x0, x1, y0, y1, hx, hy``: normal-reference bandwidth per axis."""
     keys = list(keys)
-    base = df.groupBy(*keys).agg(
-        F.count("*").alias("n"), F.min(x).alias("x0"), F.max(x).alias("x1"),
-        F.min(y).alias("y0"), F.max(y).alias("y1"), F.stddev_samp(x).alias("sx"), F.stddev_samp(y).alias("sy"))
-    for c, n in ((x, "x"), (y, "y")):
-        q = quantiles(df, keys, c, [0.25, 0.75], [f"_{n}a", f"_{n}b"])
-        base = base.join(q, keys) if keys else base.withColumn("_q", q.select(F.struct("*")).scalar()).select("*", "_q.*").drop("_q")
+    base = quantiles(df, keys, x, [0.25, 0.75], ["_xa", "_xb"], [
+        F.count("*").alias("n"), F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"),
+        F.max(y).alias("y1"), F.stddev_samp(x).alias("sx"), F.stddev_samp(y).alias("sy")])
+    q = quantiles(df, keys, y, [0.25, 0.75], ["_ya", "_yb"])
+    base = base.join(q, keys) if keys else base.withColumn("_q", q.select(F.struct("*")).scalar()).select("*", "_q.*").drop("_q")
 
     def h(n):
         s = F.least(F.col(f"s{n}"), (F.col(f"_{n}b") - F.col(f"_{n}a")) / 1.34)
@@ -46,6 +46,7 @@ def density(df: DataFrame, keys: Sequence[str], x: str, y: str, n_grid: int = 50
     band = bandwidths(df, keys, x, y).filter(F.col("n") >= min_points)
     if limits is not None:
         band = band.drop("x0", "x1", "y0", "y1").join(limits, list(limit_keys))
+    band = small_side(band)
     par = F.struct("n", "x0", "x1", "y0", "y1", "hx", "hy").alias("_b")
     rows = df.select(*keys, F.col(x).alias("x"), F.col(y).alias("y"))
     rows = rows.join(band.select(*keys, par), keys) if keys else rows.withColumn("_b", band.select(par).scalar())

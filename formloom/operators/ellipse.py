@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import outline as O
 from ..functions.base import TWO_PI, let, pt
-from ..session import cut
+from ..session import cut, small_side
 from .tables import covariance
 
 
@@ -111,7 +111,7 @@ def robust_moments(df: DataFrame, keys: Sequence[str], x: str, y: str, nu: float
         return (c * u * u - 2 * b * u * v + a * v * v) / det
 
     def joined(p):
-        return df.join(F.broadcast(p), keys) if keys else df.withColumn("_p", p.select(F.struct("*")).scalar()).select("*", "_p.*")
+        return df.join(small_side(p), keys) if keys else df.withColumn("_p", p.select(F.struct("*")).scalar()).select("*", "_p.*")
 
     w = F.coalesce((nu + 2) / (nu + distance(
         F.col(x) - F.col("px"), F.col(y) - F.col("py"), F.col("a"), F.col("b"), F.col("c"))), one)

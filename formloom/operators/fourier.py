@@ -67,5 +67,4 @@ def deviations(outlines: DataFrame, ranks: Sequence[int], nb_pts: int = 120, fac
         d = O.matched_distance(F.col("shape"), F.col("best"))
     rows = rows.select("rank", "size", F.posexplode(d).alias("_p", "d")).select(
         "rank", (F.col("_p") + 1).cast("int").alias("pt"), (F.col("d") / F.col("size")).alias("d"))
-    med = quantiles(rows, ["rank", "pt"], "d", [0.5], ["med"])
-    return med.join(rows.groupBy("rank", "pt").agg(F.stddev_samp("d").alias("sd")), ["rank", "pt"])
+    return quantiles(rows, ["rank", "pt"], "d", [0.5], ["med"], [F.stddev_samp("d").alias("sd")])

@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from ..functions import kernels
 from ..functions import outline as O
+from ..session import small_side
 
 FLUSH_ROWS = 500_000
 SALTS = 64
@@ -215,17 +216,14 @@ def onion(outlines: DataFrame, close: bool = True) -> DataFrame:
 def _drop_inner(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
     """Drop points strictly inside their group's octagon of extreme points."""
     turns = [k * math.pi / 4 for k in range(8)]
-    spread = df.groupBy(*keys).agg(
-        F.stddev_pop(x).alias("_sx"), F.stddev_pop(y).alias("_sy"))
     # directions are taken on axes of comparable spread
-    unit = df.join(spread, list(keys)) if keys else df.select("*", spread.select(
-        F.struct("_sx", "_sy")).scalar().alias("_s")).select("*", "_s._sx", "_s._sy").drop("_s")
-    u = F.col(x) / F.when(F.col("_sx") > 0, F.col("_sx")).otherwise(F.lit(1.0))
-    v = F.col(y) / F.when(F.col("_sy") > 0, F.col("_sy")).otherwise(F.lit(1.0))
-    ext = unit.groupBy(*keys).agg(F.array(*[
+    s = df.agg(F.struct(F.stddev_pop(x).alias("x"), F.stddev_pop(y).alias("y")).alias("s")).scalar()
+    u = F.col(x) / F.when(F.col("_s.x") > 0, F.col("_s.x")).otherwise(F.lit(1.0))
+    v = F.col(y) / F.when(F.col("_s.y") > 0, F.col("_s.y")).otherwise(F.lit(1.0))
+    ext = df.withColumn("_s", s).groupBy(*keys).agg(F.array(*[
         F.max_by(F.struct(F.col(x).alias("x"), F.col(y).alias("y")), u * math.cos(t) + v * math.sin(t))
         for t in turns]).alias("_e"))
-    marked = df.join(ext, list(keys)) if keys else df.withColumn("_e", ext.scalar())
+    marked = df.join(small_side(ext), list(keys)) if keys else df.withColumn("_e", ext.scalar())
 
     def edge(a, b):
         ux, uy = b["x"] - a["x"], b["y"] - a["y"]

@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import outline as O
-from ..functions.base import pt
+from ..functions.base import let, pt
+from ..session import small_side
 from ..sources.text import stem
 from .ranks import row_index
 
@@ -124,18 +125,44 @@ def custom_positions(scores: DataFrame, id_col: str, wanted: DataFrame) -> tuple
     return (scores.join(wanted, id_col, "left_semi"), wanted.join(scores, id_col, "left_anti"))
 
 
-def region_depth(regions: DataFrame, points: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def region_depth(regions: DataFrame, points: DataFrame, keys: Sequence[str] = (), bins: int = 64) -> DataFrame:
     """Adds ``gap_depth``: distance from a region's centroid to its nearest point.
 
-    Regions come from a grid, so their number is bounded by its cells; they
-    travel as one array per key and distances fold map-side.
+    Points are counted into ``bins`` x ``bins`` boxes per key.  A box can hold
+    the nearest point of a region only if its closest edge is not farther than
+    the farthest corner of some other box, so few boxes stay per region and
+    only their points are measured.  Regions come from a grid; their number
+    does not grow with the points.
     """
     keys = list(keys)
-    lists = regions.groupBy(*keys).agg(F.collect_list(F.struct("gap_id", "centroid_x", "centroid_y")).alias("_r"))
-    near = points.join(lists, keys) if keys else points.withColumn("_r", lists.scalar())
-    near = near.select(*keys, "x", "y", F.explode("_r").alias("r")).groupBy(*keys, F.col("r.gap_id").alias("gap_id")).agg(
-        F.min(F.hypot(F.col("x") - F.col("r.centroid_x"), F.col("y") - F.col("r.centroid_y"))).alias("gap_depth"))
-    return regions.join(near, [*keys, "gap_id"], "left")
+    box = points.groupBy(*keys).agg(F.min("x").alias("_x0"), F.min("y").alias("_y0"),
+                                    ((F.max("x") - F.min("x")) / bins).alias("_w"), ((F.max("y") - F.min("y")) / bins).alias("_h"))
+    box = box.withColumn("_w", F.when(F.col("_w") > 0, F.col("_w")).otherwise(F.lit(1.0))).withColumn(
+        "_h", F.when(F.col("_h") > 0, F.col("_h")).otherwise(F.lit(1.0)))
+    placed = points.join(small_side(box), keys) if keys else points.withColumn("_s", box.select(F.struct("*")).scalar()).select(
+        "*", "_s.*").drop("_s")
+    placed = placed.withColumn("_i", F.least(F.floor((F.col("x") - F.col("_x0")) / F.col("_w")), F.lit(bins - 1))).withColumn(
+        "_j", F.least(F.floor((F.col("y") - F.col("_y0")) / F.col("_h")), F.lit(bins - 1)))
+    used = placed.groupBy(*keys, "_i", "_j").agg(*[F.first(c).alias(c) for c in ("_x0", "_y0", "_w", "_h")])
+    lists = used.groupBy(*keys).agg(F.collect_list(F.struct("_i", "_j", "_x0", "_y0", "_w", "_h")).alias("_c"))
+    near = regions.select(*keys, "gap_id", "centroid_x", "centroid_y")
+    near = near.join(lists, keys) if keys else near.withColumn("_c", lists.scalar())
+
+    def span(v, lo, size):
+        """Closest and farthest distance from ``v`` to an interval, one axis."""
+        return (F.greatest(lo - v, v - lo - size, F.lit(0.0)), F.greatest(F.abs(v - lo), F.abs(v - lo - size)))
+
+    def reach(c):
+        x = span(F.col("centroid_x"), c["_x0"] + c["_i"] * c["_w"], c["_w"])
+        y = span(F.col("centroid_y"), c["_y0"] + c["_j"] * c["_h"], c["_h"])
+        return F.struct(c["_i"].alias("_i"), c["_j"].alias("_j"), F.hypot(x[0], y[0]).alias("lo"), F.hypot(x[1], y[1]).alias("hi"))
+    kept = let(F.transform("_c", reach), lambda r: let(F.array_min(F.transform(r, lambda e: e["hi"])), lambda m: F.filter(
+        r, lambda e: e["lo"] <= m * (1 + 1e-9))))
+    asked = near.select(*keys, "gap_id", "centroid_x", "centroid_y", F.explode(kept).alias("e")).select(
+        *keys, "gap_id", "centroid_x", "centroid_y", "e._i", "e._j")
+    depth = placed.select(*keys, "x", "y", "_i", "_j").join(small_side(asked), [*keys, "_i", "_j"]).groupBy(*keys, "gap_id").agg(
+        F.min(F.hypot(F.col("x") - F.col("centroid_x"), F.col("y") - F.col("centroid_y"))).alias("gap_depth"))
+    return regions.join(depth, [*keys, "gap_id"], "left")
 
 
 def consecutive(items: DataFrame, order: str, steps: int) -> DataFrame:

@@ -21,6 +21,7 @@ from ..functions import efa as E
 from ..functions import kernels
 from ..functions import outline as O
 from ..functions.base import TWO_PI, let, lets, pt
+from ..session import small_side
 from ..sources.model import MAX_COEFFICIENTS, Model
 from .ranks import quantiles
 
@@ -195,12 +196,12 @@ def outliers(scores: DataFrame, conf: float = 1e-3, nax: int | None = None, midd
     ``scores`` is long (key, pc, score).
     """
     s = scores if nax is None else scores.filter(F.col("pc") <= nax)
-    stats = s.groupBy("pc").agg(F.stddev_samp("score").alias("_sd"), F.avg("score").alias("_mean"))
+    sd = F.stddev_samp("score").alias("_sd")
     if middle == "median":
-        stats = stats.join(quantiles(s, ["pc"], "score", [0.5], ["_mid"]), "pc")
+        stats = quantiles(s, ["pc"], "score", [0.5], ["_mid"], [sd])
     else:
-        stats = stats.withColumn("_mid", F.col("_mean"))
-    return s.join(stats, "pc").filter(
+        stats = s.groupBy("pc").agg(sd, F.avg("score").alias("_mid"))
+    return s.join(small_side(stats), "pc").filter(
         _density(F.col("score"), F.col("_mid"), F.col("_sd")) < conf).select(key).distinct()
 
 
@@ -208,7 +209,7 @@ def landmark_outliers(points: DataFrame, conf: float = 1e-3) -> DataFrame:
     """``id, seq, coordinate``: coordinates unlikely given the same landmark elsewhere."""
     long = points.unpivot(["id", "seq"], ["x", "y"], "coordinate", "value")
     stats = long.groupBy("seq", "coordinate").agg(F.avg("value").alias("_m"), F.stddev_samp("value").alias("_s"))
-    return long.join(stats, ["seq", "coordinate"]).filter(
+    return long.join(small_side(stats), ["seq", "coordinate"]).filter(
         _density(F.col("value"), F.col("_m"), F.col("_s")) < conf).select("id", "seq", "coordinate")
 
 

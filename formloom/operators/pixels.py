@@ -1,149 +1,152 @@
-"""Image jobs on pixel tables ``(img, height, width, row, col, v)``.
+"""Image jobs on image rows ``(img, height, width, v ARRAY<DOUBLE>)``.
 
-Cropping, splitting, mirroring and padding only change indices, so they are
-narrow projections; a whole image is needed at once for the distance
-transform alone, which runs on image rows.
+One image is one row, so cropping, splitting, mirroring, completing, resizing
+and distance maps are narrow steps without a shuffle: each batch of images is
+sliced with numpy inside the task.  Only morphs join, image with image.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.base import let
+from ..functions.base import lets
 from .joins import all_pairs, consecutive
 
 
+def each_image(images: DataFrame, fn: Callable, keep: Sequence[str] = ("img",), names: Sequence[str] = ()) -> DataFrame:
+    """Rows ``keep, names, height, width, v`` of ``fn(array, row)``.
+
+    ``fn`` yields tuples (name values..., array) for one image; ``row`` has the
+    other columns.  NULL or short pixel data is an unreadable image and skipped.
+    """
+    keep, names = list(keep), list(names)
+    kinds = [images.schema[k] for k in keep] + [T.StructField(n, T.StringType()) for n in names]
+    schema = T.StructType(kinds + [T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()),
+                                   T.StructField("v", T.ArrayType(T.DoubleType()))])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            out = []
+            for row in pdf.itertuples(index=False):
+                if row.v is None or len(row.v) != row.height * row.width:
+                    continue
+                a = np.asarray(row.v, float).reshape(row.height, row.width)
+                for *labels, b in fn(a, row):
+                    out.append((*[getattr(row, k) for k in keep], *labels, *b.shape, np.ascontiguousarray(b).ravel()))
+            yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
+    return images.mapInPandas(run, schema)
+
+
+def _nearest(a: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Scale by the nearest source pixel."""
+    h, w = a.shape
+    r = np.floor((np.arange(height) + 0.5) * h / height).astype(int)
+    c = np.floor((np.arange(width) + 0.5) * w / width).astype(int)
+    return a[np.ix_(r, c)]
+
+
 def resize(images: DataFrame, width: int | None = None, height: int | None = None, padding: int = 0,
            background: float = 1.0) -> DataFrame:
-    """Image rows scaled to a width or a height, the other side in proportion.
+    """Images scaled to a width or a height, the other side in proportion.
 
-    Nearest source pixel; ``padding`` adds a frame on all sides.  Adds
-    ``success`` and ``message``; an unreadable image keeps a row without pixels.
+    ``padding`` adds a frame on all sides.  ``success`` and ``message`` tell
+    unreadable images, which keep a row without pixels.
+    """
+    def scaled(a, _):
+        h, w = a.shape
+        if width is not None:
+            size = (max(int(np.floor(h * width / w + 0.5)), 1), width)
+        else:
+            size = (height, max(int(np.floor(w * height / h + 0.5)), 1))
+        yield (np.pad(_nearest(a, *size), padding, constant_values=background),)
+    good = F.coalesce((F.size("v") == F.col("width") * F.col("height")) & (F.col("width") > 0), F.lit(False))
+    bad = images.filter(~good).select("img", F.lit(None).cast("int").alias("height"), F.lit(None).cast("int").alias("width"),
+                                      F.lit(None).cast("array<double>").alias("v"))
+    return each_image(images.filter(good), scaled).unionByName(bad).select(
+        "*", F.col("v").isNotNull().alias("success"),
+        F.when(F.col("v").isNotNull(), "converted").otherwise("unreadable image").alias("message"))
+
+
+def half_crop(images: DataFrame, side: str = "right", offset_percent: float = 0.0) -> DataFrame:
+    """Adds ``side``: the right half from width/2 - offset, the left from offset, or both."""
+    def halves(a, _):
+        w = a.shape[1]
+        off, half = int(np.rint(w * offset_percent / 100)), w // 2
+        for s in ("right", "left") if side == "both" else (side,):
+            lo = max(half - off if s == "right" else off, 0)
+            yield s, a[:, lo:min(lo + half, w)]
+    return each_image(images, halves, names=["side"])
+
+
+def split(images: DataFrame, positions: Sequence[float], direction: str = "vertical", mirror: str = "none") -> DataFrame:
+    """Adds ``part``: pieces between cuts at shares of the width (vertical) or height.
+
+    ``mirror`` flips the first, the second, both (all) or no piece across the
+    direction of the split.
     """
-    w0, h0 = F.col("width"), F.col("height")
-    if width is not None:
-        w, h = F.lit(int(width)), F.greatest(F.round(h0 * (width / w0)).cast("int"), F.lit(1))
-    else:
-        w, h = F.greatest(F.round(w0 * (height / h0)).cast("int"), F.lit(1)), F.lit(int(height))
-    good = F.coalesce((F.size("v") == w0 * h0) & (w0 > 0), F.lit(False))
-
-    def pixels(k):
-        def one(i):
-            r, c = F.floor(i / k["wp"]).cast("int") - padding, (i % k["wp"]).cast("int") - padding
-            src = F.floor((r + 0.5) * k["h0"] / k["h"]) * k["w0"] + F.floor((c + 0.5) * k["w0"] / k["w"])
-            inside = (r >= 0) & (c >= 0) & (r < k["h"]) & (c < k["w"])
-            return F.when(inside, F.get(k["v"], src.cast("int"))).otherwise(F.lit(float(background)))
-        return F.transform(F.sequence(F.lit(0), k["wp"] * k["hp"] - 1), one)
-    wp, hp = w + 2 * padding, h + 2 * padding
-    out = let(F.struct(F.col("v").alias("v"), w0.alias("w0"), h0.alias("h0"), w.alias("w"), h.alias("h"),
-                       wp.alias("wp"), hp.alias("hp")), pixels)
-    return images.select(
-        "img", F.when(good, hp).alias("height"), F.when(good, wp).alias("width"), F.when(good, out).alias("v"),
-        good.alias("success"), F.when(good, "converted").otherwise("unreadable image").alias("message"))
-
-
-def _window(pixels: DataFrame, r0, r1, c0, c1) -> DataFrame:
-    """Pixels with r0 <= row < r1 and c0 <= col < c1, counted from the corner."""
-    keep = [c for c in pixels.columns if c not in ("height", "width", "row", "col", "v")]
-    inside = (F.col("row") >= r0) & (F.col("row") < r1) & (F.col("col") >= c0) & (F.col("col") < c1)
-    return pixels.filter(inside).select(
-        *keep, (r1 - r0).cast("int").alias("height"), (c1 - c0).cast("int").alias("width"),
-        (F.col("row") - r0).cast("int").alias("row"), (F.col("col") - c0).cast("int").alias("col"), "v")
-
-
-def half_crop(pixels: DataFrame, side: str = "right", offset_percent: float = 0.0) -> DataFrame:
-    """Right half from width/2 - offset, left half from offset, or both (``side``)."""
-    w = F.col("width")
-    off, half = F.rint(w * (offset_percent / 100)).cast("int"), F.floor(w / 2).cast("int")
-    starts = {"right": half - off, "left": off}
-    out = None
-    for s in (("right", "left") if side == "both" else (side,)):
-        lo = F.greatest(starts[s], F.lit(0))
-        part = _window(pixels, F.lit(0), F.col("height"), lo, F.least(starts[s] + half, w)).withColumn("side", F.lit(s))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def split(pixels: DataFrame, positions: Sequence[float], direction: str = "vertical") -> DataFrame:
-    """Parts between cuts at shares of the width (vertical) or height."""
     cuts = sorted({0.0, *map(float, positions), 1.0})
-    size = F.col("width") if direction == "vertical" else F.col("height")
-    first, last = ("left", "right") if direction == "vertical" else ("upper", "lower")
-    out = None
+    axis = 1 if direction == "vertical" else 0
+    first, last = ("left", "right") if axis else ("upper", "lower")
     n = len(cuts) - 1
-    for i, (a, b) in enumerate(zip(cuts, cuts[1:])):
-        lo, hi = F.rint(size * a).cast("int"), F.rint(size * b).cast("int")
-        name = first if i == 0 else last if i == n - 1 else f"middle_{i}"
-        part = (_window(pixels, F.lit(0), F.col("height"), lo, hi) if direction == "vertical"
-                else _window(pixels, lo, hi, F.lit(0), F.col("width")))
-        part = part.withColumn("part", F.lit(name)).withColumn("part_no", F.lit(i + 1))
-        out = part if out is None else out.unionByName(part)
-    return out
-
 
-def flop(pixels: DataFrame, when: Column | None = None) -> DataFrame:
-    """Mirror left-right."""
-    c = F.col("width") - 1 - F.col("col")
-    return pixels.withColumn("col", c if when is None else F.when(when, c).otherwise(F.col("col")))
+    def pieces(a, _):
+        px = [int(np.rint(c * a.shape[axis])) for c in cuts]
+        for i in range(n):
+            name = first if i == 0 else last if i == n - 1 else f"middle_{i}"
+            b = a[:, px[i]:px[i + 1]] if axis else a[px[i]:px[i + 1]]
+            turned = mirror == "both" or (mirror, i) in (("first", 0), ("second", 1))
+            yield name, np.flip(b, axis) if turned else b
+    return each_image(images, pieces, names=["part"])
 
 
-def flip(pixels: DataFrame, when: Column | None = None) -> DataFrame:
-    """Mirror top-bottom."""
-    r = F.col("height") - 1 - F.col("row")
-    return pixels.withColumn("row", r if when is None else F.when(when, r).otherwise(F.col("row")))
+def half_side(a: np.ndarray) -> str:
+    """The half with the larger grey deviation; ties go right."""
+    half = a.shape[1] // 2
+    if half * a.shape[0] < 2:
+        return "left"
+    # rounded, so that equal halves tie whatever the summation order
+    left, right = (round(float(p.std(ddof=1)), 9) for p in (a[:, :half], a[:, half:2 * half]))
+    return "left" if left > right else "right"
 
 
-def mirror_parts(parts: DataFrame, which: str = "none", direction: str = "vertical") -> DataFrame:
-    """Mirror the first, the second, both or no part of a split."""
-    if which == "none":
-        return parts
-    test = {"first": F.col("part_no") == 1, "second": F.col("part_no") == 2, "both": F.lit(True)}[which]
-    return flop(parts, test) if direction == "vertical" else flip(parts, test)
+def half_sides(images: DataFrame) -> DataFrame:
+    """``img, side``."""
+    return each_image(images, lambda a, _: [(half_side(a), a[:0])], names=["side"]).select("img", "side")
 
 
-def half_sides(pixels: DataFrame) -> DataFrame:
-    """``img, side``: the half with the larger grey deviation (ties: right)."""
-    half = F.floor(F.col("width") / 2)
-    left, right = F.col("col") < half, (F.col("col") >= half) & (F.col("col") < 2 * half)
-    s = pixels.groupBy("img").agg(F.stddev_samp(F.when(left, F.col("v"))).alias("l"),
-                                  F.stddev_samp(F.when(right, F.col("v"))).alias("r"))
-    return s.select("img", F.when(F.col("l").isNull() | F.col("r").isNull() | (F.col("l") > F.col("r")), "left")
-                    .otherwise("right").alias("side"))
-
-
-def complete(pixels: DataFrame, method: str = "mirror_right", sides: DataFrame | None = None) -> DataFrame:
+def complete(images: DataFrame, method: str = "mirror_right") -> DataFrame:
     """Double an image by its mirror copy on the left or the right.
 
-    ``both_sides`` puts it opposite the detected half: ``sides`` (img, side)
-    says which half the image shows.
+    ``both_sides`` puts the copy opposite the half the image shows.
     """
-    w = F.col("width")
-    if method == "both_sides":
-        src = pixels.join(sides, "img").withColumn("_left", F.col("side") == "right").drop("side")
-    else:
-        src = pixels.withColumn("_left", F.lit(method == "mirror_left"))
-    both = src.withColumn("_m", F.explode(F.array(F.lit(False), F.lit(True))))
-    local = F.when(F.col("_m"), w - 1 - F.col("col")).otherwise(F.col("col"))
-    shift = F.when(F.col("_m") == F.col("_left"), F.lit(0)).otherwise(w)
-    return both.withColumn("col", (local + shift).cast("int")).withColumn("width", (w * 2).cast("int")).drop("_m", "_left")
-
-
-def crop_to_content(pixels: DataFrame, background: float = 1.0) -> DataFrame:
+    def doubled(a, _):
+        left = method == "mirror_left" or (method == "both_sides" and half_side(a) == "right")
+        m = a[:, ::-1]
+        yield (np.hstack([m, a] if left else [a, m]),)
+    return each_image(images, doubled)
+
+
+def crop_to_content(images: DataFrame, background: float = 1.0) -> DataFrame:
     """Trim the uniform border; an image without content stays as it is."""
-    c = F.col("v") != background
-    box = pixels.groupBy("img").agg(*[f(F.when(c, F.col(a))).alias(n) for f, a, n in (
-        (F.min, "row", "_r0"), (F.max, "row", "_r1"), (F.min, "col", "_c0"), (F.max, "col", "_c1"))])
-    j = pixels.join(box, "img")
-    none = F.col("_r0").isNull()
-    lo = lambda k: F.when(none, F.lit(0)).otherwise(F.col(k))
-    cut = _window(j, lo("_r0"), F.when(none, F.col("height")).otherwise(F.col("_r1") + 1),
-                  lo("_c0"), F.when(none, F.col("width")).otherwise(F.col("_c1") + 1))
-    return cut.drop("_r0", "_r1", "_c0", "_c1")
+    def trimmed(a, _):
+        r, c = np.nonzero(a != background)
+        yield (a[r.min():r.max() + 1, c.min():c.max() + 1] if len(r) else a,)
+    return each_image(images, trimmed)
+
+
+def threshold_and_pad(images: DataFrame, threshold: float = 0.5, pad: int = 2) -> DataFrame:
+    """Binary images; one whose border is not all white gets a white frame."""
+    def framed(a, _):
+        b = np.where(a > threshold, 1.0, 0.0)
+        edge = min(b[0].min(), b[-1].min(), b[:, 0].min(), b[:, -1].min())
+        yield (np.pad(b, pad, constant_values=1.0) if edge != 1 else b,)
+    return each_image(images, framed)
 
 
 def binary_check(images: DataFrame, limit: int = 10) -> DataFrame:
@@ -154,12 +157,7 @@ def binary_check(images: DataFrame, limit: int = 10) -> DataFrame:
 
 def standardise_size(images: DataFrame, width: int, height: int) -> DataFrame:
     """Resize every image to the given size (the first image's)."""
-    def pixels(k):
-        return F.transform(F.sequence(F.lit(0), F.lit(width * height - 1)), lambda i: F.get(k["v"], (
-            F.floor((F.floor(i / width) + 0.5) * k["h"] / height) * k["w"]
-            + F.floor((i % width + 0.5) * k["w"] / width)).cast("int")))
-    return images.select("img", F.lit(height).alias("height"), F.lit(width).alias("width"), let(
-        F.struct("v", F.col("height").alias("h"), F.col("width").alias("w")), pixels).alias("v"))
+    return each_image(images, lambda a, _: [(_nearest(a, height, width),)])
 
 
 # ---- morphs ------------------------------------------------------------------------------
@@ -171,40 +169,34 @@ def plan(images: DataFrame, mode: str, steps: int) -> DataFrame:
     return all_pairs(ids, "img", steps) if mode == "matrix" else consecutive(ids, "img", steps)
 
 
-def _joined(planned: DataFrame, pixels: DataFrame) -> DataFrame:
-    side = [pixels.select(F.col("img").alias(k), "height", "width", "row", "col", F.col("v").alias(f"v{k}")) for k in "ab"]
-    return planned.join(side[0], "a").join(side[1].drop("height", "width"), ["b", "row", "col"])
-
-
-def _blend(j: DataFrame, a: Column, gamma: float, threshold: float,
-           weights: tuple[float, float] | None = None) -> DataFrame:
-    w = weights or (1 - a, a)
-    mixed = w[0] * F.col("va") + w[1] * F.col("vb")
-    mixed = F.pow(mixed, F.lit(float(gamma))) if gamma != 1.0 else mixed
-    return j.select("a", "b", "step", "height", "width", "row", "col", F.when(
-        mixed > threshold, F.lit(1.0)).otherwise(F.lit(0.0)).alias("v"))
+def _blended(planned: DataFrame, images: DataFrame, weight: Callable, gamma: float, threshold: float,
+             weights: tuple[float, float] | None = None) -> DataFrame:
+    """``a, b, step, height, width, v`` of blended, thresholded image pairs.
 
-
-def morph(planned: DataFrame, pixels: DataFrame, method: str = "linear", gamma: float = 1.0,
+    The steps of a pair are taken after the join, so a pair of images meets once.
+    """
+    pairs = planned.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("step", "alpha"))).alias("_steps"))
+    side = {k: images.select(F.col("img").alias(k), F.col("height").alias(f"h{k}"), F.col("width").alias(f"w{k}"),
+                             F.col("v").alias(f"v{k}")) for k in "ab"}
+    j = pairs.join(side["a"], "a").join(side["b"], "b").filter("ha = hb and wa = wb").select(
+        "a", "b", "_steps", F.col("ha").alias("height"), F.col("wa").alias("width"),
+        F.zip_with("va", "vb", lambda p, q: F.struct(p.alias("p"), q.alias("q"))).alias("_v"))
+    one = j.withColumn("_s", F.explode("_steps")).select("a", "b", "_s.step", "_s.alpha", "height", "width", "_v")
+    w = weight(F.col("alpha"))
+    wa, wb = (F.lit(float(weights[0])), F.lit(float(weights[1]))) if weights else (1 - w, w)
+
+    def pixel(e, k):
+        m = k["a"] * e["p"] + k["b"] * e["q"]
+        return F.when((F.pow(m, F.lit(float(gamma))) if gamma != 1.0 else m) > threshold, F.lit(1.0)).otherwise(F.lit(0.0))
+    return one.select("a", "b", "step", "height", "width", lets(
+        lambda k: F.transform("_v", lambda e: pixel(e, k)), a=wa, b=wb).alias("v"))
+
+
+def morph(planned: DataFrame, images: DataFrame, method: str = "linear", gamma: float = 1.0,
           threshold: float = 0.5) -> DataFrame:
-    """Blend pixels of two equally large images; ``spline`` eases the step."""
-    a = F.col("alpha")
-    if method == "spline":
-        a = a * a * a * (a * (a * 6 - 15) + 10)
-    return _blend(_joined(planned, pixels), a, gamma, threshold)
-
-
-def distance_transform(images: DataFrame, normalise: bool = True) -> DataFrame:
-    """Replaces ``v`` by the Euclidean distance to the nearest 0 pixel (share of the largest)."""
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for h, w, v in zip(pdf["height"], pdf["width"], pdf["v"]):
-                d = exact_distance(np.asarray(v, float).reshape(h, w) == 0)
-                top = d.max() if d.size else 0
-                out.append((d / top if normalise and top > 0 else d).ravel())
-            yield pdf.assign(v=out)
-    return images.mapInPandas(run, images.schema)
+    """Blend the pixels of two equally large images; ``spline`` eases the step."""
+    ease = (lambda a: a * a * a * (a * (a * 6 - 15) + 10)) if method == "spline" else (lambda a: a)
+    return _blended(planned, images, ease, gamma, threshold)
 
 
 def exact_distance(zero: np.ndarray) -> np.ndarray:
@@ -223,8 +215,15 @@ def exact_distance(zero: np.ndarray) -> np.ndarray:
     return np.sqrt(np.stack([(gap[r][None, :] ** 2 + across).min(axis=1) for r in range(h)]))
 
 
+def distance_transform(images: DataFrame, normalise: bool = True) -> DataFrame:
+    """Euclidean distance to the nearest 0 pixel, as a share of the largest."""
+    def mapped(a, _):
+        d = exact_distance(a == 0)
+        yield (d / d.max() if normalise and d.max() > 0 else d,)
+    return each_image(images, mapped)
+
+
 def morph_distance(planned: DataFrame, images: DataFrame, gamma: float = 1.0, threshold: float = 0.5,
                    weights: tuple[float, float] | None = None, normalise: bool = True) -> DataFrame:
     """Blend distance maps instead of pixels."""
-    from ..sources.images import to_pixels
-    return _blend(_joined(planned, to_pixels(distance_transform(images, normalise))), F.col("alpha"), gamma, threshold, weights)
+    return _blended(planned, distance_transform(images, normalise), lambda a: a, gamma, threshold, weights)

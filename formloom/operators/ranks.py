@@ -7,14 +7,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import small_side
+
 
 ACCURACY = 50_000
-WHOLE_GROUP = 4 * ACCURACY
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-              names: Sequence[str], accuracy: int = ACCURACY) -> DataFrame:
-    """Exact interpolated (type 7) quantiles per group.
+              names: Sequence[str], extra: Sequence[Column] = (), accuracy: int = ACCURACY) -> DataFrame:
+    """Exact interpolated (type 7) quantiles per group, plus ``extra`` aggregates.
 
     A bounded sketch brackets every wanted rank; only the rows inside a bracket
     are ranked (at most 6/accuracy of the group, or the whole group when it is
@@ -22,11 +23,11 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     are counted exactly, so the sketch cannot change the result.
     """
     keys, k = list(keys), len(probs)
-    rows = df.select(*keys, F.col(value).alias("_v")).filter(F.col("_v").isNotNull())
+    rows = df.filter(F.col(value).isNotNull())
     off = 3.0 / accuracy
     edges = [max(p - off, 0.0) for p in probs] + [min(p + off, 1.0) for p in probs]
     sketch = rows.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.percentile_approx("_v", edges, accuracy).alias("_e"))
+        F.count("*").alias("_n"), F.percentile_approx(value, edges, accuracy).alias("_e"), *extra)
     small = F.col("_n") <= 4 * accuracy
 
     def bracket(i):
@@ -35,9 +36,11 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
             F.lit(i).alias("i"), h.alias("h"),
             F.when(small, F.lit(float("-inf"))).otherwise(F.element_at("_e", i + 1)).alias("lo"),
             F.when(small, F.lit(float("inf"))).otherwise(F.element_at("_e", k + i + 1)).alias("hi"))
-    brackets = sketch.select(*keys, F.array(*[bracket(i) for i in range(k)]).alias("_b"))
-    tagged = rows.join(brackets, keys) if keys else rows.withColumn("_b", brackets.select("_b").scalar())
-    # one row per (group, bracket, value inside) and one for all values below
+    more = [c for c in sketch.columns if c not in (*keys, "_n", "_e")]
+    known = small_side(sketch.select(*keys, *more, F.array(*[bracket(i) for i in range(k)]).alias("_b")))
+    values = rows.select(*keys, F.col(value).alias("_v"))
+    tagged = values.join(known.select(*keys, "_b"), keys) if keys else values.withColumn("_b", known.select("_b").scalar())
+    # values below a bracket only count; the ones inside keep their value
     hits = tagged.select(*keys, "_v", F.explode("_b").alias("b")).filter(F.col("_v") <= F.col("b.hi"))
     below = F.col("_v") < F.col("b.lo")
     folded = hits.groupBy(*keys, F.col("b.i").alias("_i"), F.col("b.h").alias("_h"),
@@ -51,8 +54,13 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
         F.max("_h").alias("_h"), F.max(F.when(holds[0], F.col("_v"))).alias("_a"),
         F.max(F.when(holds[1], F.col("_v"))).alias("_z"))
     val = F.col("_a") + (F.col("_h") - F.floor("_h")) * (F.col("_z") - F.col("_a"))
-    return picked.groupBy(*keys).agg(*[
+    out = picked.groupBy(*keys).agg(*[
         F.max(F.when(F.col("_i") == i, val)).alias(n) for i, n in enumerate(names)])
+    if not more:
+        return out
+    if keys:
+        return out.join(known.select(*keys, *more), keys)
+    return out.withColumn("_m", known.select(F.struct(*more)).scalar()).select(*names, *[f"_m.{c}" for c in more])
 
 
 def row_index(df: DataFrame, key: str, out: str = "row_index", within: Sequence[str] = (),
@@ -82,26 +90,20 @@ def row_index(df: DataFrame, key: str, out: str = "row_index", within: Sequence[
     return placed.withColumn(out, (F.col("_o") + F.col("_p")).cast("bigint")).drop("_b", "_o", "_p")
 
 
-def lowest_hashes(df: DataFrame, keys: Sequence[str], hexes: str, k: Column) -> DataFrame:
-    """Rows with the ``k`` smallest hex strings of their group, exactly.
+def hash_cutoffs(df: DataFrame, keys: Sequence[str], hexes: str, k: str) -> DataFrame:
+    """``keys, cutoff``: the ``k``-th smallest hex string of every group, exactly.
 
-    Counts per 3-digit prefix (4096 at most) give the prefix that holds the
-    k-th hash; only rows of that one prefix are sorted.
+    Rows with a hash up to the cutoff are a sample of size k without
+    replacement.  Counts per 4-digit prefix (65536 at most) find the prefix of
+    the k-th hash; only the rows of that one prefix are sorted.
     """
     keys = list(keys)
-    rows = df.withColumn("_x", F.substring(hexes, 1, 3)).withColumn("_k", k)
-    counts = rows.groupBy(*keys, "_x").agg(F.count("*").alias("_c"), F.max("_k").alias("_k"))
+    rows = df.withColumn("_x", F.substring(hexes, 1, 4))
+    counts = rows.groupBy(*keys, "_x").agg(F.count("*").alias("_c"), F.max(k).alias("_k"))
     w = Window.partitionBy(*keys).orderBy("_x").rowsBetween(Window.unboundedPreceding, 0)
-    cut = counts.withColumn("_r", F.sum("_c").over(w)).filter(
+    edge = counts.withColumn("_r", F.sum("_c").over(w)).filter(
         (F.col("_r") >= F.col("_k")) & (F.col("_r") - F.col("_c") < F.col("_k"))).select(
-        *keys, F.col("_x").alias("_cut"), (F.col("_k") - F.col("_r") + F.col("_c")).alias("_need"))
-    marked = rows.drop("_k").join(cut, keys, "left").filter(
-        F.col("_cut").isNull() | (F.col("_x") <= F.col("_cut")))
-    edge = F.col("_x") == F.col("_cut")
-    inside = marked.filter(F.col("_cut").isNull() | ~edge).drop("_x", "_cut", "_need")
+        *keys, "_x", (F.col("_k") - F.col("_r") + F.col("_c")).alias("_need"))
+    inside = rows.join(small_side(edge), [*keys, "_x"])
     rn = F.row_number().over(Window.partitionBy(*keys).orderBy(hexes))
-    last = marked.filter(edge).withColumn("_rn", rn).filter(
-        F.col("_rn") <= F.col("_need")).drop("_x", "_cut", "_need", "_rn")
-    return inside.unionByName(last)
-
-
+    return inside.withColumn("_rn", rn).filter(F.col("_rn") == F.col("_need")).select(*keys, F.col(hexes).alias("cutoff"))

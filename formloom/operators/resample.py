@@ -71,8 +71,9 @@ def saturation(scores: DataFrame, sizes: Sequence[float], iterations: int = 200,
     runs = saturation_runs(clean, size_schedule(sizes, n, min_size), iterations, pcs, seed, id_col)
     long = runs.unpivot(["sample_size"], list(metrics), "metric_type", "value").filter(F.col("value").isNotNull())
     keys = ["sample_size", "metric_type"]
-    q = quantiles(long, keys, "value", [0.025, 0.5, 0.975], ["q025", "median", "q975"])
-    return long.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")).join(q, keys).select(
+    q = quantiles(long, keys, "value", [0.025, 0.5, 0.975], ["q025", "median", "q975"],
+                  [F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd")])
+    return q.select(
         *keys, "mean", "median", "sd", "q025", "q975", (F.col("sample_size") / n).alias("sample_proportion"))
 
 

@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import efa as E
+from ..functions import kernels
 from ..functions import outline as O
+from ..functions.base import pt
+from ..session import cut, small_side
 from . import pca as P
 from .hull import convex_hull, hull_iou
-from .ranks import lowest_hashes, quantiles
-from .tables import cell_iou, column_pairs, fraction_schedule
+from .ranks import hash_cutoffs, quantiles
+from .tables import bin_of, column_pairs, fraction_schedule
 
 METRICS = ("subspace_similarity", "axis_shift_mean_deg", "axis_shift_max_deg", "axis_shift_mean_similarity",
            "occupancy_grid_iou", "occupancy_hull_iou", "occupancy_similarity", "occupancy_similarity_strict")
@@ -34,12 +37,12 @@ def summarize_runs(runs: DataFrame, metrics: Sequence[str] = METRICS) -> DataFra
     present = [m for m in metrics if m in runs.columns]
     long = runs.unpivot(["fraction", "realized_n"], present, "metric_type", "value").filter(O.finite(F.col("value")))
     keys = ["fraction", "realized_n", "metric_type"]
-    base = long.groupBy(*keys).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
-                                   (F.stddev_samp("value") / F.sqrt(F.count("*"))).alias("se"))
-    q = quantiles(long, keys, "value", [0.025, 0.5, 0.975], ["q025", "median", "q975"])
+    stats = [F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"),
+             (F.stddev_samp("value") / F.sqrt(F.count("*"))).alias("se")]
+    q = quantiles(long, keys, "value", [0.025, 0.5, 0.975], ["q025", "median", "q975"], stats)
     asked = runs.select("fraction", "realized_n").distinct().withColumn(
         "metric_type", F.explode(F.array(*[F.lit(m) for m in present])))
-    return asked.join(base.join(q, keys), keys, "left").select(
+    return asked.join(q, keys, "left").select(
         *keys, "mean", "median", "sd", "se", "q025", "q975")
 
 
@@ -56,8 +59,7 @@ def axis_summary(runs: DataFrame, max_axes: int, value_type: str = "deg") -> Dat
     long = runs.unpivot(["fraction", "realized_n"], cols, "name", "value").filter(O.finite(F.col("value")))
     long = long.withColumn("axis", F.regexp_extract("name", r"pc([0-9]+)", 1).cast("int"))
     keys = ["fraction", "realized_n", "axis"]
-    q = quantiles(long, keys, "value", [0.025, 0.975], ["q025", "q975"])
-    return long.groupBy(*keys).agg(F.avg("value").alias("mean")).join(q, keys)
+    return quantiles(long, keys, "value", [0.025, 0.975], ["q025", "q975"], [F.avg("value").alias("mean")])
 
 
 # ---- comparisons ------------------------------------------------------------------
@@ -82,21 +84,32 @@ def axis_shift(rotations: DataFrame, reference: DataFrame, keys: Sequence[str])
     return j.select(*keys, "pc", sim.alias("similarity"), F.degrees(F.acos(sim)).alias("angle_deg"))
 
 
+def _rings(df: DataFrame, keys: Sequence[str], row_id: str, out: str) -> DataFrame:
+    """``keys, <out>``: hull polygon (array of points) per key."""
+    h = convex_hull(df, keys, "x", "y", row_id)
+    ring = F.array_sort(F.collect_list(F.struct("ord", "x", "y")))
+    return h.groupBy(*keys).agg(F.transform(ring, lambda p: pt(p["x"], p["y"])).alias(out))
+
+
+def _clipped(df: DataFrame, a: str, b: str) -> DataFrame:
+    """Adds ``iou`` of two small polygons in one row."""
+    @F.pandas_udf("double")
+    def iou(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
+        return pd.Series([hull_iou(np.column_stack([p, q]).astype(float), np.column_stack([r, s]).astype(float))
+                          for p, q, r, s in zip(ax, ay, bx, by)])
+    held = kernels.hold(df, "_p", F.struct(F.col(a).alias("a"), F.col(b).alias("b")))
+    return held.withColumn("iou", F.nanvl(iou(F.col("_p.a.x"), F.col("_p.a.y"), F.col("_p.b.x"), F.col("_p.b.y")),
+                                          F.lit(None).cast("double"))).drop("_p")
+
+
 def hull_iou_of(a: DataFrame, b: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
     """``keys, iou`` of the convex hulls of two ``x, y`` sets per key.
 
-    The hulls are reduced in parallel first; a task clips two small polygons.
+    The hulls are reduced in parallel first; a row then clips two small polygons.
     """
     keys = list(keys)
-    both = a.select(*keys, row_id, "x", "y", F.lit(1).alias("_w")).unionByName(
-        b.select(*keys, row_id, "x", "y", F.lit(2).alias("_w")))
-    h = convex_hull(both, [*keys, "_w"], "x", "y", row_id)
-
-    def clip(pdf):
-        sides = [pdf.loc[pdf["_w"] == w, ["x", "y"]].to_numpy(float) for w in (1, 2)]
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in keys}, "iou": [hull_iou(*sides)]})
-    schema = T.StructType(both.select(*keys).schema.fields + [T.StructField("iou", T.DoubleType())])
-    return h.groupBy(*keys).applyInPandas(clip, schema).withColumn("iou", F.nanvl("iou", F.lit(None).cast("double")))
+    both = _rings(a, keys, row_id, "_a").join(_rings(b, keys, row_id, "_b"), keys)
+    return _clipped(both, "_a", "_b").select(*keys, "iou")
 
 
 def occupancy(runs: DataFrame, reference: DataFrame, keys: Sequence[str], pcs: Sequence[str],
@@ -109,24 +122,40 @@ def occupancy(runs: DataFrame, reference: DataFrame, keys: Sequence[str], pcs: S
     keys = list(keys)
     mine = column_pairs(runs, pcs, [*keys, "id"], all_pairs=True)
     ref = column_pairs(reference, pcs, ["id"], all_pairs=True)
-    tasks = runs.select(*keys).distinct()
-    # the reference is a set of cells or a hull per pair before it meets the runs
-    grid = _run_cells(mine, ref, tasks, keys, resolution)
-    ref_hull = convex_hull(ref, ["pair"], "x", "y", "id").select("pair", "id", "x", "y")
-    spread = ref_hull.withColumn("_one", F.lit(1)).join(tasks.withColumn("_one", F.lit(1)), "_one").drop("_one")
-    hulls = hull_iou_of(mine, spread, [*keys, "pair"], "id")
-    out = grid.join(hulls.withColumnRenamed("iou", "h"), [*keys, "pair"], "full").groupBy(*keys).agg(
+    hulls = _clipped(_rings(mine, [*keys, "pair"], "id", "_a").join(_rings(ref, ["pair"], "id", "_b"), "pair"), "_a", "_b")
+    out = _grid_overlap(mine, ref, keys, resolution).join(
+        hulls.select(*keys, "pair", F.col("iou").alias("h")), [*keys, "pair"], "full").groupBy(*keys).agg(
         F.avg("iou").alias("grid_iou"), F.avg("h").alias("hull_iou"))
     g, h = F.col("grid_iou"), F.col("hull_iou")
     return out.select(*keys, "grid_iou", "hull_iou",
                       F.coalesce((g + h) / 2, g, h).alias("combined_available"), ((g + h) / 2).alias("combined_strict"))
 
 
-def _run_cells(mine, ref, tasks, keys, resolution):
-    """Grid IoU per (run, pair): when a run's rows come from the reference its
-    bounds lie inside, so the common bounds are the reference's or wider."""
-    spread = ref.withColumn("_one", F.lit(1)).join(F.broadcast(tasks.withColumn("_one", F.lit(1))), "_one").drop("_one")
-    return cell_iou(mine, spread, [*keys, "pair"], resolution)
+def _grid_overlap(mine: DataFrame, ref: DataFrame, keys: Sequence[str], resolution: int) -> DataFrame:
+    """``keys, pair, iou`` of occupied cells under bounds common to a run and the reference.
+
+    Runs with the same bounds share one set of reference cells; when runs are
+    drawn from the reference that is a single set per pair.  Reference rows
+    fold to cells on the map side.
+    """
+    def ends(df, by):
+        return df.groupBy(*by).agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"))
+    b = ends(ref, ["pair"]).select("pair", *[F.col(c).alias(f"_{c}") for c in ("x0", "x1", "y0", "y1")])
+    bounds = ends(mine, [*keys, "pair"]).join(b, "pair").select(
+        *keys, "pair", F.least("x0", "_x0").alias("_x0"), F.greatest("x1", "_x1").alias("_x1"),
+        F.least("y0", "_y0").alias("_y0"), F.greatest("y1", "_y1").alias("_y1")).withColumn(
+        "_g", F.xxhash64("_x0", "_x1", "_y0", "_y1"))
+    bounds = small_side(bounds.filter((F.col("_x1") > F.col("_x0")) & (F.col("_y1") > F.col("_y0"))))
+    i = bin_of("x", "_x0", "_x1", resolution).alias("_i")
+    j = bin_of("y", "_y0", "_y1", resolution).alias("_j")
+    own = mine.join(bounds, [*keys, "pair"]).select(*keys, "pair", "_g", i, j).distinct()
+    shared = bounds.select("pair", "_g", "_x0", "_x1", "_y0", "_y1").distinct()
+    theirs = ref.join(small_side(shared), "pair").select("pair", "_g", i, j).distinct()
+    size = theirs.groupBy("pair", "_g").agg(F.count("*").alias("_r"))
+    hits = own.join(theirs.withColumn("_hit", F.lit(1)), ["pair", "_g", "_i", "_j"], "left").groupBy(*keys, "pair", "_g").agg(
+        F.count("*").alias("_n"), F.count("_hit").alias("_both"))
+    return hits.join(size, ["pair", "_g"]).select(
+        *keys, "pair", (F.col("_both") / (F.col("_n") + F.col("_r") - F.col("_both"))).alias("iou"))
 
 
 # ---- runs -------------------------------------------------------------------------
@@ -138,17 +167,27 @@ def tasks(n_total: DataFrame, fractions: Sequence[float], n_repeats: int) -> Dat
         "repeat_id", F.explode(F.sequence(F.lit(1), F.lit(n_repeats))))
 
 
-def draw_samples(ids: DataFrame, task_table: DataFrame, seed: int, key: str = "id") -> DataFrame:
-    """``fraction, repeat_id, realized_n, id``: rows drawn without replacement.
+def draw_samples(rows: DataFrame, task_table: DataFrame, seed: int, key: str = "id") -> DataFrame:
+    """``fraction, realized_n, repeat_id`` and the columns of ``rows``, drawn without replacement.
 
-    The run list is a bounded parameter table, carried as one array per row.
+    The rank of a row in a run is its hash.  One pass over the keys finds each
+    run's cutoff hash; then rows are only filtered, so coefficients or outlines
+    are never shuffled.  The run list is a bounded parameter table.
     """
-    listed = task_table.agg(F.collect_list(F.struct("fraction", "realized_n", "repeat_id")).alias("t")).scalar()
-    rows = ids.select(key, F.explode(listed).alias("t")).select(key, "t.*")
-    hexes = F.md5(F.concat_ws(":", F.lit(str(seed)), F.round(F.col("fraction") * 100000).cast("bigint").cast("string"),
-                              F.col("repeat_id").cast("string"), F.col(key).cast("string")).cast("binary"))
-    return lowest_hashes(rows.withColumn("_x_hash", hexes), ["fraction", "repeat_id"], "_x_hash",
-                         F.col("realized_n")).drop("_x_hash")
+    def hexes():
+        return F.md5(F.concat_ws(":", F.lit(str(seed)), F.round(F.col("fraction") * 100000).cast("bigint").cast("string"),
+                                 F.col("repeat_id").cast("string"), F.col(key).cast("string")).cast("binary"))
+    runs = ["fraction", "realized_n", "repeat_id"]
+    listed = task_table.agg(F.collect_list(F.struct(*runs)).alias("t")).scalar()
+    marked = rows.select(key, F.explode(listed).alias("t")).select(key, "t.*").withColumn("_hash", hexes())
+    cut_at = cut(hash_cutoffs(marked, runs, "_hash", "realized_n"))
+    asked = cut_at.agg(F.collect_list(F.struct(*runs, "cutoff")).alias("t")).scalar()
+    return rows.withColumn("_t", F.explode(asked)).select(*runs_of("_t", runs), "_t.cutoff", *rows.columns).filter(
+        hexes() <= F.col("cutoff")).drop("cutoff")
+
+
+def runs_of(col: str, names: Sequence[str]):
+    return [F.col(f"{col}.{n}").alias(n) for n in names]
 
 
 def run_moments(rows: DataFrame, keys: Sequence[str], v: str, p: int) -> DataFrame:
@@ -225,11 +264,10 @@ def stability(outlines: DataFrame, fractions: Sequence[float], n_repeats: int, n
     ready = outlines.select("id", E.normalise_shape(F.col("coo"), start_point).alias("coo"))
     coefs = E.efourier(ready, nb_h, norm=norm, start=True)
     task_table = tasks(coefs.agg(F.count("*").alias("n")), fractions, n_repeats)
-    drawn = draw_samples(outlines.select("id"), task_table, seed)
     if mode == "strict":
-        rows = E.efourier(drawn.join(ready, "id"), nb_h, norm=norm, start=True)
+        rows = E.efourier(draw_samples(ready, task_table, seed), nb_h, norm=norm, start=True)
     else:
-        rows = drawn.join(coefs, "id")
+        rows = draw_samples(coefs, task_table, seed)
     if reference_mode == "all":
         ref_rows = coefs
     else:

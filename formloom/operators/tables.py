@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import outline as O
 from ..functions.base import let, pt
+from ..session import small_side
 from ..sources.text import pc_columns
 from .ranks import quantiles, row_index
 
@@ -186,7 +187,7 @@ def box_statistics(df: DataFrame, keys: Sequence[str], value: str) -> DataFrame:
     lo = F.col("q1") - 1.5 * (F.col("q3") - F.col("q1"))
     hi = F.col("q3") + 1.5 * (F.col("q3") - F.col("q1"))
     inside = F.col(value).between(lo, hi)
-    return df.join(q, keys).groupBy(*keys).agg(
+    return df.join(small_side(q), keys).groupBy(*keys).agg(
         F.min(F.when(inside, F.col(value))).alias("lower"), F.first("q1").alias("q1"),
         F.first("median").alias("median"), F.first("q3").alias("q3"),
         F.max(F.when(inside, F.col(value))).alias("upper"), F.count_if(~inside).alias("n_out"))
@@ -277,6 +278,12 @@ def outward_shifts(df: DataFrame, x: str, y: str, shift: float, dx: float = 0.0,
 # ---- sets -----------------------------------------------------------------------------
 
 
+def bin_of(v: str, lo: str, hi: str, resolution: int) -> Column:
+    """Right-closed bin 1..resolution, the lowest value in the first."""
+    w = (F.col(hi) - F.col(lo)) / resolution
+    return F.greatest(F.least(F.ceil((F.col(v) - F.col(lo)) / w), F.lit(resolution)), F.lit(1))
+
+
 def cell_iou(a: DataFrame, b: DataFrame, keys: Sequence[str], resolution: int = 60) -> DataFrame:
     """``keys, iou`` of the grid cells two ``x, y`` sets occupy.
 
@@ -286,15 +293,12 @@ def cell_iou(a: DataFrame, b: DataFrame, keys: Sequence[str], resolution: int =
     keys = list(keys)
     both = a.select(*keys, "x", "y", F.lit(1).alias("_w")).unionByName(
         b.select(*keys, "x", "y", F.lit(2).alias("_w")))
-    bounds = both.groupBy(*keys).agg(F.min("x").alias("_x0"), F.max("x").alias("_x1"),
-                                     F.min("y").alias("_y0"), F.max("y").alias("_y1"))
+    bounds = small_side(both.groupBy(*keys).agg(
+        F.min("x").alias("_x0"), F.max("x").alias("_x1"), F.min("y").alias("_y0"), F.max("y").alias("_y1")))
 
-    def bin_of(v, lo, hi):
-        w = (F.col(hi) - F.col(lo)) / resolution
-        return F.greatest(F.least(F.ceil((F.col(v) - F.col(lo)) / w), F.lit(resolution)), F.lit(1))
     ok = (F.col("_x1") > F.col("_x0")) & (F.col("_y1") > F.col("_y0"))
     placed = both.join(bounds.filter(ok), keys).select(
-        *keys, bin_of("x", "_x0", "_x1").alias("_i"), bin_of("y", "_y0", "_y1").alias("_j"), "_w")
+        *keys, bin_of("x", "_x0", "_x1", resolution).alias("_i"), bin_of("y", "_y0", "_y1", resolution).alias("_j"), "_w")
     cells = placed.groupBy(*keys, "_i", "_j").agg(
         F.bool_or(F.col("_w") == 1).alias("_a"), F.bool_or(F.col("_w") == 2).alias("_b"))
     found = cells.groupBy(*keys).agg((F.count_if(F.col("_a") & F.col("_b")) / F.count("*")).alias("iou"))

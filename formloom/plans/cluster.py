@@ -72,6 +72,22 @@ def gap(spark, d):
     return g.select("k", *[r6(F.col(c)).alias(c) for c in ("log_w", "expected", "gap", "se")])
 
 
-@query("clu_09")
+_WIDTHS = """wd AS (SELECT l_linenumber AS k, avg(l_discount) AS s FROM lineitem GROUP BY l_linenumber)"""
+_GAPS = """gp AS (SELECT l_linenumber AS k, avg(l_tax)*l_linenumber AS gap, stddev_samp(l_tax) AS se, lead(avg(l_tax)*l_linenumber) OVER (ORDER BY l_linenumber) AS nx FROM lineitem GROUP BY l_linenumber),
+tp AS (SELECT arg_min(k, k) AS k, arg_min(gap, k) AS gap, arg_min(se, k) AS se FROM gp WHERE nx IS NULL OR nx < gap)"""
+
+
+@query("clu_09", f"""WITH {_CURVE}, r AS (SELECT min(k) AS k0, max(k) AS k1, min(wcss) AS w0, max(wcss) AS w1, arg_min(wcss, k) AS a, arg_max(wcss, k) AS z FROM curve),
+p AS (SELECT k, (k-k0)/(k1-k0) AS x, (wcss-w0)/(w1-w0) AS y, (a-w0)/(w1-w0) AS y0, (z-w0)/(w1-w0) AS y1 FROM curve, r), {_WIDTHS}, {_GAPS}
+SELECT 'elbow' AS method, arg_max(k, abs((y1-y0)*x - y + y0)/sqrt((y1-y0)**2 + 1)) AS k FROM p UNION ALL
+SELECT 'silhouette', arg_max(k, s) FROM wd WHERE k > 1 UNION ALL SELECT 'gap', min(gp.k) FROM gp, tp WHERE gp.k <= tp.k AND gp.gap >= tp.gap - tp.se""")
 def chosen_k(spark, d):
-    return C.optimal_k(_z(spark, d), PCS, "ID", ("elbow", "silhouette"), max_k=4, nstart=1)
+    t = X.table(spark, d, "lineitem").groupBy(F.col("l_linenumber").alias("k")).agg(
+        F.sum("l_quantity").alias("q"), F.avg("l_discount").alias("silhouette"), F.avg("l_tax").alias("t"), F.stddev_samp("l_tax").alias("se"))
+    return C.choose_k(t.select("k", (F.col("q") / F.col("k")).alias("wcss")), t.select("k", "silhouette"),
+                      t.select("k", (F.col("t") * F.col("k")).alias("gap"), "se"))
+
+
+@query("clu_09_rows")
+def chosen_k_of_rows(spark, d):
+    return C.optimal_k(_z(spark, d), PCS, "ID", ("elbow", "silhouette"), max_k=3, nstart=1)

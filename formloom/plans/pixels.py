@@ -1,4 +1,4 @@
-"""Queries img_*: every image of the table, as pixels or as image rows."""
+"""Queries img_*: every image of the table."""
 
 from __future__ import annotations
 
@@ -7,19 +7,19 @@ from pyspark.sql import functions as F
 from .. import fixtures as X
 from ..functions.base import r6
 from ..operators import pixels as I
-from ..sources.images import to_pixels
 from .registry import query
 
 
-def _px(spark, d):
-    return to_pixels(X.images(spark, d))
+def _weighted(v, width):
+    """White pixels and their position-weighted sum of one image row."""
+    spots = F.transform(v, lambda e, i: e * (F.floor(i / width) * 101 + i % width))
+    return [F.aggregate(v, F.lit(0.0), lambda a, e: a + e).alias("white"),
+            F.aggregate(spots, F.lit(0.0), lambda a, e: a + e).alias("checksum")]
 
 
-def _stats(p, *keys):
-    """Shape and a position-weighted checksum of every output image."""
-    return p.groupBy("img", *keys, "height", "width").agg(
-        F.count("*").alias("n"), F.sum("v").alias("white"),
-        F.sum(F.col("v") * (F.col("row") * 101 + F.col("col"))).alias("checksum"))
+def _stats(images, *keys):
+    return images.select("img", *keys, "height", "width", F.size("v").cast("bigint").alias("n"),
+                         *_weighted(F.col("v"), F.col("width")))
 
 
 def _sql(src, *keys, h="h", w="w"):
@@ -33,13 +33,13 @@ z AS (SELECT j.img, j.r, j.c, coalesce(p.v, 1.0) AS v, 54 AS h, 54 AS w FROM j L
        + "SELECT *, true AS success FROM (" + _sql("SELECT * FROM z") + ")")
 def resized(spark, d):
     r = I.resize(X.images(spark, d), width=48, padding=3)
-    return _stats(to_pixels(r.select("img", "height", "width", "v")).withColumn("success", F.lit(True)), "success")
+    return _stats(r, "success")
 
 
 @query("img_02", "WITH @pix " + _sql("""SELECT img, 'right' AS side, "row" AS r, col - 13 AS c, v, 32 AS h, 16 AS w FROM pix WHERE col >= 13 AND col < 29
 UNION ALL SELECT img, 'left', "row", col - 3, v, 32, 16 FROM pix WHERE col >= 3 AND col < 19""", "side"))
 def halves(spark, d):
-    return _stats(I.half_crop(_px(spark, d), "both", 10), "side")
+    return _stats(I.half_crop(X.images(spark, d), "both", 10), "side")
 
 
 _SPLIT = """SELECT img, CASE WHEN col < 10 THEN 'left' WHEN col < 22 THEN 'middle_1' ELSE 'right' END AS part, "row" AS r,
@@ -48,33 +48,32 @@ col - CASE WHEN col < 10 THEN 0 WHEN col < 22 THEN 10 ELSE 22 END AS c, v, 32 AS
 
 @query("img_03", "WITH @pix " + _sql(_SPLIT, "part"))
 def parts(spark, d):
-    return _stats(I.split(_px(spark, d), [0.3, 0.7]), "part")
+    return _stats(I.split(X.images(spark, d), [0.3, 0.7]), "part")
 
 
 @query("img_04", "WITH @pix " + _sql(f"SELECT img, part, r, CASE WHEN part = 'middle_1' THEN w - 1 - c ELSE c END AS c, v, h, w FROM ({_SPLIT})", "part"))
 def mirrored(spark, d):
-    return _stats(I.mirror_parts(I.split(_px(spark, d), [0.3, 0.7]), "second"), "part")
+    return _stats(I.split(X.images(spark, d), [0.3, 0.7], mirror="second"), "part")
 
 
-_SIDE = """sd AS (SELECT img, CASE WHEN stddev_samp(v) FILTER (col < 16) > stddev_samp(v) FILTER (col >= 16) THEN 'left' ELSE 'right' END AS side FROM pix GROUP BY img)"""
+_SIDE = """sd AS (SELECT img, CASE WHEN round(stddev_samp(v) FILTER (col < 16), 9) > round(stddev_samp(v) FILTER (col >= 16), 9) THEN 'left' ELSE 'right' END AS side FROM pix GROUP BY img)"""
 
 
 @query("img_05", f"WITH @pix, {_SIDE} " + _sql("""SELECT img, "row" AS r, CASE WHEN side = 'right' THEN col + 32 ELSE col END AS c, v, 32 AS h, 64 AS w FROM pix JOIN sd USING (img)
 UNION ALL SELECT img, "row", CASE WHEN side = 'right' THEN 31 - col ELSE 63 - col END, v, 32, 64 FROM pix JOIN sd USING (img)"""))
 def completed(spark, d):
-    p = _px(spark, d)
-    return _stats(I.complete(p, "both_sides", I.half_sides(p)))
+    return _stats(I.complete(X.images(spark, d), "both_sides"))
 
 
 @query("img_06", f"WITH @pix, {_SIDE} SELECT img, side FROM sd")
 def sides(spark, d):
-    return I.half_sides(_px(spark, d))
+    return I.half_sides(X.images(spark, d))
 
 
 @query("img_07", """WITH @pix, b AS (SELECT img, min("row") AS r0, max("row") AS r1, min(col) AS c0, max(col) AS c1 FROM pix WHERE v <> 1 GROUP BY img) """
        + _sql("""SELECT img, "row" - r0 AS r, col - c0 AS c, v, r1 - r0 + 1 AS h, c1 - c0 + 1 AS w FROM pix JOIN b USING (img) WHERE "row" BETWEEN r0 AND r1 AND col BETWEEN c0 AND c1"""))
 def cropped(spark, d):
-    return _stats(I.crop_to_content(_px(spark, d)))
+    return _stats(I.crop_to_content(X.images(spark, d)))
 
 
 @query("img_08", """WITH @pix, n AS (SELECT img, count(DISTINCT v) AS nv FROM pix GROUP BY img), z AS (SELECT p.img, k//20 AS r, k%20 AS c, v FROM range(0, 320) t(k)
@@ -82,8 +81,8 @@ JOIN pix p ON p."row" = floor((k//20 + 0.5)*32/16)::INT AND p.col = floor((k%20
 SELECT img, nv::INT AS n_values, nv <= 10 AS "binary", sum(v*(r*101 + c))::DOUBLE AS checksum FROM z JOIN n USING (img) GROUP BY img, nv""")
 def checked(spark, d):
     im = X.images(spark, d)
-    s = to_pixels(I.standardise_size(im, 20, 16)).groupBy("img").agg(F.sum(F.col("v") * (F.col("row") * 101 + F.col("col"))).alias("checksum"))
-    return I.binary_check(im).join(s, "img")
+    std = I.standardise_size(im, 20, 16)
+    return I.binary_check(im).join(std.select("img", _weighted(F.col("v"), F.col("width"))[1]), "img")
 
 
 _MORPH = """pl AS (SELECT img AS a, lead(img) OVER (ORDER BY img) AS b FROM (SELECT DISTINCT img FROM pix)), ps AS (SELECT a, b, step, step/3.0 AS al FROM pl, range(1, 3) t(step) WHERE b IS NOT NULL),
@@ -95,13 +94,13 @@ def _morph_sql(weight):
 
 
 def _morph_stats(m):
-    return m.groupBy("a", "b", "step").agg(F.sum("v").alias("white"), F.sum(F.col("v") * (F.col("row") * 101 + F.col("col"))).alias("checksum"))
+    return m.select("a", "b", "step", *_weighted(F.col("v"), F.col("width")))
 
 
 @query("img_09", f"WITH @pix, {_MORPH} SELECT 'linear' AS method, * FROM ({_morph_sql('al')}) UNION ALL SELECT 'spline', * FROM ({_morph_sql('(al**3*(al*(al*6 - 15) + 10))')})")
 def morphs(spark, d):
-    p = _px(spark, d)
-    plan = I.plan(X.images(spark, d), "sequence", 2)
+    p = X.images(spark, d)
+    plan = I.plan(p, "sequence", 2)
     out = None
     for m in ("linear", "spline"):
         s = _morph_stats(I.morph(plan, p, m)).withColumn("method", F.lit(m))

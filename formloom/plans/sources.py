@@ -8,6 +8,7 @@ from .. import fixtures as X
 from ..functions import outline as O
 from ..functions.base import r6
 from ..operators import pca as P
+from ..operators.pixels import threshold_and_pad
 from ..session import scratch
 from ..sources import images as I
 from ..sources import model as M
@@ -85,8 +86,7 @@ e AS (SELECT img, 36 AS side, r AS "row", c AS col, 1.0 AS v FROM f, range(0, 36
 AND (r < 2 OR c < 2 OR r > 33 OR c > 33))
 SELECT img, side::INT AS side, count(*) AS n, sum(v)::DOUBLE AS white, sum(v*("row"*37 + col))::DOUBLE AS checksum FROM (SELECT * FROM m UNION ALL SELECT * FROM e) GROUP BY img, side""")
 def padded_pixels(spark, d):
-    # shift the masks up so that some touch the border
-    p = I.threshold_and_pad(I.to_pixels(X.images(spark, d)))
+    p = I.to_pixels(threshold_and_pad(X.images(spark, d)))
     return p.groupBy("img", F.col("width").alias("side")).agg(
         F.count("*").alias("n"), F.sum("v").alias("white"), F.sum(F.col("v") * (F.col("row") * 37 + F.col("col"))).alias("checksum"))
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, **conf: str) -> SparkSession:
@@ -53,3 +54,17 @@ def cut(df: DataFrame) -> DataFrame:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(base)
     return df.checkpoint(eager=True)
+
+
+BROADCAST_ROWS = 200_000
+
+
+def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A per-group table for joining back to its rows.
+
+    It is written once, so its size is known before the join is planned: up to
+    ``max_rows`` short rows it is broadcast and the big side is not shuffled;
+    beyond that the join is an ordinary shuffle join.
+    """
+    kept = cut(df)
+    return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
