@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.base import TWO_PI, pt
+from .session import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,7 +18,7 @@ def outlines(spark: SparkSession, sf_dir: str) -> DataFrame:
     coo = F.transform("embedding", lambda e, i: pt(
         (1 + e.cast("double")) * F.cos(F.lit(TWO_PI) * i / 64),
         (1 + e.cast("double")) * F.sin(F.lit(TWO_PI) * i / 64)))
-    return table(spark, sf_dir, "embeddings").select(
+    return spread(table(spark, sf_dir, "embeddings")).select(
         F.col("vec_id").alias("id"), "label", coo.alias("coo"))
 
 
@@ -41,7 +42,7 @@ def to_points(o: DataFrame, *keep: str) -> DataFrame:
 
 def scores(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
     """``ID, PC1..PCk, group``."""
-    return table(spark, sf_dir, "embeddings").select(
+    return spread(table(spark, sf_dir, "embeddings")).select(
         F.col("vec_id").alias("ID"),
         *[F.get("embedding", F.lit(i)).cast("double").alias(f"PC{i + 1}") for i in range(k)],
         F.col("label").alias("group"))
@@ -49,7 +50,7 @@ def scores(spark: SparkSession, sf_dir: str, k: int = 8) -> DataFrame:
 
 def cloud(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``id, x, y, g`` from lineitem."""
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_returnflag")).select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
         F.col("l_quantity").alias("x"), F.col("l_extendedprice").alias("y"),
         F.col("l_returnflag").alias("g"))
@@ -79,7 +80,7 @@ def images(spark: SparkSession, sf_dir: str) -> DataFrame:
         turn = F.pmod(F.atan2(dy, dx), F.lit(TWO_PI)) / F.lit(TWO_PI) * 64
         r = 1 + F.get("embedding", (F.floor(turn + 0.5) % 64).cast("int")).cast("double")
         return F.when(F.hypot(dx, dy) <= 10 * r, F.lit(0.0)).otherwise(F.lit(1.0))
-    return table(spark, sf_dir, "embeddings").select(
+    return spread(table(spark, sf_dir, "embeddings")).select(
         F.col("vec_id").alias("img"), F.lit(SIDE).alias("height"), F.lit(SIDE).alias("width"),
         F.transform(F.sequence(F.lit(0), F.lit(SIDE * SIDE - 1)), pixel).alias("v"))
 

@@ -25,7 +25,13 @@ def index(n, *parts) -> Column:
     return (F.floor(uniform(*parts) * n) + 1).cast("bigint")
 
 
-def normal(*parts) -> Column:
-    """Standard normal by Box-Muller on two draws (0 is moved off the log)."""
-    u1, u2 = uniform(*parts, "u"), uniform(*parts, "v")
-    return F.sqrt(F.lit(-2.0) * F.log(F.greatest(u1, F.lit(2.0 ** -33)))) * F.cos(F.lit(TWO_PI) * u2)
+def segments(*parts) -> list[Column]:
+    """Four uniform draws from the four quarters of one md5."""
+    cols = [(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts]
+    h = F.md5(F.concat_ws(":", *cols).cast("binary"))
+    return [F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("double") / F.lit(4294967296.0) for i in range(4)]
+
+
+def box_muller(u: Column, v: Column) -> Column:
+    """Standard normal from two uniform draws (0 is moved off the logarithm)."""
+    return F.sqrt(F.lit(-2.0) * F.log(F.greatest(u, F.lit(2.0 ** -33)))) * F.cos(F.lit(TWO_PI) * v)

@@ -154,3 +154,17 @@ def affine(v: Column, pre: np.ndarray, matrix: np.ndarray, post: np.ndarray) ->
                 out[i] = r[j]
         return pd.Series(out)
     return run(v)
+
+
+def equal_steps(x: Column, y: Column, n: Column) -> Column:
+    """Struct ``x, y``: ``n`` points equally spaced along a closed polyline."""
+    @F.pandas_udf("x array<double>, y array<double>")
+    def run(x: pd.Series, y: pd.Series, n: pd.Series) -> pd.DataFrame:
+        out = []
+        for u, v, k in zip(x, y, n):
+            u, v = np.asarray(u, float), np.asarray(v, float)
+            at = np.concatenate([[0.0], np.cumsum(np.hypot(np.diff(u), np.diff(v)))])
+            want = at[-1] * np.arange(k) / k
+            out.append((np.interp(want, at, u), np.interp(want, at, v)))
+        return pd.DataFrame(out, columns=["x", "y"])
+    return run(x, y, n)

@@ -450,42 +450,11 @@ def interpolate_between(p: Column, q: Column, r) -> Column:
     return pt(p["x"] + dbl(r) * (q["x"] - p["x"]), p["y"] + dbl(r) * (q["y"] - p["y"]))
 
 
-def interpolate(coo: Column, n) -> Column:
-    """``n`` points at equal spacing along the closed perimeter.
-
-    The cumulative perimeter is sorted, so the segment of a target is found by
-    folding over the segments once instead of searching per target.
-    """
-    def body(k):
-        total = F.element_at(k["cum"], -1)
-
-        def target(i):
-            return total * i / lit(n)
-
-        segs = F.sequence(F.lit(1), F.size(k["c"]) - 1)
-
-        def on_segment(s):
-            lo, hi = F.element_at(k["cum"], s), F.element_at(k["cum"], s + 1)
-            return lets(lambda g: F.when(g["b"] < g["a"], F.expr("cast(array() as array<int>)")).otherwise(
-                F.sequence(g["a"], F.greatest(g["a"], g["b"]))),
-                a=_first_at_or_after(lo, total, n), b=_first_at_or_after(hi, total, n) - 1)
-        hit = F.flatten(F.transform(segs, lambda s: let(s, lambda q: F.transform(
-            on_segment(q), lambda i: F.struct(q.alias("s"), i.alias("i"))))))
-        return F.transform(hit, lambda h: interpolate_between(
-            F.element_at(k["c"], h["s"]), F.element_at(k["c"], h["s"] + 1),
-            (target(h["i"]) - F.element_at(k["cum"], h["s"]))
-            / (F.element_at(k["cum"], h["s"] + 1) - F.element_at(k["cum"], h["s"]))))
-    return let(close(coo), lambda c: lets(body, c=c, cum=cumulative_perimeter(c)))
-
-
-def _first_at_or_after(pos: Column, total: Column, n) -> Column:
-    """Smallest i in 0..n with total*i/n >= pos, decided on the exact target."""
-    def pick(g):
-        # the rounded guess can be off by one: test the neighbours explicitly
-        return F.array_min(F.filter(
-            F.transform(F.array(g - 1, g, g + 1), lambda i: F.least(F.greatest(i, F.lit(0)), lit(n).cast("int"))),
-            lambda i: (total * i / lit(n) >= pos) | (i == lit(n).cast("int"))))
-    return lets(lambda k: let(F.ceil(k["p"] * lit(n) / k["t"]).cast("int"), pick), p=pos, t=total)
+def with_interpolated(df: DataFrame, coo: Column, n, out: str = "resampled") -> DataFrame:
+    """Adds ``n`` points at equal spacing along the closed perimeter."""
+    held = kernels.hold(df, "_c", F.struct(close(coo).alias("c"), lit(n).cast("int").alias("n")))
+    xy = kernels.equal_steps(F.col("_c.c.x"), F.col("_c.c.y"), F.col("_c.n"))
+    return held.withColumn("_k", xy).withColumn(out, F.zip_with("_k.x", "_k.y", pt)).drop("_c", "_k")
 
 
 def sample(coo: Column, n) -> Column:

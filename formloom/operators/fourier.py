@@ -56,9 +56,8 @@ def deviations(outlines: DataFrame, ranks: Sequence[int], nb_pts: int = 120, fac
     """
     coo = F.col("coo")
     points = F.floor(F.size(coo) * F.lit(float(factor))).cast("int") if method == "nearest" else nb_pts
-    ef = E.with_forward(outlines, max(ranks)).select(
-        "ef", O.interpolate(coo, points).alias("best"),
-        (O.centroid_size(coo) if norm_size else F.lit(1.0)).alias("size"))
+    ef = O.with_interpolated(E.with_forward(outlines, max(ranks)), coo, points, "best").select(
+        "ef", "best", (O.centroid_size(coo) if norm_size else F.lit(1.0)).alias("size"))
     rows = _at_ranks(ef, ranks, nb_pts)
     if method == "nearest":
         rows = O.with_nearest(rows, F.col("shape"), F.col("best"))

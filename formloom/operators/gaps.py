@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 from ..functions import draws
 from ..functions import outline as O
 from ..functions.base import let, pt
+from ..session import cut, small_side
 from .density import density
 from .filters import keep_groups, require_rows
 from .hull import convex_hull
@@ -114,14 +115,18 @@ def perturb(points: DataFrame, uncertainty: float, seed: int, keys: Sequence[str
     Gaussian noise has 95 % of its mass within the uncertainty; uniform noise
     fills it.
     """
-    def noise(axis):
-        parts = [F.lit(seed), *[F.col(k) for k in keys], F.lit(axis)]
-        u = uncertainty * F.col(f"span_{axis}")
+    # one hash per point: two draws for each axis
+    u = draws.segments(F.lit(seed), *[F.col(k) for k in keys])
+    names = [f"_u{i}" for i in range(4)]
+    drawn = points.select("*", *[c.alias(n) for c, n in zip(u, names)])
+
+    def moved(axis, a, b):
+        reach = uncertainty * F.col(f"span_{axis}")
         if kind == "uniform":
-            return (draws.uniform(*parts) * 2 - 1) * u
-        return draws.normal(*parts) * (u / 1.96)
-    return points.withColumn("_nx", F.col("x") + noise("x")).withColumn("_ny", F.col("y") + noise("y")).withColumn(
-        "x", F.col("_nx")).withColumn("y", F.col("_ny")).drop("_nx", "_ny")
+            return F.col(axis) + (F.col(a) * 2 - 1) * reach
+        return F.col(axis) + draws.box_muller(F.col(a), F.col(b)) * (reach / 1.96)
+    rest = [c for c in points.columns if c not in ("x", "y")]
+    return drawn.select(*rest, moved("x", "_u0", "_u1").alias("x"), moved("y", "_u2", "_u3").alias("y"))
 
 
 def covered_cells(points: DataFrame, keys: Sequence[str], resolution: int, radius: float = 1.5) -> DataFrame:
@@ -164,7 +169,18 @@ def monte_carlo_counts(points: DataFrame, grid_table: DataFrame, resolution: int
         "m", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
     moved = perturb(rows, uncertainty, seed, ["pair", "m", "id"], kind)
     occ = _occupied(moved, ["pair", "m"], grid_table, resolution, radius, method)
-    return occ.groupBy("pair", "ix", "iy").agg(F.count_distinct("m").alias("hits"))
+    return count_draws(occ, ["pair", "ix", "iy"])
+
+
+def count_draws(occ: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, hits``: distinct draws ``m``, as bits of 64-bit words.
+
+    A word folds on the map side to one number per cell, so neither the shuffle
+    nor the hash table grows with points or draws of the same word.
+    """
+    words = occ.groupBy(*keys, F.floor(F.col("m") / 64).alias("_w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(m % 64 as int))")).alias("_bits"))
+    return words.groupBy(*keys).agg(F.sum(F.bit_count("_bits")).cast("bigint").alias("hits"))
 
 
 def bootstrap_points(points: DataFrame, iterations: int, size: float | None, seed: int) -> DataFrame:
@@ -173,7 +189,8 @@ def bootstrap_points(points: DataFrame, iterations: int, size: float | None, see
     ids = points.select("id").distinct()
     n = ids.count()
     m = ids.limit(1).select(boot_size(F.lit(n), size).alias("m")).first().m
-    indexed = points.join(row_index(ids, "id", "idx"), "id")
+    # written once: the draws stream past it (broadcast when it is small)
+    indexed = small_side(points.join(row_index(ids, "id", "idx"), "id"))
     pairs = points.select("pair").distinct()
     base = spark.range(iterations * m).select((F.floor(F.col("id") / m) + 1).alias("b"), (F.col("id") % m + 1).alias("k"))
     listed = pairs.agg(F.collect_list("pair").alias("p")).scalar()
@@ -190,7 +207,7 @@ def bootstrap_counts(points: DataFrame, grid_table: DataFrame, resolution: int,
         "m", F.explode(F.sequence(F.lit(1), F.lit(mc))))
     moved = perturb(rows, uncertainty, seed, ["pair", "b", "m", "k"], kind)
     occ = _occupied(moved, ["pair", "b", "m"], grid_table, resolution, radius, method)
-    return occ.groupBy("pair", "ix", "iy", "b").agg(F.count_distinct("m").alias("hits"))
+    return count_draws(occ, ["pair", "ix", "iy", "b"])
 
 
 def gap_probability(domain: DataFrame, counts: DataFrame, total: int) -> DataFrame:
@@ -309,7 +326,9 @@ def detect_gaps(scores: DataFrame, pcs: Sequence[str], uncertainty: float = 0.05
         m2 = mc_bootstrap or mc
         counts = bootstrap_counts(points, g, resolution, bootstraps, m2, size=size, **common)
         certain = gap_probability(domain, counts, bootstraps * m2).withColumn("certainty", F.col("probability"))
-    regions = label_regions(certain, thresholds)
+    # one row per cell: written once, since regions, metrics and maps all read it
+    certain = cut(certain)
+    regions = cut(label_regions(certain, thresholds))
     metrics = region_metrics(regions, g, points)
     return {"grid": g, "certainty": certain, "regions": regions, "summary": summary(metrics)}
 

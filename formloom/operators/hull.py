@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -220,23 +221,28 @@ def _drop_inner(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
     s = df.agg(F.struct(F.stddev_pop(x).alias("x"), F.stddev_pop(y).alias("y")).alias("s")).scalar()
     u = F.col(x) / F.when(F.col("_s.x") > 0, F.col("_s.x")).otherwise(F.lit(1.0))
     v = F.col(y) / F.when(F.col("_s.y") > 0, F.col("_s.y")).otherwise(F.lit(1.0))
-    ext = df.withColumn("_s", s).groupBy(*keys).agg(F.array(*[
-        F.max_by(F.struct(F.col(x).alias("x"), F.col(y).alias("y")), u * math.cos(t) + v * math.sin(t))
-        for t in turns]).alias("_e"))
-    marked = df.join(small_side(ext), list(keys)) if keys else df.withColumn("_e", ext.scalar())
-
-    def edge(a, b):
-        ux, uy = b["x"] - a["x"], b["y"] - a["y"]
-        px, py = F.col(x) - a["x"], F.col(y) - a["y"]
+    ends = [f for i, t in enumerate(turns) for f in (
+        F.max_by(x, u * math.cos(t) + v * math.sin(t)).alias(f"_x{i}"),
+        F.max_by(y, u * math.cos(t) + v * math.sin(t)).alias(f"_y{i}"))]
+    ext = df.withColumn("_s", s).groupBy(*keys).agg(*ends)
+    names = [f"_{c}{i}" for i in range(8) for c in "xy"]
+    if keys:
+        marked = df.join(small_side(ext), list(keys))
+    else:
+        marked = df.withColumn("_e", ext.select(F.struct(*names).alias("e")).scalar()).select("*", "_e.*").drop("_e")
+
+    def edge(i):
+        ax, ay, bx, by = (F.col(f"_{c}{j}") for j in (i, (i + 1) % 8) for c in "xy")
+        ux, uy, px, py = bx - ax, by - ay, F.col(x) - ax, F.col(y) - ay
         tol = 1e-12 * (F.abs(ux) + F.abs(uy)) * (F.abs(px) + F.abs(py))
-        return F.struct(((ux != 0) | (uy != 0)).alias("real"), (ux * py - uy * px > tol).alias("left"))
-    inner = O.let(F.zip_with("_e", O.with_next(F.col("_e")), edge), lambda es: (
-        (F.size(F.filter(es, lambda e: e["real"])) >= 3)
-        & F.forall(es, lambda e: ~e["real"] | e["left"])))
-    return marked.filter(~inner).drop("_e")
+        return (ux != 0) | (uy != 0), ux * py - uy * px > tol
+    sides = [edge(i) for i in range(8)]
+    real = sum((F.when(r, F.lit(1)).otherwise(F.lit(0)) for r, _ in sides), F.lit(0)) >= 3
+    inner = reduce(lambda p, q: p & q, [~r | left for r, left in sides], real)
+    return marked.filter(~inner).drop(*names)
 
 
-def _partial(keys, cols, reduce):
+def _partial(keys, cols, shrink):
     """mapInPandas body keeping one reduced frame per group, flushed by size."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -245,8 +251,8 @@ def _partial(keys, cols, reduce):
         def squeeze():
             whole = pd.concat(held, ignore_index=True)
             if not keys:
-                return reduce(whole)
-            return pd.concat([reduce(g) for _, g in whole.groupby(list(keys), dropna=False, sort=False)],
+                return shrink(whole)
+            return pd.concat([shrink(g) for _, g in whole.groupby(list(keys), dropna=False, sort=False)],
                              ignore_index=True)
         for pdf in batches:
             if len(pdf):
@@ -264,11 +270,11 @@ def _partial(keys, cols, reduce):
     return run
 
 
-def _staged(df, keys, cols, reduce, final, final_schema):
+def _staged(df, keys, cols, shrink, final, final_schema):
     schema = df.select(*cols).schema
-    part = df.select(*cols).mapInPandas(_partial(keys, cols, reduce), schema)
+    part = df.select(*cols).mapInPandas(_partial(keys, cols, shrink), schema)
     salted = part.withColumn("_salt", F.pmod(F.xxhash64(*cols), F.lit(SALTS)).cast("int"))
-    mid = salted.groupBy(*keys, "_salt").applyInPandas(lambda pdf: reduce(pdf)[cols], schema)
+    mid = salted.groupBy(*keys, "_salt").applyInPandas(lambda pdf: shrink(pdf)[cols], schema)
     return mid.groupBy(*keys).applyInPandas(final, final_schema)
 
 
@@ -282,18 +288,18 @@ def convex_hull(df: DataFrame, keys: Sequence[str], x: str, y: str, row_id: str)
     cols = [*keys, row_id, x, y]
     kept = _drop_inner(df.select(*cols), keys, x, y)
 
-    def reduce(pdf):
+    def shrink(pdf):
         pdf = pdf.sort_values(row_id, kind="stable").drop_duplicates([x, y])
         return pdf.iloc[hull_order(pdf[x].to_numpy(float), pdf[y].to_numpy(float))]
 
     def final(pdf):
-        out = reduce(pdf)[cols]
+        out = shrink(pdf)[cols]
         out = pd.concat([out.iloc[:1], out.iloc[:0:-1]])
         out.insert(len(keys), "ord", np.arange(1, len(out) + 1, dtype=np.int32))
         return out
     fields = kept.select(*keys).schema.fields + [T.StructField("ord", T.IntegerType())] + \
         kept.select(row_id, x, y).schema.fields
-    return _staged(kept, keys, cols, reduce, final, T.StructType(fields))
+    return _staged(kept, keys, cols, shrink, final, T.StructType(fields))
 
 
 def hull_area(df: DataFrame, keys: Sequence[str], x: str, y: str, row_id: str) -> DataFrame:
@@ -309,7 +315,7 @@ def hull_volume(df: DataFrame, keys: Sequence[str], axes: Sequence[str]) -> Data
     keys, axes = list(keys), list(axes)
     cols = [*keys, *axes]
 
-    def reduce(pdf):
+    def shrink(pdf):
         pdf = pdf.drop_duplicates(axes)
         p = pdf[axes].to_numpy(float)
         faces = hull_facets(p)
@@ -323,4 +329,4 @@ def hull_volume(df: DataFrame, keys: Sequence[str], axes: Sequence[str]) -> Data
         return pd.DataFrame({**head, "volume": [facet_volume(p, faces)], "facets": [len(faces)]})
     out = T.StructType(df.select(*keys).schema.fields + [
         T.StructField("volume", T.DoubleType()), T.StructField("facets", T.IntegerType())])
-    return _staged(df.select(*cols).dropna(), keys, cols, reduce, final, out).filter(F.col("facets") > 0)
+    return _staged(df.select(*cols).dropna(), keys, cols, shrink, final, out).filter(F.col("facets") > 0)

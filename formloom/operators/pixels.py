@@ -15,7 +15,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.base import lets
 from .joins import all_pairs, consecutive
 
 
@@ -178,18 +177,20 @@ def _blended(planned: DataFrame, images: DataFrame, weight: Callable, gamma: flo
     pairs = planned.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("step", "alpha"))).alias("_steps"))
     side = {k: images.select(F.col("img").alias(k), F.col("height").alias(f"h{k}"), F.col("width").alias(f"w{k}"),
                              F.col("v").alias(f"v{k}")) for k in "ab"}
-    j = pairs.join(side["a"], "a").join(side["b"], "b").filter("ha = hb and wa = wb").select(
-        "a", "b", "_steps", F.col("ha").alias("height"), F.col("wa").alias("width"),
-        F.zip_with("va", "vb", lambda p, q: F.struct(p.alias("p"), q.alias("q"))).alias("_v"))
-    one = j.withColumn("_s", F.explode("_steps")).select("a", "b", "_s.step", "_s.alpha", "height", "width", "_v")
-    w = weight(F.col("alpha"))
+    j = pairs.join(side["a"], "a").join(side["b"], "b").filter("ha = hb and wa = wb")
+
+    @F.pandas_udf("array<double>")
+    def mix(p: pd.Series, q: pd.Series, u: pd.Series, w: pd.Series) -> pd.Series:
+        out = []
+        for m, n, s, t in zip(p, q, u, w):
+            z = s * np.asarray(m, float) + t * np.asarray(n, float)
+            out.append(((z ** gamma if gamma != 1.0 else z) > threshold).astype(float))
+        return pd.Series(out)
+    one = j.withColumn("_s", F.explode("_steps"))
+    w = weight(F.col("_s.alpha"))
     wa, wb = (F.lit(float(weights[0])), F.lit(float(weights[1]))) if weights else (1 - w, w)
-
-    def pixel(e, k):
-        m = k["a"] * e["p"] + k["b"] * e["q"]
-        return F.when((F.pow(m, F.lit(float(gamma))) if gamma != 1.0 else m) > threshold, F.lit(1.0)).otherwise(F.lit(0.0))
-    return one.select("a", "b", "step", "height", "width", lets(
-        lambda k: F.transform("_v", lambda e: pixel(e, k)), a=wa, b=wb).alias("v"))
+    return one.select("a", "b", "_s.step", F.col("ha").alias("height"), F.col("wa").alias("width"),
+                      mix("va", "vb", wa, wb).alias("v"))
 
 
 def morph(planned: DataFrame, images: DataFrame, method: str = "linear", gamma: float = 1.0,

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import draws
+from ..session import small_side
 from ..sources.text import pc_columns
 from .ranks import quantiles, row_index
 
@@ -44,11 +45,11 @@ def saturation_runs(scores: DataFrame, sizes: Sequence[int], iterations: int, pc
                     id_col: str = "ID") -> DataFrame:
     """``sample_size, b, total_variance, cumulative_variance, pc1_variance``.
 
-    Draws meet the rows by index; every run folds to one minimum and maximum
-    per axis on the map side.
+    Draws meet the rows by index (broadcast when few); every run folds to one
+    minimum and maximum per axis on the map side.
     """
     spark = scores.sparkSession
-    indexed = row_index(scores.select(id_col, *pcs), id_col, "idx").drop(id_col)
+    indexed = small_side(row_index(scores.select(id_col, *pcs), id_col, "idx").drop(id_col))
     n = scores.count()
     parts = [bootstrap(spark, n, iterations, s, seed, s).select(F.lit(s).alias("sample_size"), "b", "idx") for s in sizes]
     draw = parts[0]

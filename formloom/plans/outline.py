@@ -282,9 +282,11 @@ cd AS (SELECT *, lead(x) OVER w AS nx, lead(y) OVER w AS ny FROM cl WINDOW w AS
 ce AS (SELECT *, sqrt((nx-x)**2 + (ny-y)**2) AS d FROM cd WHERE seq < 65),
 cf AS (SELECT *, sum(d) OVER (PARTITION BY id ORDER BY seq) - d AS lo, sum(d) OVER (PARTITION BY id ORDER BY seq) AS hi,
 sum(d) OVER (PARTITION BY id) AS total FROM ce)"""
-coo_query("win_10", lambda c: O.interpolate(c, 100), f"""WITH @pts, {_RESAMPLE}
+@query("win_10", f"""WITH @pts, {_RESAMPLE}
 SELECT id, (k + 1)::INT AS seq, R6(x + (total*k/100 - lo)/d*(nx-x)) AS x, R6(y + (total*k/100 - lo)/d*(ny-y)) AS y
 FROM cf JOIN range(0, 100) t(k) ON total*k/100 >= lo AND total*k/100 < hi""")
+def resampled(spark, d):
+    return long(O.with_interpolated(X.outlines(spark, d), F.col("coo"), 100), F.col("resampled"))
 
 
 @query("win_11", """WITH @pts, k AS (SELECT i, round_even(1 + i*63/24.0, 0)::INT AS s FROM range(0, 24) t(i))

@@ -226,12 +226,17 @@ def full_domain(spark, d):
         (F.min, "x", "x0"), (F.max, "x", "x1"), (F.min, "y", "y0"), (F.max, "y", "y1"))])
 
 
+def _seg(keys, i):
+    return f"(concat('0x', substr(md5(concat_ws(':', {', '.join(keys)})), {1 + 8 * i}, 8))::BIGINT/4294967296.0)"
+
+
 def _normal(keys, axis):
-    return (f"sqrt(-2*ln(greatest({u_sql(*keys, repr(axis), repr('u'))}, pow(2.0, -33))))*cos(2*pi()*{u_sql(*keys, repr(axis), repr('v'))})")
+    i = 0 if axis == "x" else 2
+    return f"sqrt(-2*ln(greatest({_seg(keys, i)}, pow(2.0, -33))))*cos(2*pi()*{_seg(keys, i + 1)})"
 
 
 @query("res_19", f"""WITH {GRID} SELECT pair, id, R6(x + {_normal(['4', 'pair', 'id'], 'x')}*0.05*sx/1.96) AS gx, R6(y + {_normal(['4', 'pair', 'id'], 'y')}*0.05*sy/1.96) AS gy,
-R6(x + ({u_sql('4', 'pair', 'id', "'x'")}*2 - 1)*0.05*sx) AS ux, R6(y + ({u_sql('4', 'pair', 'id', "'y'")}*2 - 1)*0.05*sy) AS uy FROM pp JOIN gr USING (pair)""")
+R6(x + ({_seg(['4', 'pair', 'id'], 0)}*2 - 1)*0.05*sx) AS ux, R6(y + ({_seg(['4', 'pair', 'id'], 2)}*2 - 1)*0.05*sy) AS uy FROM pp JOIN gr USING (pair)""")
 def perturbed(spark, d):
     p = _points(spark, d)
     rows = p.join(G.grid(p, RES, 0.05), "pair")

@@ -48,12 +48,13 @@ def scratch(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint."""
-    spark = df.sparkSession
-    base = shared_dir(spark)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(base)
-    return df.checkpoint(eager=True)
+    """Cut the lineage: write the table once to the shared folder and read it back.
+
+    (``checkpoint()`` would compute the rows a second time to write them.)
+    """
+    path = scratch(df.sparkSession, "cut")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 BROADCAST_ROWS = 200_000
@@ -68,3 +69,13 @@ def small_side(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """
     kept = cut(df)
     return F.broadcast(kept) if kept.limit(max_rows + 1).count() <= max_rows else kept
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for work that is heavy per row when the input has few splits.
+
+    An input with at least as many splits as cores (any large one) is left as
+    it is.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
