@@ -48,6 +48,15 @@ def double_array(values) -> Column:
     return F.expr("array(" + ",".join(f"{float(v)!r}D" for v in values) + ")")
 
 
+def div(a: Column, b: Column) -> Column:
+    """``a / b`` as in IEEE arithmetic: a zero divisor gives an infinity or NaN.
+
+    Plain division raises in ANSI mode, so one degenerate row would end a job.
+    """
+    a, b = a.cast("double"), b.cast("double")
+    return F.coalesce(F.try_divide(a, b), F.when(b == 0, a * F.lit(float("inf"))))
+
+
 def fmod(v: Column, m) -> Column:
     """Floor modulo for a positive modulus."""
     return F.pmod(v, dbl(m))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from . import kernels
 from . import outline as O
-from .base import PI, dbl, fmod, fsum, let, lets, lit, pt
+from .base import PI, dbl, div, fmod, fsum, let, lets, lit, pt
 
 LETTERS = ("a", "b", "c", "d")
 
@@ -51,7 +51,7 @@ def normalise(ef: Column, start: bool = False) -> Column:
         h1 = F.element_at(k["harm"], 1)
         a, b, c, d = (h1[x] for x in LETTERS)
         raw = F.lit(0.5) * fmod(F.atan(
-            2 * (a * b + c * d) / (a * a + c * c - b * b - d * d)), PI)
+            div(2 * (a * b + c * d), a * a + c * c - b * b - d * d)), PI)
 
         def settle(t):
             v1 = F.pow(a * F.cos(t) + b * F.sin(t), F.lit(2.0)) + F.pow(c * F.cos(t) + d * F.sin(t), F.lit(2.0))
@@ -64,9 +64,9 @@ def normalise(ef: Column, start: bool = False) -> Column:
             return F.struct(
                 F.hypot(aa, cc).alias("size"),
                 (F.lit(0.0) if start else t).alias("theta"),
-                (fmod(F.atan(cc / aa), PI) + F.when(aa < 0, F.lit(PI)).otherwise(F.lit(0.0))).alias("psi"))
+                (fmod(F.atan(div(cc, aa)), PI) + F.when(aa < 0, F.lit(PI)).otherwise(F.lit(0.0))).alias("psi"))
         return let(let(let(raw, settle), shape), lambda s: F.struct(
-            _turn(k["harm"], s["theta"], s["psi"], F.lit(1.0) / s["size"], 1).alias("harm"),
+            _turn(k["harm"], s["theta"], s["psi"], div(F.lit(1.0), s["size"]), 1).alias("harm"),
             s["size"].alias("size"), s["theta"].alias("theta"), s["psi"].alias("psi"),
             k["ao"].alias("ao"), k["co"].alias("co")))
     return let(ef, body)
@@ -132,7 +132,7 @@ def cumulative_power(harm: Column, drop: int = 1) -> Column:
     """Cumulative percentage of power from harmonic ``drop + 1`` on."""
     def body(p):
         return let(fsum(p), lambda total: F.transform(
-            F.slice(O.running(p), F.lit(2), F.size(p)), lambda c: c / total * 100))
+            F.slice(O.running(p), F.lit(2), F.size(p)), lambda c: div(c, total) * 100))
     return let(power(harm), lambda p: let(
         F.slice(p, F.lit(drop + 1), F.greatest(F.size(p) - drop, F.lit(0))), body))
 
@@ -141,7 +141,7 @@ def symmetry(coe: Column) -> Column:
     """Struct ``AD, BC, amp, sym``."""
     return let(from_coe(coe), lambda g: lets(lambda k: F.struct(
         k["ad"].alias("AD"), k["bc"].alias("BC"), (k["ad"] + k["bc"]).alias("amp"),
-        (k["ad"] / (k["ad"] + k["bc"])).alias("sym")),
+        div(k["ad"], k["ad"] + k["bc"]).alias("sym")),
         ad=fsum(g, lambda m: F.abs(m["a"]) + F.abs(m["d"])),
         bc=fsum(g, lambda m: F.abs(m["b"]) + F.abs(m["c"]))))
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels
-from .base import PI, TWO_PI, dbl, fmod, fsum, let, lets, lit, pt, zip_named
+from .base import PI, TWO_PI, dbl, div, fmod, fsum, let, lets, lit, pt, zip_named
 
 # ---- access -------------------------------------------------------------
 
@@ -106,8 +106,8 @@ def scale(coo: Column, size=None) -> Column:
     """Divide centred coordinates by ``size`` (default centroid size)."""
     def body(c, m):
         s = centroid_size(c) if size is None else dbl(size)
-        return let(s, lambda k: move(c, lambda p: ((p["x"] - m["x"]) / k + m["x"],
-                                                   (p["y"] - m["y"]) / k + m["y"])))
+        return let(s, lambda k: move(c, lambda p: (div(p["x"] - m["x"], k) + m["x"],
+                                                   div(p["y"] - m["y"], k) + m["y"])))
     return _about(coo, body)
 
 
@@ -148,7 +148,7 @@ def template(coo: Column, size=1.0) -> Column:
                 dx=b["k"] * ((b["b"]["x1"] - b["b"]["x0"]) / 2 - b["b"]["x1"]),
                 dy=b["k"] * ((b["b"]["y1"] - b["b"]["y0"]) / 2 - b["b"]["y1"])),
             b=bounding_box(c),
-            k=let(diff_range(c), lambda d: F.least(dbl(size) / d["x"], dbl(size) / d["y"])))
+            k=let(diff_range(c), lambda d: F.least(div(dbl(size), d["x"]), div(dbl(size), d["y"]))))
     return let(coo, body)
 
 
@@ -187,9 +187,9 @@ def moments(coo: Column) -> Column:
     def body(c, m):
         d = F.size(c) - 1
         return F.struct(
-            (fsum(c, lambda p: F.pow(p["x"] - m["x"], F.lit(2.0))) / d).alias("sxx"),
-            (fsum(c, lambda p: (p["x"] - m["x"]) * (p["y"] - m["y"])) / d).alias("sxy"),
-            (fsum(c, lambda p: F.pow(p["y"] - m["y"], F.lit(2.0))) / d).alias("syy"))
+            div(fsum(c, lambda p: F.pow(p["x"] - m["x"], F.lit(2.0))), d).alias("sxx"),
+            div(fsum(c, lambda p: (p["x"] - m["x"]) * (p["y"] - m["y"])), d).alias("sxy"),
+            div(fsum(c, lambda p: F.pow(p["y"] - m["y"], F.lit(2.0))), d).alias("syy"))
     return _about(coo, body)
 
 
@@ -241,8 +241,8 @@ def bookstein(coo: Column, l1=1, l2=2) -> Column:
     def body(k):
         ux, uy = k["q"]["x"] - k["p"]["x"], k["q"]["y"] - k["p"]["y"]
         return lets(lambda g: move(k["c"], lambda p: (
-            (g["ux"] * (p["x"] - k["p"]["x"]) + g["uy"] * (p["y"] - k["p"]["y"])) / g["d2"] - 0.5,
-            (g["ux"] * (p["y"] - k["p"]["y"]) - g["uy"] * (p["x"] - k["p"]["x"])) / g["d2"])),
+            div(g["ux"] * (p["x"] - k["p"]["x"]) + g["uy"] * (p["y"] - k["p"]["y"]), g["d2"]) - 0.5,
+            div(g["ux"] * (p["y"] - k["p"]["y"]) - g["uy"] * (p["x"] - k["p"]["x"]), g["d2"]))),
             ux=ux, uy=uy, d2=ux * ux + uy * uy)
     return let(coo, lambda c: lets(body, c=c, p=at(c, l1), q=at(c, l2)))
 
@@ -255,8 +255,8 @@ def baseline(coo: Column, l1, l2, t1=(-0.5, 0.0), t2=(0.5, 0.0)) -> Column:
     def body(k):
         rx, ry = k["q"]["x"] - k["p"]["x"], k["q"]["y"] - k["p"]["y"]
         return lets(lambda g: translate(
-            rotate(move(k["c"], lambda p: ((p["x"] - k["p"]["x"]) / g["r"],
-                                           (p["y"] - k["p"]["y"]) / g["r"])), g["t"]),
+            rotate(move(k["c"], lambda p: (div(p["x"] - k["p"]["x"], g["r"]),
+                                           div(p["y"] - k["p"]["y"], g["r"]))), g["t"]),
             t1[0], t1[1]),
             r=F.hypot(rx, ry) / F.lit(tlen),
             t=F.atan2(F.lit(float(ty)), F.lit(float(tx))) - F.atan2(ry, rx))
@@ -380,7 +380,7 @@ def edge_angles(coo: Column, method: str = "atan2") -> Column:
         ax, ay = q["x"] - p["x"], q["y"] - p["y"]
         bx, by = r["x"] - p["x"], r["y"] - p["y"]
         if method == "acos":
-            return F.acos((ax * bx + ay * by) / (F.hypot(ax, ay) * F.hypot(bx, by)))
+            return F.acos(div(ax * bx + ay * by, F.hypot(ax, ay) * F.hypot(bx, by)))
         return _turn(ax, ay, bx, by)
     return let(unclose(coo), lambda c: _zip3(c, with_prev(c), with_next(c), angle))
 
@@ -437,7 +437,7 @@ def force_close(coo: Column) -> Column:
     def body(c):
         a, z = at(c, 1), at(c, -1)
         spread = lets(lambda d: F.transform(c, lambda p, i: pt(
-            p["x"] + d["x"] * i / (F.size(c) - 1), p["y"] + d["y"] * i / (F.size(c) - 1))),
+            p["x"] + d["x"] * i / F.greatest(F.size(c) - 1, F.lit(1)), p["y"] + d["y"] * i / F.greatest(F.size(c) - 1, F.lit(1)))),
             x=a["x"] - z["x"], y=a["y"] - z["y"])
         moved = let(spread, lambda s: lets(lambda k: translate(
             s, k["m"]["x"] - k["n"]["x"], k["m"]["y"] - k["n"]["y"]),
@@ -522,13 +522,13 @@ def likely_clockwise(coo: Column) -> Column:
     def body(a):
         d = F.zip_with(F.slice(a, F.lit(2), F.size(a) - 1), F.slice(a, F.lit(1), F.size(a) - 1),
                        lambda u, v: F.when(u - v > 0, F.lit(1.0)).otherwise(F.lit(0.0)))
-        return let(d, lambda e: fsum(e) / F.size(e)) < 0.5
+        return let(d, lambda e: div(fsum(e), F.size(e))) < 0.5
     return let(F.transform(coo, lambda p: F.atan2(p["y"], p["x"])), body)
 
 
 def sd_of(values: Column) -> Column:
     return let(values, lambda v: let(fsum(v) / F.size(v), lambda m: F.sqrt(
-        fsum(v, lambda e: F.pow(e - m, F.lit(2.0))) / (F.size(v) - 1))))
+        fsum(v, lambda e: F.pow(e - m, F.lit(2.0))) / F.when(F.size(v) > 1, F.size(v) - 1))))
 
 
 def radius_angles(coo: Column) -> Column:
@@ -537,7 +537,7 @@ def radius_angles(coo: Column) -> Column:
         def ang(p, q):
             ax, ay, bx, by = p["x"] - m["x"], p["y"] - m["y"], q["x"] - m["x"], q["y"] - m["y"]
             return F.acos(F.least(F.greatest(
-                (ax * bx + ay * by) / (F.hypot(ax, ay) * F.hypot(bx, by)), F.lit(-1.0)), F.lit(1.0)))
+                div(ax * bx + ay * by, F.hypot(ax, ay) * F.hypot(bx, by)), F.lit(-1.0)), F.lit(1.0)))
         return F.zip_with(c, with_next(c), ang)
     return _about(coo, body)
 
@@ -587,8 +587,8 @@ def ray_index(coo: Column, angle) -> Column:
         def cross(p, q, u):
             ex, ey = q["x"] - p["x"], q["y"] - p["y"]
             den = u["x"] * ey - u["y"] * ex
-            t = (p["x"] * ey - p["y"] * ex) / den
-            s = (p["x"] * u["y"] - p["y"] * u["x"]) / den
+            t = div(p["x"] * ey - p["y"] * ex, den)
+            s = div(p["x"] * u["y"] - p["y"] * u["x"], den)
             return F.when((den != 0) & (t >= 0) & (s >= 0) & (s <= 1), t)
         u = pt(F.cos(dbl(angle)), F.sin(dbl(angle)))
         far = let(u, lambda v: let(F.array_max(F.zip_with(
@@ -607,8 +607,8 @@ def segment_index(coo: Column, x0, y0, x1, y1, centred: bool = True) -> Column:
             ex, ey = q["x"] - p["x"], q["y"] - p["y"]
             den = dx * ey - dy * ex
             px, py = p["x"] - dbl(x0), p["y"] - dbl(y0)
-            t = (px * ey - py * ex) / den
-            s = (px * dy - py * dx) / den
+            t = div(px * ey - py * ex, den)
+            s = div(px * dy - py * dx, den)
             return F.when((den != 0) & (t >= 0) & (t <= 1) & (s >= 0) & (s <= 1), t)
         end = let(F.array_max(F.zip_with(c, with_next(c), cross)), lambda t: pt(
             dbl(x0) + dx * t, dbl(y0) + dy * t))
@@ -641,7 +641,7 @@ def length_width(coo: Column) -> Column:
 
 
 def circularity(coo: Column) -> Column:
-    return let(coo, lambda c: F.pow(perimeter(c), F.lit(2.0)) / area(c))
+    return let(coo, lambda c: div(F.pow(perimeter(c), F.lit(2.0)), area(c)))
 
 
 def circularity_norm(coo: Column) -> Column:
@@ -649,15 +649,15 @@ def circularity_norm(coo: Column) -> Column:
 
 
 def circularity_haralick(coo: Column) -> Column:
-    return let(centroid_dist(coo), lambda d: fsum(d) / F.size(d) / sd_of(d))
+    return let(centroid_dist(coo), lambda d: div(fsum(d) / F.size(d), sd_of(d)))
 
 
 def eccentricity_eigen(coo: Column) -> Column:
-    return let(eigenvalues(moments(coo)), lambda e: e["l2"] / e["l1"])
+    return let(eigenvalues(moments(coo)), lambda e: div(e["l2"], e["l1"]))
 
 
 def eccentricity_box(coo: Column) -> Column:
-    return let(length_width(coo), lambda d: d["width"] / d["length"])
+    return let(length_width(coo), lambda d: div(d["width"], d["length"]))
 
 
 def elongation(coo: Column) -> Column:
@@ -665,7 +665,7 @@ def elongation(coo: Column) -> Column:
 
 
 def rectangularity(coo: Column) -> Column:
-    return let(coo, lambda c: let(length_width(c), lambda d: area(c) / (d["length"] * d["width"])))
+    return let(coo, lambda c: let(length_width(c), lambda d: div(area(c), d["length"] * d["width"])))
 
 
 def with_rectilinearity(df: DataFrame, coo: Column, out: str = "rectilinearity") -> DataFrame:
@@ -677,7 +677,7 @@ def with_rectilinearity(df: DataFrame, coo: Column, out: str = "rectilinearity")
     edges = let(unclose(coo), lambda c: zip_named(l=F.zip_with(c, with_next(c), dist), t=edge_angles(c)))
     least = kernels.least_rotated_perimeter(F.col("_e.l"), F.col("_e.t"), [PI / 2, PI, 3 * PI / 2, TWO_PI])
     return kernels.hold(df, "_e", edges).withColumn("_p", least).withColumn(
-        out, F.lit(4 / (4 - PI)) * (fsum(F.col("_e.l")) / F.col("_p") - PI / 4)).drop("_e", "_p")
+        out, F.lit(4 / (4 - PI)) * (div(fsum(F.col("_e.l")), F.col("_p")) - PI / 4)).drop("_e", "_p")
 
 
 # ---- chain code ----------------------------------------------------------

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import draws
-from ..functions.base import double_array
+from ..functions.base import div, double_array
 
 MAX_CENTROIDS = 2000
 BLOCK_ROWS = 20_000
@@ -25,7 +25,7 @@ def standardise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     s = df.agg(F.struct(*[f for c in cols for f in (F.avg(c).alias(f"m_{c}"), F.stddev_samp(c).alias(f"s_{c}"))]).alias("s")).scalar()
     t = df.withColumn("_s", s)
     for c in cols:
-        t = t.withColumn(c, (F.col(c) - F.col(f"_s.m_{c}")) / F.col(f"_s.s_{c}"))
+        t = t.withColumn(c, div(F.col(c) - F.col(f"_s.m_{c}"), F.col(f"_s.s_{c}")))
     return t.drop("_s")
 
 
@@ -181,7 +181,7 @@ def silhouette(df: DataFrame, cols: Sequence[str], cluster: str, id_col: str) ->
         F.max(F.when(own & (F.col("n") > 1), F.col("total") / F.greatest(F.col("n") - 1, F.lit(1.0)))).alias("a"),
         F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
     return w.select(id_col, "cluster", F.when(F.col("a").isNull(), F.lit(0.0)).otherwise(
-        (F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("width"))
+        div(F.col("b") - F.col("a"), F.greatest("a", "b"))).alias("width"))
 
 
 def dispersion(df: DataFrame, cols: Sequence[str], cluster: str, id_col: str) -> float:
@@ -219,8 +219,8 @@ def elbow(curve: DataFrame) -> DataFrame:
         F.min("k").alias("k0"), F.max("k").alias("k1"), F.min("wcss").alias("w0"), F.max("wcss").alias("w1"),
         F.min_by("wcss", "k").alias("a"), F.max_by("wcss", "k").alias("z"), F.count("*").alias("n")).alias("s")).scalar()
     t = curve.withColumn("_s", s)
-    w = lambda v: (v - F.col("_s.w0")) / (F.col("_s.w1") - F.col("_s.w0"))
-    x, y, y0, y1 = (F.col("k") - F.col("_s.k0")) / (F.col("_s.k1") - F.col("_s.k0")), w(F.col("wcss")), w(F.col("_s.a")), w(F.col("_s.z"))
+    w = lambda v: div(v - F.col("_s.w0"), F.col("_s.w1") - F.col("_s.w0"))
+    x, y, y0, y1 = div(F.col("k") - F.col("_s.k0"), F.col("_s.k1") - F.col("_s.k0")), w(F.col("wcss")), w(F.col("_s.a")), w(F.col("_s.z"))
     d = F.abs((y1 - y0) * x - y + y0) / F.sqrt((y1 - y0) * (y1 - y0) + 1)
     return t.filter("_s.n >= 3").agg(F.min_by("k", F.struct((-d).alias("d"), F.col("k").alias("k"))).alias("k"))
 

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import outline as O
-from ..functions.base import TWO_PI, let, pt
+from ..functions.base import TWO_PI, div, let, pt
 from ..session import cut, small_side
 from .tables import covariance
 
@@ -43,7 +43,7 @@ def confidence_ellipse(df: DataFrame, keys: Sequence[str], x: str, y: str, conf:
 def _from_moments(m: DataFrame, keys: Sequence[str], radius, segments: int) -> DataFrame:
     """Unit circle through the Cholesky factor of (sxx, sxy, syy)."""
     l11 = F.sqrt("sxx")
-    l12 = F.col("sxy") / l11
+    l12 = div(F.col("sxy"), l11)
     l22 = F.sqrt(F.greatest(F.col("syy") - l12 * l12, F.lit(0.0)))
     k = m.select(*keys, F.struct("mx", "my", l11.alias("a"), l12.alias("b"), l22.alias("d"),
                                  radius.alias("r")).alias("k"))
@@ -66,7 +66,7 @@ def group_ellipse(df: DataFrame, keys: Sequence[str], x: str, y: str, kind: str
     if kind == "euclid":
         s = F.least("sxx", "syy")
         m = m.select(*keys, "n", "mx", "my", s.alias("sxx"), F.lit(0.0).alias("sxy"), s.alias("syy"))
-        return _from_moments(m, keys, F.lit(level) / F.sqrt("sxx"), segments)
+        return _from_moments(m, keys, div(F.lit(level), F.sqrt("sxx")), segments)
     return _from_moments(m, keys, F.sqrt(2 * f_quantile_2(level, F.col("n") - 1)), segments)
 
 
@@ -108,7 +108,7 @@ def robust_moments(df: DataFrame, keys: Sequence[str], x: str, y: str, nu: float
 
     def distance(u, v, a, b, c):
         det = a * c - b * b
-        return (c * u * u - 2 * b * u * v + a * v * v) / det
+        return (c * u * u - 2 * b * u * v + a * v * v) / F.when(det > 0, det)
 
     def joined(p):
         return df.join(small_side(p), keys) if keys else df.withColumn("_p", p.select(F.struct("*")).scalar()).select("*", "_p.*")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import efa as E
 from ..functions import outline as O
+from ..functions.base import div
 from .ranks import quantiles
 
 
@@ -65,5 +66,5 @@ def deviations(outlines: DataFrame, ranks: Sequence[int], nb_pts: int = 120, fac
     else:
         d = O.matched_distance(F.col("shape"), F.col("best"))
     rows = rows.select("rank", "size", F.posexplode(d).alias("_p", "d")).select(
-        "rank", (F.col("_p") + 1).cast("int").alias("pt"), (F.col("d") / F.col("size")).alias("d"))
+        "rank", (F.col("_p") + 1).cast("int").alias("pt"), div(F.col("d"), F.col("size")).alias("d"))
     return quantiles(rows, ["rank", "pt"], "d", [0.5], ["med"], [F.stddev_samp("d").alias("sd")])

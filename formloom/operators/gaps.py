@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from ..functions import draws
 from ..functions import outline as O
-from ..functions.base import let, pt
+from ..functions.base import div, let, pt
 from ..session import cut, small_side
 from .density import density
 from .filters import keep_groups, require_rows
@@ -93,7 +93,7 @@ def in_polygon(x: Column, y: Column, ring: Column, buffer: Column) -> Column:
     def edge(p, q):
         ux, uy = q["x"] - p["x"], q["y"] - p["y"]
         px, py = x - p["x"], y - p["y"]
-        t = F.least(F.greatest((px * ux + py * uy) / (ux * ux + uy * uy), F.lit(0.0)), F.lit(1.0))
+        t = F.least(F.greatest(div(px * ux + py * uy, ux * ux + uy * uy), F.lit(0.0)), F.lit(1.0))
         return F.struct((ux * py - uy * px > 0).alias("left"), F.hypot(px - t * ux, py - t * uy).alias("d"))
     return let(F.zip_with(ring, O.with_next(ring), edge), lambda es: (
         F.forall(es, lambda e: e["left"]) | F.exists(es, lambda e: e["d"] < buffer)))
@@ -138,8 +138,8 @@ def covered_cells(points: DataFrame, keys: Sequence[str], resolution: int, radiu
     r = radius * F.col("cell")
 
     def reach(v, origin, step):
-        lo = F.greatest(F.ceil((F.col(v) - r - F.col(origin)) / F.col(step)), F.lit(0)).cast("int")
-        hi = F.least(F.floor((F.col(v) + r - F.col(origin)) / F.col(step)), F.lit(resolution - 1)).cast("int")
+        lo = F.greatest(F.ceil(div(F.col(v) - r - F.col(origin), F.col(step))), F.lit(0)).cast("int")
+        hi = F.least(F.floor(div(F.col(v) + r - F.col(origin), F.col(step))), F.lit(resolution - 1)).cast("int")
         return F.when(hi >= lo, F.sequence(lo, F.greatest(lo, hi)))
     near = points.withColumn("ix", F.explode(reach("x", "gx0", "dx"))).withColumn("iy", F.explode(reach("y", "gy0", "dy")))
     d = F.hypot(F.col("gx0") + F.col("ix") * F.col("dx") - F.col("x"), F.col("gy0") + F.col("iy") * F.col("dy") - F.col("y"))

@@ -224,22 +224,24 @@ def _drop_inner(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame
     ends = [f for i, t in enumerate(turns) for f in (
         F.max_by(x, u * math.cos(t) + v * math.sin(t)).alias(f"_x{i}"),
         F.max_by(y, u * math.cos(t) + v * math.sin(t)).alias(f"_y{i}"))]
-    ext = df.withColumn("_s", s).groupBy(*keys).agg(*ends)
-    names = [f"_{c}{i}" for i in range(8) for c in "xy"]
-    if keys:
-        marked = df.join(small_side(ext), list(keys))
-    else:
-        marked = df.withColumn("_e", ext.select(F.struct(*names).alias("e")).scalar()).select("*", "_e.*").drop("_e")
-
-    def edge(i):
+    ext = df.withColumn("_s", s).groupBy(*keys).agg(
+        *ends, F.max(F.abs(F.col(x))).alias("_mx"), F.max(F.abs(F.col(y))).alias("_my"))
+
+    # an edge as a x + b y + c > t for points strictly on its left
+    def side(i):
         ax, ay, bx, by = (F.col(f"_{c}{j}") for j in (i, (i + 1) % 8) for c in "xy")
-        ux, uy, px, py = bx - ax, by - ay, F.col(x) - ax, F.col(y) - ay
-        tol = 1e-12 * (F.abs(ux) + F.abs(uy)) * (F.abs(px) + F.abs(py))
-        return (ux != 0) | (uy != 0), ux * py - uy * px > tol
-    sides = [edge(i) for i in range(8)]
-    real = sum((F.when(r, F.lit(1)).otherwise(F.lit(0)) for r, _ in sides), F.lit(0)) >= 3
-    inner = reduce(lambda p, q: p & q, [~r | left for r, left in sides], real)
-    return marked.filter(~inner).drop(*names)
+        a, b, c = ay - by, bx - ax, (by - ay) * ax - (bx - ax) * ay
+        none = (a == 0) & (b == 0)
+        tol = 1e-12 * (F.abs(a) * F.col("_mx") + F.abs(b) * F.col("_my") + F.abs(c))
+        return none, F.struct(a.alias("a"), b.alias("b"), c.alias("c"), F.when(none, F.lit(-1.0)).otherwise(tol).alias("t"))
+    sides = [side(i) for i in range(8)]
+    real = sum((F.when(n, F.lit(0)).otherwise(F.lit(1)) for n, _ in sides), F.lit(0))
+    lines = ext.select(*keys, F.when(real >= 3, F.struct(*[e.alias(f"e{i}") for i, (_, e) in enumerate(sides)])).alias("_e"))
+    marked = df.join(small_side(lines), list(keys)) if keys else df.withColumn("_e", lines.select("_e").scalar())
+    left = [F.col(f"_e.e{i}.a") * F.col(x) + F.col(f"_e.e{i}.b") * F.col(y) + F.col(f"_e.e{i}.c") > F.col(f"_e.e{i}.t")
+            for i in range(8)]
+    inner = reduce(lambda p, q: p & q, left, F.col("_e").isNotNull())
+    return marked.filter(~inner).drop("_e")
 
 
 def _partial(keys, cols, shrink):

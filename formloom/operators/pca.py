@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..functions import efa as E
 from ..functions import kernels
 from ..functions import outline as O
-from ..functions.base import TWO_PI, let, lets, pt
+from ..functions.base import TWO_PI, div, let, lets, pt
 from ..session import small_side
 from ..sources.model import MAX_COEFFICIENTS, Model
 from .ranks import quantiles
@@ -165,7 +165,7 @@ def scree(sdev: DataFrame) -> DataFrame:
     """``axis, proportion, cumsum``; one row per axis, so at most 400 rows."""
     from pyspark.sql import Window
     total = sdev.agg(F.sum(F.col("sdev") * F.col("sdev")).alias("t")).scalar()
-    share = F.col("sdev") * F.col("sdev") / total
+    share = div(F.col("sdev") * F.col("sdev"), total)
     w = Window.orderBy("axis").rowsBetween(Window.unboundedPreceding, 0)
     return sdev.select(F.col("pc").alias("axis"), share.alias("proportion")).withColumn(
         "cumsum", F.sum("proportion").over(w))

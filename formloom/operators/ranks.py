@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..session import small_side
 
 
-ACCURACY = 50_000
+ACCURACY = 20_000
 
 
 def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
@@ -28,34 +28,39 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     edges = [max(p - off, 0.0) for p in probs] + [min(p + off, 1.0) for p in probs]
     sketch = rows.groupBy(*keys).agg(
         F.count("*").alias("_n"), F.percentile_approx(value, edges, accuracy).alias("_e"), *extra)
+    # a small group is one bracket for all probabilities (i = -1)
     small = F.col("_n") <= 4 * accuracy
 
-    def bracket(i):
-        h = (F.col("_n") - 1) * F.lit(float(probs[i]))
-        return F.struct(
-            F.lit(i).alias("i"), h.alias("h"),
-            F.when(small, F.lit(float("-inf"))).otherwise(F.element_at("_e", i + 1)).alias("lo"),
-            F.when(small, F.lit(float("inf"))).otherwise(F.element_at("_e", k + i + 1)).alias("hi"))
+    def bracket(i, lo, hi):
+        return F.struct(F.lit(i).alias("i"), lo.alias("lo"), hi.alias("hi"))
+    inf = F.lit(float("inf"))
+    parts = F.when(small, F.array(bracket(-1, -inf, inf))).otherwise(F.array(*[
+        bracket(i, F.element_at("_e", i + 1), F.element_at("_e", k + i + 1)) for i in range(k)]))
     more = [c for c in sketch.columns if c not in (*keys, "_n", "_e")]
-    known = small_side(sketch.select(*keys, *more, F.array(*[bracket(i) for i in range(k)]).alias("_b")))
+    known = small_side(sketch.select(*keys, *more, F.struct("_n", parts.alias("b")).alias("_b")))
     values = rows.select(*keys, F.col(value).alias("_v"))
     tagged = values.join(known.select(*keys, "_b"), keys) if keys else values.withColumn("_b", known.select("_b").scalar())
     # values below a bracket only count; the ones inside keep their value
-    hits = tagged.select(*keys, "_v", F.explode("_b").alias("b")).filter(F.col("_v") <= F.col("b.hi"))
-    below = F.col("_v") < F.col("b.lo")
-    folded = hits.groupBy(*keys, F.col("b.i").alias("_i"), F.col("b.h").alias("_h"),
-                          F.when(below, F.lit(float("-inf"))).otherwise(F.col("_v")).alias("_v")).agg(
-        F.count("*").alias("_c"))
+    hits = tagged.select(*keys, "_v", F.col("_b._n").alias("_n"), F.explode("_b.b").alias("_q")).filter(
+        F.col("_v") <= F.col("_q.hi"))
+    below = F.col("_v") < F.col("_q.lo")
+    folded = hits.groupBy(*keys, F.col("_q.i").alias("_i"), "_n",
+                          F.when(below, -inf).otherwise(F.col("_v")).alias("_v")).agg(F.count("*").alias("_c"))
     w = Window.partitionBy(*keys, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     ranked = folded.withColumn("_r", F.sum("_c").over(w))
-    holds = [(F.col("_r") > r) & (F.col("_r") - F.col("_c") <= r)
-             for r in (F.floor("_h"), F.ceil("_h"))]
-    picked = ranked.groupBy(*keys, "_i").agg(
-        F.max("_h").alias("_h"), F.max(F.when(holds[0], F.col("_v"))).alias("_a"),
-        F.max(F.when(holds[1], F.col("_v"))).alias("_z"))
-    val = F.col("_a") + (F.col("_h") - F.floor("_h")) * (F.col("_z") - F.col("_a"))
-    out = picked.groupBy(*keys).agg(*[
-        F.max(F.when(F.col("_i") == i, val)).alias(n) for i, n in enumerate(names)])
+    picks = []
+    for i, p in enumerate(probs):
+        h = (F.col("_n") - 1) * F.lit(float(p))
+        mine = F.col("_i").isin(i, -1)
+        for n, r in (("_a", F.floor(h)), ("_z", F.ceil(h))):
+            holds = mine & (F.col("_r") > r) & (F.col("_r") - F.col("_c") <= r)
+            picks.append(F.max(F.when(holds, F.col("_v"))).alias(f"{n}{i}"))
+    found = ranked.groupBy(*keys).agg(F.max("_n").alias("_n"), *picks)
+
+    def value_at(i):
+        h = (F.col("_n") - 1) * F.lit(float(probs[i]))
+        return (F.col(f"_a{i}") + (h - F.floor(h)) * (F.col(f"_z{i}") - F.col(f"_a{i}"))).alias(names[i])
+    out = found.select(*keys, *[value_at(i) for i in range(k)])
     if not more:
         return out
     if keys:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import draws
+from ..functions.base import div
 from ..session import small_side
 from ..sources.text import pc_columns
 from .ranks import quantiles, row_index
@@ -81,4 +82,4 @@ def saturation(scores: DataFrame, sizes: Sequence[float], iterations: int = 200,
 def relative_saturation(saturated: DataFrame) -> DataFrame:
     """Adds ``pct``: percent of the metric's largest mean."""
     top = F.max("mean").over(Window.partitionBy("metric_type"))
-    return saturated.withColumn("pct", F.col("mean") / top * 100)
+    return saturated.withColumn("pct", div(F.col("mean"), top) * 100)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import draws
 from ..functions import outline as O
-from ..functions.base import let, pt
+from ..functions.base import div, let, pt
 from .hull import with_hull
 
 
@@ -15,7 +15,7 @@ def template_relatively(outlines: DataFrame, size: float = 1.0) -> DataFrame:
     """Template each outline to ``size`` times its share of the largest box."""
     box = let(O.diff_range(F.col("coo")), lambda b: b["x"] * b["y"])
     largest = outlines.agg(F.max(box).alias("m")).scalar()
-    sized = outlines.withColumn("_k", box / largest * size)
+    sized = outlines.withColumn("_k", div(box, largest) * size)
     return sized.withColumn("coo", O.template(F.col("coo"), F.col("_k"))).drop("_k")
 
 
@@ -49,16 +49,16 @@ def descriptors(outlines: DataFrame, rectilinearity: bool = False) -> DataFrame:
     area, perim, lw = F.col("area"), F.col("perim"), F.col("lw")
     out = [
         area, F.col("calliper"), O.centroid_size(c).alias("centsize"),
-        (perim * perim / area).alias("circularity"),
+        div(perim * perim, area).alias("circularity"),
         O.circularity_haralick(c).alias("circularityharalick"),
-        (perim * perim / (area * 12.566370614359172)).alias("circularitynorm"),
-        (O.perimeter(F.col("h")) / perim).alias("convexity"),
-        (lw["width"] / lw["length"]).alias("eccentricityboundingbox"),
+        div(perim * perim, area * 12.566370614359172).alias("circularitynorm"),
+        div(O.perimeter(F.col("h")), perim).alias("convexity"),
+        div(lw["width"], lw["length"]).alias("eccentricityboundingbox"),
         O.eccentricity_eigen(c).alias("eccentricityeigen"),
-        (1 - lw["width"] / lw["length"]).alias("elongation"),
+        (1 - div(lw["width"], lw["length"])).alias("elongation"),
         lw["length"].alias("length"), perim,
-        (area / (lw["length"] * lw["width"])).alias("rectangularity"),
-        (area / O.area(F.col("h"))).alias("solidity"), lw["width"].alias("width")]
+        div(area, lw["length"] * lw["width"]).alias("rectangularity"),
+        div(area, O.area(F.col("h"))).alias("solidity"), lw["width"].alias("width")]
     if rectilinearity:
         base = O.with_rectilinearity(base, c)
         out.append(F.col("rectilinearity"))

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 from ..functions import efa as E
 from ..functions import kernels
 from ..functions import outline as O
-from ..functions.base import pt
+from ..functions.base import div, pt
 from ..session import cut, small_side
 from . import pca as P
 from .hull import convex_hull, hull_iou
@@ -80,7 +80,7 @@ def axis_shift(rotations: DataFrame, reference: DataFrame, keys: Sequence[str])
     j = rotations.join(ref, ["pos", "pc"]).groupBy(*keys, "pc").agg(
         F.sum(F.col("loading") * F.col("_b")).alias("_d"), F.sum(F.col("loading") * F.col("loading")).alias("_m"),
         F.sum(F.col("_b") * F.col("_b")).alias("_n"))
-    sim = F.least(F.abs(F.col("_d") / F.sqrt(F.col("_m") * F.col("_n"))), F.lit(1.0))
+    sim = F.least(F.abs(div(F.col("_d"), F.sqrt(F.col("_m") * F.col("_n")))), F.lit(1.0))
     return j.select(*keys, "pc", sim.alias("similarity"), F.degrees(F.acos(sim)).alias("angle_deg"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import outline as O
-from ..functions.base import let, pt
+from ..functions.base import div, let, pt
 from ..session import small_side
 from ..sources.text import pc_columns
 from .ranks import quantiles, row_index
@@ -21,7 +21,7 @@ def _span(df: DataFrame, col: str):
 def min_max(df: DataFrame, col: str, out: str) -> DataFrame:
     """``(v - min) / max(v - min)`` from one scalar aggregate."""
     return df.withColumn("_s", _span(df, col)).withColumn(
-        out, (F.col(col) - F.col("_s.lo")) / (F.col("_s.hi") - F.col("_s.lo"))).drop("_s")
+        out, div(F.col(col) - F.col("_s.lo"), F.col("_s.hi") - F.col("_s.lo"))).drop("_s")
 
 
 def colour_bin(df: DataFrame, col: str, bins: int, out: str = "bin") -> DataFrame:
@@ -125,7 +125,7 @@ def panel(outlines: DataFrame) -> DataFrame:
     good = outlines.filter(O.is_valid_import(F.col("coo")))
     unit = let(O.center(F.col("coo")), lambda c: let(
         F.array_max(F.transform(c, lambda p: F.greatest(F.abs(p["x"]), F.abs(p["y"])))),
-        lambda m: F.transform(c, lambda p: pt(p["x"] / m, p["y"] / m))))
+        lambda m: F.transform(c, lambda p: pt(div(p["x"], m), div(p["y"], m)))))
     return row_index(good.select("id", unit.alias("coo")), "id", "_i").select(
         "id", F.concat(F.col("id").cast("string"), F.lit(" ("), F.col("_i").cast("string"), F.lit(")")).alias("label"),
         "coo")
