@@ -179,13 +179,13 @@ def consecutive_columns(spark, d):
         "pair", "ID", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
 
 
-@query("prj_20", """SELECT c_custkey, CASE WHEN c_custkey IN (7, 12, 30) THEN 'picked' WHEN c_custkey BETWEEN 20 AND 400 THEN 'late'
+@query("prj_20", """SELECT c_custkey, CASE WHEN c_custkey IN (7, 12, 30) THEN 'picked' WHEN c_custkey BETWEEN 20 AND 120 THEN 'late'
 WHEN c_custkey BETWEEN 5 AND 100 THEN 'early' ELSE 'none' END AS "group", CASE WHEN f BETWEEN 3 AND 9 THEN 'seen' ELSE 'none' END AS nation_group
 FROM customer JOIN (SELECT c_nationkey, min(c_custkey) AS p FROM customer GROUP BY 1) USING (c_nationkey)
 JOIN (SELECT p, row_number() OVER (ORDER BY p) AS f FROM (SELECT DISTINCT min(c_custkey) AS p FROM customer GROUP BY c_nationkey)) USING (p)""")
 def labelled(spark, d):
     c = X.table(spark, d, "customer").select("c_custkey", "c_nationkey")
-    r = W.label_by_range(c, "c_custkey", [("early", 100, 5), ("late", 20, 400), ("lost", 1, -5)], "g", "none")
+    r = W.label_by_range(c, "c_custkey", [("early", 100, 5), ("late", 20, 120), ("lost", 1, -5)], "g", "none")
     r = r.withColumn("group", F.coalesce(F.expr("case when c_custkey in (7, 12, 30) then 'picked' end"), "g"))
     picked = W.label_by_list(r, "c_custkey", [("picked", [7, 12, 30])], "p", None)
     seen = c.groupBy("c_nationkey").agg(F.min("c_custkey").alias("p")).orderBy("p").limit(9).collect()
