@@ -136,7 +136,7 @@ GROUP BY id) f USING (id)) GROUP BY id"""
 
 @query("fun_21", f"""WITH @ctr, edg AS (SELECT p.id, p.x, p.y, q.x - p.x AS ex, q.y - p.y AS ey FROM ctr p JOIN ctr q
 ON p.id = q.id AND q.seq = p.seq % 64 + 1)
-SELECT id, R6(angle) AS angle, idx::INT AS idx, idx::INT AS seg_idx FROM ({_ray_sql('0.3')} UNION ALL {_ray_sql('2.0')})""")
+SELECT id, R6(angle::DOUBLE) AS angle, idx::INT AS idx, idx::INT AS seg_idx FROM ({_ray_sql('0.3')} UNION ALL {_ray_sql('2.0')})""")
 def rays(spark, d):
     o = X.outlines(spark, d)
     far = 10.0

@@ -131,7 +131,7 @@ def run_summary(spark, d):
                     *[r6(F.col(c)).alias(c) for c in ("mean", "median", "sd", "se", "q025", "q975")])
 
 
-@query("res_11", f"WITH {RUNS}, {SUMMARY} SELECT metric_type, R6(realized_n) AS x, R6(mean) AS mean, R6(q025) AS q025, R6(q975) AS q975 FROM summary WHERE metric_type = 'subspace_similarity'")
+@query("res_11", f"WITH {RUNS}, {SUMMARY} SELECT metric_type, R6(realized_n::DOUBLE) AS x, R6(mean) AS mean, R6(q025) AS q025, R6(q975) AS q975 FROM summary WHERE metric_type = 'subspace_similarity'")
 def convergence(spark, d):
     c = S.convergence_curve(S.summarize_runs(draw_runs(spark, d)), ["subspace_similarity"], "count")
     return c.select("metric_type", *[r6(F.col(k)).alias(k) for k in ("x", "mean", "q025", "q975")])
