@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 WORD = rb"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\v\f\r"
@@ -57,9 +58,9 @@ def map_slices(df: DataFrame, text: str, schema: str, fn: Callable[[dict], dict]
     return df.mapInArrow(run, schema)
 
 
-def arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
+def arrow_schema(spark: SparkSession, schema: str | StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
-    return to_arrow_schema(spark.createDataFrame([], schema).schema)
+    return to_arrow_schema(spark.createDataFrame([], schema).schema if isinstance(schema, str) else schema)
 
 
 def record(schema: pa.Schema, columns: dict) -> pa.RecordBatch:

@@ -34,3 +34,15 @@ def op5_token_files(spark, sf_dir) -> DataFrame:
     path = scratch(spark, "tokens")
     write_tokens(documents(spark, sf_dir), path, tokenizer("byte_bpe_50k.json"), end=2)
     return read_tokens(spark, path)
+
+
+@query("op2_token_counts")
+def op2_token_counts(spark, sf_dir) -> DataFrame:
+    from .token_counts import token_counts
+    return token_counts(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
+@query("op8_best_fit")
+def op8_best_fit(spark, sf_dir) -> DataFrame:
+    from .packing import pack, token_pieces
+    return pack(token_pieces(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end=1, capacity=4096), 4096)
