@@ -46,3 +46,9 @@ def op2_token_counts(spark, sf_dir) -> DataFrame:
 def op8_best_fit(spark, sf_dir) -> DataFrame:
     from .packing import pack, token_pieces
     return pack(token_pieces(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"), end=1, capacity=4096), 4096)
+
+
+@query("op1_quality")
+def op1_quality(spark, sf_dir) -> DataFrame:
+    from .quality import quality
+    return quality(documents(spark, sf_dir))
