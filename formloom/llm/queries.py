@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from formloom.session import scratch
 
@@ -52,3 +53,20 @@ def op8_best_fit(spark, sf_dir) -> DataFrame:
 def op1_quality(spark, sf_dir) -> DataFrame:
     from .quality import quality
     return quality(documents(spark, sf_dir))
+
+
+@query("op4_secrets")
+def op4_secrets(spark, sf_dir) -> DataFrame:
+    from .secrets import BASE, build_index, scan
+    docs, path = documents(spark, sf_dir), scratch(spark, "trigrams")
+    build_index(docs, path)
+    found = scan(docs, spark.read.parquet(path))
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+    def number(kind):
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE]))
+    return found.select("doc_id", *[number(r.kind) for r in BASE], F.sha2(listed(base), 256).alias("base_sha256"),
+                        listed(F.col("spans")).alias("spans"))
