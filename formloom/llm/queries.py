@@ -70,3 +70,9 @@ def op4_secrets(spark, sf_dir) -> DataFrame:
     base = F.filter("spans", lambda s: s["kind"].isin([r.kind for r in BASE]))
     return found.select("doc_id", *[number(r.kind) for r in BASE], F.sha2(listed(base), 256).alias("base_sha256"),
                         listed(F.col("spans")).alias("spans"))
+
+
+@query("op7_decontaminate")
+def op7_decontaminate(spark, sf_dir) -> DataFrame:
+    from .decontaminate import decontaminate
+    return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
