@@ -100,25 +100,23 @@ class Items:
 def alignment(pattern: str, text: str, limit: int) -> tuple[int, int, int] | None:
     """Fewest edits (at most ``limit``) of the whole pattern against a passage of the text: (edits, start, end).
 
-    ``text`` starts within 2 * limit of where the passage may start, so places outside that band of diagonals are left out.
+    Row by row; only diagonals on which the pattern can still end in the text are filled.
     Ties: the earliest end, then the longest passage.
     """
     far = limit + 1
-    wide = len(text) - len(pattern) + limit  # the last diagonal that can end in the text
+    wide = len(text) - len(pattern) + limit
     row = [(0, j) for j in range(len(text) + 1)]
     for i, a in enumerate(pattern, 1):
         new = [(far, 0)] * (len(text) + 1)
-        low, high = max(0, i - limit), min(len(text), i + wide)
         best = far
-        for j in range(low, high + 1):
+        for j in range(max(0, i - limit), min(len(text), i + wide) + 1):
             v = (row[j][0] + 1, row[j][1])
             if j:
                 d = row[j - 1]
-                d = d if text[j - 1] == a else (d[0] + 1, d[1])
-                left = (new[j - 1][0] + 1, new[j - 1][1])
-                v = min(v, d, left)
-            new[j] = v if v[0] <= limit else (far, 0)
-            best = min(best, v[0])
+                v = min(v, d if text[j - 1] == a else (d[0] + 1, d[1]), (new[j - 1][0] + 1, new[j - 1][1]))
+            if v[0] <= limit:
+                new[j] = v
+                best = min(best, v[0])
         if best > limit:
             return None
         row = new
@@ -142,10 +140,8 @@ def find_leaks(items: Items, texts: list[str | None]) -> list[tuple[int, int, in
     need = int(items.need.min())
     far = np.searchsorted(x, x + reach, "right")
     dense = far - np.arange(len(x)) >= need
-    cover = np.zeros(len(x) + 1, np.int64)
-    np.add.at(cover, np.nonzero(dense)[0], 1)
-    np.add.at(cover, far[dense], -1)
-    near = np.cumsum(cover)[:-1] > 0
+    ends = np.bincount(far[dense], minlength=len(x) + 1)
+    near = np.cumsum(dense - ends[:-1]) > 0
     x, gram = x[near], gram[near]
     if not len(x):
         return []
@@ -163,39 +159,73 @@ def find_leaks(items: Items, texts: list[str | None]) -> list[tuple[int, int, in
     key = (text[pick] * len(items.ids) + item[pick])
     order = np.lexsort((x[pick], band, key))
     pick, band, key = pick[order], band[order], key[order]
+    # an alignment uses a place of the document once: hits of one place count once
+    new = np.append(True, (key[1:] != key[:-1]) | (band[1:] != band[:-1]) | (x[pick[1:]] != x[pick[:-1]]))
+    every, nth = pick, np.nonzero(new)[0]
+    pick, band, key = pick[nth], band[nth], key[nth]
+    upto = np.append(nth[1:], len(every))
     k = items.need[item[pick]]
     last = np.arange(len(pick)) + k - 1
     ok = last < len(pick)
     end = np.minimum(last, len(pick) - 1)
     ok &= (key[end] == key) & (band[end] == band)
     ok &= x[pick[end]] - x[pick] <= (items.n0 + items.edits - q)[item[pick]]
+    # stretches of one pair and band that meet the bound, joined where they share hits
+    first = np.nonzero(ok)[0]
+    end = end[first]
+    new = np.append(True, (first[1:] > np.maximum.accumulate(end)[:-1]) | (key[first[1:]] != key[first[:-1]])) if len(first) else first
+    regions = np.nonzero(new)[0]
+    stop_at = np.maximum.reduceat(end, regions) if len(regions) else end
     out = {}
-    for j in np.nonzero(ok)[0].tolist():
+    for j, last in zip(first[regions].tolist(), stop_at.tolist()):
         t, i = int(text[pick[j]]), int(item[pick[j]])
-        if (t, i) in out and out[t, i]:
-            continue
-        tried = out.setdefault((t, i), None)
-        if tried is None:
+        if out.get((t, i)) is None:
             stop = int(begin[t + 1]) - 1 if t + 1 < len(texts) else len(codes) - 1
-            got = _verify(items, i, codes, int(begin[t]), stop, int(x[pick[j]]), int(place[pick[j]]))
-            out[t, i] = got
+            own = every[nth[j]:upto[last]]
+            out[t, i] = _verify(items, i, codes, int(begin[t]), stop, x[own], place[own])
     base = np.cumsum(lens) - lens
     return [(t, i, int(source[a] - base[t]), int(source[b - 1] - base[t]) + 1, e, w)
             for (t, i), got in out.items() if got for a, b, e, w in [got]]
 
 
-def _verify(items: Items, i: int, codes, begin: int, stop: int, x: int, place: int):
-    """(start, end, edits, whole) of a window of the item around the hit (x, place), or None."""
+def within(pattern: str, text: str, limit: int) -> bool:
+    """Whether a passage of the text is within ``limit`` edits: columns of the alignment as bits of one integer."""
+    n = len(pattern)
+    ones, top = (1 << n) - 1, 1 << n - 1
+    places: dict[str, int] = {}
+    for k, c in enumerate(pattern):
+        places[c] = places.get(c, 0) | 1 << k
+    up, down, edits = ones, 0, n
+    for c in text:
+        eq = places.get(c, 0)
+        side = eq | down
+        eq |= ((eq & up) + up) ^ up
+        plus, minus = down | ~(eq | up) & ones, up & eq
+        edits += bool(plus & top) - bool(minus & top)
+        if edits <= limit:
+            return True
+        plus, minus = plus << 1 & ones, minus << 1 & ones
+        up, down = (minus | ~(side | plus)) & ones, plus & side
+    return False
+
+
+def _verify(items: Items, i: int, codes, begin: int, stop: int, x: np.ndarray, place: np.ndarray):
+    """(start, end, edits, whole) of a window of the item around the hits (x, place) of a band, or None."""
     item, n0, e = items.text[i], int(items.n0[i]), int(items.edits[i])
+    low, high = int((x - place).min()), int((x - place).max())
 
     def passage(p, n, limit):
-        a = max(begin, x - place + p - 2 * limit)
-        b = min(stop, x - place + p + n + 2 * limit)
-        if b <= a:
-            return None
-        got = alignment(item[p:p + n], "".join(map(chr, codes[a:b])), limit)
+        """Item characters p .. p + n - 1 against the document's on these diagonals."""
+        a, b = max(begin, low + p - limit), min(stop, high + p + n + limit)
+        text = "".join(map(chr, codes[a:max(a, b)]))
+        if (at := text.find(item[p:p + n])) >= 0:
+            return a + at, a + at + n, 0
+        got = alignment(item[p:p + n], text, limit) if within(item[p:p + n], text, limit) else None
         return got and (a + got[1], a + got[2], got[0])
-    for p in sorted(range(max(0, place + items.q - n0), min(place, len(item) - n0) + 1), key=lambda p: abs(p - place)):
+    starts = np.arange(max(0, int(place.min()) + items.q - n0), min(int(place.max()), len(item) - n0) + 1)
+    ordered = np.unique(place)  # nor does it use a place of the item twice
+    held = np.searchsorted(ordered, starts + n0 - items.q, "right") - np.searchsorted(ordered, starts)
+    for p in starts[held >= int(items.need[i])].tolist():
         got = passage(p, n0, e)
         if got:
             all_of = passage(0, len(item), int(items.rate * len(item))) if n0 < len(item) else got
@@ -204,7 +234,7 @@ def _verify(items: Items, i: int, codes, begin: int, stop: int, x: int, place: i
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id",
-                  item_text: str = "text", q: int = 7, window: int = 100, rate: float = 0.1, least: int = 30,
+                  item_text: str = "text", q: int = 8, window: int = 100, rate: float = 0.08, least: int = 30,
                   block_chars: int = 8_000_000) -> DataFrame:
     """doc_id, item_id, start, end (code points), edits and whole for every document and item that it leaks."""
     spark = docs.sparkSession
