@@ -94,3 +94,55 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def same(a: str | Column, b: str | Column) -> Column:
     return F.col(a).eqNullSafe(F.col(b)) if isinstance(a, str) else a.eqNullSafe(b)
+
+
+_BASE = 0x9E3779B97F4A7C15
+
+
+def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of all words ``[^\\x20\\x09-\\x0D]+`` in a row, and how many words each text has."""
+    raw = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
+    space = (raw == 32) | (raw - np.uint8(9) < 5)
+    begin = ~space
+    begin[1:] &= space[:-1]
+    s = np.nonzero(begin)[0]
+    over = space.copy()
+    over[1:] &= ~space[:-1]
+    over[0] = False
+    e = np.nonzero(over)[0]
+    n = len(raw)
+    by, back = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    by[0] = back[0] = 1
+    total = np.zeros(n + 1, np.uint64)
+    salt = mix(np.arange(1, 257, dtype=np.uint64))
+    np.cumsum(salt[raw] * np.multiply.accumulate(by), out=total[1:])
+    back = np.multiply.accumulate(back)
+    h = mix((total[e] - total[s]) * back[s] + (e - s).astype(np.uint64))
+    ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
+    upto = np.searchsorted(s, ends)
+    return h, np.diff(np.append(0, upto))
+
+
+def shingle_sets(texts: list[bytes], size: int = 5) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct ``size``-word shingles of each text (64-bit hashes, sorted in each text), one text after the other, and their number.
+
+    A text with fewer words has its whole sequence as one; a text without words has none.
+    """
+    w, n = word_hashes(texts)
+    if not len(w):
+        return np.zeros(0, np.uint64), np.zeros(len(texts), np.int64)
+    k = np.uint64(0xD6E8FEB86659FD93)
+    end = np.cumsum(n)
+    text = np.repeat(np.arange(len(n)), n)
+    h = w.copy()
+    left = end[text] - np.arange(len(w))  # words from here to the end of the text
+    for i in range(1, size):
+        more = np.zeros(len(w), np.uint64)
+        more[:-i] = w[i:] if i < len(w) else more[:-i]
+        h = np.where(left > i, h * k + more, h)
+    keep = (left >= size) | ((n[text] < size) & (left == n[text]))
+    h, text = mix(h[keep] + np.minimum(left[keep], size).astype(np.uint64)), text[keep]
+    order = np.lexsort((h, text))
+    h, text = h[order], text[order]
+    new = np.append(True, (h[1:] != h[:-1]) | (text[1:] != text[:-1]))
+    return h[new], np.bincount(text[new], minlength=len(texts))

@@ -76,3 +76,9 @@ def op4_secrets(spark, sf_dir) -> DataFrame:
 def op7_decontaminate(spark, sf_dir) -> DataFrame:
     from .decontaminate import decontaminate
     return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@query("op3_jaccard")
+def op3_jaccard(spark, sf_dir) -> DataFrame:
+    from .jaccard import jaccard_components
+    return jaccard_components(documents(spark, sf_dir))
