@@ -79,8 +79,9 @@ class Counter:
         if len(self.kept) > self.keep:
             self.kept = {}
         kept = self.kept
-        for w in set(words) - kept.keys():
-            kept[w] = self.best(w)
+        for w in set(words):
+            if w not in kept:
+                kept[w] = self.best(w)
         got = [kept[w] for w in words]
         return sum(g[0] for g in got), sum(g[1] for g in got)
 
