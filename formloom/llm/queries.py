@@ -82,3 +82,12 @@ def op7_decontaminate(spark, sf_dir) -> DataFrame:
 def op3_jaccard(spark, sf_dir) -> DataFrame:
     from .jaccard import jaccard_components
     return jaccard_components(documents(spark, sf_dir))
+
+
+@query("op6_repeats")
+def op6_repeats(spark, sf_dir) -> DataFrame:
+    from .repeats import remove_repeats
+    found = remove_repeats(documents(spark, sf_dir), length=400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["stop"] - s["start"])
+    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+                        F.sha2("kept", 256).alias("kept_sha256"))
