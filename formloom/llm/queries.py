@@ -91,3 +91,9 @@ def op6_repeats(spark, sf_dir) -> DataFrame:
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda t, s: t + s["stop"] - s["start"])
     return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
                         F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op10_lines")
+def op10_lines(spark, sf_dir) -> DataFrame:
+    from .lines import dedup_lines
+    return dedup_lines(documents(spark, sf_dir)).drop("row")
