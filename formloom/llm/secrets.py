@@ -205,9 +205,11 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     demands = {i: q for i, r in enumerate(rules) if (q := trigram_query(r.pattern)) is not True}
     needed = sorted({code(t) for q in demands.values() for t in trigrams(q)})
 
-    def find(pdf):
-        import pandas as pd
-        held = {t: (n, d, p) for t, n, d, p in zip(pdf["trigram"], pdf["n"], pdf["dense"], pdf["postings"])}
+    schema = "doc_id long, rules array<int>"
+    out = arrow_schema(index.sparkSession, schema)
+
+    def find(table):
+        held = {t: (n, d, p) for t, n, d, p in zip(*(table[c].to_pylist() for c in ("trigram", "n", "dense", "postings")))}
         n, _, head = held[DOCUMENTS]
         ids, valid = np.frombuffer(head, "<i8", n), np.frombuffer(head, np.uint8, n, 8 * n)
 
@@ -221,10 +223,10 @@ def candidates(index: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
             return out
         met = {i: evaluate(q, has) for i, q in demands.items()}
         rows = np.nonzero(np.logical_or.reduce(list(met.values())))[0] if met else []
-        return pd.DataFrame({"doc_id": pd.array([int(ids[r]) if valid[r] else None for r in rows], "Int64"),
-                             "rules": [[i for i in met if met[i][r]] for r in rows]})
+        return pa.Table.from_batches([record(out, {"doc_id": [int(ids[r]) if valid[r] else None for r in rows],
+                                                   "rules": [[i for i in met if met[i][r]] for r in rows]})])
     named = index.where(F.col("trigram").isin(DOCUMENTS, *needed))
-    found = named.groupBy("segment").applyInPandas(find, "doc_id long, rules array<int>")  # a group is one segment
+    found = named.groupBy("segment").applyInArrow(find, schema)  # a group is one segment
     return found.groupBy("doc_id").agg(F.array_distinct(F.flatten(F.collect_list("rules"))).alias("rules"))
 
 
