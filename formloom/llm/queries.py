@@ -97,3 +97,9 @@ def op6_repeats(spark, sf_dir) -> DataFrame:
 def op10_lines(spark, sf_dir) -> DataFrame:
     from .lines import dedup_lines
     return dedup_lines(documents(spark, sf_dir)).drop("row")
+
+
+@query("op9_maxent")
+def op9_maxent(spark, sf_dir) -> DataFrame:
+    from .maxent import train_and_score
+    return train_and_score(documents(spark, sf_dir))
