@@ -246,7 +246,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     found = None
     for block in range(blocks):
         own = items.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block).collect()  # about ``block_chars`` characters
-        held = spark.sparkContext.broadcast(Items(sorted((r[0], r[1]) for r in own), q, window, rate, least).__dict__)
+        held = spark.sparkContext.broadcast(Items(sorted(((r[0], r[1]) for r in own), key=lambda r: (r[0] is None, r[0] or 0, r[1])), q, window, rate, least).__dict__)
 
         def run(batches, held=held):
             made = Items.__new__(Items)
