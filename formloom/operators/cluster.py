@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 from ..functions import draws
 from ..functions.base import div, double_array
 
-MAX_CENTROIDS = 2000
 BLOCK_ROWS = 20_000
 
 
@@ -52,82 +51,6 @@ def kmeans(df: DataFrame, cols: Sequence[str], k: int = 3, nstart: int = 20, see
     return model.transform(_vectors(df, cols)).withColumn("cluster", F.col("cluster") + 1).drop("_v")
 
 
-# ---- complete linkage --------------------------------------------------------------------
-
-
-def complete_linkage(p: np.ndarray) -> list[tuple[float, int, int]]:
-    """Merges (height, i, j) of a complete-linkage tree by nearest-neighbour chains.
-
-    ``i`` and ``j`` are member positions that represent the merged clusters.
-    """
-    n = len(p)
-    d = np.sqrt(((p[:, None, :] - p[None, :, :]) ** 2).sum(axis=2))
-    np.fill_diagonal(d, np.inf)
-    alive, chain, merges = np.ones(n, bool), [], []
-    while len(merges) < n - 1:
-        if not chain:
-            chain = [int(np.flatnonzero(alive)[0])]
-        while True:
-            a = chain[-1]
-            b = int(np.argmin(d[a]))
-            if len(chain) > 1 and d[a, chain[-2]] <= d[a, b]:
-                b = chain[-2]
-                break
-            chain.append(b)
-        chain = chain[:-2]
-        merges.append((float(d[a, b]), a, b))
-        keep, gone = min(a, b), max(a, b)
-        row = np.maximum(d[keep], d[gone])
-        d[keep], d[:, keep] = row, row
-        d[keep, keep] = np.inf
-        d[gone], d[:, gone] = np.inf, np.inf
-        alive[gone] = False
-    return sorted(merges)
-
-
-def cut_tree(n: int, merges, k: int | None = None, height: float | None = None) -> np.ndarray:
-    """Cluster numbers 1.. in the order of each cluster's first member."""
-    parent = list(range(n))
-
-    def root(i):
-        while parent[i] != i:
-            parent[i] = parent[parent[i]]
-            i = parent[i]
-        return i
-    use = merges[:n - k] if k is not None else [m for m in merges if m[0] <= height]
-    for _, a, b in use:
-        parent[max(root(a), root(b))] = min(root(a), root(b))
-    names: dict[int, int] = {}
-    return np.array([names.setdefault(root(i), len(names) + 1) for i in range(n)])
-
-
-def hierarchical(df: DataFrame, cols: Sequence[str], id_col: str, k: int | None = None, height: float | None = None,
-                 seed: int = 1) -> DataFrame:
-    """Adds ``cluster`` from a complete-linkage tree cut at ``k`` or ``height``.
-
-    Exact while there are at most 2000 distinct positions: equal positions
-    merge at height 0, so only distinct ones enter the tree.  Beyond that the
-    tree is built over 2000 k-means centroids and rows follow their centroid.
-    """
-    cols = list(cols)
-    spots = df.groupBy(*cols).agg(F.min(id_col).alias("_first"))
-    few = spots.orderBy("_first").limit(MAX_CENTROIDS + 1).toPandas()
-    spark = df.sparkSession
-    if len(few) <= MAX_CENTROIDS:
-        labels = cut_tree(len(few), complete_linkage(few[cols].to_numpy(float)), k, height)
-        local = few[cols].copy()
-        local["cluster"] = labels.astype(np.int32)
-        lookup = spark.createDataFrame(local, T.StructType(
-            df.select(*cols).schema.fields + [T.StructField("cluster", T.IntegerType())]))
-        return df.join(F.broadcast(lookup), cols)
-    vec = _vectors(df, cols)
-    model = KMeans(k=MAX_CENTROIDS, seed=seed, featuresCol="_v", predictionCol="_c").fit(vec)
-    centres = np.array(model.clusterCenters())
-    labels = cut_tree(len(centres), complete_linkage(centres), k, height)
-    return model.transform(vec).withColumn("cluster", F.element_at(
-        double_array(labels), F.col("_c") + 1).cast("int")).drop("_v", "_c")
-
-
 # ---- distances between whole tables ---------------------------------------------------------
 
 

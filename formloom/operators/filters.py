@@ -7,24 +7,28 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import outline as O
 from ..sources.text import pc_columns
 
 
-def _test(col: str, op: str, value=None) -> Column:
+def _test(df: DataFrame, col: str, op: str, value=None) -> Column:
     c, text = F.col(col), F.col(col).cast("string")
-
-    def number(x):
-        return (x if isinstance(x, Column) else F.lit(str(x))).try_cast("double")
+    is_text = isinstance(df.schema[col].dataType, T.StringType)
     compare = {"gt": lambda a, b: a > b, "lt": lambda a, b: a < b,
                "ge": lambda a, b: a >= b, "le": lambda a, b: a <= b}
     if op in compare:
-        left = c if not isinstance(value, str) else text
-        return compare[op](number(text) if isinstance(value, str) else left.cast("double"),
-                           number(value) if isinstance(value, str) else F.lit(float(value)))
-    return {"eq": lambda: c == F.lit(value), "ne": lambda: c != F.lit(value),
-            "contains": lambda: text.contains(F.lit(value)),
+        # a text that is no number compares as NULL, which drops the row
+        return compare[op](c.try_cast("double") if is_text else c, F.lit(str(value)).try_cast("double"))
+    if op in ("eq", "ne"):
+        wanted = F.lit(value)
+        if is_text:
+            wanted = F.lit(str(value))
+        elif isinstance(value, str) and isinstance(df.schema[col].dataType, T.NumericType):
+            wanted = F.lit(value).try_cast("double")
+        return c == wanted if op == "eq" else c != wanted
+    return {"contains": lambda: text.contains(F.lit(value)),
             "starts": lambda: text.rlike(f"^{value}"), "ends": lambda: text.rlike(f"{value}$"),
             "is_na": c.isNull, "not_na": c.isNotNull}[op]()
 
@@ -32,10 +36,11 @@ def _test(col: str, op: str, value=None) -> Column:
 def apply_filters(df: DataFrame, filters: Sequence[tuple]) -> DataFrame:
     """All of ``(column, op[, value])``; a NULL test drops the row.
 
-    Ops: eq ne gt lt ge le contains starts ends is_na not_na.  One conjunction,
-    so simple comparisons reach the scan.
+    Ops: eq ne gt lt ge le contains starts ends is_na not_na.  Text is compared
+    as a number by gt, ge, lt, le and as text by eq, ne.  One conjunction, so
+    simple comparisons reach the scan.
     """
-    return df.filter(reduce(lambda a, b: a & b, [_test(*f) for f in filters])) if filters else df
+    return df.filter(reduce(lambda a, b: a & b, [_test(df, *f) for f in filters])) if filters else df
 
 
 def require_rows(df: DataFrame, n: int, what: str = "rows") -> DataFrame:

@@ -14,7 +14,6 @@ from ..session import small_side
 from ..sources.text import stem
 from .ranks import row_index
 
-MAX_ITEMS = 2000
 
 
 def first_match(files: DataFrame, path: str, key: str) -> DataFrame:
@@ -79,9 +78,14 @@ def tie_landmarks(outlines: DataFrame, marks: DataFrame, key: str = "stem") -> D
     """``stem, coo, ldk``: landmarks snapped to the nearest outline point.
 
     ``outlines`` has ``stem, height, coo``; ``marks`` has ``stem, seq, x, y`` in
-    image coordinates (y down, rounded to whole pixels when turned up).
+    image coordinates (y down, rounded to whole pixels when turned up).  A stem
+    with several outlines, or a landmark number twice, raises.
     """
+    several = F.raise_error(F.concat(F.lit("more than one outline or landmark of a number for stem "), F.col(key).cast("string")))
+    outlines = outlines.groupBy(key).agg(F.count("*").alias("_n"), F.first("height").alias("height"), F.first("coo").alias("coo"))
+    outlines = outlines.withColumn("height", F.when(F.col("_n") == 1, F.col("height")).otherwise(several)).drop("_n")
     lists = marks.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("seq", "x", "y"))).alias("_l"))
+    lists = lists.withColumn("_l", F.when(F.size(F.array_distinct(F.col("_l.seq"))) == F.size("_l"), F.col("_l")).otherwise(several))
     joined = outlines.join(lists, key).withColumn("_a", F.transform(
         "_l", lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y"))))
     flipped = joined.withColumn("_m", F.transform("_a", lambda p: pt(p["x"], F.rint(F.col("height") - p["y"]))))
@@ -172,20 +176,6 @@ def consecutive(items: DataFrame, order: str, steps: int) -> DataFrame:
     return _stepped(pos.join(nxt, "_i").select(F.col(order).alias("a"), "b"), steps)
 
 
-def all_pairs(items: DataFrame, order: str, steps: int) -> DataFrame:
-    """``a, b, step, alpha`` of every unordered pair of a chosen list of items.
-
-    The result is quadratic by definition, so the list is limited in size.
-    """
-    n = items.limit(MAX_ITEMS + 1).count()
-    if n > MAX_ITEMS:
-        raise ValueError(f"a matrix of all pairs takes at most {MAX_ITEMS} items")
-    listed = items.agg(F.array_sort(F.collect_list(order)).alias("l"))
-    pairs = listed.select(F.posexplode("l").alias("i", "a"), "l").select(
-        "a", F.explode(F.slice("l", F.col("i") + 2, F.size("l"))).alias("b"))
-    return _stepped(pairs, steps)
-
-
 def _stepped(pairs: DataFrame, steps: int) -> DataFrame:
     return pairs.withColumn("step", F.explode(F.sequence(F.lit(1), F.lit(steps)))).withColumn(
         "alpha", F.col("step") / (steps + 1))

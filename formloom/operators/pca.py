@@ -22,7 +22,7 @@ from ..functions import kernels
 from ..functions import outline as O
 from ..functions.base import TWO_PI, div, let, lets, pt
 from ..session import small_side
-from ..sources.model import MAX_COEFFICIENTS, Model
+from ..sources.model import Model
 from .ranks import quantiles
 
 
@@ -46,8 +46,8 @@ def moments(df: DataFrame, v: str) -> tuple[int, np.ndarray, np.ndarray]:
     vec = df.select(F.size(v).alias("p"), array_to_vector(F.col(v)).alias("v")).persist()
     try:
         p = vec.agg(F.max("p").alias("p")).first().p
-        if p is None or p > MAX_COEFFICIENTS:
-            raise ValueError(f"between 1 and {MAX_COEFFICIENTS} coefficients are supported, got {p}")
+        if not p:
+            raise ValueError("rows with coefficients are needed")
         s = vec.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")).first().s
         corr = Correlation.corr(vec, "v").first()[0].toArray()
     finally:
@@ -121,10 +121,7 @@ def to_tables(spark: SparkSession, basis: Basis, nb_h: int | None = None, meta:
 
 def from_tables(model: Model) -> Basis:
     """Local arrays of a model; its size does not depend on the specimens."""
-    cen = model.center.orderBy("pos").limit(MAX_COEFFICIENTS + 1).toPandas()
-    sd = model.sdev.orderBy("pc").limit(MAX_COEFFICIENTS + 1).toPandas()
-    if len(cen) > MAX_COEFFICIENTS or len(sd) > MAX_COEFFICIENTS:
-        raise ValueError(f"at most {MAX_COEFFICIENTS} coefficients are supported")
+    cen, sd = model.center.orderBy("pos").toPandas(), model.sdev.orderBy("pc").toPandas()
     rot = model.rotation.orderBy("pos", "pc").toPandas()
     k = rot["pc"].nunique()
     return Basis(cen["value"].to_numpy(), rot["loading"].to_numpy().reshape(len(cen), k), sd["sdev"].to_numpy()[:k])

@@ -15,30 +15,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .joins import all_pairs, consecutive
+from .joins import consecutive
 
 
 def each_image(images: DataFrame, fn: Callable, keep: Sequence[str] = ("img",), names: Sequence[str] = ()) -> DataFrame:
-    """Rows ``keep, names, height, width, v`` of ``fn(array, row)``.
+    """Rows ``keep, names, height, width, v, status`` of ``fn(array, row)``.
 
     ``fn`` yields tuples (name values..., array) for one image; ``row`` has the
-    other columns.  NULL or short pixel data is an unreadable image and skipped.
+    other columns.  NULL or short pixel data is an unreadable image: it keeps
+    one row without names and pixels.
     """
     keep, names = list(keep), list(names)
     kinds = [images.schema[k] for k in keep] + [T.StructField(n, T.StringType()) for n in names]
     schema = T.StructType(kinds + [T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()),
-                                   T.StructField("v", T.ArrayType(T.DoubleType()))])
+                                   T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("status", T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             out = []
             for row in pdf.itertuples(index=False):
-                if row.v is None or len(row.v) != row.height * row.width:
+                kept = [getattr(row, k) for k in keep]
+                if row.v is None or pd.isna(row.height) or pd.isna(row.width) or len(row.v) != row.height * row.width:
+                    out.append((*kept, *[None] * (len(names) + 3), "unreadable image"))
                     continue
-                a = np.asarray(row.v, float).reshape(row.height, row.width)
+                a = np.asarray(row.v, float).reshape(int(row.height), int(row.width))
                 for *labels, b in fn(a, row):
-                    out.append((*[getattr(row, k) for k in keep], *labels, *b.shape, np.ascontiguousarray(b).ravel()))
-            yield pd.DataFrame(out, columns=[f.name for f in schema.fields])
+                    out.append((*kept, *labels, *b.shape, np.ascontiguousarray(b).ravel(), "ok"))
+            yield pd.DataFrame(out, columns=[f.name for f in schema.fields], dtype=object)
     return images.mapInPandas(run, schema)
 
 
@@ -64,10 +67,8 @@ def resize(images: DataFrame, width: int | None = None, height: int | None = Non
         else:
             size = (height, max(int(np.floor(w * height / h + 0.5)), 1))
         yield (np.pad(_nearest(a, *size), padding, constant_values=background),)
-    good = F.coalesce((F.size("v") == F.col("width") * F.col("height")) & (F.col("width") > 0), F.lit(False))
-    bad = images.filter(~good).select("img", F.lit(None).cast("int").alias("height"), F.lit(None).cast("int").alias("width"),
-                                      F.lit(None).cast("array<double>").alias("v"))
-    return each_image(images.filter(good), scaled).unionByName(bad).select(
+    whole = F.when(F.coalesce(F.col("width") * F.col("height") > 0, F.lit(False)), F.col("v"))
+    return each_image(images.withColumn("v", whole), scaled).drop("status").select(
         "*", F.col("v").isNotNull().alias("success"),
         F.when(F.col("v").isNotNull(), "converted").otherwise("unreadable image").alias("message"))
 
@@ -163,39 +164,55 @@ def standardise_size(images: DataFrame, width: int, height: int) -> DataFrame:
 
 
 def plan(images: DataFrame, mode: str, steps: int) -> DataFrame:
-    """``a, b, step, alpha``: pair or sequence of neighbours, or the matrix of all."""
-    ids = images.select("img")
-    return all_pairs(ids, "img", steps) if mode == "matrix" else consecutive(ids, "img", steps)
+    """``a, b, step, alpha`` of a pair or a sequence of neighbours."""
+    if mode not in ("pair", "sequence"):
+        raise ValueError(f"unknown mode {mode}: choose pair or sequence, or give the pairs as a table")
+    return consecutive(images.select("img"), "img", steps)
 
 
 def _blended(planned: DataFrame, images: DataFrame, weight: Callable, gamma: float, threshold: float,
              weights: tuple[float, float] | None = None) -> DataFrame:
-    """``a, b, step, height, width, v`` of blended, thresholded image pairs.
+    """``a, b, step, height, width, v, status`` of blended, thresholded image pairs.
 
-    The steps of a pair are taken after the join, so a pair of images meets once.
+    The steps of a pair are taken after the join, so a pair of images meets
+    once.  Images take the size of the first readable one; a pair with an
+    unreadable image keeps its rows without pixels.
     """
     pairs = planned.groupBy("a", "b").agg(F.array_sort(F.collect_list(F.struct("step", "alpha"))).alias("_steps"))
     side = {k: images.select(F.col("img").alias(k), F.col("height").alias(f"h{k}"), F.col("width").alias(f"w{k}"),
                              F.col("v").alias(f"v{k}")) for k in "ab"}
-    j = pairs.join(side["a"], "a").join(side["b"], "b").filter("ha = hb and wa = wb")
+    j = pairs.join(side["a"], "a").join(side["b"], "b")
+    readable = images.filter("height > 0 and width > 0 and size(v) = height * width")
+    size = readable.agg(F.min_by(F.struct("height", "width"), "img")).scalar()
+
+    def grid(v, h, w, height, width):
+        if v is None or pd.isna(h) or pd.isna(w) or len(v) != h * w or h * w == 0 or pd.isna(height):
+            return None
+        a = np.asarray(v, float).reshape(int(h), int(w))
+        return a.ravel() if a.shape == (height, width) else _nearest(a, int(height), int(width)).ravel()
 
     @F.pandas_udf("array<double>")
-    def mix(p: pd.Series, q: pd.Series, u: pd.Series, w: pd.Series) -> pd.Series:
+    def mix(p: pd.Series, q: pd.Series, u: pd.Series, w: pd.Series, shapes: pd.DataFrame) -> pd.Series:
         out = []
-        for m, n, s, t in zip(p, q, u, w):
-            z = s * np.asarray(m, float) + t * np.asarray(n, float)
+        for m, n, s, t, k in zip(p, q, u, w, shapes.itertuples(index=False)):
+            m, n = grid(m, k.ha, k.wa, k.height, k.width), grid(n, k.hb, k.wb, k.height, k.width)
+            if m is None or n is None:
+                out.append(None)
+                continue
+            z = s * m + t * n
             out.append(((z ** gamma if gamma != 1.0 else z) > threshold).astype(float))
-        return pd.Series(out)
-    one = j.withColumn("_s", F.explode("_steps"))
+        return pd.Series(out, dtype=object)
+    one = j.withColumn("_s", F.explode("_steps")).withColumn("_t", size)
+    shapes = F.struct("ha", "wa", "hb", "wb", F.col("_t.height").alias("height"), F.col("_t.width").alias("width"))
     w = weight(F.col("_s.alpha"))
     wa, wb = (F.lit(float(weights[0])), F.lit(float(weights[1]))) if weights else (1 - w, w)
-    return one.select("a", "b", "_s.step", F.col("ha").alias("height"), F.col("wa").alias("width"),
-                      mix("va", "vb", wa, wb).alias("v"))
+    return one.select("a", "b", "_s.step", "_t.height", "_t.width", mix("va", "vb", wa, wb, shapes).alias("v")).select(
+        "*", F.when(F.col("v").isNull(), "unreadable image").otherwise("ok").alias("status"))
 
 
 def morph(planned: DataFrame, images: DataFrame, method: str = "linear", gamma: float = 1.0,
           threshold: float = 0.5) -> DataFrame:
-    """Blend the pixels of two equally large images; ``spline`` eases the step."""
+    """Blend the pixels of two images, brought to one size; ``spline`` eases the step."""
     ease = (lambda a: a * a * a * (a * (a * 6 - 15) + 10)) if method == "spline" else (lambda a: a)
     return _blended(planned, images, ease, gamma, threshold)
 

@@ -20,10 +20,11 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[fl
     A bounded sketch brackets every wanted rank; only the rows inside a bracket
     are ranked (at most 6/accuracy of the group, or the whole group when it is
     small), after equal values are folded into counts.  Ranks below the bracket
-    are counted exactly, so the sketch cannot change the result.
+    are counted exactly, so the sketch cannot change the result.  NULL and NaN
+    are no values and count nowhere, also not in ``extra``.
     """
     keys, k = list(keys), len(probs)
-    rows = df.filter(F.col(value).isNotNull())
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     off = 3.0 / accuracy
     edges = [max(p - off, 0.0) for p in probs] + [min(p + off, 1.0) for p in probs]
     sketch = rows.groupBy(*keys).agg(

@@ -30,16 +30,6 @@ def kmeans(spark, d):
     return c.agg(F.sum("n").alias("n"), F.count("*").alias("clusters"), (F.sum("w") < one).alias("better_than_one"))
 
 
-@query("clu_03")
-def hierarchical(spark, d):
-    return C.hierarchical(_z(spark, d), PCS, "ID", k=3).select("ID", "cluster")
-
-
-@query("clu_04")
-def by_height(spark, d):
-    return C.hierarchical(_z(spark, d), PCS, "ID", height=2.0).select("ID", "cluster")
-
-
 @query("clu_05")
 def wcss(spark, d):
     c = C.wcss_curve(_z(spark, d), PCS, 4, nstart=3)

@@ -113,12 +113,6 @@ def sequence_pairs(spark, d):
     return p.select("a", "b", "step", r6(F.col("alpha")).alias("alpha"))
 
 
-@query("jon_13", """SELECT p.n_nationkey AS a, q.n_nationkey AS b, step::INT AS step, R6(step/4.0) AS alpha FROM nation p JOIN nation q ON p.n_nationkey < q.n_nationkey, range(1, 4) t(step)""")
-def matrix_pairs(spark, d):
-    p = J.all_pairs(X.table(spark, d, "nation").select("n_nationkey"), "n_nationkey", 3)
-    return p.select("a", "b", "step", r6(F.col("alpha")).alias("alpha"))
-
-
 @query("jon_14", """WITH a AS (SELECT vec_id AS ask, embedding[1]::DOUBLE + 0.0004 AS x, embedding[2]::DOUBLE - 0.0003 AS y FROM embeddings)
 SELECT ask, min(vec_id) AS found FROM a JOIN embeddings ON abs(embedding[1]::DOUBLE - x) < 0.001 AND abs(embedding[2]::DOUBLE - y) < 0.001 GROUP BY ask""")
 def hover(spark, d):

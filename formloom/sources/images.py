@@ -88,24 +88,27 @@ def default_seed(mask: np.ndarray) -> tuple[int, int] | None:
 
 def extract_outlines(images: DataFrame, threshold: float = 0.5,
                      seed: Callable[[np.ndarray], tuple[int, int] | None] = default_seed) -> DataFrame:
-    """``img, coo``: outline of the dark object of every image, y pointing up.
+    """``img, coo, status``: outline of the dark object of every image, y pointing up.
 
-    ``seed(mask)`` may be any function giving a pixel inside the object.
+    ``seed(mask)`` may be any function giving a pixel inside the object.  An
+    image without an object, or unreadable, keeps a row without ``coo``.
     """
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            names, xs, ys = [], [], []
+            out = []
             for img, h, w, v in zip(pdf["img"], pdf["height"], pdf["width"], pdf["v"]):
-                mask = np.asarray(v, float).reshape(h, w) <= threshold
-                at = seed(mask)
+                if v is None or pd.isna(h) or pd.isna(w) or len(v) != h * w or h * w == 0:
+                    out.append((img, None, None, "unreadable image"))
+                    continue
+                mask = np.asarray(v, float).reshape(int(h), int(w)) <= threshold
+                at = seed(mask) if mask.any() else None
                 if at is None:
+                    out.append((img, None, None, "no object"))
                     continue
                 p = trace(mask, at)
-                names.append(img)
-                xs.append(p[:, 1].astype(float) + 1)
-                ys.append(h - p[:, 0].astype(float) - 1)
-            yield pd.DataFrame({"img": names, "x": xs, "y": ys})
+                out.append((img, p[:, 1].astype(float) + 1, h - p[:, 0].astype(float) - 1, "ok"))
+            yield pd.DataFrame(out, columns=["img", "x", "y", "status"], dtype=object)
     kind = images.schema["img"].dataType.simpleString()
     out = images.select("img", "height", "width", "v").mapInPandas(
-        run, f"img {kind}, x array<double>, y array<double>")
-    return out.select("img", F.zip_with("x", "y", pt).alias("coo"))
+        run, f"img {kind}, x array<double>, y array<double>, status string")
+    return out.select("img", F.zip_with("x", "y", pt).alias("coo"), "status")

@@ -1,8 +1,7 @@
 """PCA models as tables: rotation, center, sdev and key/value metadata.
 
 In memory a model is a small ``Model`` of long tables.  Their size is the
-number of coefficients times the number of axes (harmonics are capped at 100,
-so at most 400 x 400), never the number of specimens.
+number of coefficients times the number of axes, never the number of specimens.
 """
 
 from __future__ import annotations
@@ -13,8 +12,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-MAX_COEFFICIENTS = 400
-
 
 @dataclass
 class Model:
@@ -35,11 +32,8 @@ def coefficient_name(pos, nb_h):
 
 
 def save_model(model: Model, path: str) -> None:
-    """Four CSV folders; the rotation is wide, one column per axis."""
-    pcs = [r.pc for r in model.sdev.select("pc").orderBy("pc").limit(MAX_COEFFICIENTS).collect()]
-    wide = model.rotation.groupBy("coefficient", "pos").pivot("pc", pcs).agg(F.first("loading"))
-    wide.select("coefficient", "pos", *[F.col(f"`{p}`").alias(f"PC{p}") for p in pcs]).write.option(
-        "header", True).csv(f"{path}/rotation")
+    """Four folders; the rotation is long, one CSV row per coefficient and axis."""
+    model.rotation.select("coefficient", "pos", "pc", "loading").write.option("header", True).csv(f"{path}/rotation")
     model.center.select("coefficient", "pos", "value").write.option("header", True).csv(f"{path}/center")
     model.sdev.select(F.concat(F.lit("PC"), F.col("pc").cast("string")).alias("PC"), "sdev",
                       "variance_pct").write.option("header", True).csv(f"{path}/sdev")
@@ -59,23 +53,29 @@ def _coef_position(names: DataFrame) -> DataFrame:
 
 def load_model(spark: SparkSession, rotation: str, center: str, sdev: str,
                metadata: str | None = None, validate: bool = True) -> Model:
-    """Read and check a model; a missing harmonic count becomes rows/4."""
-    wide, cen, sd = _csv(spark, rotation), _csv(spark, center), _csv(spark, sdev)
-    pcs = [c for c in wide.columns if c.startswith("PC")]
-    if "pos" not in wide.columns:
-        wide, cen = _coef_position(wide), _coef_position(cen)
-    cells = F.explode(F.array(*[F.struct(
-        F.lit(int(c[2:])).alias("pc"), F.col(c).cast("double").alias("loading")) for c in pcs])).alias("r")
-    rot = wide.select("coefficient", F.col("pos").cast("int").alias("pos"), cells).select(
-        "coefficient", "pos", "r.pc", "r.loading")
-    cen = cen.select("coefficient", F.col("pos").cast("int").alias("pos"), F.col("value").cast("double").alias("value"))
-    sd = sd.select(F.expr("cast(substr(PC, 3) as int)").alias("pc"), F.col("sdev").cast("double").alias("sdev"),
-                   F.col("variance_pct").cast("double").alias("variance_pct"))
+    """Read and check a model; a missing harmonic count becomes rows/4.
+
+    The rotation is long (``pc``, ``loading``) or wide (one ``PC<n>`` column per axis).
+    """
+    read, cen, sd = _csv(spark, rotation), _csv(spark, center), _csv(spark, sdev)
+    if "pos" not in cen.columns:
+        cen = _coef_position(cen)
+    if "pos" not in read.columns:
+        read = read.join(cen.select("coefficient", "pos"), "coefficient")
+    if "loading" not in read.columns:
+        cells = F.explode(F.array(*[F.struct(F.lit(int(c[2:])).alias("pc"), F.col(c).alias("loading"))
+                                    for c in read.columns if c.startswith("PC")])).alias("r")
+        read = read.select("coefficient", "pos", cells).select("coefficient", "pos", "r.pc", "r.loading")
+    rot = read.select("coefficient", *[F.col(c).try_cast("int").alias(c) for c in ("pos", "pc")], F.col("loading").try_cast("double").alias("loading"))
+    cen = cen.select("coefficient", F.col("pos").try_cast("int").alias("pos"), F.col("value").try_cast("double").alias("value"))
+    sd = sd.select(F.expr("try_cast(substr(PC, 3) as int)").alias("pc"), F.col("sdev").try_cast("double").alias("sdev"),
+                   F.col("variance_pct").try_cast("double").alias("variance_pct"))
     n_coef = cen.count()
     if validate:
-        if wide.count() != n_coef:
+        size = rot.agg(F.count_distinct("coefficient").alias("rows"), F.count_distinct("pc").alias("axes")).first()
+        if size.rows != n_coef:
             raise ValueError("rotation rows and center values differ")
-        if sd.count() < len(pcs):
+        if sd.count() < size.axes:
             import warnings
             warnings.warn("fewer sdev rows than rotation axes", stacklevel=2)
     if metadata is None:

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.base import let, pt
+from ..operators.ranks import row_index
 
 STEM = r"([^/]+?)(?:\.[A-Za-z0-9]+)?$"
 
@@ -29,40 +30,60 @@ def _numbers(line: Column) -> Column:
     return F.split(F.trim(line), r"\s+")
 
 
-def _points(lines: Column) -> Column:
-    """Coordinate lines to points, other lines dropped."""
-    coord = r"^\s*[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?\s+[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?\s*$"
-    return F.transform(F.filter(lines, lambda l: l.rlike(coord)), lambda l: let(
-        _numbers(l), lambda v: pt(v.getItem(0).cast("double"), v.getItem(1).cast("double"))))
+COORDINATES = r"^\s*[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?\s+[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?\s*$"
+
+
+def _points(lines: Column, place: Column, also: str = r"^\s*$", least: Column | None = None) -> Column:
+    """Coordinate lines to points, up to ``least`` of them.
+
+    A line that is neither coordinates nor matches ``also``, or fewer than
+    ``least`` points, raises with ``place``: no point is lost in silence.
+    """
+    def points(found):
+        return F.transform(found, lambda l: let(_numbers(l), lambda v: pt(
+            v.getItem(0).try_cast("double"), v.getItem(1).try_cast("double"))))
+
+    def checked(found):
+        odd = F.filter(lines, lambda l: ~l.rlike(COORDINATES) & ~l.rlike(also))
+        short = F.lit(False) if least is None else F.size(found) < least
+        kept = found if least is None else F.slice(found, F.lit(1), least)
+        return F.when(F.size(odd) > 0, F.raise_error(F.concat(F.lit("no coordinates in "), place, F.lit(": "), F.get(odd, F.lit(0))))).when(
+            short, F.raise_error(F.concat(F.lit("fewer points than the header says in "), place))).otherwise(points(kept))
+    return checked(F.filter(lines, lambda l: l.rlike(COORDINATES)))
 
 
 def read_outlines(spark: SparkSession, path: str, id_pattern: str = STEM) -> DataFrame:
     """``id, coo``: one whitespace table per file, row order is outline order.
 
-    ``id_pattern`` picks the id out of the file path (default: the stem).
+    ``id_pattern`` picks the id out of the file path (default: the stem).  A
+    line that does not parse raises with its file.
     """
     raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
     return raw.select(F.regexp_extract(F.input_file_name(), id_pattern, 1).alias("id"),
-                      _points(F.split("value", r"\r?\n")).alias("coo"))
+                      _points(F.split("value", r"\r?\n"), F.input_file_name()).alias("coo"))
 
 
 def read_tps(spark: SparkSession, path: str, curves: bool = True) -> DataFrame:
     """``specimen, scale, part, part_no, seq, x, y`` from TPS files.
 
-    The record header is the reader's separator, so one large file is split
-    over tasks.  ``LM=`` gives the number of landmarks; a record without curves
-    but with ``POINTS=`` (outline files, ``LM=0``) takes that count instead.
-    Records without ``IMAGE=`` and ``ID=`` are numbered within their file.
+    The record header at a line's start is the reader's separator, so one large
+    file is split over tasks.  ``LM=`` gives the number of landmarks; a record
+    without curves but with ``POINTS=`` (outline files, ``LM=0``) takes that
+    count instead.  Fewer points than that, or a line that is neither points nor
+    a key, raise.  Records without ``IMAGE=`` and ``ID=`` are numbered within
+    their file.
     """
-    raw = spark.read.option("lineSep", "LM=").text(path).withColumn("_f", F.input_file_name())
-    rec = raw.filter(F.trim("value") != "").withColumn("_m", F.monotonically_increasing_id())
+    raw = spark.read.option("lineSep", "\nLM=").text(path).withColumn("_f", F.input_file_name())
+    body = F.regexp_replace("value", r"^\s*LM=", "")  # the first record of a file keeps its header
+    rec = raw.withColumn("value", body).filter(F.col("value").rlike(r"\S")).withColumn("value", F.when(
+        F.col("value").rlike(r"^\s*[0-9]"), F.col("value")).otherwise(F.raise_error(
+            F.concat(F.lit("text before the first LM= in "), F.col("_f"))))).withColumn("_m", F.monotonically_increasing_id())
     key = lambda k: F.nullif(F.regexp_extract("value", rf"(?m)^{k}=([^\r\n]*)", 1), F.lit(""))
     rec = rec.withColumn("_name", F.coalesce(trim_extension(key("IMAGE")), key("ID")))
     named = rec.filter(F.col("_name").isNotNull())
-    from pyspark.sql import Window
-    loose = rec.filter(F.col("_name").isNull()).withColumn("_name", F.concat(
-        F.lit("id"), F.row_number().over(Window.partitionBy("_f").orderBy("_m")).cast("string")))
-    both = named.unionByName(loose)
+    loose = rec.filter(F.col("_name").isNull())
+    numbered = row_index(loose, "_m", "_no", within=["_f"])
+    both = named.unionByName(numbered.withColumn("_name", F.concat(F.lit("id"), F.col("_no").cast("string"))).drop("_no"))
     has_curves = F.col("value").rlike(r"(?m)^CURVES=")
     # block 0: landmarks and header; every later block: a point count and its lines
     blocks = F.split("value", r"(?m)^POINTS=")
@@ -76,11 +97,11 @@ def read_tps(spark: SparkSession, path: str, curves: bool = True) -> DataFrame:
     def part(name, no, b):
         return F.struct(F.lit(name).alias("part"), F.lit(no).cast("int").alias("part_no")
                         if isinstance(no, int) else no.cast("int").alias("part_no"),
-                        F.slice(_points(F.slice(lines_of(b), F.lit(2), F.size(lines_of(b)))),
-                                F.lit(1), counted(b)).alias("coo"))
+                        _points(F.slice(lines_of(b), F.lit(2), F.size(lines_of(b))), F.col("specimen"),
+                                r"^\s*(?:[A-Za-z_]+=.*)?$", counted(b)).alias("coo"))
     marks = both.select(
         F.col("_name").alias("specimen"), key("SCALE").try_cast("double").alias("scale"),
-        has_curves.alias("_c"), blocks.alias("_b"))
+        has_curves.alias("_c"), blocks.alias("_b"))  # a block's first line ends the header before it
     head = F.element_at("_b", 1)
     first = F.when(~F.col("_c") & (F.size("_b") > 1), part("landmark", 0, F.element_at("_b", 2))).otherwise(
         part("landmark", 0, head))
@@ -99,8 +120,8 @@ def read_curve_points(spark: SparkSession, path: str, id_pattern: str = STEM) ->
     rows = lines.filter(F.trim("value") != "").select(
         F.regexp_extract(F.input_file_name(), id_pattern, 1).alias("specimen"), v.alias("v")).select(
         "specimen", F.expr("substr(v[0], 1, length(v[0]) - 4)").alias("locus"),
-        F.expr("cast(right(v[0], 4) as int)").alias("seq"),
-        F.expr("cast(v[1] as double)").alias("x"), F.expr("cast(v[2] as double)").alias("y"))
+        F.expr("try_cast(right(v[0], 4) as int)").alias("seq"),
+        F.expr("try_cast(v[1] as double)").alias("x"), F.expr("try_cast(v[2] as double)").alias("y"))
     return by_locus(rows)
 
 
@@ -116,13 +137,13 @@ def by_locus(points: DataFrame) -> DataFrame:
 
 
 def read_landmark_points(spark: SparkSession, path: str, id_pattern: str = STEM) -> DataFrame:
-    """``specimen, name, x, y`` from lines ``name x y``."""
+    """``specimen, name, x, y`` from lines ``name x y``; a value that is no number (``NA``) is NULL."""
     lines = spark.read.option("recursiveFileLookup", True).text(path)
     v = F.col("v")
     return lines.filter(F.trim("value") != "").select(
         F.regexp_extract(F.input_file_name(), id_pattern, 1).alias("specimen"),
         _numbers(F.col("value")).alias("v")).select(
-        "specimen", v[0].alias("name"), v[1].cast("double").alias("x"), v[2].cast("double").alias("y"))
+        "specimen", v[0].alias("name"), F.get(v, F.lit(1)).try_cast("double").alias("x"), F.get(v, F.lit(2)).try_cast("double").alias("y"))
 
 
 def pc_columns(columns: Sequence[str], max_pcs: int | None = None) -> list[str]:
@@ -134,14 +155,15 @@ def pc_columns(columns: Sequence[str], max_pcs: int | None = None) -> list[str]:
 def read_scores(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
     """Score columns of a table as doubles; at least two are needed.
 
-    Only the wanted columns are read; nothing is inferred from the data.
+    Only the wanted columns are read; nothing is inferred from the data.  A
+    value that is no number (``NA``) is NULL.
     """
     df = spark.read.option("header", True).csv(path) if fmt == "csv" else spark.read.format(fmt).load(path)
     pcs = pc_columns(df.columns)
     if len(pcs) < 2:
         raise ValueError("at least two PC columns are needed")
     keep = ["ID"] if "ID" in df.columns else []
-    return df.select(*keep, *[F.col(c).cast("double").alias(c) for c in pcs])
+    return df.select(*keep, *[F.col(c).try_cast("double").alias(c) for c in pcs])
 
 
 def write_scores(scores: DataFrame, path: str, fmt: str = "parquet") -> None:

@@ -146,22 +146,6 @@ def test_regions_touch_along_sides(spark):
 # ---- clusters ------------------------------------------------------------------------------
 
 
-def test_complete_linkage_is_greedy_merging():
-    p = np.random.default_rng(6).random((40, 2))
-    d = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1))
-    groups = [[i] for i in range(40)]
-    heights = []
-    while len(groups) > 1:
-        h, a, b = min((max(d[i, j] for i in x for j in y), m, n) for m, x in enumerate(groups)
-                      for n, y in enumerate(groups) if m < n)
-        heights.append(h)
-        groups[a] += groups.pop(b)
-    merges = cluster.complete_linkage(p)
-    assert [m[0] for m in merges] == pytest.approx(heights)
-    labels = cluster.cut_tree(40, merges, k=3)
-    assert labels[0] == 1 and set(labels) == {1, 2, 3}
-
-
 def test_silhouette_in_blocks(spark):
     rng = np.random.default_rng(7)
     p = np.round(rng.random((120, 2)), 1)
@@ -180,11 +164,19 @@ def test_silhouette_in_blocks(spark):
     assert w == pytest.approx(sum(d[np.ix_(c == k, c == k)].sum() / (c == k).sum() / 4 for k in range(3)))
 
 
-def test_kmeans_and_hierarchical_find_two_groups(spark):
+def test_kmeans_finds_two_groups(spark):
     s = two_clusters(spark)
-    for out in (cluster.kmeans(s, ["PC1", "PC2"], 2, nstart=3), cluster.hierarchical(s, ["PC1", "PC2"], "ID", k=2)):
-        sides = {(r.cluster, r.right): r["count"] for r in out.groupBy("cluster", (F.col("ID") >= 50).alias("right")).count().collect()}
-        assert max(sides.values()) == 50 and sum(v for v in sides.values() if v < 25) < 10
+    out = cluster.kmeans(s, ["PC1", "PC2"], 2, nstart=3)
+    sides = {(r.cluster, r.right): r["count"] for r in out.groupBy("cluster", (F.col("ID") >= 50).alias("right")).count().collect()}
+    assert max(sides.values()) == 50 and sum(v for v in sides.values() if v < 25) < 10
+
+
+def test_wide_model_round_trip(spark, tmp_path):
+    p = 450
+    basis = pca.Basis(np.arange(p, dtype=float), np.linalg.qr(np.random.default_rng(1).random((p, p)))[0], np.ones(p))
+    model.save_model(pca.to_tables(spark, basis), str(tmp_path / "wide"))
+    back = pca.from_tables(model.load_model_folder(spark, str(tmp_path / "wide")))
+    assert back.rotation.shape == (p, p) and np.allclose(back.rotation, basis.rotation) and np.allclose(back.center, basis.center)
 
 
 def test_first_se_max(spark):

@@ -146,15 +146,69 @@ def test_filters_and_guards(spark):
     df = spark.createDataFrame([("a1", "5"), ("b2", "x"), (None, "7")], "k string, v string")
     assert [r.k for r in filters.apply_filters(df, [("v", "gt", "4"), ("k", "not_na")]).collect()] == ["a1"]
     assert filters.apply_filters(df, [("k", "ne", "a1")]).count() == 1
+    assert [r.v for r in filters.apply_filters(df, [("v", "ge", 5)]).collect()] == ["5", "7"]
+    assert [r.v for r in filters.apply_filters(df, [("v", "eq", 5)]).collect()] == ["5"]
+    assert filters.apply_filters(df, [("v", "lt", "x")]).count() == 0
+    n = spark.createDataFrame([(5,), (6,)], "v int")
+    assert filters.apply_filters(n, [("v", "eq", "5.0")]).count() == 1 and filters.apply_filters(n, [("v", "eq", "x")]).count() == 0
     with pytest.raises(ValueError, match="at least 4"):
         filters.require_rows(df, 4)
     with pytest.raises(ValueError, match="two levels"):
         joins.paired_groups(df, "k", "v", [])
 
 
-def test_matrix_has_a_limit(spark):
-    with pytest.raises(ValueError, match="at most"):
-        joins.all_pairs(spark.range(joins.MAX_ITEMS + 5), "id", 1)
+def test_malformed_text_raises_or_is_null(spark, tmp_path):
+    (tmp_path / "o").mkdir()
+    (tmp_path / "o" / "a.txt").write_text("1 2\n3 4\n5 x\n")
+    with pytest.raises(Exception, match="no coordinates in .*a.txt: 5 x"):
+        text.read_outlines(spark, str(tmp_path / "o")).collect()
+    tps = tmp_path / "t.tps"
+    tps.write_text("LM=2\n1 2\n3 4\nIMAGE=FILM=7.jpg\nLM=1\n5 6\nID=second\nLM=1\n7 8\n")
+    rows = text.read_tps(spark, str(tps)).orderBy("specimen", "seq").collect()
+    assert [(r.specimen, r.x) for r in rows] == [("FILM=7", 1), ("FILM=7", 3), ("id1", 7), ("second", 5)]
+    tps.write_text("LM=3\n1 2\n3 4\nID=a\n")
+    with pytest.raises(Exception, match="fewer points than the header says in a"):
+        text.read_tps(spark, str(tps)).collect()
+    tps.write_text("LM=1\n1 2\n? ?\nID=a\n")
+    with pytest.raises(Exception, match="no coordinates in a"):
+        text.read_tps(spark, str(tps)).collect()
+    (tmp_path / "s.csv").write_text("ID,PC1,PC2\na,NA,2\nb,1.5,x\n")
+    assert [tuple(r) for r in text.read_scores(spark, str(tmp_path / "s.csv")).orderBy("ID").collect()] == [("a", None, 2.0), ("b", 1.5, None)]
+
+
+def test_blank_and_short_images_keep_a_row(spark):
+    kind = "img string, height int, width int, v array<double>"
+    box = np.ones((6, 6))
+    box[2:4, 2:4] = 0
+    bad = spark.createDataFrame([("blank", 3, 3, [1.0] * 9), ("short", 3, 3, [1.0]), ("none", 2, 2, None)], kind)
+    found = {r.img: (r.status, r.coo) for r in images.extract_outlines(image(spark, box).unionByName(bad)).collect()}
+    assert found["x"][0] == "ok" and len(found["x"][1]) == 4
+    assert {k: v for k, v in found.items() if k != "x"} == {"blank": ("no object", None), "short": ("unreadable image", None), "none": ("unreadable image", None)}
+    assert images.extract_outlines(bad).count() == 3
+    halves = pixels.half_crop(image(spark, box).unionByName(bad), "right").collect()
+    assert sorted((r.img, r.status) for r in halves) == [("blank", "ok"), ("none", "unreadable image"), ("short", "unreadable image"), ("x", "ok")]
+
+
+def test_morph_keeps_every_planned_pair(spark):
+    im = image(spark, np.ones((4, 4)), "a").unionByName(image(spark, np.zeros((8, 2)), "b")).unionByName(image(spark, np.ones((4, 4)), "c"))
+    im = im.unionByName(spark.createDataFrame([("d", 3, 3, [1.0])], "img string, height int, width int, v array<double>"))
+    got = {(r.a, r.b): (r.status, r.height, r.width, r.v and len(r.v)) for r in pixels.morph(pixels.plan(im, "sequence", 1), im).collect()}
+    assert got == {("a", "b"): ("ok", 4, 4, 16), ("b", "c"): ("ok", 4, 4, 16), ("c", "d"): ("unreadable image", 4, 4, None)}
+
+
+def test_duplicate_stems_raise(spark):
+    o = spark.createDataFrame([("s", 10, [(0.0, 0.0), (1.0, 1.0)])], "stem string, height int, coo array<struct<x:double,y:double>>")
+    marks = spark.createDataFrame([("s", 1, 1.0, 9.0)], "stem string, seq int, x double, y double")
+    assert joins.tie_landmarks(o, marks).first().ldk == [2]
+    for a, b in ((o.unionAll(o), marks), (o, marks.unionAll(marks))):
+        with pytest.raises(Exception, match="more than one outline"):
+            joins.tie_landmarks(a, b).collect()
+
+
+def test_nan_is_no_value_in_quantiles(spark):
+    from formloom.operators.ranks import quantiles
+    df = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, float("nan"), None)], "v double")
+    assert tuple(quantiles(df, [], "v", [0.5, 1.0], ["med", "top"]).first()) == (2.0, 3.0)
 
 
 def test_lookup_takes_the_first(spark):
