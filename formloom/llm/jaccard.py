@@ -7,9 +7,9 @@ Documents with equal sets are one class from the start; links are found between
 * Heavy: all other pairs share an element among the first ``n - ceil(t * n) + 1`` of each set in one order of all elements
   (rarer ones first, by counts over all documents in a table of fixed size). Inverted lists of these elements are
   scanned. First every class is held against one head of its lists, so groups of near copies fall
-  together in work linear in their size; then pairs that share a list and are still apart are counted, those whose shared count
-  cannot reach ``o`` leave, and the rest are verified on their whole sets. No pair is left out: each pair that
-  shares a list was verified or already is in one component.
+  together in work linear in their size; then pairs that are still apart and share enough of their first elements are counted, those whose
+  count and rest cannot reach ``o`` leave, and the others are verified on their whole sets. No pair is left out: each pair that
+  can link was verified or already is in one component.
 * The boundary is the size with the least cost by the histogram of small sizes: rows of subsets below, rows of lists above.
 
 A class is named by a 64-bit hash of its set, and shingles are 64-bit hashes. Null and empty texts have an empty set and link with
@@ -98,7 +98,7 @@ def levels(cells: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(np.log2(over + 1)), 31).astype(np.uint8)
 
 
-SETS = "doc_id long, n long, cid long, last long, tokens array<long>, small array<long>"
+SETS = "doc_id long, n long, cid long, tokens array<long>, small array<long>"
 
 
 def class_ids(h: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -121,14 +121,13 @@ def sets(docs: DataFrame, size: int, t: int) -> DataFrame:
             rows = b.to_pydict()
             h, n = shingle_sets([ascii_lower(x or "") for x in rows["text"]], size)
             cid = class_ids(h, n)
-            order = held.value[(h >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(38) | h >> np.uint64(26)
+            order = held.value[(h >> np.uint64(44)).astype(np.int64)].astype(np.uint64) << np.uint64(50) | h >> np.uint64(14)
             text = np.repeat(np.arange(len(n)), n)
             order = order[np.lexsort((order, text))].astype(np.int64)
             start = np.cumsum(n) - n
             first = np.where(n > 0, n - kept_by_any(n, t) + 1, 0)
             yield record(out, {
                 "doc_id": rows["doc_id"], "n": n, "cid": [c if k else None for c, k in zip(cid.tolist(), n.tolist())],
-                "last": [int(order[s + f - 1]) if f else None for s, f in zip(start.tolist(), first.tolist())],
                 "tokens": [order[s:s + f] for s, f in zip(start.tolist(), first.tolist())],
                 "small": [h[s:s + k].view(np.int64) if 0 < k <= LARGEST_SMALL else None for s, k in zip(start.tolist(), n.tolist())]})
     return docs.mapInArrow(run, SETS)
@@ -204,11 +203,29 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, t: i
     return spread.mapInArrow(test, link).distinct()
 
 
-def _possible(n_a: Column, n_b: Column, last_a: Column, last_b: Column, shared: Column, t: int) -> Column:
-    """Whether sets with so many shared first elements can link: the set whose first elements end earlier has only the rest to offer."""
-    o = F.ceil(F.lit(t) * (n_a + n_b) / F.lit(100.0 + t) - 1e-9)
-    rest = F.when(last_a <= last_b, F.ceil(n_a * t / 100.0 - 1e-9)).otherwise(F.ceil(n_b * t / 100.0 - 1e-9)) - 1
-    return (shared >= o - rest) & _near(n_a, n_b, t)
+def _up(x: Column, t: int, of: int = 100) -> Column:
+    """ceil(x * t / of) of whole numbers."""
+    return F.floor((x * t + of - 1) / of)
+
+
+def _pairs(apart: DataFrame, t: int) -> DataFrame:
+    """Pairs (a, b) that may link, of rows (token, cid, n, pos, root) that share a token and aren't in one component.
+
+    Linked sets share k elements among the first n - o + k of each, for every k that their first elements allow; half
+    of the largest k is taken. Past the last element they share there they can share no more than the shorter rest.
+    """
+    def side(x):
+        return apart.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "n", "pos", "root")])
+    n_a, n_b = F.col("n_a"), F.col("n_b")
+    o = _up(n_a + n_b, t, 100 + t)
+    k = F.floor((o - _up(F.greatest("n_a", "n_b"), t)) / 2) + 1
+    first = (F.col("pos_a") <= n_a - o + k) & (F.col("pos_b") <= n_b - o + k)
+    met = side("a").join(side("b"), "token").where(
+        (F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b")) & _near(n_a, n_b, t) & first)
+    met = met.groupBy("cid_a", "cid_b", "n_a", "n_b").agg(
+        F.count("*").alias("c"), F.max("pos_a").alias("at_a"), F.max("pos_b").alias("at_b"))
+    rest = F.least(n_a - F.col("at_a"), n_b - F.col("at_b"))
+    return met.where((F.col("c") >= k) & (F.col("c") + rest >= o)).select(F.col("cid_a").alias("a"), F.col("cid_b").alias("b"))
 
 
 def _near(n_a: Column, n_b: Column, t: int) -> Column:
@@ -218,10 +235,10 @@ def _near(n_a: Column, n_b: Column, t: int) -> Column:
 def heavy_links(rows: DataFrame, reps: DataFrame, docs: DataFrame, largest: int, links: DataFrame, size: int, t: int,
                 rounds: int = 2) -> DataFrame:
     """Links of pairs with a set above the boundary; ``links`` are those already known."""
-    listed = rows.where(F.col("n") * 100 > t * largest).select(F.explode("tokens").alias("token"), "cid")
+    listed = rows.where(F.col("n") * 100 > t * largest).select(F.posexplode("tokens").alias("pos", "token"), "cid")
     shared = listed.groupBy("token").agg(F.min("cid").alias("x"), F.max("cid").alias("z")).where("x < z").select("token")
-    about = reps.select("cid", "n", "last")
-    lists = cut(listed.join(shared, "token").distinct().join(about, "cid"))
+    once = listed.join(shared, "token").groupBy("token", "cid").agg((F.min("pos") + 1).alias("pos"))
+    lists = cut(once.join(reps.select("cid", "n"), "cid"))
     for k in range(rounds + 1):
         known = components(links)
         apart = lists.join(known.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -229,18 +246,14 @@ def heavy_links(rows: DataFrame, reps: DataFrame, docs: DataFrame, largest: int,
         apart = apart.join(open_lists, "token")
         if k < rounds:
             # a head for each list and round, of one class; every class then meets the head that it shares most lists with
-            pick = F.min(F.struct(F.xxhash64("cid", F.lit(k)), "cid", "n", "last", "root"))
+            pick = F.min(F.struct(F.xxhash64("cid", F.lit(k)), "cid", "n", "root"))
             heads = apart.groupBy("token").agg(pick.alias("h"))
             met = apart.join(heads, "token").where((F.col("h.root") != F.col("root")) & _near(F.col("n"), F.col("h.n"), t))
             met = met.groupBy(F.col("cid").alias("a"), F.col("h.cid").alias("b")).agg(F.count("*").alias("c"))
             best = met.groupBy("a").agg(F.max(F.struct("c", "b")).alias("m"))
             pairs = best.where(F.col("m.c") > 2).select("a", F.col("m.b").alias("b"))
         else:
-            one = apart.select("token", F.col("cid").alias("a"), F.col("n").alias("n_a"), F.col("last").alias("l_a"), F.col("root").alias("r_a"))
-            two_ = apart.select("token", F.col("cid").alias("b"), F.col("n").alias("n_b"), F.col("last").alias("l_b"), F.col("root").alias("r_b"))
-            met = one.join(two_, "token").where((F.col("a") < F.col("b")) & (F.col("r_a") != F.col("r_b")) & _near(F.col("n_a"), F.col("n_b"), t))
-            met = met.groupBy("a", "b", "n_a", "n_b", "l_a", "l_b").agg(F.count("*").alias("c"))
-            pairs = met.where(_possible(F.col("n_a"), F.col("n_b"), F.col("l_a"), F.col("l_b"), F.col("c"), t)).select("a", "b")
+            pairs = _pairs(apart, t)
         links = links.unionByName(cut(verified(pairs, reps, docs, size, t)))
     return links
 
@@ -250,7 +263,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     docs = two(docs, id_col, text_col)
     rows = cut(sets(docs, size, t))
     full = rows.where(F.col("cid").isNotNull())
-    reps = cut(full.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.max("last").alias("last")))
+    reps = cut(full.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
     histogram = {r[0]: r[1] for r in reps.where(F.col("n") <= LARGEST_SMALL).groupBy("n").count().collect()}  # 20 rows
     largest = boundary(histogram, t)
     small = full.where(F.col("n") <= largest).select("cid", "n", "small").dropDuplicates(["cid"])
