@@ -6,7 +6,7 @@ one aligned string (row) for each place. Contexts that are equal as a whole need
 repeats. The distinct contexts of all anchors of a slice go through the column-wise construction: round by round one symbol of
 each row is added, the rows' order by reversed prefix (the collection's Burrows-Wheeler transform, column by column) and the common
 lengths of neighbours are updated, and where a common length reaches ``length`` the string that ends there repeats.
-The rounds read their columns from a table in the shared folder; memory holds one slice of rows with its order and lengths.
+The rows come in sequence from files sorted by anchor (of the shuffle); memory holds one slice of them with its order and lengths.
 Anchors with more than ``most`` distinct contexts are left out of the slices: their strings are counted one by one in an aggregation.
 
 A document's bytes are its UTF-8 text, a null text is empty; repeats never cross documents, may overlap, and count within
@@ -152,13 +152,13 @@ CONTEXTS = "anchor long, context long, many boolean, left int, symbols binary"
 
 def read_contexts(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """The bytes of the wanted contexts (row, array of anchor, context, many, place, left, right)."""
-    joined = rows.join(wanted, "row").select("text", "wanted")
+    joined = rows.join(wanted, "row").select("doc_id", "text", "wanted")  # the same shuffle of documents serves the end
     out = arrow_schema(rows.sparkSession, CONTEXTS)
 
     def run(batches):
         for b in slices(batches, "text"):
             cols: dict = {f: [] for f in out.names}
-            for text, some in zip(*b.to_pydict().values()):
+            for _, text, some in zip(*b.to_pydict().values()):
                 raw = (text or "").encode("utf-8", "surrogatepass")
                 for w in some:
                     for f in ("anchor", "context", "many", "left"):
@@ -197,6 +197,8 @@ def repeated_parts(contexts: DataFrame, length: int, gram: int, held: int = 8192
         kept: list[list] = [[], [], [], []]
         for b in batches:
             for row in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist()):
+                if kept[0] and row[:2] == (kept[0][-1], kept[1][-1]):
+                    continue  # the same context, sent by equal rows
                 if len(kept[0]) >= held and row[0] != kept[0][-1]:
                     yield rounds(*kept)
                     kept = [[], [], [], []]
@@ -205,7 +207,7 @@ def repeated_parts(contexts: DataFrame, length: int, gram: int, held: int = 8192
         if kept[0]:
             yield rounds(*kept)
     dealt = contexts.where(~F.col("many")).select("anchor", "context", "left", "symbols")
-    return dealt.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, PARTS)
+    return dealt.repartition("anchor").sortWithinPartitions("anchor", "context").mapInArrow(run, PARTS)
 
 
 def counted_parts(contexts: DataFrame, length: int, gram: int) -> DataFrame:
@@ -220,7 +222,7 @@ def counted_parts(contexts: DataFrame, length: int, gram: int) -> DataFrame:
                 n = max(0, min(left, len(raw) - length) + 1)
                 yield record(out, {"anchor": [anchor] * n, "context": [context] * n, "start": [k - left for k in range(n)],
                                    "string": [hashlib.blake2b(raw[k:k + length], digest_size=16).digest() for k in range(n)]})
-    strings = contexts.where("many").select("anchor", "context", "left", "symbols").mapInArrow(run, schema)
+    strings = contexts.where("many").dropDuplicates(["anchor", "context"]).select("anchor", "context", "left", "symbols").mapInArrow(run, schema)
     place = ["anchor", "start", "string"]  # the anchor at one place: else a string with two anchors would count twice
     twice = strings.groupBy(*place).count().where("count > 1").select(*place)
     return strings.join(twice, place).select("anchor", "context", "start", (F.col("start") + length).alias("stop"))
@@ -229,7 +231,7 @@ def counted_parts(contexts: DataFrame, length: int, gram: int) -> DataFrame:
 def repeated_spans(docs: DataFrame, *, length: int = 400, gram: int = 32, most: int = 50_000) -> DataFrame:
     """(row, spans): the covered stretches of each row that has some, as unmerged (start, stop) in bytes.
 
-    ``docs`` has ``row`` (a hash of id and text) and ``text``.
+    ``docs`` has ``doc_id``, ``text`` and ``row`` (a hash of both).
     """
     anchors = cut(find_anchors(docs, length, gram))
     met = anchors.groupBy("anchor").agg(F.count("*").alias("n"), F.min("context").alias("x"), F.max("context").alias("z"))
@@ -240,24 +242,19 @@ def repeated_spans(docs: DataFrame, *, length: int = 400, gram: int = 32, most:
     # contexts that occur twice as a whole: all strings in them repeat
     whole = distinct.where((F.col("n") > 1) & (F.col("one.left") + F.col("one.right") >= length)).select(
         "anchor", "context", (-F.col("one.left")).alias("start"), F.col("one.right").alias("stop"))
-    counts = distinct.where("mixed").groupBy("anchor").agg((F.count("*") > most).alias("many"))
+    counts = cut(distinct.where("mixed").groupBy("anchor").agg((F.count("*") > most).alias("many")))
     sent = distinct.where("mixed").join(counts, "anchor").select(F.col("one.row").alias("row"), F.struct(
         "anchor", "context", "many", F.col("one.place").alias("place"), F.col("one.left").alias("left"), F.col("one.right").alias("right")).alias("w"))
-    wanted = _sized(sent.groupBy("row").agg(F.collect_list("w").alias("wanted")), "wanted")  # at most one for each byte of the row
-    contexts = cut(read_contexts(docs, wanted).dropDuplicates(["anchor", "context"]))
-    parts = whole.unionByName(repeated_parts(contexts, length, gram)).unionByName(counted_parts(contexts, length, gram))
+    wanted = sent.groupBy("row").agg(F.collect_list("w").alias("wanted"))  # at most one for each byte of the row
+    contexts = read_contexts(docs, wanted)
+    parts = whole.unionByName(repeated_parts(contexts, length, gram))
+    if not counts.where("many").isEmpty():
+        parts = parts.unionByName(counted_parts(contexts, length, gram))
     spans = again.join(parts, ["anchor", "context"]).select(
         "row", F.struct((F.col("place") + F.col("start")).alias("start"), (F.col("place") + F.col("stop")).alias("stop")).alias("span"))
     return spans.distinct().groupBy("row").agg(F.collect_list("span").alias("spans"))
 
 
-def _sized(df: DataFrame, column: str, most: int = 2_000_000) -> DataFrame:
-    """Written once; broadcast only if all its arrays together are small, else an ordinary join."""
-    kept = cut(df)
-    total = kept.agg(F.sum(F.size(column))).first()[0] or 0
-    return F.broadcast(kept) if total <= most else kept
-
-
 def merge(spans: list | None) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s in sorted((s["start"], s["stop"]) for s in spans or ()):
@@ -272,7 +269,7 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
                    most: int = 50_000) -> DataFrame:
     """doc_id, n_bytes, the removed ``spans`` (maximal, in bytes) and the ``kept`` bytes of every row."""
     rows = two(docs, id_col, text_col).withColumn("row", F.xxhash64("doc_id", "text"))
-    spans = _sized(repeated_spans(rows.select("row", "text"), length=length, gram=gram, most=most), "spans")
+    spans = repeated_spans(rows, length=length, gram=gram, most=most)
     schema = "doc_id long, n_bytes long, spans array<struct<start:int,stop:int>>, kept binary"
     out = arrow_schema(docs.sparkSession, schema)
 
