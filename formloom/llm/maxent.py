@@ -45,7 +45,7 @@ def tails(texts: list[bytes], tail_classes: int) -> np.ndarray:
     return (mix(pair + np.uint64(1)) % np.uint64(tail_classes)).astype(np.uint8)
 
 
-def write_blocks(docs: DataFrame, tail_classes: int, size: int = 16 << 20) -> DataFrame:
+def write_blocks(docs: DataFrame, tail_classes: int, size: int = 4 << 20) -> DataFrame:
     """``docs`` (doc_id, text, held) as a table of blocks, bucketed by block."""
     spark = docs.sparkSession
     out = arrow_schema(spark, BLOCKS)
