@@ -4,19 +4,17 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from multiprocessing.pool import ThreadPool
 
-import numpy as np
-import pandas as pd
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import draws
 from ..functions.base import div, double_array
 
-BLOCK_ROWS = 20_000
+FITS = 8  # side by side
 
 
 def standardise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -33,12 +31,12 @@ def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
 
 
 def _best_model(vec: DataFrame, k: int, nstart: int, seed: int):
-    best = None
-    for s in range(nstart):
-        m = KMeans(k=k, seed=seed + s, featuresCol="_v", predictionCol="cluster").fit(vec)
-        if best is None or m.summary.trainingCost < best.summary.trainingCost:
-            best = m
-    return best
+    """The fit of least cost over ``nstart`` seeds; fits run side by side on the persisted rows."""
+    def fit(i):
+        return KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="cluster").fit(vec)
+    with ThreadPool(min(nstart, FITS)) as pool:
+        models = pool.map(fit, range(nstart))
+    return min(models, key=lambda m: m.summary.trainingCost)
 
 
 def kmeans(df: DataFrame, cols: Sequence[str], k: int = 3, nstart: int = 20, seed: int = 1) -> DataFrame:
@@ -51,66 +49,46 @@ def kmeans(df: DataFrame, cols: Sequence[str], k: int = 3, nstart: int = 20, see
     return model.transform(_vectors(df, cols)).withColumn("cluster", F.col("cluster") + 1).drop("_v")
 
 
-# ---- distances between whole tables ---------------------------------------------------------
+# ---- spread within and between clusters -------------------------------------------------------
 
 
-def distance_sums(df: DataFrame, cols: Sequence[str], cluster: str, id_col: str, blocks: int | None = None) -> DataFrame:
-    """``id, cluster, other, total, n``: summed Euclidean distances to every cluster.
-
-    Equal rows are folded to one weighted row.  The folded table is cut into
-    blocks; a task takes one pair of blocks and returns sums per row and
-    cluster, so pairs of rows never leave the task that forms them.
-    """
+def cluster_sums(df: DataFrame, cols: Sequence[str], cluster: str) -> DataFrame:
+    """``c, n, s, q`` per cluster: rows, sums of the columns and sum of squares, from one aggregate."""
     cols = list(cols)
-    folded = df.groupBy(*cols, F.col(cluster).alias("_c")).agg(F.count("*").alias("_w"))
-    if blocks is None:
-        blocks = max(1, math.ceil(folded.count() / BLOCK_ROWS))
-    tagged = folded.withColumn("_b", F.pmod(F.xxhash64(*cols, "_c"), F.lit(blocks)).cast("int"))
-    side = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = tagged.withColumn("_i", F.col("_b")).withColumn("_j", F.explode(side)).drop("_b")
-    right = tagged.withColumn("_j", F.col("_b")).withColumn("_i", F.explode(side)).drop("_b")
-    kind = df.schema[cluster].dataType
-    schema = T.StructType(df.select(*cols).schema.fields + [
-        T.StructField("_c", kind), T.StructField("other", kind), T.StructField("total", T.DoubleType()),
-        T.StructField("n", T.DoubleType())])
-
-    def block(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        q, w = b[cols].to_numpy(float), b["_w"].to_numpy(float)
-        groups = [(c, g.to_numpy()) for c, g in pd.Series(np.arange(len(b))).groupby(b["_c"].to_numpy())]
-        for s in range(0, len(a), 512):
-            part = a.iloc[s:s + 512]
-            p = part[cols].to_numpy(float)
-            d2 = np.zeros((len(p), len(q)))
-            for k in range(len(cols)):
-                d2 += (p[:, k, None] - q[None, :, k]) ** 2
-            dist = np.sqrt(d2)
-            for c, pos in groups:
-                f = part[[*cols, "_c"]].copy()
-                f["other"], f["total"], f["n"] = c, dist[:, pos] @ w[pos], w[pos].sum()
-                out.append(f)
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame(columns=[f.name for f in schema.fields])
-    sums = left.groupBy("_i", "_j").cogroup(right.groupBy("_i", "_j")).applyInPandas(block, schema)
-    total = sums.groupBy(*cols, "_c", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
-    return df.select(id_col, *cols, F.col(cluster).alias("_c")).join(total, [*cols, "_c"]).select(
-        id_col, F.col("_c").alias("cluster"), "other", "total", "n")
+    return df.groupBy(F.col(cluster).alias("c")).agg(
+        F.count("*").alias("n"), F.array(*[F.sum(c) for c in cols]).alias("s"),
+        F.sum(sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0))).alias("q"))
 
 
 def silhouette(df: DataFrame, cols: Sequence[str], cluster: str, id_col: str) -> DataFrame:
-    """``id, cluster, width``: Euclidean silhouette; 0 for a cluster of one."""
-    s = distance_sums(df, cols, cluster, id_col)
-    own = F.col("cluster") == F.col("other")
-    w = s.groupBy(id_col, "cluster").agg(
-        F.max(F.when(own & (F.col("n") > 1), F.col("total") / F.greatest(F.col("n") - 1, F.lit(1.0)))).alias("a"),
-        F.min(F.when(~own, F.col("total") / F.col("n"))).alias("b"))
+    """``id, cluster, width``: silhouette over squared distances; 0 for a cluster of one.
+
+    The mean squared distance of a row to a cluster follows from the cluster's
+    sums, so the work is rows times clusters and only one line per cluster is
+    sent to the tasks.  Columns are centred first, which keeps the sums exact.
+    """
+    cols = list(cols)
+    means = df.agg(F.struct(*[F.avg(c).alias(c) for c in cols])).scalar()
+    rows = df.select(id_col, F.col(cluster).alias("cluster"), *cols).withColumn("_m", means)
+    rows = rows.select(id_col, "cluster", *[(F.col(c) - F.col(f"_m.{c}")).alias(c) for c in cols])
+    stats = cluster_sums(rows, cols, "cluster").agg(F.collect_list(F.struct("c", "n", "s", "q"))).scalar()
+    square = sum((F.col(c) * F.col(c) for c in cols), F.lit(0.0))
+
+    def total(k):
+        dot = sum((F.col(c) * F.get(k["s"], F.lit(i)) for i, c in enumerate(cols)), F.lit(0.0))
+        return F.greatest(k["n"] * square - 2 * dot + k["q"], F.lit(0.0))
+    own = F.get(F.transform(F.filter("_k", lambda k: k["c"] == F.col("cluster")), lambda k: F.when(
+        k["n"] > 1, total(k) / F.greatest(k["n"] - 1, F.lit(1)))), F.lit(0))
+    other = F.array_min(F.transform(F.filter("_k", lambda k: k["c"] != F.col("cluster")), lambda k: total(k) / k["n"]))
+    w = rows.withColumn("_k", stats).select(id_col, "cluster", own.alias("a"), other.alias("b"))
     return w.select(id_col, "cluster", F.when(F.col("a").isNull(), F.lit(0.0)).otherwise(
         div(F.col("b") - F.col("a"), F.greatest("a", "b"))).alias("width"))
 
 
-def dispersion(df: DataFrame, cols: Sequence[str], cluster: str, id_col: str) -> float:
-    """Half the sum over clusters of pairwise distances over cluster size."""
-    s = distance_sums(df, cols, cluster, id_col).filter(F.col("cluster") == F.col("other"))
-    return float(s.agg((F.sum(F.col("total") / F.col("n")) / 4).alias("w")).first().w)
+def dispersion(df: DataFrame, cols: Sequence[str], cluster: str) -> float:
+    """Half the sum over clusters of pairwise squared distances over cluster size: half the sum of squares within."""
+    within = sum((F.var_pop(c) * F.count(c) for c in cols), F.lit(0.0))
+    return float(df.groupBy(cluster).agg(within.alias("w")).agg((F.sum("w") / 2).alias("w")).first().w)
 
 
 # ---- choice of k ------------------------------------------------------------------------------
@@ -176,7 +154,7 @@ def gap_statistic(df: DataFrame, cols: Sequence[str], id_col: str, max_k: int =
         out = []
         for k in range(1, max_k + 1):
             c = data.withColumn("cluster", F.lit(1)) if k == 1 else kmeans(data, cols, k, nstart, seed)
-            out.append(math.log(max(dispersion(c, cols, "cluster", id_col), 1e-300)))
+            out.append(math.log(max(dispersion(c, cols, "cluster"), 1e-300)))
         return np.array(out)
     base = df.select(id_col, *cols)
     mine = log_w(base)

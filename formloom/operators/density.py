@@ -19,6 +19,7 @@ from ..session import small_side
 from .ranks import quantiles
 
 BATCH = 50_000
+HELD_BYTES = 64 << 20  # grids of a task, before their sums go out
 
 
 def bandwidths(df: DataFrame, keys: Sequence[str], x: str, y: str) -> DataFrame:
@@ -77,8 +78,8 @@ def density(df: DataFrame, keys: Sequence[str], x: str, y: str, n_grid: int = 50
             groups = pdf.groupby(keys, sort=False) if keys else [((), pdf)]
             for key, g in groups:
                 held[key] = held[key] + share(g) if key in held else share(g)
-            if len(held) > 500:
-                yield from flush()
+                if 8 * n_grid * n_grid * len(held) > HELD_BYTES:
+                    yield from flush()
         yield from flush()
     schema = T.StructType(df.select(*keys).schema.fields + [
         T.StructField("ix", T.IntegerType()), T.StructField("iy", T.IntegerType()), T.StructField("s", T.DoubleType())])

@@ -68,3 +68,25 @@ def deviations(outlines: DataFrame, ranks: Sequence[int], nb_pts: int = 120, fac
     rows = rows.select("rank", "size", F.posexplode(d).alias("_p", "d")).select(
         "rank", (F.col("_p") + 1).cast("int").alias("pt"), div(F.col("d"), F.col("size")).alias("d"))
     return quantiles(rows, ["rank", "pt"], "d", [0.5], ["med"], [F.stddev_samp("d").alias("sd")])
+
+
+# ---- coefficients with a harmonic count of their own --------------------------------------------
+
+
+def automatic_harmonics(outlines: DataFrame, threshold: float = 99.0) -> int:
+    """The first harmonic whose median cumulative power exceeds ``threshold``; the set's cap if none does.
+
+    The cap is floor(min(points)/2)-1; the profile is one row per harmonic.
+    """
+    cap = outlines.agg((F.floor(F.min(F.size("coo")) / 2) - 1).cast("int").alias("q")).first().q
+    if cap is None or cap < 1:
+        raise ValueError("outlines of four points or more are needed")
+    if cap < 3:
+        return cap
+    found = power_calibration(power_profile(outlines, cap), [threshold]).first().minh
+    return cap if found is None else min(int(found), cap)
+
+
+def coefficients(outlines: DataFrame, nb_h: int | None = None, **options) -> DataFrame:
+    """``efourier`` with the automatic number of harmonics unless one is given."""
+    return E.efourier(outlines, automatic_harmonics(outlines) if nb_h is None else nb_h, **options)

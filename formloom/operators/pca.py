@@ -159,7 +159,7 @@ def flip_axes(model: Model, scores: DataFrame, axes: Sequence[int]) -> tuple[Mod
 
 
 def scree(sdev: DataFrame) -> DataFrame:
-    """``axis, proportion, cumsum``; one row per axis, so at most 400 rows."""
+    """``axis, proportion, cumsum``; one row per axis."""
     from pyspark.sql import Window
     total = sdev.agg(F.sum(F.col("sdev") * F.col("sdev")).alias("t")).scalar()
     share = div(F.col("sdev") * F.col("sdev"), total)
@@ -186,13 +186,17 @@ def _density(v, mid, sd):
     return F.when(sd > 0, F.exp(-z * z / 2) / (sd * TWO_PI ** 0.5))
 
 
-def outliers(scores: DataFrame, conf: float = 1e-3, nax: int | None = None, middle: str = "median",
+def outliers(scores: DataFrame, conf: float = 1e-3, nax: float | None = 0.99, middle: str = "median",
              key: str = "id") -> DataFrame:
     """Ids whose normal density is below ``conf`` on any of the first axes.
 
-    ``scores`` is long (key, pc, score).
+    ``scores`` is long (key, pc, score).  ``nax`` is a number of axes or, below
+    1, the share of the variance that the axes reach; None takes all.
     """
-    s = scores if nax is None else scores.filter(F.col("pc") <= nax)
+    if nax is not None and nax < 1:
+        sdev = small_side(scores.groupBy("pc").agg(F.stddev_samp("score").alias("sdev")))
+        nax = scree_min(scree(sdev), nax).first().axes
+    s = scores if nax is None else scores.filter(F.col("pc") <= int(nax))
     sd = F.stddev_samp("score").alias("_sd")
     if middle == "median":
         stats = quantiles(s, ["pc"], "score", [0.5], ["_mid"], [sd])

@@ -193,8 +193,8 @@ def runs_of(col: str, names: Sequence[str]):
 def run_moments(rows: DataFrame, keys: Sequence[str], v: str, p: int) -> DataFrame:
     """``keys, part, n, total ARRAY, cross ARRAY``: partial sums per task, key and salt.
 
-    Every task keeps one p-vector and one p x p matrix per run, so what is
-    shuffled depends on runs and tasks, not on rows.
+    A task keeps one p-vector and one p x p matrix per run, up to 64 MB of
+    them at a time, so what is shuffled depends on runs and tasks, not on rows.
     """
     keys = list(keys)
     fields = rows.select(*keys).schema.fields
@@ -203,14 +203,20 @@ def run_moments(rows: DataFrame, keys: Sequence[str], v: str, p: int) -> DataFra
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: dict = {}
+
+        def flush():
+            out = pd.DataFrame([(*k, n, s, c.ravel()) for k, (n, s, c) in held.items()], columns=[*keys, "n", "total", "cross"])
+            held.clear()
+            return out
         for pdf in batches:
             for key, g in pdf.groupby(keys, sort=False):
                 m = np.stack(g[v].to_list())
                 part = (len(m), m.sum(axis=0), m.T @ m)
                 held[key] = tuple(a + b for a, b in zip(held[key], part)) if key in held else part
+                if 8 * m.shape[1] ** 2 * len(held) > 64 << 20:
+                    yield flush()
         if held:
-            yield pd.DataFrame([(*k, n, s, c.ravel()) for k, (n, s, c) in held.items()],
-                               columns=[*keys, "n", "total", "cross"])
+            yield flush()
     return rows.select(*keys, v).mapInPandas(run, schema)
 
 

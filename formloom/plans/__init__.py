@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("outline", "fourier", "sources", "tables", "joins", "morphospace", "cluster", "resampling", "pixels")
+MODULES = ("outline", "fourier", "sources", "tables", "joins", "morphospace", "cluster", "resampling", "pixels", "analysis")
 
 
 def load():

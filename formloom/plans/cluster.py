@@ -24,7 +24,7 @@ def standardised(spark, d):
 
 @query("clu_02", "SELECT count(*) AS n, 3::BIGINT AS clusters, true AS better_than_one FROM embeddings")
 def kmeans(spark, d):
-    z = C.kmeans(_z(spark, d), PCS, 3, nstart=5)
+    z = C.kmeans(_z(spark, d), PCS, 3, nstart=20)
     c = z.groupBy("cluster").agg(F.count("*").alias("n"), (F.var_pop("PC1") * F.count("*") + F.var_pop("PC2") * F.count("*")).alias("w"))
     one = z.agg((F.var_pop("PC1") * F.count("*") + F.var_pop("PC2") * F.count("*")).alias("w")).scalar()
     return c.agg(F.sum("n").alias("n"), F.count("*").alias("clusters"), (F.sum("w") < one).alias("better_than_one"))
@@ -32,7 +32,7 @@ def kmeans(spark, d):
 
 @query("clu_05")
 def wcss(spark, d):
-    c = C.wcss_curve(_z(spark, d), PCS, 4, nstart=3)
+    c = C.wcss_curve(_z(spark, d), PCS, 10, nstart=25)
     return c.select("k", r6(F.col("wcss")).alias("wcss"))
 
 
@@ -48,7 +48,7 @@ def elbow(spark, d):
 
 
 @query("clu_07", """WITH p AS (SELECT vec_id, label, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings),
-s AS (SELECT a.vec_id, a.label, b.label AS other, sum(sqrt((a.x-b.x)**2 + (a.y-b.y)**2)) AS t, count(*) AS n FROM p a, p b GROUP BY 1, 2, 3),
+s AS (SELECT a.vec_id, a.label, b.label AS other, sum((a.x-b.x)**2 + (a.y-b.y)**2) AS t, count(*) AS n FROM p a, p b GROUP BY 1, 2, 3),
 w AS (SELECT vec_id, label, max(t/(n-1)) FILTER (label = other AND n > 1) AS a, min(t/n) FILTER (label <> other) AS b FROM s GROUP BY 1, 2)
 SELECT vec_id AS "ID", label AS cluster, R6(CASE WHEN a IS NULL THEN 0 ELSE (b-a)/greatest(a, b) END) AS width FROM w""")
 def silhouette(spark, d):
