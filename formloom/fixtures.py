@@ -65,10 +65,6 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select("ID", x.alias("x"), F.col("PC2").alias("y"), F.col("group").alias("g"))
 
 
-def outlines_by_line(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return landmarks(outlines(spark, sf_dir))
-
-
 SIDE = 32
 
 

@@ -32,4 +32,4 @@ def outlines_to_summary(spark, d):
 @query("ana_03")
 def outlying(spark, d):
     """Outliers over the axes that reach 99 % of the variance."""
-    return P.outliers(A.shape_analysis(X.outlines(spark, d)).scores)
+    return P.outliers(A.shape_analysis(X.outlines(spark, d)).scores, conf=0.1)

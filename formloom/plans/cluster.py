@@ -22,12 +22,9 @@ def standardised(spark, d):
     return _z(spark, d).select("ID", *[r6(F.col(c)).alias(c) for c in PCS])
 
 
-@query("clu_02", "SELECT count(*) AS n, 3::BIGINT AS clusters, true AS better_than_one FROM embeddings")
+@query("clu_02")
 def kmeans(spark, d):
-    z = C.kmeans(_z(spark, d), PCS, 3, nstart=20)
-    c = z.groupBy("cluster").agg(F.count("*").alias("n"), (F.var_pop("PC1") * F.count("*") + F.var_pop("PC2") * F.count("*")).alias("w"))
-    one = z.agg((F.var_pop("PC1") * F.count("*") + F.var_pop("PC2") * F.count("*")).alias("w")).scalar()
-    return c.agg(F.sum("n").alias("n"), F.count("*").alias("clusters"), (F.sum("w") < one).alias("better_than_one"))
+    return C.kmeans(_z(spark, d), PCS, 3, nstart=20).select("ID", "cluster")
 
 
 @query("clu_05")

@@ -57,7 +57,7 @@ def size_schedule(spark, d):
 _PCMAX = ", ".join(f"max(embedding[{i}]::DOUBLE) - min(embedding[{i}]::DOUBLE) AS r{i}" for i in range(1, 5))
 _SAT = f"""idx AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, embedding FROM embeddings),
 sizes AS (SELECT round_even(f*{N}, 0)::BIGINT AS s FROM (SELECT unnest([0.1, 0.5, 1.0]) AS f)),
-dr AS (SELECT s, b, (floor({u_sql('2', 's', 's', 'b', 'k')}*{N}) + 1)::BIGINT AS i FROM sizes, range(1, 13) u(b), (SELECT row_number() OVER () AS k FROM embeddings) WHERE k <= s),
+dr AS (SELECT s, b, (floor({u_sql('2', 's', 'b', 'k')}*{N}) + 1)::BIGINT AS i FROM sizes, range(1, 13) u(b), (SELECT row_number() OVER () AS k FROM embeddings) WHERE k <= s),
 rg AS (SELECT s, b, {_PCMAX} FROM dr JOIN idx USING (i) GROUP BY s, b),
 mt AS (SELECT s, unnest(['total_variance', 'cumulative_variance']) AS metric_type, unnest([r1+r2+r3+r4, exp((ln(r1)+ln(r2)+ln(r3)+ln(r4))/4)]) AS v FROM rg),
 sat AS (SELECT s AS sample_size, metric_type, avg(v) AS mean, median(v) AS median, stddev_samp(v) AS sd, quantile_cont(v, 0.025) AS q025, quantile_cont(v, 0.975) AS q975,
@@ -70,14 +70,14 @@ def _saturation(spark, d):
     return s.withColumn("sample_size", F.col("sample_size").cast("bigint"))
 
 
-@query("res_04", f"WITH {_SAT.replace(u_sql('2', 's', 's', 'b', 'k'), u_sql('2', 's', 'b', 'k'))} SELECT {_SATCOLS} FROM sat")
+@query("res_04", f"WITH {_SAT} SELECT {_SATCOLS} FROM sat")
 def saturation(spark, d):
     s = _saturation(spark, d)
     return s.select("sample_size", "metric_type", *[r6(F.col(c)).alias(c) for c in (
         "mean", "median", "sd", "q025", "q975", "sample_proportion")])
 
 
-@query("res_05", f"WITH {_SAT.replace(u_sql('2', 's', 's', 'b', 'k'), u_sql('2', 's', 'b', 'k'))} SELECT sample_size, metric_type, R6(100*mean/max(mean) OVER (PARTITION BY metric_type)) AS pct FROM sat")
+@query("res_05", f"WITH {_SAT} SELECT sample_size, metric_type, R6(100*mean/max(mean) OVER (PARTITION BY metric_type)) AS pct FROM sat")
 def relative_saturation(spark, d):
     return R.relative_saturation(_saturation(spark, d)).select("sample_size", "metric_type", r6(F.col("pct")).alias("pct"))
 
@@ -92,10 +92,10 @@ def stability(spark, d):
     return runs.select(*keep, *[r6(F.col(c)).alias(c) for c in runs.columns if c not in keep])
 
 
-@query("res_07", "SELECT count(*) AS runs, true AS bounded FROM range(0, 4)")
+@query("res_07")
 def subspace(spark, d):
     runs, _, _ = S.stability(X.outlines(spark, d), [0.3, 0.7], 2, nb_h=6, resolution=20, mode="strict")
-    return runs.agg(F.count("*").alias("runs"), F.bool_and(F.col("subspace_similarity").between(0.5, 1.0)).alias("bounded"))
+    return runs.select("fraction", "realized_n", "repeat_id", r6(F.col("subspace_similarity")).alias("subspace_similarity"))
 
 
 _LOAD = """ld AS (SELECT vec_id % 3 AS run, label + 1 AS pc, s AS pos, avg(embedding[s]::DOUBLE) AS loading FROM embeddings, range(1, 25) t(s) GROUP BY 1, 2, 3),
@@ -317,7 +317,7 @@ def two_stage(spark, d):
     return t.select("pair", "ix", "iy", r6(F.col("certainty")).alias("certainty"))
 
 
-_MODELS = f"""WITH RECURSIVE {GRID}, {_BOOT.replace('SELECT cl.*, 1 - coalesce', 'SELECT cl.*, 1 - coalesce')},
+_MODELS = f"""WITH RECURSIVE {GRID}, {_BOOT},
 gc AS (SELECT pair, t AS threshold, ix, iy, x, y, probability AS certainty, iy*{RES} + ix AS node FROM bg, (SELECT unnest([0.5, 0.9])::DOUBLE AS t) WHERE probability >= t),
 nb AS (SELECT a.pair, a.threshold, a.node AS u, b.node AS v FROM gc a JOIN gc b ON a.pair = b.pair AND a.threshold = b.threshold AND abs(a.ix-b.ix) + abs(a.iy-b.iy) = 1),
 rc AS (SELECT pair, threshold, node, node AS low FROM gc UNION SELECT nb.pair, nb.threshold, nb.v, rc.low FROM rc JOIN nb ON nb.pair = rc.pair AND nb.threshold = rc.threshold AND nb.u = rc.node),

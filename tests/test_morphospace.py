@@ -146,22 +146,20 @@ def test_regions_touch_along_sides(spark):
 # ---- clusters ------------------------------------------------------------------------------
 
 
-def test_silhouette_in_blocks(spark):
+def test_silhouette_and_dispersion_follow_from_sums(spark):
     rng = np.random.default_rng(7)
-    p = np.round(rng.random((120, 2)), 1)
+    p = np.round(rng.random((120, 2)), 1) + 50
     c = rng.integers(0, 3, 120)
+    c[0] = 9  # a cluster of one
     df = spark.createDataFrame([(i, float(a), float(b), int(k)) for i, ((a, b), k) in enumerate(zip(p, c))],
                                "id long, x double, y double, c int")
-    sums = cluster.distance_sums(df, ["x", "y"], "c", "id", blocks=3).collect()
-    d = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1))
-    for r in sums[::17]:
-        assert r.total == pytest.approx(d[r.id, c == r.other].sum()) and r.n == (c == r.other).sum()
-    own = [d[i, c == c[i]].sum() / ((c == c[i]).sum() - 1) for i in range(120)]
-    other = [min(d[i, c == k].mean() for k in range(3) if k != c[i]) for i in range(120)]
+    d = ((p[:, None] - p[None]) ** 2).sum(axis=2)
+    own = [d[i, c == c[i]].sum() / max((c == c[i]).sum() - 1, 1) for i in range(120)]
+    other = [min(d[i, c == k].mean() for k in set(c.tolist()) if k != c[i]) for i in range(120)]
     got = {r.id: r.width for r in cluster.silhouette(df, ["x", "y"], "c", "id").collect()}
-    assert [got[i] for i in range(120)] == pytest.approx([(b - a) / max(a, b) for a, b in zip(own, other)])
-    w = cluster.dispersion(df, ["x", "y"], "c", "id")
-    assert w == pytest.approx(sum(d[np.ix_(c == k, c == k)].sum() / (c == k).sum() / 4 for k in range(3)))
+    assert [got[i] for i in range(120)] == pytest.approx([0] + [(b - a) / max(a, b) for a, b in zip(own[1:], other[1:])])
+    w = cluster.dispersion(df, ["x", "y"], "c")
+    assert w == pytest.approx(sum(d[np.ix_(c == k, c == k)].sum() / (c == k).sum() / 4 for k in set(c.tolist())))
 
 
 def test_kmeans_finds_two_groups(spark):
@@ -169,6 +167,10 @@ def test_kmeans_finds_two_groups(spark):
     out = cluster.kmeans(s, ["PC1", "PC2"], 2, nstart=3)
     sides = {(r.cluster, r.right): r["count"] for r in out.groupBy("cluster", (F.col("ID") >= 50).alias("right")).count().collect()}
     assert max(sides.values()) == 50 and sum(v for v in sides.values() if v < 25) < 10
+    rows = out.select("PC1", "PC2", "cluster").collect()
+    at = {c: np.mean([(r.PC1, r.PC2) for r in rows if r.cluster == c], axis=0) for c in (1, 2)}
+    for r in rows:  # every row is with its nearest centre
+        assert r.cluster == min(at, key=lambda c: (r.PC1 - at[c][0]) ** 2 + (r.PC2 - at[c][1]) ** 2)
 
 
 def test_wide_model_round_trip(spark, tmp_path):
