@@ -184,3 +184,16 @@ def test_empty(spark):
     assert jaccard.jaccard_components(none).count() == 0
     assert repeats.remove_repeats(none).count() == 0
     assert lines.dedup_lines(none).count() == 0
+
+
+def test_simhash_of_a_very_long_line(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(50)}" if i < 70_000 else f"v{rng.randrange(20)}" for i in range(140_000)]
+    data = [(1, " ".join(words), "en"), (2, "three short words", "en")]
+    docs = frame(spark, data).selectExpr("doc_id", "text", "doc_id AS row")
+    got = {r.row: r.sim & (1 << 64) - 1 for r in lines.line_hashes(docs, 3).collect()}
+    hashes = {r.w: r.h & (1 << 64) - 1 for r in spark.createDataFrame([(w,) for w in {w for _, t, _ in data for w in t.split()}], "w string")
+              .selectExpr("w", "xxhash64(w) h").collect()}
+    for d, t, _ in data:
+        w = [hashes[x] for x in t.split()]
+        assert got[d] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in w) > len(w))
