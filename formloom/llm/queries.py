@@ -78,7 +78,17 @@ def op7_decontaminate(spark, sf_dir) -> DataFrame:
     return decontaminate(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@query("op3_jaccard")
+@query("op3_jaccard", r"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+  'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS l FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(l[i:i + 4], ' ') AS sh FROM (
+  SELECT doc_id, l, unnest(range(1, greatest(len(l) - 3, 2))) AS i FROM w WHERE len(l) > 0)),
+n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS k FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * k >= 80 * (nx.c + ny.c - k)),
+b AS (SELECT x, y FROM e UNION ALL SELECT y, x FROM e),
+r AS (SELECT doc_id AS id, doc_id AS label FROM documents UNION SELECT b.y, r.label FROM r JOIN b ON b.x = r.id)
+SELECT doc_id, coalesce(c, 0)::BIGINT AS n_shingles, min(label) AS component_id
+FROM documents LEFT JOIN n USING (doc_id) JOIN r ON r.id = doc_id GROUP BY doc_id, c""")
 def op3_jaccard(spark, sf_dir) -> DataFrame:
     from .jaccard import jaccard_components
     return jaccard_components(documents(spark, sf_dir))
