@@ -106,7 +106,7 @@ def op6_repeats(spark, sf_dir) -> DataFrame:
 @query("op10_lines")
 def op10_lines(spark, sf_dir) -> DataFrame:
     from .lines import dedup_lines
-    return dedup_lines(documents(spark, sf_dir)).drop("row")
+    return dedup_lines(documents(spark, sf_dir), whole=True).drop("row")
 
 
 @query("op9_maxent")
