@@ -1,11 +1,12 @@
 """Quality rules: counts of words, symbols and repeats, and n-gram perplexity bands for each language.
 
 The model is a character model of order five with modified Kneser-Ney smoothing, one for each language. A character is a
-12-bit symbol (a code point, or a hash of a rare one), an n-gram the 60-bit word of its symbols, and the model sorted
-arrays of these words with their probabilities, beside sorted arrays of contexts with their back-off weights.
+12-bit symbol (a code point, or a hash of a rare one), an n-gram the 60-bit word of its symbols.
 Spark counts all documents: tasks fold their 5-grams, the counts of lower orders (distinct left neighbours) come
-from those of the order above. ``max_entries`` bounds the arrays that tasks receive: if there are more n-grams of order
-three and up, those below the smallest count that fits are left to back-off.
+from those of the order above. No text is scored by a model that counted it: texts are dealt into two halves by their hash
+(equal texts into the same one), and each half is scored by the model of the other. The model stays a Spark table with all its n-grams: the
+distinct 5-grams of a half are joined to it order by order, and their probabilities go to blocks of documents.
+(``train`` and ``log_probability`` hold a model as sorted arrays, for small corpora.)
 
 A document's score is its mean negative log probability per character. Each language has a median, a robust spread
 between documents and a variance per character; the band of a document is the median plus or minus
@@ -19,12 +20,14 @@ repeat: each row is judged by itself. An empty table gives an empty result.
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formloom.session import cut, small_side
 
-from .common import SPACES, arrow_schema, map_slices, mix, record, slices, words_of
+from .common import SPACES, arrow_schema, mix, record, slices, words_of
 
 ORDER, BITS, LOW = 5, 12, 3072
 SYMBOLS = 1 << BITS
@@ -132,9 +135,8 @@ def count_grams(docs: DataFrame, held: int = 3_000_000) -> DataFrame:
     return docs.select("lang", "text").mapInArrow(run, schema).groupBy("lang", "code").agg(F.sum("a").alias("a"))
 
 
-def train(docs: DataFrame, max_entries: int = 1 << 21) -> dict:
-    """``{(lang, order): (codes, probabilities, contexts, back-off weights)}`` with sorted codes and contexts."""
-    level = cut(count_grams(docs))
+def entries_of(level: DataFrame) -> DataFrame:
+    """(lang, order, code, context, a, u) of all orders: discounted shares from the counts ``level`` (lang, code, a) of the highest."""
     tables = [level.withColumn("order", F.lit(ORDER))]
     for order in range(ORDER - 1, 0, -1):
         level = level.groupBy("lang", F.col("code").bitwiseAND((1 << BITS * order) - 1).alias("code")).agg(F.count("*").alias("a"))
@@ -153,8 +155,13 @@ def train(docs: DataFrame, max_entries: int = 1 << 21) -> dict:
     sums = table.groupBy("lang", "order", "context").agg(F.sum("a").alias("total"))
     a = F.col("a")
     u = (a - F.when(a == 1, F.col("d1")).when(a == 2, F.col("d2")).otherwise(F.col("d3"))) / F.col("total")
-    entries = cut(table.join(discounts, ["lang", "order"]).join(sums, ["lang", "order", "context"])
-                  .select("lang", "order", "code", "context", "a", u.alias("u")))
+    return cut(table.join(discounts, ["lang", "order"]).join(sums, ["lang", "order", "context"])
+               .select("lang", "order", "code", "context", "a", u.alias("u")))
+
+
+def train(docs: DataFrame, max_entries: int = 1 << 21) -> dict:
+    """``{(lang, order): (codes, probabilities, contexts, back-off weights)}`` with sorted codes and contexts."""
+    entries = entries_of(cut(count_grams(docs)))
     # the smallest count that fits the arrays: at most 1,000 counts of counts come to the driver
     sizes = {r[0]: r[1] for r in entries.where(F.col("order") > 2).groupBy(F.least("a", F.lit(1000))).count().collect()}
     least, total = 1, sum(sizes.values())
@@ -203,30 +210,92 @@ def log_probability(model: dict, lang: str, codes: np.ndarray) -> np.ndarray:
     return np.log(p)[back]
 
 
-def score(docs: DataFrame, model: dict) -> DataFrame:
-    """doc_id, lang, the base counts and the sums of log probabilities of every document."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # at most ``max_entries`` n-grams and their contexts
+def half(lang, text):
+    """The language with the half that the text is in."""
+    return F.concat(F.coalesce(lang, F.lit("")), F.lit("\0"), F.pmod(F.xxhash64(F.coalesce(text, F.lit(""))), F.lit(2)).cast("string"))
 
-    def fn(rows):
-        m = held.value
-        base = np.array([base_rules(t) for t in rows["text"]], np.int64).reshape(-1, 5)
-        g, n = grams(rows["text"])
-        lp = np.zeros(len(g))
-        for lang, _, own in by_language(rows["lang"], n):
-            lp[own] = log_probability(m, lang, g[own])
-        doc = np.repeat(np.arange(len(n)), n)
-        names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-        return {"doc_id": rows["doc_id"], "lang": rows["lang"], "n_grams": n, "log_sum": np.bincount(doc, lp, len(n)),
-                "square_sum": np.bincount(doc, lp * lp, len(n))} | {c: base[:, i] for i, c in enumerate(names)}
-    return map_slices(docs, "text", f"doc_id long, lang string, {FEATURES}", fn)
 
+def probabilities(wanted: DataFrame, entries: DataFrame) -> DataFrame:
+    """(lang, code, lp): the natural log of the probability of the last character of each wanted 5-gram (lang, code)."""
+    p = None
+    for k in range(1, ORDER + 1):
+        own = entries.where(F.col("order") == k)
+        weights = own.groupBy("lang", "context").agg((1 - F.sum("u")).alias("w"))
+        part = F.col("code").bitwiseAND((1 << BITS * k) - 1)
+        got = wanted.select("lang", part.alias("code")).distinct().withColumn("context", F.shiftrightunsigned("code", BITS))
+        got = got.join(own.select("lang", "code", "u"), ["lang", "code"], "left").join(weights, ["lang", "context"], "left")
+        if p is None:
+            got = got.withColumn("lower", F.lit(1.0 / SYMBOLS))
+        else:
+            got = got.withColumn("rest", F.col("code").bitwiseAND((1 << BITS * (k - 1)) - 1)).join(p, ["lang", "rest"])
+        value = F.coalesce("u", F.lit(0.0)) + F.greatest(F.coalesce("w", F.lit(1.0)), F.lit(1e-6)) * F.col("lower")
+        p = cut(got.select("lang", F.col("code").alias("rest"), value.alias("lower")))
+    return p.select("lang", F.col("rest").alias("code"), F.log("lower").alias("lp"))
+
+
+def score(docs: DataFrame, rows: int = 4096) -> DataFrame:
+    """doc_id, lang, the base counts and the sums of log probabilities of every document (doc_id, lang, text) by the other half's model."""
+    docs = docs.withColumn("half", half(F.col("lang"), F.col("text")))
+    counts = cut(count_grams(docs.select(F.col("half").alias("lang"), "text")))
+    swap = F.concat(F.expr("left(lang, length(lang) - 1)"), F.when(F.col("lang").endswith("0"), "1").otherwise("0"))
+    found = probabilities(counts.select("lang", "code"), entries_of(counts.select(swap.alias("lang"), "code", "a")))
+    blocks = cut(docs.withColumn("block", F.shiftrightunsigned(F.monotonically_increasing_id(), rows.bit_length() - 1)))
+    made = arrow_schema(docs.sparkSession, "block long, lang string, code long")
+    out = arrow_schema(docs.sparkSession, f"doc_id long, lang string, {FEATURES}")
+
+    def distinct(batches):
+        at, kept = None, {}
+
+        def let_go():
+            for lang, codes in kept.items():
+                yield record(made, {"block": np.full(len(codes), at), "lang": [lang] * len(codes), "code": codes.astype(np.int64)})
+            kept.clear()
+        for b in slices(batches, "text"):
+            got = b.to_pydict()
+            number = np.array(got["block"])
+            for block in np.unique(number):
+                if block != at:
+                    yield from let_go()
+                    at = block
+                mine = np.nonzero(number == block)[0]
+                g, n = grams([got["text"][i] for i in mine])
+                for lang, _, own in by_language([got["half"][i] for i in mine], n):
+                    kept[lang] = np.union1d(kept.get(lang, g[:0]), g[own])
+        yield from let_go()
 
-def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 6.0,
-            max_entries: int = 1 << 21) -> DataFrame:
+    def sums(left: pa.Table, right: pa.Table) -> pa.Table:
+        table = {}
+        lang, code, lp = (right.column(c) for c in ("lang", "code", "lp"))
+        for x in lang.unique().to_pylist():
+            own = pc.equal(lang, x)
+            c, v = (y.filter(own).to_numpy() for y in (code, lp))
+            c, first = np.unique(c.astype(np.uint64), return_index=True)
+            table[x] = c, v[first]
+        done = []
+        for b in slices(left.to_batches(), "text"):
+            got = b.to_pydict()
+            g, n = grams(got["text"])
+            lp = np.zeros(len(g))
+            for x, _, own in by_language(got["half"], n):
+                c, v = table[x]
+                lp[own] = v[np.searchsorted(c, g[own])]
+            doc = np.repeat(np.arange(len(n)), n)
+            base = np.array([base_rules(t) for t in got["text"]], np.int64).reshape(-1, 5)
+            names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+            done.append(record(out, {"doc_id": got["doc_id"], "lang": got["lang"], "n_grams": n, "log_sum": np.bincount(doc, lp, len(n)),
+                                     "square_sum": np.bincount(doc, lp * lp, len(n))} | {c: base[:, i] for i, c in enumerate(names)}))
+        return pa.Table.from_batches(done, out)
+    wanted = blocks.select("block", "half", "text").mapInArrow(distinct, "block long, lang string, code long")
+    dealt = wanted.join(found, ["lang", "code"]).select("block", "lang", "code", "lp")
+    return blocks.select("block", "doc_id", "lang", "half", "text").groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(
+        sums, f"doc_id long, lang string, {FEATURES}")
+
+
+def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", width: float = 6.0) -> DataFrame:
     """Counts, base_failed, perplexity, its band and kept for every row."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(lang_col).cast("string"), F.lit("")).alias("lang"),
                        F.col(text_col).alias("text"))
-    scored = cut(score(docs, train(docs, max_entries)))
+    scored = cut(score(docs))
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     scored = scored.withColumn("base_failed", failed).withColumn("x", -F.col("log_sum") / F.col("n_grams"))
     good = scored.where(~F.col("base_failed")).withColumn("near", F.round("x", 4))  # few distinct values: exact and bounded
@@ -235,10 +304,10 @@ def quality(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     middle = small_side(middle)
     apart = good.join(middle, "lang").groupBy("lang").agg(F.percentile(F.round(F.abs(F.col("x") - F.col("mid")), 4), 0.5).alias("mad"))
     bands = small_side(middle.join(apart, "lang"))
-    half = width * F.sqrt(F.pow(1.4826 * F.col("mad"), 2) + F.col("var") / F.col("n_grams"))
-    out = scored.join(bands, "lang", "left").withColumn("half", half)
-    low, high = F.exp(F.col("mid") - F.col("half")), F.exp(F.col("mid") + F.col("half"))
-    inside = F.coalesce(F.abs(F.col("x") - F.col("mid")) <= F.col("half"), F.lit(False))
+    spread = width * F.sqrt(F.pow(1.4826 * F.col("mad"), 2) + F.col("var") / F.col("n_grams"))
+    out = scored.join(bands, "lang", "left").withColumn("spread", spread)
+    low, high = F.exp(F.col("mid") - F.col("spread")), F.exp(F.col("mid") + F.col("spread"))
+    inside = F.coalesce(F.abs(F.col("x") - F.col("mid")) <= F.col("spread"), F.lit(False))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                       F.exp("x").alias("perplexity"), low.alias("lower_band"), high.alias("upper_band"),
                       (~F.col("base_failed") & inside).alias("kept"))
