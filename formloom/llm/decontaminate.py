@@ -8,7 +8,8 @@ left at once; in the others hits are counted by item, band and stretch; what mee
 banded alignment, so the result is exact.
 
 The benchmark is a stated query set: it is taken in blocks of at most about ``block_chars`` characters, each of which is sent to all
-tasks. Items of fewer than ``least`` characters (short phrases occur in any text) and null items are not searched.
+tasks. Items of fewer than ``least`` characters leak where they stand without an edit and not inside a longer word (Aho-Corasick over all of them).
+Null and blank items are not searched.
 A null or empty text leaks nothing. Ids may be null or repeat: a row for each leaking row and item. Equal items are
 separate items. An empty table on either side gives an empty result.
 """
@@ -70,8 +71,13 @@ class Items:
 
     def __init__(self, rows: list[tuple[int, str]], q: int, window: int, rate: float, least: int):
         self.q, self.rate = q, rate
-        kept = [(i, c) for i, t in rows if t is not None and len(c := normal(codes_of(t.strip(SPACES)))[0]) >= max(least, q)]
-        self.ids = [i for i, _ in kept]
+        every = [(i, normal(codes_of(t.strip(SPACES)))[0]) for i, t in rows if t is not None]
+        kept = [(i, c) for i, c in every if len(c) >= max(least, q)]
+        short = [(i, "".join(map(chr, c))) for i, c in every if 0 < len(c) < max(least, q)]
+        self.short: dict[str, list[int]] = {}
+        for at, (_, t) in enumerate(short, len(kept)):
+            self.short.setdefault(t, []).append(at)
+        self.ids = [i for i, _ in kept] + [i for i, _ in short]
         self.text = ["".join(map(chr, c)) for _, c in kept]
         n0 = np.array([min(window, len(c)) for _, c in kept], np.int64)
         # fewer edits where the lemma would ask for no shared q-gram
@@ -188,6 +194,34 @@ def find_leaks(items: Items, texts: list[str | None]) -> list[tuple[int, int, in
             for (t, i), got in out.items() if got for a, b, e, w in [got]]
 
 
+def automaton(items: Items):
+    """The short items of a block, or None."""
+    if not items.short:
+        return None
+    import ahocorasick
+    made = ahocorasick.Automaton()
+    for t, own in items.short.items():
+        made.add_word(t, (t, own))
+    made.make_automaton()
+    return made
+
+
+def short_leaks(short, texts: list[str | None]) -> list[tuple[int, int, int, int, int, bool]]:
+    """As ``find_leaks``, for the items of ``automaton``: the first place of each that is not inside a longer word."""
+    out = []
+    for t, text in enumerate(texts if short else ()):
+        codes, source = normal(codes_of(text or ""))
+        plain = codes.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+        seen = set()
+        for last, (x, own) in short.iter(plain):
+            a, b = last + 1 - len(x), last + 1
+            inside = a and plain[a - 1].isalnum() and x[0].isalnum() or b < len(plain) and plain[b].isalnum() and x[-1].isalnum()
+            if x not in seen and not inside:
+                seen.add(x)
+                out += [(t, i, int(source[a]), int(source[b - 1]) + 1, 0, True) for i in own]
+    return out
+
+
 def within(pattern: str, text: str, limit: int) -> bool:
     """Whether a passage of the text is within ``limit`` edits: columns of the alignment as bits of one integer."""
     n = len(pattern)
@@ -251,9 +285,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
         def run(batches, held=held):
             made = Items.__new__(Items)
             made.__dict__.update(held.value)
+            short = automaton(made)
             for b in slices(batches, "text"):
                 got = b.to_pydict()
-                leaks = find_leaks(made, got["text"]) if made.ids else []
+                leaks = find_leaks(made, got["text"]) + short_leaks(short, got["text"]) if made.ids else []
                 cols = list(zip(*[(got["doc_id"][t], made.ids[i], a, e, d, w) for t, i, a, e, d, w in leaks])) or [[]] * 6
                 yield record(out, dict(zip(out.names, cols)))
         one = rows.mapInArrow(run, LEAKS)
