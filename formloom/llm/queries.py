@@ -113,3 +113,33 @@ def op10_lines(spark, sf_dir) -> DataFrame:
 def op9_maxent(spark, sf_dir) -> DataFrame:
     from .maxent import train_and_score
     return train_and_score(documents(spark, sf_dir))
+
+
+@query("op11_filter_audit", r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, coalesce(lang, '') AS part,
+  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+m AS (SELECT doc_id, part, len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+  100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) AS c, regexp_matches(t, '[#$%&*|]') AS d,
+  coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false) AS e FROM d),
+g AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS bad FROM labels GROUP BY doc_id),
+x AS (SELECT part, {'A': a, 'B': b, 'C': c, 'D': d, 'E': e} AS f, coalesce(good, false) AS good, coalesce(bad, false) AS bad
+  FROM m LEFT JOIN g USING (doc_id)),
+y AS (SELECT part, good, bad, (CASE WHEN f.A THEN 'A' ELSE '' END) || (CASE WHEN f.B THEN 'B' ELSE '' END) || (CASE WHEN f.C THEN 'C' ELSE '' END)
+  || (CASE WHEN f.D THEN 'D' ELSE '' END) || (CASE WHEN f.E THEN 'E' ELSE '' END) AS failed, count(*) AS n FROM x GROUP BY ALL),
+l AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS c),
+o AS (SELECT a.c || b.c || c.c || d.c || e.c AS filter_order FROM l a, l b, l c, l d, l e
+  WHERE len(list_distinct([a.c, b.c, c.c, d.c, e.c])) = 5),
+s AS (SELECT filter_order, unnest(range(1, 6))::INT AS step FROM o),
+r AS (SELECT part, filter_order, step, filter_order[step] AS own, failed, n, good, bad, contains(failed, filter_order[step]) AS fails FROM s, y),
+q AS (SELECT *, len(translate(left(filter_order, step - 1), failed, '')) < step - 1 AS earlier FROM r),
+z AS (SELECT part, filter_order, step, any_value(own) AS own,
+  sum(CASE WHEN NOT fails AND NOT earlier THEN n ELSE 0 END)::BIGINT AS kept,
+  sum(CASE WHEN fails AND NOT earlier THEN n ELSE 0 END)::BIGINT AS removed,
+  sum(CASE WHEN fails AND earlier THEN n ELSE 0 END)::BIGINT AS redundant,
+  sum(CASE WHEN failed = own THEN n ELSE 0 END)::BIGINT AS unique_fails,
+  sum(CASE WHEN fails AND NOT earlier AND good THEN n ELSE 0 END)::BIGINT AS good_lost,
+  sum(CASE WHEN fails AND NOT earlier AND bad THEN n ELSE 0 END)::BIGINT AS toxic_lost FROM q GROUP BY part, filter_order, step)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+  (sum(removed) OVER (PARTITION BY part, own))::BIGINT AS shapley FROM z""")
+def op11_filter_audit(spark, sf_dir) -> DataFrame:
+    from .filter_audit import filter_audit
+    return filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
