@@ -143,3 +143,33 @@ SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lo
 def op11_filter_audit(spark, sf_dir) -> DataFrame:
     from .filter_audit import filter_audit
     return filter_audit(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+@query("op13_source_divergence", r"""WITH d AS (SELECT row_number() OVER () AS i, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+t AS (SELECT i, lang, source, unnest(w) AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS c FROM t GROUP BY lang, term HAVING count(DISTINCT i) >= 10),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(c)::HUGEINT AS n FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS (SELECT lang, source, term, count(*)::HUGEINT AS c FROM t JOIN k USING (lang, term) GROUP BY ALL),
+n AS (SELECT lang, source, coalesce(sum(c), 0)::HUGEINT AS n FROM g LEFT JOIN c USING (lang, source) GROUP BY ALL),
+s AS (SELECT g.lang, g.source, k.term, coalesce(c.c, 0) AS c, 1 + 1000000000 * (coalesce(c.c, 0) + 2) // (n.n + 2 * l.v) AS p,
+  1 + 1000000000 * (k.c + 2) // (l.n + 2 * l.v) AS q
+  FROM g JOIN k USING (lang) JOIN l USING (lang) JOIN n USING (lang, source) LEFT JOIN c USING (lang, source, term)),
+x AS (SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::BIGINT AS value
+  FROM s a JOIN s b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+o AS (SELECT lang, source, 'pair' AS part, item, coalesce(x.value, 0) AS value
+  FROM (SELECT a.lang, a.source, b.source AS item FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source) LEFT JOIN x USING (lang, source, item)
+  UNION ALL SELECT lang, source, 'term', term, ((p - q) * (p - q) // (p + q))::BIGINT FROM s WHERE c > 0 AND p > q),
+r AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INT AS rank FROM o)
+SELECT * FROM r WHERE part = 'pair' OR rank <= 10""")
+def op13_source_divergence(spark, sf_dir) -> DataFrame:
+    from .source_divergence import divergence
+    return divergence(documents(spark, sf_dir))
+
+
+@query("op12_simhash")
+def op12_simhash(spark, sf_dir) -> DataFrame:
+    from .simhash import near_duplicates
+    return near_duplicates(documents(spark, sf_dir))
