@@ -7,10 +7,13 @@ any engine with md5 can reproduce them.
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .base import TWO_PI
+from .base import TWO_PI, double_array, let
 
 
 def uniform(*parts) -> Column:
@@ -35,3 +38,57 @@ def segments(*parts) -> list[Column]:
 def box_muller(u: Column, v: Column) -> Column:
     """Standard normal from two uniform draws (0 is moved off the logarithm)."""
     return F.sqrt(F.lit(-2.0) * F.log(F.greatest(u, F.lit(2.0 ** -33)))) * F.cos(F.lit(TWO_PI) * v)
+
+
+# ---- draws from 32-bit integers ------------------------------------------------------
+#
+# Where one row is drawn thousands of times, its key is hashed once and every draw mixes small integers into it.
+# The same numbers come from a column, from numpy and from SQL.
+
+MASK = 0xFFFFFFFF
+STEP = -1640531527  # these three, taken modulo 2 ** 32, are odd; negative ones keep a product inside 64 bits
+FIRST, SECOND = -2048144789, -1028477387
+
+
+def key(*parts) -> Column:
+    """32 bits of the md5 of the given key parts, as a long."""
+    cols = [(p if isinstance(p, Column) else F.lit(p)).cast("string") for p in parts]
+    return F.conv(F.substring(F.md5(F.concat_ws(":", *cols).cast("binary")), 1, 8), 16, 10).cast("long")
+
+
+def mixed(h: Column, *values) -> Column:
+    """The key ``h`` after mixing in each small integer in turn."""
+    for v in values:
+        v = (v if isinstance(v, Column) else F.lit(v)).cast("long")
+        h = let((h + v * STEP).bitwiseAND(F.lit(MASK)), lambda x: x.bitwiseXOR(F.shiftright(x, 16)) * FIRST)
+        h = let(h.bitwiseAND(F.lit(MASK)), lambda x: x.bitwiseXOR(F.shiftright(x, 13)) * SECOND)
+        h = let(h.bitwiseAND(F.lit(MASK)), lambda x: x.bitwiseXOR(F.shiftright(x, 16)))
+    return h
+
+
+def mixed_np(h: np.ndarray, *values) -> np.ndarray:
+    """:func:`mixed` over int64 arrays."""
+    for v in values:
+        h = (h + np.asarray(v, np.int64) * STEP) & MASK
+        h = ((h ^ (h >> 16)) * FIRST) & MASK
+        h = ((h ^ (h >> 13)) * SECOND) & MASK
+        h = h ^ (h >> 16)
+    return h
+
+
+def poisson_steps(rate: float) -> list[float]:
+    """Cumulative probabilities of 0, 1, 2, ... as far as a 32-bit draw can tell them apart from 1."""
+    p = total = math.exp(-rate)
+    out, k = [total], 0
+    while total < 1 - 2.0 ** -33 and k < 10_000:
+        k += 1
+        p *= rate / k
+        total += p
+        out.append(total)
+    return out
+
+
+def copies(h: Column, b: Column, steps: list[float]) -> Column:
+    """How often run ``b`` draws the row with key ``h``: a Poisson number from one draw."""
+    u = mixed(h, b) / F.lit(4294967296.0)
+    return let(u, lambda v: F.size(F.filter(double_array(steps), lambda s: s <= v)))

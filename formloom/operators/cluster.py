@@ -4,17 +4,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
-from multiprocessing.pool import ThreadPool
 
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import draws
-from ..functions.base import div, double_array
-
-FITS = 8  # side by side
+from ..functions.base import div
+from ..session import cut
+from .kmeans import finite, fit_many, mean_silhouettes, nearest, points_of
 
 
 def standardise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -26,27 +24,10 @@ def standardise(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return t.drop("_s")
 
 
-def _vectors(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    return VectorAssembler(inputCols=list(cols), outputCol="_v").transform(df)
-
-
-def _best_model(vec: DataFrame, k: int, nstart: int, seed: int):
-    """The fit of least cost over ``nstart`` seeds; fits run side by side on the persisted rows."""
-    def fit(i):
-        return KMeans(k=k, seed=seed + i, featuresCol="_v", predictionCol="cluster").fit(vec)
-    with ThreadPool(min(nstart, FITS)) as pool:
-        models = pool.map(fit, range(nstart))
-    return min(models, key=lambda m: m.summary.trainingCost)
-
-
-def kmeans(df: DataFrame, cols: Sequence[str], k: int = 3, nstart: int = 20, seed: int = 1) -> DataFrame:
-    """Adds ``cluster`` (1..k) of the best of ``nstart`` starts."""
-    vec = _vectors(df, cols).persist()
-    try:
-        model = _best_model(vec, k, nstart, seed)
-    finally:
-        vec.unpersist()
-    return model.transform(_vectors(df, cols)).withColumn("cluster", F.col("cluster") + 1).drop("_v")
+def kmeans(df: DataFrame, cols: Sequence[str], k: int = 3, nstart: int = 20, seed: int = 1, id_col: str | None = None) -> DataFrame:
+    """Adds ``cluster`` (1..k by rising centres) of the best of ``nstart`` starts; NULL for a row without finite columns."""
+    best = fit_many(cut(points_of(df, cols, id_col)), len(cols), [k], nstart, seed)
+    return df.withColumn("cluster", nearest(cols, best[0, k].centres))
 
 
 # ---- spread within and between clusters -------------------------------------------------------
@@ -96,19 +77,13 @@ def dispersion(df: DataFrame, cols: Sequence[str], cluster: str) -> float:
 
 def wcss_curve(df: DataFrame, cols: Sequence[str], max_k: int = 10, min_k: int = 1, nstart: int = 25,
                seed: int = 1) -> DataFrame:
-    """``k, wcss``: within-cluster sum of squares, k = 1 by formula."""
-    vec = _vectors(df, cols).persist()
-    rows = []
-    try:
-        for k in range(min_k, max_k + 1):
-            if k == 1:
-                v = df.agg(sum((F.var_pop(c) * F.count(c) for c in cols), F.lit(0.0)).alias("w")).first().w
-            else:
-                v = _best_model(vec, k, nstart, seed).summary.trainingCost
-            rows.append((k, float(v)))
-    finally:
-        vec.unpersist()
-    return df.sparkSession.createDataFrame(rows, "k int, wcss double")
+    """``k, wcss``: within-cluster sum of squares of the best start of each k, all moved together."""
+    best = fit_many(cut(points_of(df, cols)), len(cols), range(min_k, max_k + 1), nstart, seed)
+    return _curve(df, best, range(min_k, max_k + 1))
+
+
+def _curve(df: DataFrame, best: dict, ks: Sequence[int]) -> DataFrame:
+    return df.sparkSession.createDataFrame([(k, best[0, k].cost) for k in ks], "k int, wcss double")
 
 
 def elbow(curve: DataFrame) -> DataFrame:
@@ -128,41 +103,54 @@ def elbow(curve: DataFrame) -> DataFrame:
 
 def best_silhouette(df: DataFrame, cols: Sequence[str], id_col: str, max_k: int, nstart: int = 25, seed: int = 1) -> DataFrame:
     """``k, silhouette`` for k = 2..max_k; the best is the largest (lowest k on ties)."""
-    out = []
-    for k in range(2, max_k + 1):
-        c = kmeans(df, cols, k, nstart, seed)
-        out.append((k, float(silhouette(c, cols, "cluster", id_col).agg(F.avg("width").alias("w")).first().w)))
-    return df.sparkSession.createDataFrame(out, "k int, silhouette double")
+    points = cut(points_of(df, cols, id_col))
+    return _widths(points, fit_many(points, len(cols), range(2, max_k + 1), nstart, seed), max_k)
+
 
+def _widths(points: DataFrame, best: dict, max_k: int) -> DataFrame:
+    found = mean_silhouettes(points, [best[0, k] for k in range(2, max_k + 1)]) if max_k > 1 else {}
+    return points.sparkSession.createDataFrame(sorted(found.items()), "k int, silhouette double")
 
-def reference_set(df: DataFrame, cols: Sequence[str], id_col: str, b: int, seed: int) -> DataFrame:
-    """Uniform rows in the box of the principal axes, one per row of the data."""
+
+def reference_box(df: DataFrame, cols: Sequence[str]) -> tuple:
+    """Mean, principal axes and range along each axis."""
     from .pca import eigen, moments
     _, mean, cov = moments(df.select(F.array(*cols).alias("v")), "v")
     rot, _ = eigen(cov, len(cols))
     proj = [sum(((F.col(c) - float(mean[i])) * float(rot[i, j]) for i, c in enumerate(cols)), F.lit(0.0)) for j in range(len(cols))]
     box = df.agg(*[f for j, e in enumerate(proj) for f in (F.min(e).alias(f"a{j}"), F.max(e).alias(f"z{j}"))]).first()
-    u = [F.lit(box[f"a{j}"]) + draws.uniform(seed, b, j, F.col(id_col)) * (box[f"z{j}"] - box[f"a{j}"]) for j in range(len(cols))]
-    back = [sum((u[j] * float(rot[i, j]) for j in range(len(cols))), F.lit(float(mean[i]))).alias(c) for i, c in enumerate(cols)]
-    return df.select(id_col, *back)
+    return mean, rot, [(box[f"a{j}"], box[f"z{j}"]) for j in range(len(cols))]
+
+
+def with_references(df: DataFrame, cols: Sequence[str], id_col: str, references: int, seed: int) -> DataFrame:
+    """``id, v``: the row's own position and, for every reference set, one drawn uniformly in the box of the principal axes.
+
+    The draw of a row is a function of (seed, set, axis, id), so a set has as many rows as the data and no row is moved.
+    """
+    rows = df.filter(finite(cols)).select(id_col, *[F.col(c).cast("double").alias(c) for c in cols])
+    mean, rot, box = reference_box(rows, cols)
+
+    def place(b):
+        u = [F.lit(a) + draws.uniform(seed, b, j, F.col(id_col)) * (z - a) for j, (a, z) in enumerate(box)]
+        return F.array(*[sum((u[j] * float(rot[i, j]) for j in range(len(cols))), F.lit(float(mean[i]))) for i in range(len(cols))])
+    drawn = F.flatten(F.transform(F.sequence(F.lit(1), F.lit(references)), place)) if references else F.array().cast("array<double>")
+    return rows.select(F.col(id_col).alias("id"), F.concat(F.array(*cols), drawn).alias("v"))
 
 
 def gap_statistic(df: DataFrame, cols: Sequence[str], id_col: str, max_k: int = 10, references: int = 50,
                   nstart: int = 25, seed: int = 1) -> DataFrame:
-    """``k, log_w, expected, gap, se``."""
-    def log_w(data):
-        out = []
-        for k in range(1, max_k + 1):
-            c = data.withColumn("cluster", F.lit(1)) if k == 1 else kmeans(data, cols, k, nstart, seed)
-            out.append(math.log(max(dispersion(c, cols, "cluster"), 1e-300)))
-        return np.array(out)
-    base = df.select(id_col, *cols)
-    mine = log_w(base)
-    ref = np.array([log_w(reference_set(base, cols, id_col, b, seed)) for b in range(1, references + 1)])
+    """``k, log_w, expected, gap, se``: every k of the data and of all reference sets is fitted by the same passes."""
+    points = cut(with_references(df, cols, id_col, references, seed))
+    return _gaps(points, fit_many(points, len(cols), range(1, max_k + 1), nstart, seed), max_k, references)
+
+
+def _gaps(points: DataFrame, best: dict, max_k: int, references: int) -> DataFrame:
+    log_w = np.array([[math.log(max(best[b, k].cost / 2, 1e-300)) for k in range(1, max_k + 1)] for b in range(references + 1)])
+    mine, ref = log_w[0], log_w[1:]
     sd = ref.std(axis=0, ddof=1) if references > 1 else np.zeros(max_k)
     rows = [(k + 1, float(mine[k]), float(ref[:, k].mean()), float(ref[:, k].mean() - mine[k]),
              float(math.sqrt(1 + 1 / references) * sd[k])) for k in range(max_k)]
-    return df.sparkSession.createDataFrame(rows, "k int, log_w double, expected double, gap double, se double")
+    return points.sparkSession.createDataFrame(rows, "k int, log_w double, expected double, gap double, se double")
 
 
 def first_se_max(gaps: DataFrame) -> DataFrame:
@@ -197,8 +185,11 @@ def choose_k(curve: DataFrame | None = None, widths: DataFrame | None = None, ga
 
 def optimal_k(df: DataFrame, cols: Sequence[str], id_col: str, methods: Sequence[str] = ("elbow", "silhouette", "gap"),
               max_k: int = 10, nstart: int = 25, references: int = 50, seed: int = 1) -> DataFrame:
-    """``method, k`` of every chosen method, computed on the rows."""
+    """``method, k`` of every chosen method; the methods share one set of fits."""
+    references = references if "gap" in methods else 0
+    points = cut(with_references(df, cols, id_col, references, seed))
+    best = fit_many(points, len(cols), range(1, max_k + 1), nstart, seed)
     return choose_k(
-        wcss_curve(df, cols, max_k, 1, nstart, seed) if "elbow" in methods else None,
-        best_silhouette(df, cols, id_col, max_k, nstart, seed) if "silhouette" in methods else None,
-        gap_statistic(df, cols, id_col, max_k, references, nstart, seed) if "gap" in methods else None)
+        _curve(df, best, range(1, max_k + 1)) if "elbow" in methods else None,
+        _widths(points, best, max_k) if "silhouette" in methods else None,
+        _gaps(points, best, max_k, references) if "gap" in methods else None)

@@ -1,9 +1,8 @@
 """Empty regions of a morphospace.
 
-Points are pairs of score axes ``(pair, id, x, y)``.  Every draw is a key
-(pair, b, m); a perturbed point finds its grid cells by arithmetic, so no point
-meets the whole grid.  Cells are de-duplicated per draw before counting: what
-moves is bounded by cells x draws, never by points x cells.
+Points are pairs of score axes ``(pair, id, x, y)``.  A perturbed point finds its
+grid cells by arithmetic, so no point meets the whole grid; which runs draw a row follows from the row's key.
+What moves is bounded by cells x draws, never by points.
 """
 
 from __future__ import annotations
@@ -11,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -20,24 +19,22 @@ from ..functions import draws
 from ..functions import outline as O
 from ..functions.base import div, let, pt
 from ..session import cut, small_side
+from .components import components
 from .density import density
 from .filters import keep_groups, require_rows
 from .hull import convex_hull
 from .joins import region_depth
+from .occupancy import occupied_counts
 from .ranks import row_index
 from .resample import boot_size
 from .tables import column_pairs
 
-MAX_RESOLUTION = 2000
-
 
 # ---- grid and domain ----------------------------------------------------------------
 
 
 def grid(points: DataFrame, resolution: int, buffer: float) -> DataFrame:
     """One row per pair: origin, steps, cell size and span of the analysis grid."""
-    if resolution > MAX_RESOLUTION:
-        raise ValueError(f"resolution is at most {MAX_RESOLUTION}")
     b = points.groupBy("pair").agg(F.min("x").alias("x0"), F.max("x").alias("x1"),
                                    F.min("y").alias("y0"), F.max("y").alias("y1"))
     sx, sy = F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")
@@ -49,7 +46,8 @@ def grid(points: DataFrame, resolution: int, buffer: float) -> DataFrame:
 
 def cells(grid_table: DataFrame, resolution: int) -> DataFrame:
     """``pair, ix, iy, x, y`` of all grid points."""
-    c = grid_table.withColumn("ix", F.explode(F.sequence(F.lit(0), F.lit(resolution - 1)))).withColumn(
+    # a grid has one row: its columns are dealt out before the cells are listed
+    c = grid_table.withColumn("ix", F.explode(F.sequence(F.lit(0), F.lit(resolution - 1)))).repartition("pair", "ix").withColumn(
         "iy", F.explode(F.sequence(F.lit(0), F.lit(resolution - 1))))
     return c.select("pair", "ix", "iy", (F.col("gx0") + F.col("ix") * F.col("dx")).alias("x"),
                     (F.col("gy0") + F.col("iy") * F.col("dy")).alias("y"))
@@ -109,16 +107,15 @@ def domain_cells(cell_table: DataFrame, polygon: DataFrame, grid_table: DataFram
 # ---- occupancy ------------------------------------------------------------------------
 
 
-def perturb(points: DataFrame, uncertainty: float, seed: int, keys: Sequence[str], kind: str = "gaussian") -> DataFrame:
-    """Moves x and y by measurement noise; ``span_x, span_y`` are columns.
+def perturb(points: DataFrame, uncertainty: float, seed: int, keys: Sequence[str] = (), kind: str = "gaussian") -> DataFrame:
+    """Moves x and y by measurement noise; ``span_x, span_y`` are columns, ``keys`` small integers that tell the draws of a row apart.
 
     Gaussian noise has 95 % of its mass within the uncertainty; uniform noise
     fills it.
     """
-    # one hash per point: two draws for each axis
-    u = draws.segments(F.lit(seed), *[F.col(k) for k in keys])
-    names = [f"_u{i}" for i in range(4)]
-    drawn = points.select("*", *[c.alias(n) for c, n in zip(u, names)])
+    # one key per draw: two uniform numbers for each axis
+    h = draws.mixed(draws.key(F.lit(seed), F.col("pair"), F.col("id")), *[F.col(k) for k in keys])
+    drawn = points.withColumn("_h", h).select("*", *[(draws.mixed(F.col("_h"), i + 1) / F.lit(4294967296.0)).alias(f"_u{i}") for i in range(4)])
 
     def moved(axis, a, b):
         reach = uncertainty * F.col(f"span_{axis}")
@@ -156,110 +153,119 @@ def kde_cells(points: DataFrame, keys: Sequence[str], grid_table: DataFrame, res
     return z.filter(F.col("z") > threshold).select(*keys, "ix", "iy")
 
 
-def _occupied(points, keys, grid_table, resolution, radius, method):
-    if method == "kde":
-        return kde_cells(points, keys, grid_table, resolution)
-    return covered_cells(points, keys, resolution, radius)
-
-
 def monte_carlo_counts(points: DataFrame, grid_table: DataFrame, resolution: int, iterations: int, uncertainty: float,
                        seed: int, radius: float = 1.5, kind: str = "gaussian", method: str = "radius") -> DataFrame:
-    """``pair, ix, iy, hits``: draws in which a cell is occupied."""
-    rows = points.join(F.broadcast(grid_table), "pair").withColumn(
-        "m", F.explode(F.sequence(F.lit(1), F.lit(iterations))))
-    moved = perturb(rows, uncertainty, seed, ["pair", "m", "id"], kind)
-    occ = _occupied(moved, ["pair", "m"], grid_table, resolution, radius, method)
-    return count_draws(occ, ["pair", "ix", "iy"])
-
+    """``pair, ix, iy, hits, full``: draws in which a cell is occupied, all rows in every draw."""
+    if method == "kde":
+        return _dense_counts(points, grid_table, resolution, 1, iterations, uncertainty, seed, None, kind)
+    return occupied_counts(points, grid_table, resolution, 1, iterations, uncertainty, seed, None, radius, kind)
 
-def count_draws(occ: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """``keys, hits``: distinct draws ``m``, as bits of 64-bit words.
 
-    A word folds on the map side to one number per cell, so neither the shuffle
-    nor the hash table grows with points or draws of the same word.
-    """
-    words = occ.groupBy(*keys, F.floor(F.col("m") / 64).alias("_w")).agg(
-        F.bit_or(F.expr("shiftleft(1L, cast(m % 64 as int))")).alias("_bits"))
-    return words.groupBy(*keys).agg(F.sum(F.bit_count("_bits")).cast("bigint").alias("hits"))
-
-
-def bootstrap_points(points: DataFrame, iterations: int, size: float | None, seed: int) -> DataFrame:
-    """``pair, b, k, id, x, y``: resampled points of every pair."""
-    spark = points.sparkSession
-    ids = points.select("id").distinct()
-    n = ids.count()
-    m = ids.limit(1).select(boot_size(F.lit(n), size).alias("m")).first().m
-    # written once: the draws stream past it (broadcast when it is small)
-    indexed = small_side(points.join(row_index(ids, "id", "idx"), "id"))
-    pairs = points.select("pair").distinct()
-    base = spark.range(iterations * m).select((F.floor(F.col("id") / m) + 1).alias("b"), (F.col("id") % m + 1).alias("k"))
-    listed = pairs.agg(F.collect_list("pair").alias("p")).scalar()
-    drawn = base.select("b", "k", F.explode(listed).alias("pair")).withColumn(
-        "idx", draws.index(n, F.lit(seed), F.col("pair"), F.col("b"), F.col("k")))
-    return drawn.join(indexed, ["pair", "idx"]).drop("idx")
+def bootstrap_rate(points: DataFrame, size: float | None) -> float:
+    """Mean number of times that a run draws a row: the asked sample size over the number of rows."""
+    if size is None:
+        return 1.0
+    r = points.agg(F.count_distinct("id").alias("n")).select("n", boot_size(F.col("n"), size).alias("m")).first()
+    return r.m / r.n
 
 
 def bootstrap_counts(points: DataFrame, grid_table: DataFrame, resolution: int, iterations: int, mc: int,
                      uncertainty: float, seed: int, size: float | None = None, radius: float = 1.5,
                      kind: str = "gaussian", method: str = "radius") -> DataFrame:
-    """``pair, ix, iy, b, hits``: occupied draws per bootstrap."""
-    rows = bootstrap_points(points, iterations, size, seed).join(F.broadcast(grid_table), "pair").withColumn(
-        "m", F.explode(F.sequence(F.lit(1), F.lit(mc))))
-    moved = perturb(rows, uncertainty, seed, ["pair", "b", "m", "k"], kind)
-    occ = _occupied(moved, ["pair", "b", "m"], grid_table, resolution, radius, method)
-    return count_draws(occ, ["pair", "ix", "iy", "b"])
+    """``pair, ix, iy, hits, full``: occupied draws over all bootstraps, and bootstraps with at least half of their draws occupied.
+
+    A bootstrap draws every row a Poisson number of times, known from the row's key, so rows are never looked up; its
+    size varies around the asked one.
+    """
+    rate = bootstrap_rate(points, size)
+    if method == "kde":
+        return _dense_counts(points, grid_table, resolution, iterations, mc, uncertainty, seed, rate, kind)
+    return occupied_counts(points, grid_table, resolution, iterations, mc, uncertainty, seed, rate, radius, kind)
+
+
+def _dense_counts(points, grid_table, resolution, runs, mc, uncertainty, seed, rate, kind) -> DataFrame:
+    """The same counts with cells of positive kernel density as occupied ones."""
+    rows = points.join(F.broadcast(grid_table), "pair").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(runs))))
+    times = F.lit(1) if rate is None else draws.copies(draws.key(F.lit(seed), F.col("pair"), F.col("id")), F.col("b"), draws.poisson_steps(rate))
+    rows = rows.withColumn("_t", times).filter("_t > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("_t") - 1))).drop("_t")
+    moved = perturb(rows.withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(mc)))), uncertainty, seed, ["b", "k", "m"], kind)
+    dense = kde_cells(moved, ["pair", "b", "m"], grid_table, resolution)
+    per_run = dense.groupBy("pair", "ix", "iy", "b").agg(F.count("*").alias("hits"))
+    return per_run.groupBy("pair", "ix", "iy").agg(F.sum("hits").alias("hits"), F.count_if(1 - F.col("hits") / mc <= 0.5).alias("full"))
 
 
 def gap_probability(domain: DataFrame, counts: DataFrame, total: int) -> DataFrame:
     """``pair, ix, iy, x, y, probability``: one minus the share of occupied draws."""
-    hits = counts.groupBy("pair", "ix", "iy").agg(F.sum("hits").alias("hits"))
-    return domain.join(hits, ["pair", "ix", "iy"], "left").withColumn(
+    return domain.join(counts.select("pair", "ix", "iy", "hits"), ["pair", "ix", "iy"], "left").withColumn(
         "probability", 1 - F.coalesce("hits", F.lit(0)) / total).drop("hits")
 
 
-def gap_stability(domain: DataFrame, counts: DataFrame, iterations: int, mc: int) -> DataFrame:
+def gap_stability(domain: DataFrame, counts: DataFrame, iterations: int) -> DataFrame:
     """``..., stability``: share of bootstraps with gap probability above one half."""
-    full = counts.groupBy("pair", "ix", "iy").agg(F.count_if(1 - F.col("hits") / mc <= 0.5).alias("_full"))
-    return domain.join(full, ["pair", "ix", "iy"], "left").withColumn(
-        "stability", 1 - F.coalesce("_full", F.lit(0)) / iterations).drop("_full")
+    return domain.join(counts.select("pair", "ix", "iy", "full"), ["pair", "ix", "iy"], "left").withColumn(
+        "stability", 1 - F.coalesce("full", F.lit(0)) / iterations).drop("full")
 
 
 # ---- regions ---------------------------------------------------------------------------
 
 
-def label_regions(certain: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+TILE = 128
+ROW = 1 << 31  # a cell as one number: iy * ROW + ix
+
+
+def tile_labels(cell: np.ndarray, side: int) -> np.ndarray:
+    """The smallest cell of each cell's component, for distinct cells of one ``side`` x ``side`` tile.
+
+    Minima run along whole rows and columns of cells in turns, until nothing changes.
+    """
+    iy, ix = (cell // ROW) % side, (cell % ROW) % side
+    none = np.iinfo(np.int64).max
+    label = np.full((side + 1, side + 1), none)  # the last row and column stay empty: they end the runs
+    label[iy, ix] = cell
+    filled = label != none
+
+    def along(values, full):
+        flat, inside = values.ravel(), full.ravel()
+        edge = np.flatnonzero(np.append(True, inside[1:] != inside[:-1]))
+        least = np.minimum.reduceat(flat, edge)
+        return np.repeat(least, np.diff(np.append(edge, len(flat)))).reshape(values.shape)
+    while True:
+        new = along(label, filled)
+        new = np.ascontiguousarray(along(np.ascontiguousarray(new.T), np.ascontiguousarray(filled.T)).T)
+        if (new == label).all():
+            return new[iy, ix]
+        label = new
+
+
+def label_regions(certain: DataFrame, thresholds: Sequence[float], tile: int = TILE) -> DataFrame:
     """``pair, threshold, gap_id, ix, iy, x, y, certainty`` of connected cells.
 
-    Cells join along the four sides.  A group is at most one grid (its size is
-    a parameter, not the data), so it is labelled in one task; ids count in the
+    Cells join along the four sides.  Cells are labelled inside square tiles of a fixed side, then the labels that touch across
+    tile borders are merged as components, so no task sees a grid.  Ids count in the
     order of each region's first cell (iy, ix).
     """
+    keys = ["pair", "threshold"]
     cuts = F.array(*[F.lit(float(t)) for t in thresholds])
     rows = certain.withColumn("threshold", F.explode(cuts)).filter(F.col("certainty") >= F.col("threshold")).select(
-        "pair", "threshold", "ix", "iy", "x", "y", "certainty")
-    schema = T.StructType(rows.schema.fields + [T.StructField("gap_id", T.IntegerType())])
-
-    def flood(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["iy", "ix"], kind="stable").reset_index(drop=True)
-        left = {c: i for i, c in enumerate(zip(pdf["ix"], pdf["iy"]))}
-        ids = np.zeros(len(pdf), np.int32)
-        label = 0
-        for c in list(left):
-            if c not in left:
-                continue
-            label += 1
-            ids[left.pop(c)] = label
-            todo = [c]
-            while todo:
-                i, j = todo.pop()
-                for n in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)):
-                    k = left.pop(n, None)
-                    if k is not None:
-                        ids[k] = label
-                        todo.append(n)
-        pdf["gap_id"] = ids
-        return pdf[[f.name for f in schema.fields]]
-    return rows.groupBy("pair", "threshold").applyInPandas(flood, schema)
+        *keys, "ix", "iy", "x", "y", "certainty")
+    schema = T.StructType(rows.schema.fields + [T.StructField("label", T.LongType())])
+
+    def label(t: pa.Table) -> pa.Table:
+        t = t.drop_columns(["_tx", "_ty"])
+        at = [t[c].combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64) for c in ("iy", "ix")]
+        return t.append_column("label", pa.array(tile_labels(at[0] * ROW + at[1], tile), pa.int64()))
+    tiles = rows.withColumn("_tx", F.floor(F.col("ix") / tile)).withColumn("_ty", F.floor(F.col("iy") / tile))
+    labelled = cut(tiles.groupBy(*keys, "_tx", "_ty").applyInArrow(label, schema))
+
+    def touching(side, other):
+        # the last column (row) of a tile against the first one of the next
+        here = labelled.filter(F.col(side) % tile == tile - 1).select(*keys, (F.col(side) + 1).alias(side), other, F.col("label").alias("a"))
+        return here.join(labelled.filter(F.col(side) % tile == 0).select(*keys, side, other, F.col("label").alias("b")), [*keys, side, other]).select(*keys, "a", "b")
+    merged = components(touching("ix", "iy").unionByName(touching("iy", "ix")), keys).withColumnRenamed("node", "label")
+    named = cut(labelled.select(*keys, "label").distinct().join(merged, [*keys, "label"], "left").withColumn("root", F.coalesce("root", "label")))
+    ids = row_index(named.select(*keys, "root").distinct(), "root", "gap_id", within=keys)
+    named = cut(named.join(ids.select(*keys, "root", F.col("gap_id").cast("int").alias("gap_id")), [*keys, "root"]))
+    return labelled.join(named.select(*keys, "label", "gap_id"), [*keys, "label"]).select(*keys, "gap_id", "ix", "iy", "x", "y", "certainty")
 
 
 def region_metrics(regions: DataFrame, grid_table: DataFrame, points: DataFrame) -> DataFrame:
@@ -320,7 +326,7 @@ def detect_gaps(scores: DataFrame, pcs: Sequence[str], uncertainty: float = 0.05
     if estimation == "two_stage":
         m2 = mc_bootstrap or max(50, mc // 2)
         prob = gap_probability(domain, monte_carlo_counts(points, g, resolution, mc, **common), mc)
-        stab = gap_stability(domain, bootstrap_counts(points, g, resolution, bootstraps, m2, size=size, **common), bootstraps, m2)
+        stab = gap_stability(domain, bootstrap_counts(points, g, resolution, bootstraps, m2, size=size, **common), bootstraps)
         certain = two_stage(prob, stab)
     else:
         m2 = mc_bootstrap or mc

@@ -24,7 +24,7 @@ def standardised(spark, d):
 
 @query("clu_02")
 def kmeans(spark, d):
-    return C.kmeans(_z(spark, d), PCS, 3, nstart=20).select("ID", "cluster")
+    return C.kmeans(_z(spark, d), PCS, 3, nstart=20, id_col="ID").select("ID", "cluster")
 
 
 @query("clu_05")
@@ -55,7 +55,30 @@ def silhouette(spark, d):
 
 @query("clu_08")
 def gap(spark, d):
-    g = C.gap_statistic(_z(spark, d), PCS, "ID", max_k=3, references=2, nstart=1)
+    g = C.gap_statistic(_z(spark, d), PCS, "ID")
+    return g.select("k", *[r6(F.col(c)).alias(c) for c in ("log_w", "expected", "gap", "se")])
+
+
+_Z = """z AS (SELECT "ID", ("PC1" - avg("PC1") OVER ())/stddev_samp("PC1") OVER () AS x, ("PC2" - avg("PC2") OVER ())/stddev_samp("PC2") OVER () AS y, "group" AS g FROM scores)"""
+
+
+@query("clu_05_given", f"""WITH @scores, {_Z}, c AS (SELECT g, avg(x) AS mx, avg(y) AS my FROM z GROUP BY g)
+SELECT R6(sum((x - mx)**2 + (y - my)**2)/2) AS w, count(*) AS n FROM z JOIN c USING (g)""")
+def dispersion_of_groups(spark, d):
+    z = _z(spark, d)
+    return z.agg(F.count("*").alias("n")).withColumn("w", r6(F.lit(C.dispersion(z, PCS, "group"))))
+
+
+# at one cluster a reference set is only its box: standardised columns have the axes (1, 1) and (1, -1), the first by their correlation
+@query("clu_08_one", f"""WITH @scores, {_Z}, r AS (SELECT CASE WHEN corr(x, y) >= 0 THEN 1 ELSE -1 END AS s FROM z),
+p AS (SELECT max((x + s*y)/sqrt(2)) - min((x + s*y)/sqrt(2)) AS w0, max((x - s*y)/sqrt(2)) - min((x - s*y)/sqrt(2)) AS w1, sum(x*x + y*y)/2 AS own FROM z, r),
+u AS (SELECT b, j, var_pop(('0x' || left(md5('1:' || b || ':' || j || ':' || "ID"), 8))::BIGINT/4294967296.0::DOUBLE)*count(*) AS v
+  FROM z, range(1, 51) t(b), range(0, 2) q(j) GROUP BY b, j),
+l AS (SELECT b, ln(sum(v*CASE WHEN j = 0 THEN w0*w0 ELSE w1*w1 END)/2) AS w FROM u, p GROUP BY b)
+SELECT 1 AS k, R6(any_value(ln(own))) AS log_w, R6(avg(w)) AS expected, R6(avg(w) - any_value(ln(own))) AS gap,
+  R6(sqrt(1 + 1/50.0)*stddev_samp(w)) AS se FROM l, p""")
+def gap_of_one(spark, d):
+    g = C.gap_statistic(_z(spark, d), PCS, "ID", max_k=1)
     return g.select("k", *[r6(F.col(c)).alias(c) for c in ("log_w", "expected", "gap", "se")])
 
 
@@ -77,4 +100,4 @@ def chosen_k(spark, d):
 
 @query("clu_09_rows")
 def chosen_k_of_rows(spark, d):
-    return C.optimal_k(_z(spark, d), PCS, "ID", ("elbow", "silhouette"), max_k=3, nstart=1)
+    return C.optimal_k(_z(spark, d), PCS, "ID")

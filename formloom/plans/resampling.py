@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixtures as X
+from ..functions import draws as DR
 from ..functions import efa as E
 from ..functions.base import r6
 from ..operators import gaps as G
@@ -174,7 +175,9 @@ def replicates(spark, d):
 
 # ---- gaps -----------------------------------------------------------------------------------
 
-RES = 20
+RES = 150  # the defaults of the analysis: grid, noise draws, bootstraps
+MC, BOOTS = 100, 200
+THRESHOLDS = (0.8, 0.9, 0.95)
 _PAIRS = ("PC1", "PC2", "PC3")
 
 
@@ -185,9 +188,16 @@ def _points(spark, d, pcs=_PAIRS):
 
 PTS = """pp AS (SELECT 'PC1-PC2' AS pair, vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings
 UNION ALL SELECT 'PC1-PC3', vec_id, embedding[1]::DOUBLE, embedding[3]::DOUBLE FROM embeddings UNION ALL SELECT 'PC2-PC3', vec_id, embedding[2]::DOUBLE, embedding[3]::DOUBLE FROM embeddings)"""
-GRID = f"""{PTS}, gr AS (SELECT pair, min(x) - 0.05*(max(x)-min(x)) AS gx, min(y) - 0.05*(max(y)-min(y)) AS gy, (max(x)-min(x))*1.1/{RES - 1} AS dx, (max(y)-min(y))*1.1/{RES - 1} AS dy,
+ONE = """pp AS (SELECT 'PC1-PC2' AS pair, vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"""
+
+
+def _grid(points=PTS, res=RES):
+    return f"""{points}, gr AS (SELECT pair, min(x) - 0.05*(max(x)-min(x)) AS gx, min(y) - 0.05*(max(y)-min(y)) AS gy, (max(x)-min(x))*1.1/{res - 1} AS dx, (max(y)-min(y))*1.1/{res - 1} AS dy,
 max(x)-min(x) AS sx, max(y)-min(y) AS sy FROM pp GROUP BY pair),
-cl AS (SELECT pair, i::INT AS ix, j::INT AS iy, gx + i*dx AS x, gy + j*dy AS y FROM gr, range(0, {RES}) u(i), range(0, {RES}) w(j))"""
+cl AS (SELECT pair, i::INT AS ix, j::INT AS iy, gx + i*dx AS x, gy + j*dy AS y FROM gr, range(0, {res}) u(i), range(0, {res}) w(j))"""
+
+
+GRID = _grid()
 
 
 @query("res_16", f"WITH {GRID} SELECT pair, ix, iy, R6(x) AS x, R6(y) AS y FROM cl")
@@ -226,52 +236,74 @@ def full_domain(spark, d):
         (F.min, "x", "x0"), (F.max, "x", "x1"), (F.min, "y", "y0"), (F.max, "y", "y1"))])
 
 
-def _seg(keys, i):
-    return f"(concat('0x', substr(md5(concat_ws(':', {', '.join(keys)})), {1 + 8 * i}, 8))::BIGINT/4294967296.0)"
+def _mix(src, value, h="h"):
+    """The draws of ``functions.draws.mixed`` in SQL, step by step over a column."""
+    steps = (f"({h} + ({value})::BIGINT*{DR.STEP}) & {DR.MASK}", f"(xor({h}, {h} >> 16)*{DR.FIRST}) & {DR.MASK}", f"(xor({h}, {h} >> 13)*{DR.SECOND}) & {DR.MASK}", f"xor({h}, {h} >> 16)")
+    for e in steps:
+        src = f"(SELECT * REPLACE ({e} AS {h}) FROM {src})"
+    return src
+
+
+def _keyed(src, seed):
+    return f"(SELECT *, concat('0x', substr(md5(concat_ws(':', {seed}, pair, id)), 1, 8))::BIGINT AS h FROM {src})"
+
 
+def _uniforms(src):
+    src = f"(SELECT *, h AS h1, h AS h2, h AS h3, h AS h4 FROM {src})"
+    for i in range(1, 5):
+        src = _mix(src, i, f"h{i}")
+    return f"(SELECT *, h1/4294967296.0::DOUBLE AS u1, h2/4294967296.0::DOUBLE AS u2, h3/4294967296.0::DOUBLE AS u3, h4/4294967296.0::DOUBLE AS u4 FROM {src})"
 
-def _normal(keys, axis):
-    i = 0 if axis == "x" else 2
-    return f"sqrt(-2*ln(greatest({_seg(keys, i)}, pow(2.0, -33))))*cos(2*pi()*{_seg(keys, i + 1)})"
 
+def _moved(src):
+    """Adds the noisy position px, py of every draw h, with the grid's columns."""
+    return (f"(SELECT *, x + sqrt(-2*ln(greatest(u1, pow(2.0, -33))))*cos(2*pi()*u2)*0.05*sx/1.96 AS px, y + sqrt(-2*ln(greatest(u3, pow(2.0, -33))))*cos(2*pi()*u4)*0.05*sy/1.96 AS py "
+            f"FROM {_uniforms(src)})")
 
-@query("res_19", f"""WITH {GRID} SELECT pair, id, R6(x + {_normal(['4', 'pair', 'id'], 'x')}*0.05*sx/1.96) AS gx, R6(y + {_normal(['4', 'pair', 'id'], 'y')}*0.05*sy/1.96) AS gy,
-R6(x + ({_seg(['4', 'pair', 'id'], 0)}*2 - 1)*0.05*sx) AS ux, R6(y + ({_seg(['4', 'pair', 'id'], 2)}*2 - 1)*0.05*sy) AS uy FROM pp JOIN gr USING (pair)""")
+
+@query("res_19", f"""WITH {GRID} SELECT pair, id, R6(px) AS gx, R6(py) AS gy, R6(x + (u1*2 - 1)*0.05*sx) AS ux, R6(y + (u3*2 - 1)*0.05*sy) AS uy FROM {_moved("(SELECT * FROM " + _keyed('pp', 4) + " JOIN gr USING (pair))")}""")
 def perturbed(spark, d):
     p = _points(spark, d)
     rows = p.join(G.grid(p, RES, 0.05), "pair")
-    a = G.perturb(rows, 0.05, 4, ["pair", "id"]).select("pair", "id", r6(F.col("x")).alias("gx"), r6(F.col("y")).alias("gy"))
-    b = G.perturb(rows, 0.05, 4, ["pair", "id"], "uniform").select("pair", "id", r6(F.col("x")).alias("ux"), r6(F.col("y")).alias("uy"))
+    a = G.perturb(rows, 0.05, 4).select("pair", "id", r6(F.col("x")).alias("gx"), r6(F.col("y")).alias("gy"))
+    b = G.perturb(rows, 0.05, 4, kind="uniform").select("pair", "id", r6(F.col("x")).alias("ux"), r6(F.col("y")).alias("uy"))
     return a.join(b, ["pair", "id"])
 
 
-def _covered(src, keys):
-    return f"""SELECT DISTINCT {keys}, i::INT AS ix, j::INT AS iy FROM {src} JOIN gr USING (pair), range(0, {RES}) u(i), range(0, {RES}) w(j)
-WHERE abs(gx + i*dx - px) <= 1.5*(dx+dy)/2 AND abs(gy + j*dy - py) <= 1.5*(dx+dy)/2 AND sqrt((gx + i*dx - px)**2 + (gy + j*dy - py)**2) <= 1.5*(dx+dy)/2"""
+def _covered(src, keys, res=RES):
+    r = "1.5*(dx+dy)/2"
+    return f"""SELECT {keys}, i::INT AS ix, j::INT AS iy FROM (SELECT *, unnest(range(greatest(ceil((py - {r} - gy)/dy), 0)::INT, least(floor((py + {r} - gy)/dy), {res - 1})::INT + 1)) AS j FROM (
+SELECT *, unnest(range(greatest(ceil((px - {r} - gx)/dx), 0)::INT, least(floor((px + {r} - gx)/dx), {res - 1})::INT + 1)) AS i FROM {src}))
+WHERE sqrt((gx + i*dx - px)**2 + (gy + j*dy - py)**2) <= {r}"""
 
 
-@query("jon_07", f"WITH {GRID}, q AS (SELECT pair, x AS px, y AS py FROM pp) SELECT pair, ix, iy FROM ({_covered('q', 'pair')})")
+@query("jon_07", f"WITH {GRID}, q AS (SELECT gr.*, x AS px, y AS py FROM pp JOIN gr USING (pair)) SELECT DISTINCT pair, ix, iy FROM ({_covered('q', 'pair')})")
 def covered(spark, d):
     p = _points(spark, d)
     rows = p.join(G.grid(p, RES, 0.05), "pair")
     return G.covered_cells(rows, ["pair"], RES).distinct()
 
 
-_MC = f"""mc AS (SELECT pair, m, x + {_normal(['4', 'pair', 'm', 'id'], 'x')}*0.05*sx/1.96 AS px, y + {_normal(['4', 'pair', 'm', 'id'], 'y')}*0.05*sy/1.96 AS py FROM pp JOIN gr USING (pair), range(1, 5) v(m)),
-mo AS ({_covered('mc', 'pair, m')}), mh AS (SELECT pair, ix, iy, count(*) AS hits FROM mo GROUP BY pair, ix, iy),
-gp AS (SELECT cl.*, 1 - coalesce(hits, 0)/4 AS probability FROM cl LEFT JOIN mh USING (pair, ix, iy))"""
+def _hits(src):
+    """Per cell and run the noise draws that occupy it, as bits of words."""
+    return f"""(SELECT pair, ix, iy, b, sum(bit_count(w))::BIGINT AS hits FROM (
+SELECT pair, ix, iy, b, bit_or(1::UBIGINT << (m % 64)::UBIGINT) AS w FROM ({_covered(src, 'pair, b, m')}) GROUP BY pair, ix, iy, b, m // 64) GROUP BY pair, ix, iy, b)"""
 
 
-def _mc(spark, d):
-    p = _points(spark, d)
+_MC_ROWS = _mix(_mix(_mix("(SELECT *, 1 AS b FROM " + _keyed("pp", 4) + f" JOIN gr USING (pair), range(1, {MC + 1}) v(m))", "b"), "0"), "m")
+_MC = f"""mh AS {_hits(_moved(_MC_ROWS))}, gp AS (SELECT cl.*, 1 - coalesce(hits, 0)/{MC} AS probability FROM cl LEFT JOIN mh USING (pair, ix, iy))"""
+
+
+def _mc(spark, d, pcs=_PAIRS):
+    p = _points(spark, d, pcs)
     g = G.grid(p, RES, 0.05)
-    return p, g, G.cells(g, RES), G.monte_carlo_counts(p, g, RES, 4, 0.05, 4)
+    return p, g, G.cells(g, RES), G.monte_carlo_counts(p, g, RES, MC, 0.05, 4)
 
 
 @query("agg_18", f"WITH {GRID}, {_MC} SELECT pair, ix, iy, R6(probability) AS probability FROM gp")
 def occupancy_counts(spark, d):
     _, _, c, counts = _mc(spark, d)
-    return G.gap_probability(c, counts, 4).select("pair", "ix", "iy", r6(F.col("probability")).alias("probability"))
+    return G.gap_probability(c, counts, MC).select("pair", "ix", "iy", r6(F.col("probability")).alias("probability"))
 
 
 @query("res_20", f"""WITH {GRID}, b AS (SELECT pair, count(*) AS n, 1.06*least(stddev_samp(x), (quantile_cont(x, 0.75) - quantile_cont(x, 0.25))/1.34)*pow(count(*), -0.2) AS hx,
@@ -283,64 +315,72 @@ def dense_cells(spark, d):
     return G.kde_cells(p, ["pair"], G.grid(p, RES, 0.05), RES, 0.5)
 
 
-_BOOT = f"""ord AS (SELECT vec_id AS id, row_number() OVER (ORDER BY vec_id) AS i FROM embeddings),
-bd AS (SELECT pair, b, k, (floor({u_sql('4', 'pair', 'b', 'k')}*{N}) + 1)::BIGINT AS i FROM gr, range(1, 4) v(b), (SELECT row_number() OVER () AS k FROM embeddings)),
-bp AS (SELECT bd.pair, b, k, x, y FROM bd JOIN ord USING (i) JOIN pp ON pp.pair = bd.pair AND pp.id = ord.id),
-bm AS (SELECT pair, b, m, x + {_normal(['4', 'pair', 'b', 'm', 'k'], 'x')}*0.05*sx/1.96 AS px, y + {_normal(['4', 'pair', 'b', 'm', 'k'], 'y')}*0.05*sy/1.96 AS py FROM bp JOIN gr USING (pair), range(1, 3) v(m)),
-bo AS ({_covered('bm', 'pair, b, m')}), bh AS (SELECT pair, ix, iy, b, count(*) AS hits FROM bo GROUP BY pair, ix, iy, b),
-bg AS (SELECT cl.*, 1 - coalesce(h, 0)/6 AS probability, 1 - coalesce(f, 0)/3 AS stability FROM cl LEFT JOIN (SELECT pair, ix, iy, sum(hits) AS h,
-count(*) FILTER (1 - hits/2 <= 0.5) AS f FROM bh GROUP BY pair, ix, iy) USING (pair, ix, iy))"""
+_STEPS = ", ".join(f"{s!r}::DOUBLE" for s in DR.poisson_steps(1.0))
+_RUNS = _mix(f"(SELECT *, b::BIGINT AS run FROM {_keyed('pp', 4)} JOIN gr USING (pair), range(1, {BOOTS + 1}) v(b))", "b")
+_DRAWN = f"(SELECT * FROM (SELECT *, unnest(range(0, len(list_filter([{_STEPS}], lambda s: s <= h/4294967296.0::DOUBLE)))) AS k FROM {_RUNS}))"
+_NOISE = _mix(f"(SELECT * FROM {_mix(_DRAWN, 'k')}, range(1, {MC + 1}) u(m))", "m")
+_BOOT = f"""bh AS MATERIALIZED {_hits(_moved(_NOISE))},
+bg AS (SELECT cl.*, 1 - coalesce(h, 0)/{MC * BOOTS} AS probability, 1 - coalesce(f, 0)/{BOOTS} AS stability FROM cl LEFT JOIN (SELECT pair, ix, iy, sum(hits) AS h,
+count(*) FILTER (1 - hits/{MC} <= 0.5) AS f FROM bh GROUP BY pair, ix, iy) USING (pair, ix, iy))"""
+GRID1 = _grid(ONE)
 
 
 def _boot(spark, d):
-    p = _points(spark, d)
+    p = _points(spark, d, ("PC1", "PC2"))
     g = G.grid(p, RES, 0.05)
-    return p, g, G.cells(g, RES), G.bootstrap_counts(p, g, RES, 3, 2, 0.05, 4)
+    return p, g, G.cells(g, RES), G.bootstrap_counts(p, g, RES, BOOTS, MC, 0.05, 4)
 
 
-@query("res_21", f"WITH {GRID}, {_BOOT} SELECT pair, ix, iy, R6(probability) AS probability FROM bg")
+@query("res_21", f"WITH {GRID1}, {_BOOT} SELECT pair, ix, iy, R6(probability) AS probability FROM bg")
 def bootstrap_probability(spark, d):
     _, _, c, counts = _boot(spark, d)
-    return G.gap_probability(c, counts, 6).select("pair", "ix", "iy", r6(F.col("probability")).alias("probability"))
+    return G.gap_probability(c, counts, MC * BOOTS).select("pair", "ix", "iy", r6(F.col("probability")).alias("probability"))
 
 
-@query("res_22", f"WITH {GRID}, {_BOOT} SELECT pair, ix, iy, R6(stability) AS stability FROM bg")
+@query("res_22", f"WITH {GRID1}, {_BOOT} SELECT pair, ix, iy, R6(stability) AS stability FROM bg")
 def gap_stability(spark, d):
     _, _, c, counts = _boot(spark, d)
-    return G.gap_stability(c, counts, 3, 2).select("pair", "ix", "iy", r6(F.col("stability")).alias("stability"))
+    return G.gap_stability(c, counts, BOOTS).select("pair", "ix", "iy", r6(F.col("stability")).alias("stability"))
 
 
-@query("res_23", f"WITH {GRID}, {_MC}, {_BOOT} SELECT pair, ix, iy, R6(gp.probability*stability) AS certainty FROM gp JOIN bg USING (pair, ix, iy)")
+@query("res_23", f"WITH {GRID1}, {_MC}, {_BOOT} SELECT pair, ix, iy, R6(gp.probability*stability) AS certainty FROM gp JOIN bg USING (pair, ix, iy)")
 def two_stage(spark, d):
-    _, _, c, counts = _mc(spark, d)
-    t = G.two_stage(G.gap_probability(c, counts, 4), G.gap_stability(c, _boot(spark, d)[3], 3, 2))
+    _, _, c, counts = _mc(spark, d, ("PC1", "PC2"))
+    t = G.two_stage(G.gap_probability(c, counts, MC), G.gap_stability(c, _boot(spark, d)[3], BOOTS))
     return t.select("pair", "ix", "iy", r6(F.col("certainty")).alias("certainty"))
 
 
-_MODELS = f"""WITH RECURSIVE {GRID}, {_BOOT},
-gc AS (SELECT pair, t AS threshold, ix, iy, x, y, probability AS certainty, iy*{RES} + ix AS node FROM bg, (SELECT unnest([0.5, 0.9])::DOUBLE AS t) WHERE probability >= t),
-nb AS (SELECT a.pair, a.threshold, a.node AS u, b.node AS v FROM gc a JOIN gc b ON a.pair = b.pair AND a.threshold = b.threshold AND abs(a.ix-b.ix) + abs(a.iy-b.iy) = 1),
-rc AS (SELECT pair, threshold, node, node AS low FROM gc UNION SELECT nb.pair, nb.threshold, nb.v, rc.low FROM rc JOIN nb ON nb.pair = rc.pair AND nb.threshold = rc.threshold AND nb.u = rc.node),
-lb AS (SELECT pair, threshold, node, min(low) AS low FROM rc GROUP BY pair, threshold, node),
-rg AS (SELECT gc.*, dense_rank() OVER (PARTITION BY gc.pair, gc.threshold ORDER BY low)::INT AS gap_id FROM gc JOIN lb USING (pair, threshold, node)),
-rm AS (SELECT pair, threshold, gap_id, count(*) AS n_cells, count(*)*max(dx*dy) AS area, avg(certainty) AS mean_certainty, max(certainty) AS max_certainty, avg(x) AS centroid_x, avg(y) AS centroid_y
+# horizontal runs of cells are the nodes: a run meets the runs of the next line that overlap it
+_LABELS = """rw AS MATERIALIZED (SELECT pair, threshold, iy, min(ix) AS x0, max(ix) AS x1, min(node) AS node FROM (
+SELECT *, ix - row_number() OVER (PARTITION BY pair, threshold, iy ORDER BY ix) AS island FROM gc) GROUP BY pair, threshold, iy, island),
+nb AS MATERIALIZED (SELECT a.pair, a.threshold, a.node AS u, b.node AS v FROM rw a JOIN rw b ON a.pair = b.pair AND a.threshold = b.threshold AND b.iy = a.iy + 1 AND a.x0 <= b.x1 AND b.x0 <= a.x1),
+sy2 AS MATERIALIZED (SELECT * FROM nb UNION ALL SELECT pair, threshold, v, u FROM nb),
+rc AS (SELECT pair, threshold, node, node AS low FROM rw UNION SELECT sy2.pair, sy2.threshold, sy2.v, rc.low FROM rc JOIN sy2 ON sy2.pair = rc.pair AND sy2.threshold = rc.threshold AND sy2.u = rc.node),
+lw AS (SELECT pair, threshold, node, min(low) AS low FROM rc GROUP BY pair, threshold, node),
+rg AS (SELECT gc.*, dense_rank() OVER (PARTITION BY gc.pair, gc.threshold ORDER BY lw.low)::INT AS gap_id FROM gc JOIN rw ON rw.pair = gc.pair AND rw.threshold = gc.threshold AND rw.iy = gc.iy
+AND gc.ix BETWEEN rw.x0 AND rw.x1 JOIN lw ON lw.pair = gc.pair AND lw.threshold = gc.threshold AND lw.node = rw.node)"""
+_METRICS = """rm AS (SELECT pair, threshold, gap_id, count(*) AS n_cells, count(*)*max(dx*dy) AS area, avg(certainty) AS mean_certainty, max(certainty) AS max_certainty, avg(x) AS centroid_x, avg(y) AS centroid_y
 FROM rg JOIN gr USING (pair) GROUP BY pair, threshold, gap_id),
 su AS (SELECT rm.*, (SELECT min(sqrt((pp.x - rm.centroid_x)**2 + (pp.y - rm.centroid_y)**2)) FROM pp WHERE pp.pair = rm.pair) AS gap_depth FROM rm)"""
+_TH = ", ".join(map(str, THRESHOLDS))
+_MODELS = f"""WITH RECURSIVE {GRID1}, {_BOOT},
+gc AS MATERIALIZED (SELECT pair, t AS threshold, ix, iy, x, y, probability AS certainty, iy*{RES} + ix AS node FROM bg, (SELECT unnest([{_TH}])::DOUBLE AS t) WHERE probability >= t),
+{_LABELS}, {_METRICS}"""
 
 
 def _certain(spark, d):
     p, g, c, counts = _boot(spark, d)
-    return p, g, G.gap_probability(c, counts, 6).withColumn("certainty", F.col("probability"))
+    return p, g, G.gap_probability(c, counts, MC * BOOTS).withColumn("certainty", F.col("probability"))
 
 
 @query("res_24", f"{_MODELS} SELECT pair, threshold, gap_id, ix, iy, R6(certainty) AS certainty FROM rg")
 def regions(spark, d):
     _, _, c = _certain(spark, d)
-    r = G.label_regions(c, [0.5, 0.9])
+    r = G.label_regions(c, THRESHOLDS)
     return r.select("pair", "threshold", "gap_id", "ix", "iy", r6(F.col("certainty")).alias("certainty"))
 
 
-@query("res_25", f"WITH {GRID}, {_BOOT} SELECT pair, ix, iy, R6(x) AS x, R6(y) AS y, R6(probability) AS certainty, R6(1 - probability) AS elevation FROM bg")
+@query("res_25", f"WITH {GRID1}, {_BOOT} SELECT pair, ix, iy, R6(x) AS x, R6(y) AS y, R6(probability) AS certainty, R6(1 - probability) AS elevation FROM bg")
 def relief(spark, d):
     r = G.relief(_certain(spark, d)[2])
     return r.select("pair", "ix", "iy", *[r6(F.col(c)).alias(c) for c in ("x", "y", "certainty", "elevation")])
@@ -351,7 +391,7 @@ _SUMCOLS = ("area", "mean_certainty", "max_certainty", "centroid_x", "centroid_y
 
 def _summary(spark, d):
     p, g, c = _certain(spark, d)
-    return G.summary(G.region_metrics(G.label_regions(c, [0.5, 0.9]), g, p))
+    return G.summary(G.region_metrics(G.label_regions(c, THRESHOLDS), g, p))
 
 
 @query("res_26", f"{_MODELS} SELECT pair AS pc_pair, split_part(pair, '-', 1) AS pc_x, split_part(pair, '-', 2) AS pc_y, threshold, gap_id, n_cells, "
@@ -378,7 +418,6 @@ def boot_sizes(spark, d):
 
 @query("res_15")
 def detected(spark, d):
-    r = G.detect_gaps(X.scores(spark, d, 3), ["PC1", "PC2", "PC3"], resolution=40, mc=5, bootstraps=4, thresholds=(0.8, 0.9),
-                      group="group", groups=list(range(8)), seed=9)
+    r = G.detect_gaps(X.scores(spark, d, 3), ["PC1", "PC2", "PC3"], group="group", seed=9)
     s = r["summary"]
     return s.select("pc_pair", "threshold", "gap_id", "n_cells", *[r6(F.col(c)).alias(c) for c in _SUMCOLS])
