@@ -12,7 +12,7 @@ linked when at most ``bits`` (4) bits differ, without missing a pair:
   bits. Only larger fingerprints are sought: the smaller one of a pair probes.
 
 Groups of near copies would make pairs with the square of their size, and only components are wanted. So fingerprints that share a part's
-value first meet a few heads of that value, in rounds until nothing grows together; after that only pairs of different components
+value first hang on a few heads of that value, in turns as long as many grow together; after that only pairs of different components
 meet. Where a value holds many fingerprints of one component, probes of that component pass them by: the value's
 main component and the rest are lists of their own.
 
@@ -277,23 +277,33 @@ def far(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def rooted(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(f, root) under all ``links`` found so far."""
-    found = components(links).withColumnRenamed("id", "f")
-    return cut(nodes.select("f").join(found, "f", "left").select("f", F.coalesce("root", "f").alias("root")))
+def order(column: str, turn: int) -> Column:
+    return F.struct(F.xxhash64(column, F.lit(turn)).alias("o"), F.col(column).alias("r"))
 
 
-def head_links(index: DataFrame, bits: int, turn: int) -> DataFrame:
-    """Links between fingerprints and a few heads of each value that they share, where it holds several components."""
-    pick = [F.min(F.struct(F.xxhash64("f", F.lit(turn * HEADS + k)), F.col("f").alias("h"))).alias(f"h{k}") for k in range(HEADS)]
+def hung(nodes: DataFrame, index: DataFrame, bits: int, turn: int) -> DataFrame:
+    """``nodes`` (f, root) with components joined over links to a few heads of each value that several components share.
+
+    Heads are early in a random order of the components. A component hangs on the earliest one that a head
+    linked to one of its members belongs to, so what hangs together is a forest, and jumps from parent to parent end at its roots.
+    """
+    mine = F.pmod(F.xxhash64("f", F.lit(-1 - turn)), F.lit(HEADS))
+    pick = [F.min(F.when(mine == k, F.struct(order("root", turn).alias("key"), F.col("f").alias("h")))).alias(f"h{k}") for k in range(HEADS)]
     mixed = index.groupBy("part", "value").agg(F.min("root").alias("x"), F.max("root").alias("z"), *pick).where("x < z")
-    heads = cut(mixed.select("part", "value", F.array_distinct(F.array(*[F.col(f"h{k}.h") for k in range(HEADS)])).alias("heads")))
-    near = F.filter("heads", lambda h: (h != F.col("f")) & (F.bit_count(h.bitwiseXOR(F.col("f"))) <= bits))
-    return index.join(heads, ["part", "value"]).select("f", F.explode(F.slice(near, 1, 2)).alias("h")).distinct()
+    heads = cut(mixed.select("part", "value", F.array_compact(F.array(*[F.col(f"h{k}") for k in range(HEADS)])).alias("heads")))
+    near = F.filter("heads", lambda h: (h["key"] < F.col("key")) & (F.bit_count(h["h"].bitwiseXOR(F.col("f"))) <= bits))
+    met = index.withColumn("key", order("root", turn)).join(heads, ["part", "value"]).select("root", F.array_min(F.transform(near, lambda h: h["key"])).alias("up"))
+    up = cut(met.where(F.col("up").isNotNull()).groupBy("root").agg(F.min("up")["r"].alias("up")))
+    while True:
+        above = up.select(F.col("root").alias("up"), F.col("up").alias("top"))
+        jumped = cut(up.join(above, "up", "left").select("root", F.coalesce("top", "up").alias("up"), F.col("top").isNotNull().alias("moved")))
+        up = jumped.select("root", "up")
+        if not jumped.where("moved").limit(1).count():
+            return cut(nodes.join(up, "root", "left").select("f", F.coalesce("up", "root").alias("root")))
 
 
 def apart_links(index: DataFrame, probes: DataFrame, bits: int) -> DataFrame:
-    """All links between different components: probes meet the main component of a value unless it is their own, and all others."""
+    """(a, b): components with a link: probes meet the main component of a value unless it is their own, and all others."""
     of_value = index.groupBy("part", "value", "root").agg(F.count("*").alias("n"))
     main = cut(of_value.groupBy("part", "value").agg(F.max(F.struct("n", "root")).alias("m"), F.count("*").alias("k")).select(
         "part", "value", F.col("m.root").alias("main"), (F.col("k") > 1).alias("more")))
@@ -302,23 +312,22 @@ def apart_links(index: DataFrame, probes: DataFrame, bits: int) -> DataFrame:
     sought = probes.join(main, ["part", "value"]).where(~own | F.col("more")).select("part", "value", F.explode(lists).alias("list"), F.col("f").alias("a"), F.col("root").alias("ra"))
     kept = index.join(main, ["part", "value"]).select("part", "value", F.when(own, 0).otherwise(1).alias("list"), F.col("f").alias("b"), F.col("root").alias("rb"))
     met = sought.join(kept, ["part", "value", "list"]).where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (far("a", "b") <= bits))
-    return met.select("a", "b").distinct()
+    return met.select(F.col("ra").alias("a"), F.col("rb").alias("b")).distinct()
 
 
 def fingerprint_components(nodes: DataFrame, bits: int = 4) -> DataFrame:
-    """(f, root) of distinct fingerprints: root is the smallest one reachable over links of at most ``bits`` differing bits."""
+    """(f, root) of distinct fingerprints: those that links of at most ``bits`` differing bits connect have one root among them."""
     nodes = cut(nodes.select("f", F.col("f").alias("root")))
     parts, near, n = choose(nodes, bits)
-    links = None
-    for turn in range(64):  # each round that goes on has joined components; the last step is exact whatever they found
-        found = cut(head_links(indexed(nodes, parts), bits, turn).select(F.col("f").alias("a"), F.col("h").alias("b")))
-        links = found if links is None else links.unionByName(found)
-        before, nodes = nodes, rooted(nodes, links)
-        grown = before.join(nodes.withColumnRenamed("root", "now"), "f").where("root <> now").count()
-        if 100 * grown <= n:
+    left = n
+    for turn in range(64):  # each that goes on has joined components; the step after is exact whatever they found
+        nodes = hung(nodes, indexed(nodes, parts), bits, turn)
+        before, left = left, nodes.where("f = root").count()
+        if 20 * (before - left) <= n:
             break
     rest = cut(apart_links(indexed(nodes, parts), probed(nodes, parts, near, n, bits), bits))
-    return rooted(nodes, links.unionByName(rest))
+    named = components(rest).select(F.col("id").alias("root"), F.col("root").alias("top"))
+    return cut(nodes.join(named, "root", "left").select("f", F.coalesce("top", "root").alias("root")))
 
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 4, bits: int = 4) -> DataFrame:
