@@ -156,7 +156,89 @@ def facet_volume(p: np.ndarray, faces: np.ndarray) -> float:
     return float(np.abs(np.einsum("ij,ij->i", a, np.cross(b, c)).sum()) / 6)
 
 
-# ---- one outline ---------------------------------------------------------------
+# ---- many outlines at a time ----------------------------------------------------
+
+
+def _chains(x: np.ndarray, y: np.ndarray, order: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower chain of every row at once: positions (rows x points) and how many.
+
+    ``order`` lists each row's points from left to right, the first ``count`` are real. All rows take
+    their next point together and drop points together until none of them turns the wrong way.
+    """
+    rows, n = order.shape
+    at = np.arange(rows)
+    stack, size = np.zeros((rows, n), np.int64), np.zeros(rows, np.int64)
+    for k in range(n):
+        live = k < count
+        p = order[:, k]
+        px, py = x[at, p], y[at, p]
+        todo = np.flatnonzero(live & (size > 1))
+        while len(todo):
+            o, a = stack[todo, size[todo] - 2], stack[todo, size[todo] - 1]
+            ox, oy = x[todo, o], y[todo, o]
+            turn = (x[todo, a] - ox) * (py[todo] - oy) - (y[todo, a] - oy) * (px[todo] - ox)
+            todo = todo[turn <= 0]
+            size[todo] -= 1
+            todo = todo[size[todo] > 1]
+        on = np.flatnonzero(live)
+        stack[on, size[on]] = p[on]
+        size[on] += 1
+    return stack, size
+
+
+def hull_orders(x: np.ndarray, y: np.ndarray, left: np.ndarray | None = None) -> list[np.ndarray]:
+    """:func:`hull_order` of every row of two rows x points arrays; ``left`` masks the points that take part."""
+    rows, n = x.shape
+    left = np.isfinite(x) & np.isfinite(y) if left is None else left
+    order = np.lexsort((y, x, ~left), axis=1)
+    sx, sy = np.take_along_axis(x, order, 1), np.take_along_axis(y, order, 1)
+    fresh = np.take_along_axis(left, order, 1)
+    fresh[:, 1:] &= (sx[:, 1:] != sx[:, :-1]) | (sy[:, 1:] != sy[:, :-1])  # of equal points the first stays
+    order = np.take_along_axis(order, np.argsort(~fresh, axis=1, kind="stable"), 1)
+    count = fresh.sum(axis=1)
+    lower, low = _chains(x, y, order, count)
+    back = np.take_along_axis(order, np.where(np.arange(n) < count[:, None], count[:, None] - 1 - np.arange(n), np.arange(n)), 1)
+    upper, up = _chains(x, y, back, count)
+    return [order[i, :count[i]] if count[i] < 3 else np.concatenate([lower[i, :low[i] - 1], upper[i, :up[i] - 1]]) for i in range(rows)]
+
+
+def _by_length(x: pd.Series, y: pd.Series):
+    """Rows of a batch as rows x points arrays, one for each number of points."""
+    sizes = x.str.len().to_numpy()
+    for n in np.unique(sizes[~np.isnan(sizes.astype(float))]):
+        at = np.flatnonzero(sizes == n)
+        step = max(1, 4_000_000 // max(int(n), 1))
+        for k in range(0, len(at), step):
+            part = at[k:k + step]
+            yield part, np.array(x.iloc[part].tolist(), float).reshape(len(part), -1), np.array(y.iloc[part].tolist(), float).reshape(len(part), -1)
+
+
+def _padded(ids: list[np.ndarray]) -> np.ndarray:
+    out = np.full((len(ids), max(map(len, ids), default=0)), -1)
+    for i, v in enumerate(ids):
+        out[i, :len(v)] = v
+    return out
+
+
+def longest_chords(x: np.ndarray, y: np.ndarray, ids: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Length and ends (i < j) of the longest chord between the vertices ``ids`` of every row; the first of equal ones."""
+    rows = len(ids)
+    best, bi, bj = np.zeros(rows), np.zeros(rows, np.int64), np.zeros(rows, np.int64)
+    s = _padded([np.sort(v) for v in ids])
+    if not s.size:
+        return best, bi, bj
+    real = s >= 0
+    at = np.maximum(s, 0)
+    hx, hy = np.where(real, np.take_along_axis(x, at, 1), np.nan), np.where(real, np.take_along_axis(y, at, 1), np.nan)
+    bi[:], bj[:] = at[:, 0], at[:, 0]
+    line = np.arange(rows)
+    for k in range(s.shape[1] - 1):
+        d = np.nan_to_num(np.hypot(hx[:, k + 1:] - hx[:, k:k + 1], hy[:, k + 1:] - hy[:, k:k + 1]), nan=-1.0)
+        m = d.argmax(axis=1)
+        far = d[line, m]
+        more = far > best
+        best[more], bi[more], bj[more] = far[more], at[more, k], at[line, k + 1 + m][more]
+    return best, bi, bj
 
 
 def _hull_of(coo) -> Column:
@@ -166,19 +248,14 @@ def _hull_of(coo) -> Column:
     """
     @F.pandas_udf("hull array<int>, length double, i int, j int")
     def run(x: pd.Series, y: pd.Series) -> pd.DataFrame:
-        def one(u, v):
-            u, v = np.asarray(u, float), np.asarray(v, float)
-            ids = hull_order(u, v)
-            ids = np.roll(ids, -int(np.argmin(ids)))
-            s = np.sort(ids)
-            best = (0.0, int(s[0]), int(s[0]))
-            for k, p in enumerate(s[:-1]):
-                d = np.hypot(u[s[k + 1:]] - u[p], v[s[k + 1:]] - v[p])
-                m = int(d.argmax())
-                if d[m] > best[0]:
-                    best = (float(d[m]), int(p), int(s[k + 1 + m]))
-            return ids + 1, best[0], best[1] + 1, best[2] + 1
-        return pd.DataFrame([one(u, v) for u, v in zip(x, y)], columns=["hull", "length", "i", "j"])
+        out = pd.DataFrame({"hull": [None] * len(x), "length": np.nan, "i": 0, "j": 0})
+        for part, u, v in _by_length(x, y):
+            ids = [np.roll(i, -int(np.argmin(i))) if len(i) else i for i in hull_orders(u, v)]
+            length, i, j = longest_chords(u, v, ids)
+            for k, h in zip(part, ids):
+                out.at[k, "hull"] = h + 1
+            out.loc[part, "length"], out.loc[part, "i"], out.loc[part, "j"] = length, i + 1, j + 1
+        return out
     return run(coo.getField("x"), coo.getField("y"))
 
 
@@ -193,17 +270,18 @@ def onion(outlines: DataFrame, close: bool = True) -> DataFrame:
     """``id, layer, ord, seq``: repeated hulls while more than 3 points stay."""
     @F.pandas_udf("array<struct<layer:int,ord:int,seq:int>>")
     def peel(x: pd.Series, y: pd.Series) -> pd.Series:
-        def one(u, v):
-            u, v = np.asarray(u, float), np.asarray(v, float)
-            left, out, layer = np.arange(len(u)), [], 1
-            while len(left) > 3:
-                ids = left[hull_order(u[left], v[left])]
-                ids = np.roll(ids, -int(np.argmin(ids)))
-                shown = np.append(ids, ids[0]) if close else ids
-                out += [{"layer": layer, "ord": k + 1, "seq": int(i) + 1} for k, i in enumerate(shown)]
-                left, layer = np.setdiff1d(left, ids), layer + 1
-            return out
-        return pd.Series([one(u, v) for u, v in zip(x, y)])
+        out: list[list] = [[] for _ in range(len(x))]
+        for part, u, v in _by_length(x, y):
+            left, layer = np.isfinite(u) & np.isfinite(v), 1
+            rows = np.flatnonzero(left.sum(axis=1) > 3)
+            while len(rows):
+                for r, ids in zip(rows, hull_orders(u[rows], v[rows], left[rows])):
+                    ids = np.roll(ids, -int(np.argmin(ids)))
+                    shown = np.append(ids, ids[0]) if close else ids
+                    out[part[r]] += [{"layer": layer, "ord": k + 1, "seq": int(i) + 1} for k, i in enumerate(shown)]
+                    left[r, ids] = False
+                rows, layer = rows[left[rows].sum(axis=1) > 3], layer + 1
+        return pd.Series(out)
     c = F.col("coo")
     held = kernels.hold(outlines, "coo", c)
     return held.select("id", "coo", F.explode(peel(c.getField("x"), c.getField("y"))).alias("l")).select(

@@ -7,13 +7,13 @@ aggregation in the JVM; projection and reconstruction are map stages.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.functions import array_to_vector
-from pyspark.ml.stat import Correlation, Summarizer
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,21 +41,63 @@ class Basis:
         return v / v.sum()
 
 
+def merge_moments(parts) -> tuple[int, np.ndarray, np.ndarray] | None:
+    """Count, mean and sum of centred products of the union of disjoint sets of rows."""
+    n, mean, m2 = 0, None, None
+    for k, m, q in parts:
+        if not k:
+            continue
+        if not n:
+            n, mean, m2 = k, m.copy(), q.copy()
+            continue
+        d = m - mean
+        m2 += q + np.outer(d, d) * (n * k / (n + k))
+        mean += d * (k / (n + k))
+        n += k
+    return (n, mean, m2) if n else None
+
+
+FOLDS = 16
+
+
 def moments(df: DataFrame, v: str) -> tuple[int, np.ndarray, np.ndarray]:
-    """Row count, mean and covariance (n-1) of an array column."""
-    vec = df.select(F.size(v).alias("p"), array_to_vector(F.col(v)).alias("v")).persist()
-    try:
-        p = vec.agg(F.max("p").alias("p")).first().p
-        if not p:
-            raise ValueError("rows with coefficients are needed")
-        s = vec.select(Summarizer.metrics("mean", "variance", "count").summary(F.col("v")).alias("s")).first().s
-        corr = Correlation.corr(vec, "v").first()[0].toArray()
-    finally:
-        vec.unpersist()
-    sd = np.sqrt(np.maximum(s.variance.toArray(), 0))
-    corr = np.where(np.isfinite(corr), corr, 0.0)
-    np.fill_diagonal(corr, 1.0)
-    return int(s["count"]), s.mean.toArray(), corr * np.outer(sd, sd)
+    """Row count, mean and covariance (n-1) of an array column, in one pass.
+
+    Every task folds its rows to centred moments; those are merged in ``FOLDS`` groups
+    and then on the driver, so the rows are scanned once and p x p matrices are all that moves.
+    """
+    schema = "fold int, n long, mean array<double>, m2 array<double>"
+    arrow = pa.schema([("fold", pa.int32()), ("n", pa.int64()), ("mean", pa.list_(pa.float64())), ("m2", pa.list_(pa.float64()))])
+
+    def row(fold, got):
+        n, mean, m2 = got
+        return [pa.array([fold], pa.int32()), pa.array([n], pa.int64()), pa.array([mean], pa.list_(pa.float64())), pa.array([m2.ravel()], pa.list_(pa.float64()))]
+
+    def parts(table):
+        for n, mean, m2 in zip(table["n"].to_pylist(), table["mean"].to_pylist(), table["m2"].to_pylist()):
+            yield n, np.array(mean), np.array(m2).reshape(len(mean), -1)
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def each():
+            for b in batches:
+                rows = b.column(0).drop_null()
+                if len(rows):
+                    x = rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(rows), -1)
+                    mean = x.mean(axis=0)
+                    x = x - mean
+                    yield len(x), mean, x.T @ x
+        got = merge_moments(each())
+        if got:
+            yield pa.RecordBatch.from_arrays(row(TaskContext.get().partitionId() % FOLDS, got), schema=arrow)
+
+    def merge(t: pa.Table) -> pa.Table:
+        return pa.table(row(t["fold"][0].as_py(), merge_moments(parts(t.sort_by("n")))), schema=arrow)
+    folds = df.select(F.col(v).cast("array<double>").alias("v")).mapInArrow(fold, schema).groupBy("fold").applyInArrow(merge, schema)
+    got = merge_moments(parts(folds.toArrow().sort_by("fold")))  # one row per fold
+    if not got or not len(got[1]):
+        raise ValueError("rows with coefficients are needed")
+    n, mean, m2 = got
+    return n, mean, m2 / max(n - 1, 1)
 
 
 def positive_axes(rotation: np.ndarray) -> np.ndarray:
@@ -139,7 +181,7 @@ def project(df: DataFrame, basis: Basis, v: str = "coe", out: str = "scores") ->
 
 def reproject(df: DataFrame, basis: Basis, v: str = "coe", out: str = "scores") -> DataFrame:
     """Adds scores of new data centred by the NEW data's mean."""
-    mean = df.select(Summarizer.mean(array_to_vector(F.col(v))).alias("m")).first().m.toArray()
+    mean = moments(df, v)[1]
     return project(df, Basis(mean, basis.rotation, basis.sdev, basis.scale), v, out)
 
 

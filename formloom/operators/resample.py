@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import draws
 from ..functions.base import div
-from ..session import small_side
+from ..session import cut
 from ..sources.text import pc_columns
 from .ranks import quantiles, row_index
 
@@ -42,22 +42,52 @@ def size_schedule(sizes: Sequence[float], n: int, min_size: int = 5) -> list[int
     return out
 
 
+ENDS = 256  # rows of each end of an axis to begin with
+
+
+def axis_ends(indexed: DataFrame, pcs: Sequence[str], k: int) -> DataFrame:
+    """The rows among the ``k`` largest or smallest of any axis: at most ``2 * len(pcs) * k``."""
+    out = None
+    for c in pcs:
+        for order in (F.col(c).desc(), F.col(c).asc()):
+            end = indexed.orderBy(order).limit(k)
+            out = end if out is None else out.unionByName(end)
+    return out.dropDuplicates(["idx"])
+
+
 def saturation_runs(scores: DataFrame, sizes: Sequence[int], iterations: int, pcs: Sequence[str], seed: int,
-                    id_col: str = "ID") -> DataFrame:
+                    id_col: str = "ID", ends: int = ENDS) -> DataFrame:
     """``sample_size, b, total_variance, cumulative_variance, pc1_variance``.
 
-    Draws meet the rows by index (broadcast when few); every run folds to one
-    minimum and maximum per axis on the map side.
+    A run's range follows from the first row at either end of an axis that it draws, so the draws only meet the ``ends`` outermost rows
+    of every axis (a broadcast of known size) and the rows themselves are read once, however many draws there are. A run that drew
+    none of an end's rows is not decided; the ends are then extended until every run is.
     """
-    spark = scores.sparkSession
-    indexed = small_side(row_index(scores.select(id_col, *pcs), id_col, "idx").drop(id_col))
-    n = scores.count()
+    spark, pcs = scores.sparkSession, list(pcs)
+    indexed = cut(row_index(scores.select(id_col, *pcs), id_col, "idx").drop(id_col))
+    n = indexed.count()
     parts = [bootstrap(spark, n, iterations, s, seed, s).select(F.lit(s).alias("sample_size"), "b", "idx") for s in sizes]
     draw = parts[0]
     for p in parts[1:]:
         draw = draw.unionByName(p)
-    r = draw.join(indexed, "idx").groupBy("sample_size", "b").agg(*[
-        (F.max(c) - F.min(c)).alias(c) for c in pcs])
+    asked = spark.createDataFrame([(int(s),) for s in sizes], "sample_size int").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).withColumn("b", F.col("b").cast("bigint"))
+    while True:
+        outer = cut(axis_ends(indexed, pcs, ends))
+        if ends < n:  # the innermost value of each end: what lies beyond it is among the rows
+            bound = outer.agg(*[F.element_at(F.sort_array(F.collect_list(c), f), ends).alias(f"{w}{i}")
+                                for i, c in enumerate(pcs) for w, f in (("z", False), ("a", True))]).first()
+        found = draw.join(F.broadcast(outer), "idx").groupBy("sample_size", "b").agg(
+            *[f(c).alias(f"{w}{i}") for i, c in enumerate(pcs) for w, f in (("z", F.max), ("a", F.min))])
+        runs = cut(asked.join(found, ["sample_size", "b"], "left"))
+        if ends >= n:
+            break
+        decided = F.lit(True)
+        for i in range(len(pcs)):
+            decided = decided & (F.col(f"z{i}") >= bound[f"z{i}"]) & (F.col(f"a{i}") <= bound[f"a{i}"])
+        if not runs.filter(~F.coalesce(decided, F.lit(False))).limit(1).count():
+            break
+        ends *= 4
+    r = runs.select("sample_size", "b", *[(F.col(f"z{i}") - F.col(f"a{i}")).alias(c) for i, c in enumerate(pcs)])
     logs = sum((F.log(F.when(F.col(c) == 0, F.lit(1e-10)).otherwise(F.col(c))) for c in pcs), F.lit(0.0))
     return r.select("sample_size", "b", sum((F.col(c) for c in pcs), F.lit(0.0)).alias("total_variance"),
                     F.exp(logs / len(pcs)).alias("cumulative_variance"), F.col(pcs[0]).alias("pc1_variance"))

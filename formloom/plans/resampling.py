@@ -55,19 +55,20 @@ def size_schedule(spark, d):
 
 # ---- saturation ------------------------------------------------------------------------
 
-_PCMAX = ", ".join(f"max(embedding[{i}]::DOUBLE) - min(embedding[{i}]::DOUBLE) AS r{i}" for i in range(1, 5))
+_SIZES = [i / 10 for i in range(1, 11)]
+_PCMAX = ", ".join(f"max(embedding[{i}]::DOUBLE) - min(embedding[{i}]::DOUBLE) AS r{i}" for i in range(1, 9))
 _SAT = f"""idx AS (SELECT row_number() OVER (ORDER BY vec_id) AS i, embedding FROM embeddings),
-sizes AS (SELECT round_even(f*{N}, 0)::BIGINT AS s FROM (SELECT unnest([0.1, 0.5, 1.0]) AS f)),
-dr AS (SELECT s, b, (floor({u_sql('2', 's', 'b', 'k')}*{N}) + 1)::BIGINT AS i FROM sizes, range(1, 13) u(b), (SELECT row_number() OVER () AS k FROM embeddings) WHERE k <= s),
+sizes AS (SELECT round_even(f*{N}, 0)::BIGINT AS s FROM (SELECT unnest({_SIZES})::DOUBLE AS f)),
+dr AS (SELECT s, b, (floor({u_sql('2', 's', 'b', 'k')}*{N}) + 1)::BIGINT AS i FROM sizes, range(1, 201) u(b), (SELECT row_number() OVER () AS k FROM embeddings) WHERE k <= s),
 rg AS (SELECT s, b, {_PCMAX} FROM dr JOIN idx USING (i) GROUP BY s, b),
-mt AS (SELECT s, unnest(['total_variance', 'cumulative_variance']) AS metric_type, unnest([r1+r2+r3+r4, exp((ln(r1)+ln(r2)+ln(r3)+ln(r4))/4)]) AS v FROM rg),
+mt AS (SELECT s, unnest(['total_variance', 'cumulative_variance']) AS metric_type, unnest([{' + '.join(f'r{i}' for i in range(1, 9))}, exp(({' + '.join(f'ln(r{i})' for i in range(1, 9))})/8)]) AS v FROM rg),
 sat AS (SELECT s AS sample_size, metric_type, avg(v) AS mean, median(v) AS median, stddev_samp(v) AS sd, quantile_cont(v, 0.025) AS q025, quantile_cont(v, 0.975) AS q975,
 s::DOUBLE/{N} AS sample_proportion FROM mt GROUP BY s, metric_type)"""
 _SATCOLS = "sample_size, metric_type, R6(mean) AS mean, R6(median) AS median, R6(sd) AS sd, R6(q025) AS q025, R6(q975) AS q975, R6(sample_proportion) AS sample_proportion"
 
 
 def _saturation(spark, d):
-    s = R.saturation(X.scores(spark, d, 4), [0.1, 0.5, 1.0], 12, seed=2)
+    s = R.saturation(X.scores(spark, d), _SIZES, seed=2)
     return s.withColumn("sample_size", F.col("sample_size").cast("bigint"))
 
 
