@@ -22,8 +22,8 @@ DIR_ID = r"id=([^/]+)/"
 @query("src_01", "WITH @pts SELECT id, seq, R6(x) AS x, R6(y) AS y FROM pts")
 def outline_files(spark, d):
     path = scratch(spark, "txt")
-    S.write_outlines(X.outlines(spark, d), path)
-    o = S.read_outlines(spark, path, DIR_ID)
+    S.write_bundles(S.outline_records(X.outlines(spark, d)), path)
+    o = S.read_outlines(spark, path, bundled=True)
     return long(o.select(F.col("id").cast("bigint").alias("id"), "coo"), F.col("coo"))
 
 
@@ -40,18 +40,17 @@ def tps_files(spark, d):
 _LOCI = """SELECT 'arc' || ((seq - 1)//16) AS locus, id, (seq - 1)%16 + 1 AS k, x, y FROM pts"""
 
 
-def _locus_lines(o):
-    p = X.to_points(o, "id")
-    name = F.concat(F.lit("arc"), F.floor((F.col("seq") - 1) / 16).cast("string"),
-                    F.lpad((F.col("seq") - 1) % 16 + 1, 4, "0"))
-    return p.select("id", F.concat_ws(" ", name, F.col("x").cast("string"), F.col("y").cast("string")).alias("value"))
+def _loci(o):
+    """Four curves of 16 points of every outline."""
+    part = F.explode(F.array(*[F.struct(F.lit(f"arc{i}").alias("locus"), F.slice("coo", 16 * i + 1, 16).alias("coo")) for i in range(4)]))
+    return o.select(F.col("id").alias("specimen"), part.alias("c")).select("specimen", "c.*")
 
 
 @query("src_03", f"WITH @pts SELECT locus, id AS specimen, k::INT AS seq, R6(x) AS x, R6(y) AS y FROM ({_LOCI})")
 def curve_files(spark, d):
     path = scratch(spark, "curves")
-    _locus_lines(X.outlines(spark, d)).write.partitionBy("id").text(path)
-    c = S.read_curve_points(spark, path, DIR_ID).withColumn("specimen", F.col("specimen").cast("bigint"))
+    S.write_bundles(S.curve_records(_loci(X.outlines(spark, d))), path)
+    c = S.read_curve_points(spark, path, bundled=True).withColumn("specimen", F.col("specimen").cast("bigint"))
     return long(c, F.col("coo"), "locus", "specimen")
 
 
@@ -61,9 +60,9 @@ JOIN pts p ON p.id = l.id AND p.seq = l.s""")
 def landmark_files(spark, d):
     path = scratch(spark, "marks")
     o = X.landmarks(X.outlines(spark, d)).select("id", F.posexplode(O.extract(F.col("coo"), F.col("ldk"))).alias("i", "p"))
-    o.select("id", F.concat_ws(" ", F.concat(F.lit("lm"), (F.col("i") + 1).cast("string")), F.col("p.x").cast("string"),
-                               F.col("p.y").cast("string")).alias("value")).write.partitionBy("id").text(path)
-    m = S.read_landmark_points(spark, path, DIR_ID)
+    marks = o.select(F.col("id").alias("specimen"), F.concat(F.lit("lm"), (F.col("i") + 1).cast("string")).alias("name"), "p.x", "p.y")
+    S.write_bundles(S.landmark_records(marks), path)
+    m = S.read_landmark_points(spark, path, bundled=True)
     return m.select(F.col("specimen").cast("bigint").alias("specimen"), "name", r6(F.col("x")).alias("x"), r6(F.col("y")).alias("y"))
 
 

@@ -34,10 +34,10 @@ COORDINATES = r"^\s*[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?\s+[-+]?[0-9.]+(?:[eE][-+]?[
 
 
 def _points(lines: Column, place: Column, also: str = r"^\s*$", least: Column | None = None) -> Column:
-    """Coordinate lines to points, up to ``least`` of them.
+    """Coordinate lines to points.
 
-    A line that is neither coordinates nor matches ``also``, or fewer than
-    ``least`` points, raises with ``place``: no point is lost in silence.
+    A line that is neither coordinates nor matches ``also``, or another number of points than
+    ``least``, raises with ``place``: no point is lost in silence.
     """
     def points(found):
         return F.transform(found, lambda l: let(_numbers(l), lambda v: pt(
@@ -45,22 +45,83 @@ def _points(lines: Column, place: Column, also: str = r"^\s*$", least: Column |
 
     def checked(found):
         odd = F.filter(lines, lambda l: ~l.rlike(COORDINATES) & ~l.rlike(also))
-        short = F.lit(False) if least is None else F.size(found) < least
-        kept = found if least is None else F.slice(found, F.lit(1), least)
+        other = F.lit(False) if least is None else F.size(found) != least
         return F.when(F.size(odd) > 0, F.raise_error(F.concat(F.lit("no coordinates in "), place, F.lit(": "), F.get(odd, F.lit(0))))).when(
-            short, F.raise_error(F.concat(F.lit("fewer points than the header says in "), place))).otherwise(points(kept))
+            other, F.raise_error(F.concat(F.when(F.size(found) < least, F.lit("fewer")).otherwise(F.lit("more")) if least is not None else F.lit(""),
+                                          F.lit(" points than the header says in "), place))).otherwise(points(found))
     return checked(F.filter(lines, lambda l: l.rlike(COORDINATES)))
 
 
-def read_outlines(spark: SparkSession, path: str, id_pattern: str = STEM) -> DataFrame:
-    """``id, coo``: one whitespace table per file, row order is outline order.
+# ---- bundles: many records in a file ------------------------------------------------
 
-    ``id_pattern`` picks the id out of the file path (default: the stem).  A
-    line that does not parse raises with its file.
+
+def write_bundles(records: DataFrame, path: str, id_col: str = "id", text: str = "value") -> None:
+    """Records of text under a line ``ID=<id>``, as many in a file as its partition holds.
+
+    The line starts a record wherever it stands, so an id of several lines or a text line that begins like it raises.
     """
+    name = F.col(id_col).cast("string")
+    bad = F.coalesce(name.rlike(r"[\r\n]") | F.col(text).rlike("(?m)^ID="), F.lit(True))
+    value = F.when(bad, F.raise_error(F.concat(F.lit("a bundle cannot hold the record "), F.coalesce(name, F.lit("NULL"))))).otherwise(
+        F.concat(F.lit("ID="), name, F.lit("\n"), F.col(text)))
+    records.select(value.alias("value")).write.text(path)
+
+
+def read_bundles(spark: SparkSession, path: str) -> DataFrame:
+    """``id, value`` of the records of bundles; the id line is the reader's separator, so a large file is split between records."""
+    raw = spark.read.option("lineSep", "\nID=").option("recursiveFileLookup", True).text(path)
+    body = F.regexp_replace("value", r"^ID=", "")  # the first record of a file keeps its own
+    return raw.select(body.alias("value")).filter(F.trim("value") != "").select(F.regexp_extract("value", r"^([^\r\n]*)", 1).alias("id"), F.regexp_replace("value", r"^[^\r\n]*(\r?\n)?", "").alias("value"))
+
+
+def _lines_of(points: Column, line) -> Column:
+    return F.array_join(F.transform(points, line), "\n")
+
+
+def outline_records(outlines: DataFrame) -> DataFrame:
+    """``id, value``: the lines ``x y`` of every outline."""
+    return outlines.select("id", _lines_of(F.col("coo"), lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))).alias("value"))
+
+
+def curve_records(curves: DataFrame) -> DataFrame:
+    """``id, value``: the lines ``locusNNNN x y`` of the curves (``specimen, locus, coo``) of every specimen."""
+    def lines(c):
+        return F.transform(c["coo"], lambda p, i: F.concat_ws(" ", F.concat(c["locus"], F.lpad((i + 1).cast("string"), 4, "0")), p["x"].cast("string"), p["y"].cast("string")))
+    all_of = F.array_sort(F.collect_list(F.struct("locus", "coo")))
+    return curves.groupBy(F.col("specimen").alias("id")).agg(all_of.alias("_c")).select("id", F.array_join(F.flatten(F.transform("_c", lines)), "\n").alias("value"))
+
+
+def landmark_records(marks: DataFrame) -> DataFrame:
+    """``id, value``: the lines ``name x y`` of every specimen, by name."""
+    line = F.struct("name", F.concat_ws(" ", "name", F.coalesce(F.col("x").cast("string"), F.lit("NA")), F.coalesce(F.col("y").cast("string"), F.lit("NA"))).alias("l"))
+    return marks.groupBy(F.col("specimen").alias("id")).agg(F.array_sort(F.collect_list(line)).alias("_l")).select(
+        "id", F.array_join(F.transform("_l", lambda e: e["l"]), "\n").alias("value"))
+
+
+def _records(spark: SparkSession, path: str, id_pattern: str, bundled: bool) -> DataFrame:
+    """``id, place, value``, one row per record of a bundle or per file; the place is for messages."""
+    if bundled:
+        return read_bundles(spark, path).select("id", F.concat(F.lit("the record "), "id").alias("place"), "value")
     raw = spark.read.option("recursiveFileLookup", True).text(path, wholetext=True)
-    return raw.select(F.regexp_extract(F.input_file_name(), id_pattern, 1).alias("id"),
-                      _points(F.split("value", r"\r?\n"), F.input_file_name()).alias("coo"))
+    return raw.select(F.regexp_extract(F.input_file_name(), id_pattern, 1).alias("id"), F.input_file_name().alias("place"), "value")
+
+
+def _lines(spark: SparkSession, path: str, id_pattern: str, bundled: bool) -> DataFrame:
+    """``specimen, value``, one row per line that is not blank."""
+    if bundled:
+        rows = read_bundles(spark, path).select(F.col("id").alias("specimen"), F.explode(F.split("value", r"\r?\n")).alias("value"))
+    else:
+        rows = spark.read.option("recursiveFileLookup", True).text(path).select(F.regexp_extract(F.input_file_name(), id_pattern, 1).alias("specimen"), "value")
+    return rows.filter(F.trim("value") != "")
+
+
+def read_outlines(spark: SparkSession, path: str, id_pattern: str = STEM, bundled: bool = False) -> DataFrame:
+    """``id, coo``: one whitespace table per file, or per record of a bundle; row order is outline order.
+
+    ``id_pattern`` picks the id out of the file path (default: the stem).  A
+    line that does not parse raises with its file or record.
+    """
+    return _records(spark, path, id_pattern, bundled).select("id", _points(F.split("value", r"\r?\n"), F.col("place")).alias("coo"))
 
 
 def read_tps(spark: SparkSession, path: str, curves: bool = True) -> DataFrame:
@@ -69,7 +130,7 @@ def read_tps(spark: SparkSession, path: str, curves: bool = True) -> DataFrame:
     The record header at a line's start is the reader's separator, so one large
     file is split over tasks.  ``LM=`` gives the number of landmarks; a record
     without curves but with ``POINTS=`` (outline files, ``LM=0``) takes that
-    count instead.  Fewer points than that, or a line that is neither points nor
+    count instead.  Another number of points than that, or a line that is neither points nor
     a key, raise.  Records without ``IMAGE=`` and ``ID=`` are numbered within
     their file.
     """
@@ -113,15 +174,21 @@ def read_tps(spark: SparkSession, path: str, curves: bool = True) -> DataFrame:
         "specimen", "scale", "part", "part_no", (F.col("_s") + 1).cast("int").alias("seq"), "q.x", "q.y")
 
 
-def read_curve_points(spark: SparkSession, path: str, id_pattern: str = STEM) -> DataFrame:
-    """``locus, specimen, coo`` from lines ``locusNNNN x y``, one file per specimen."""
-    lines = spark.read.option("recursiveFileLookup", True).text(path)
-    v = _numbers(F.col("value"))
-    rows = lines.filter(F.trim("value") != "").select(
-        F.regexp_extract(F.input_file_name(), id_pattern, 1).alias("specimen"), v.alias("v")).select(
+CURVE_LINE = r"^\s*\S*[0-9]{4}\s+[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?\s+[-+]?[0-9.]+(?:[eE][-+]?[0-9]+)?\s*$"
+
+
+def read_curve_points(spark: SparkSession, path: str, id_pattern: str = STEM, bundled: bool = False) -> DataFrame:
+    """``locus, specimen, coo`` from lines ``locusNNNN x y``, one file (or record of a bundle) per specimen.
+
+    A line that does not parse raises with its specimen.
+    """
+    lines = _lines(spark, path, id_pattern, bundled)
+    good = F.when(F.col("value").rlike(CURVE_LINE), F.col("value")).otherwise(
+        F.raise_error(F.concat(F.lit("no curve point in "), F.col("specimen"), F.lit(": "), F.col("value"))))
+    rows = lines.select("specimen", _numbers(good).alias("v")).select(
         "specimen", F.expr("substr(v[0], 1, length(v[0]) - 4)").alias("locus"),
-        F.expr("try_cast(right(v[0], 4) as int)").alias("seq"),
-        F.expr("try_cast(v[1] as double)").alias("x"), F.expr("try_cast(v[2] as double)").alias("y"))
+        F.expr("cast(right(v[0], 4) as int)").alias("seq"),
+        F.expr("cast(v[1] as double)").alias("x"), F.expr("cast(v[2] as double)").alias("y"))
     return by_locus(rows)
 
 
@@ -136,13 +203,10 @@ def by_locus(points: DataFrame) -> DataFrame:
         "locus", "specimen", F.transform("_p", lambda p: pt(p["x"], p["y"])).alias("coo"))
 
 
-def read_landmark_points(spark: SparkSession, path: str, id_pattern: str = STEM) -> DataFrame:
+def read_landmark_points(spark: SparkSession, path: str, id_pattern: str = STEM, bundled: bool = False) -> DataFrame:
     """``specimen, name, x, y`` from lines ``name x y``; a value that is no number (``NA``) is NULL."""
-    lines = spark.read.option("recursiveFileLookup", True).text(path)
     v = F.col("v")
-    return lines.filter(F.trim("value") != "").select(
-        F.regexp_extract(F.input_file_name(), id_pattern, 1).alias("specimen"),
-        _numbers(F.col("value")).alias("v")).select(
+    return _lines(spark, path, id_pattern, bundled).select("specimen", _numbers(F.col("value")).alias("v")).select(
         "specimen", v[0].alias("name"), F.get(v, F.lit(1)).try_cast("double").alias("x"), F.get(v, F.lit(2)).try_cast("double").alias("y"))
 
 
@@ -173,10 +237,8 @@ def write_scores(scores: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_outlines(outlines: DataFrame, path: str) -> None:
-    """One text file per outline under ``id=<id>/``: lines ``x y`` in order."""
-    text = F.array_join(F.transform("coo", lambda p: F.concat_ws(
-        " ", p["x"].cast("string"), p["y"].cast("string"))), "\n")
-    outlines.select("id", text.alias("value")).write.partitionBy("id").text(path)
+    """One text file per outline under ``id=<id>/``: lines ``x y`` in order.  Many outlines go into bundles instead."""
+    outline_records(outlines).write.partitionBy("id").text(path)
 
 
 def write_tps(outlines: DataFrame, path: str) -> None:

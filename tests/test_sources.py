@@ -222,3 +222,36 @@ def test_median_and_which(spark):
     v = spark.createDataFrame([([3.0, 1.0, 1.0, 2.0],)], "v array<double>")
     r = v.select(O.median_of(F.col("v")).alias("m"), O.which_min(F.col("v")).alias("i"), O.which_max(F.col("v")).alias("j")).first()
     assert (r.m, r.i, r.j) == (1.5, 2, 1)
+
+
+def test_bundles_round_trip(spark, tmp_path):
+    """Many records in few files come back, also when a file is split in the middle of records."""
+    o = spark.createDataFrame([(f"s {i}=x", [(i + k / 7, -k * 1e-5) for k in range(40)]) for i in range(300)], "id string, coo array<struct<x:double,y:double>>")
+    text.write_bundles(text.outline_records(o).coalesce(2), str(tmp_path / "o"))
+    assert len(list((tmp_path / "o").glob("part-*"))) == 2
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        got = {r.id: r.coo for r in text.read_outlines(spark, str(tmp_path / "o"), bundled=True).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got == {r.id: r.coo for r in o.collect()}
+    curves = spark.createDataFrame([(i, n, [(1.0, 2.0), (3.5, i * 1.0)]) for i in range(5) for n in ("a", "b")], "specimen int, locus string, coo array<struct<x:double,y:double>>")
+    text.write_bundles(text.curve_records(curves), str(tmp_path / "c"))
+    back = {(r.specimen, r.locus): r.coo for r in text.read_curve_points(spark, str(tmp_path / "c"), bundled=True).collect()}
+    assert back == {(str(r.specimen), r.locus): r.coo for r in curves.collect()}
+    marks = spark.createDataFrame([("p", "m1", 1.0, None), ("p", "m2", 2.0, 3.0), ("q", "m1", 0.0, 0.0)], "specimen string, name string, x double, y double")
+    text.write_bundles(text.landmark_records(marks), str(tmp_path / "m"))
+    assert sorted(map(tuple, text.read_landmark_points(spark, str(tmp_path / "m"), bundled=True).collect()), key=str) == sorted(map(tuple, marks.collect()), key=str)
+    for bad in (("a\nb", "1 2"), ("a", "1 2\nID=c"), (None, "1 2")):
+        with pytest.raises(Exception, match="a bundle cannot hold"):
+            text.write_bundles(spark.createDataFrame([bad], "id string, value string"), str(tmp_path / f"bad{hash(bad)}"))
+
+
+def test_odd_points_raise(spark, tmp_path):
+    (tmp_path / "t.tps").write_text("LM=3\n1 2\n3 4\n5 6\n7 8\n9 1\nID=a\n")
+    with pytest.raises(Exception, match="more points than the header says"):
+        text.read_tps(spark, str(tmp_path / "t.tps")).collect()
+    (tmp_path / "c").mkdir()
+    (tmp_path / "c" / "s1.txt").write_text("arc0001 1 2\narc0002 3\n")
+    with pytest.raises(Exception, match="no curve point in s1"):
+        text.read_curve_points(spark, str(tmp_path / "c")).collect()
