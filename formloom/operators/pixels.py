@@ -2,18 +2,22 @@
 
 One image is one row, so cropping, splitting, mirroring, completing, resizing
 and distance maps are narrow steps without a shuffle: each batch of images is
-sliced with numpy inside the task.  Only morphs join, image with image.
+sliced with numpy inside the task.  Morphs of neighbours move every image once, as
+bytes; only morphs of chosen pairs join, image with image.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .joins import consecutive
 
@@ -210,11 +214,110 @@ def _blended(planned: DataFrame, images: DataFrame, weight: Callable, gamma: flo
         "*", F.when(F.col("v").isNull(), "unreadable image").otherwise("ok").alias("status"))
 
 
+def _packed(v: np.ndarray) -> bytes:
+    """Pixels as bytes: one a pixel if all are multiples of 1/255 in [0, 1], else eight."""
+    if v.size and np.isfinite(v).all() and v.min() >= 0 and v.max() <= 1:
+        level = np.rint(v * 255)
+        if (level / 255 == v).all():
+            return level.astype(np.uint8).tobytes()
+    return v.astype("<f8").tobytes()
+
+
+def _unpacked(raw: bytes, pixels: int) -> np.ndarray:
+    return np.frombuffer(raw, np.uint8) / 255 if len(raw) == pixels else np.frombuffer(raw, "<f8")
+
+
+def _recorded(rows: Iterable[tuple], schema: pa.Schema, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Rows as record batches of about ``size`` pixels."""
+    held: list[tuple] = []
+    pixels = 0
+    for row in rows:
+        held.append(row)
+        pixels += max((len(x) for x in row if isinstance(x, (bytes, np.ndarray))), default=0) + 64
+        if pixels > size:
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            held, pixels = [], 0
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
+def _sequence(images: DataFrame, steps: int, weight: Callable, gamma: float, threshold: float,
+              weights: tuple[float, float] | None = None) -> DataFrame:
+    """:func:`_blended` of every image with the next one by name, without a join.
+
+    Names alone give the bounds of ranges. Images move once, as bytes, to the task of their range, and the first image of a range also to
+    the range before, so every pair of neighbours meets in one task, which holds two images at a time.
+    """
+    spark, kind = images.sparkSession, images.schema["img"].dataType
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    names = images.select("img").filter(F.col("img").isNotNull())
+    sample = sorted(r[0] for r in names.orderBy(F.xxhash64("img"), "img").limit(32 * ranges).collect())
+    # a bound is an image: the first one of its range
+    bounds = sorted({sample[len(sample) * i // ranges] for i in range(1, ranges)}) if sample else []
+    readable = images.filter("height > 0 and width > 0 and size(v) = height * width")
+    size = readable.agg(F.min_by(F.struct("height", "width"), "img").alias("s")).first().s
+    moved = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("img", kind), T.StructField("height", T.IntegerType()),
+                          T.StructField("width", T.IntegerType()), T.StructField("raw", T.BinaryType())])
+    arrow = to_arrow_schema(moved)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for b in batches:
+            for at in range(b.num_rows):
+                img, h, w, v = (b.column(c)[at] for c in range(4))
+                h, w, name = h.as_py(), w.as_py(), img.as_py()
+                pixels = None if not v.is_valid or not h or not w or len(v) != h * w else v.values.to_numpy(zero_copy_only=False).astype(float)
+                part = bisect_right(bounds, name)
+                raw = None if pixels is None else _packed(pixels)
+                for to in ((part, part - 1) if part and bounds[part - 1] == name else (part,)):
+                    yield to, name, h, w, raw
+    out = T.StructType([T.StructField("a", kind), T.StructField("b", kind), *[T.StructField(c, T.IntegerType()) for c in ("step", "height", "width")],
+                        T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("status", T.StringType())])
+    blended = to_arrow_schema(out)
+    alphas = [s / (steps + 1) for s in range(1, steps + 1)]
+    shares = [weights or (1 - weight(x), weight(x)) for x in alphas]
+
+    def grid(h, w, raw):
+        if raw is None or size is None:
+            return None
+        a = _unpacked(raw, h * w).reshape(h, w)
+        return a.ravel() if a.shape == (size.height, size.width) else _nearest(a, size.height, size.width).ravel()
+
+    def blend(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        last = None
+        for b in batches:
+            for part, img, h, w, raw in zip(*(b.column(c) for c in range(5))):
+                now = (part.as_py(), img.as_py(), grid(h.as_py(), w.as_py(), raw.as_py()))
+                if last is not None and last[0] == now[0]:
+                    for step, (p, q) in enumerate(shares, 1):
+                        v = None
+                        if last[2] is not None and now[2] is not None:
+                            z = p * last[2] + q * now[2]
+                            v = ((z ** gamma if gamma != 1.0 else z) > threshold).astype(float)
+                        yield last[1], now[1], step, size and size.height, size and size.width, v, "ok" if v is not None else "unreadable image"
+                last = now
+    dealt = images.filter(F.col("img").isNotNull()).select("img", F.col("height").cast("int"), F.col("width").cast("int"), F.col("v").cast("array<double>")).mapInArrow(lambda b: _recorded(deal(b), arrow), moved)
+    return dealt.repartition(ranges, "part").sortWithinPartitions("part", "img").mapInArrow(lambda b: _recorded(blend(b), blended), out)
+
+
+def _eased(method: str) -> Callable:
+    return (lambda a: a * a * a * (a * (a * 6 - 15) + 10)) if method == "spline" else (lambda a: a)
+
+
+def morph_sequence(images: DataFrame, steps: int, method: str = "linear", gamma: float = 1.0, threshold: float = 0.5) -> DataFrame:
+    """:func:`morph` of all neighbours by name."""
+    return _sequence(images, steps, _eased(method), gamma, threshold)
+
+
+def morph_distance_sequence(images: DataFrame, steps: int, gamma: float = 1.0, threshold: float = 0.5,
+                            weights: tuple[float, float] | None = None, normalise: bool = True) -> DataFrame:
+    """:func:`morph_distance` of all neighbours by name."""
+    return _sequence(distance_transform(images, normalise), steps, _eased("linear"), gamma, threshold, weights)
+
+
 def morph(planned: DataFrame, images: DataFrame, method: str = "linear", gamma: float = 1.0,
           threshold: float = 0.5) -> DataFrame:
     """Blend the pixels of two images, brought to one size; ``spline`` eases the step."""
-    ease = (lambda a: a * a * a * (a * (a * 6 - 15) + 10)) if method == "spline" else (lambda a: a)
-    return _blended(planned, images, ease, gamma, threshold)
+    return _blended(planned, images, _eased(method), gamma, threshold)
 
 
 def exact_distance(zero: np.ndarray) -> np.ndarray:

@@ -100,10 +100,9 @@ def _morph_stats(m):
 @query("img_09", f"WITH @pix, {_MORPH} SELECT 'linear' AS method, * FROM ({_morph_sql('al')}) UNION ALL SELECT 'spline', * FROM ({_morph_sql('(al**3*(al*(al*6 - 15) + 10))')})")
 def morphs(spark, d):
     p = X.images(spark, d)
-    plan = I.plan(p, "sequence", 2)
     out = None
     for m in ("linear", "spline"):
-        s = _morph_stats(I.morph(plan, p, m)).withColumn("method", F.lit(m))
+        s = _morph_stats(I.morph_sequence(p, 2, m)).withColumn("method", F.lit(m))
         out = s if out is None else out.unionByName(s)
     return out
 
@@ -111,7 +110,7 @@ def morphs(spark, d):
 @query("img_10")
 def distance_morphs(spark, d):
     im = X.images(spark, d)
-    return _morph_stats(I.morph_distance(I.plan(im, "sequence", 2), im, threshold=0.2))
+    return _morph_stats(I.morph_distance_sequence(im, 2, threshold=0.2))
 
 
 @query("img_11", """SELECT vec_id AS a, lead(vec_id) OVER (ORDER BY vec_id) AS b, step::INT AS step, R6(step/4.0) AS alpha FROM embeddings, (SELECT 1 AS step) QUALIFY b IS NOT NULL

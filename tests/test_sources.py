@@ -255,3 +255,25 @@ def test_odd_points_raise(spark, tmp_path):
     (tmp_path / "c" / "s1.txt").write_text("arc0001 1 2\narc0002 3\n")
     with pytest.raises(Exception, match="no curve point in s1"):
         text.read_curve_points(spark, str(tmp_path / "c")).collect()
+
+
+@pytest.mark.parametrize("kind", ["string", "long"])
+def test_sequences_equal_planned_morphs(spark, kind):
+    rng = np.random.default_rng(3)
+    rows = []
+    for i in rng.permutation(40):
+        h, w = (6, 5) if i % 3 else (4, 7)
+        v = rng.integers(0, 2, h * w).astype(float) if i % 2 else rng.random(h * w)
+        v = None if i in (11, 12) else v[:7].tolist() if i == 20 else v.tolist()
+        rows.append((f"é{i:02d}" if kind == "string" else int(i) * 5, h, w, v))
+    im = spark.createDataFrame(rows, f"img {kind}, height int, width int, v array<double>").repartition(5)
+
+    def all_of(df):
+        return {(r.a, r.b, r.step): (r.height, r.width, r.v, r.status) for r in df.collect()}
+    plan = pixels.plan(im, "sequence", 2)
+    assert len(all_of(pixels.morph_sequence(im, 2))) == 78
+    for method, gamma in (("linear", 1.0), ("spline", 2.0)):
+        assert all_of(pixels.morph_sequence(im, 2, method, gamma)) == all_of(pixels.morph(plan, im, method, gamma))
+    assert all_of(pixels.morph_distance_sequence(im, 2, threshold=.2)) == all_of(pixels.morph_distance(plan, im, threshold=.2))
+    assert pixels.morph_sequence(im.limit(0), 2).count() == 0
+    assert "Join" not in pixels.morph_sequence(im, 2)._jdf.queryExecution().executedPlan().toString()
