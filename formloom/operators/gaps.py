@@ -19,6 +19,7 @@ from ..functions import draws
 from ..functions import outline as O
 from ..functions.base import div, let, pt
 from ..session import cut, small_side
+from .cells import answers
 from .components import components
 from .density import density
 from .filters import keep_groups, require_rows
@@ -57,21 +58,30 @@ def alpha_points(points: DataFrame, alpha: float) -> DataFrame:
     """Points with another one within 2 alpha.
 
     In square cells of that diagonal two points always qualify; only the lone
-    point of a cell looks at the 24 cells around.
+    point of a cell asks the 24 cells around, whole cells by their extremes.
     """
-    side = 2 * alpha / 2 ** 0.5
+    reach = 2 * alpha
+    side = reach / 2 ** 0.5
     placed = points.withColumn("_i", F.floor(F.col("x") / side)).withColumn("_j", F.floor(F.col("y") / side))
-    counts = placed.groupBy("pair", "_i", "_j").agg(F.count("*").alias("_n"))
+    counts = cut(placed.groupBy("pair", "_i", "_j").agg(F.count("*").alias("_n")))
     crowded = placed.join(counts.filter("_n > 1"), ["pair", "_i", "_j"], "left_semi")
     lone = placed.join(counts.filter("_n = 1"), ["pair", "_i", "_j"], "left_semi")
+    other = ~((F.col("_a") == F.col("_i")) & (F.col("_b") == F.col("_j")))
     around = lone.withColumn("_a", F.explode(F.sequence(F.col("_i") - 2, F.col("_i") + 2))).withColumn(
-        "_b", F.explode(F.sequence(F.col("_j") - 2, F.col("_j") + 2))).select(
-        "pair", F.col("_a").alias("_i"), F.col("_b").alias("_j"), F.col("id").alias("_id"),
-        F.col("x").alias("_x"), F.col("y").alias("_y"))
-    near = around.join(placed, ["pair", "_i", "_j"]).filter(
-        (F.col("id") != F.col("_id")) & (F.hypot(F.col("x") - F.col("_x"), F.col("y") - F.col("_y")) <= 2 * alpha)).select(
-        "pair", F.col("_id").alias("id")).distinct()
-    return crowded.drop("_i", "_j").unionByName(lone.drop("_i", "_j").join(near, ["pair", "id"], "left_semi"))
+        "_b", F.explode(F.sequence(F.col("_j") - 2, F.col("_j") + 2))).filter(other).select(
+        "pair", "id", "x", "y", F.col("_a").alias("_i"), F.col("_b").alias("_j"))
+    keyed = placed.select("pair", F.col("id").alias("found"), F.col("x").alias("_x"), F.col("y").alias("_y"), "_i", "_j")
+
+    def span(c, lo, hi):
+        return F.greatest(lo - F.col(c), F.col(c) - hi, F.lit(0.0)), F.greatest(F.abs(F.col(c) - lo), F.abs(F.col(c) - hi))
+
+    def nearest(x0, x1, y0, y1):
+        return F.hypot(span("x", x0, x1)[0], span("y", y0, y1)[0])
+
+    def farthest(x0, x1, y0, y1):
+        return F.hypot(span("x", x0, x1)[1], span("y", y0, y1)[1])
+    near = answers(keyed, around, side, lambda *e: farthest(*e) <= reach, lambda *e: nearest(*e) > reach, ["pair"])
+    return crowded.drop("_i", "_j").unionByName(lone.drop("_i", "_j").join(near.select("pair", "id"), ["pair", "id"], "left_semi"))
 
 
 def domain_polygon(points: DataFrame, hull_type: str = "convex", alpha: float | None = None) -> DataFrame:

@@ -12,6 +12,7 @@ from ..functions import outline as O
 from ..functions.base import let, pt
 from ..session import small_side
 from ..sources.text import stem
+from .cells import answers
 from .ranks import row_index
 
 
@@ -185,14 +186,15 @@ def lookup_within(points: DataFrame, asked: DataFrame, tol: float, id_col: str =
     """``asked`` rows with the first point closer than ``tol`` in both axes.
 
     Points are keyed by a tolerance cell; an asked position looks into its own
-    and the eight cells around.
+    and the eight cells around, whole cells by their extremes, crowded ones in smaller cells.
     """
     def cell(v):
         return F.floor(F.col(v) / tol)
-    keyed = points.select(F.col(id_col).alias("found"), F.col("x").alias("_x"), F.col("y").alias("_y"),
-                          F.floor(F.col("x") / tol).alias("_i"), F.floor(F.col("y") / tol).alias("_j"))
+    keyed = points.select(F.col(id_col).alias("found"), F.col("x").alias("_x"), F.col("y").alias("_y")).withColumn("_i", cell("_x")).withColumn("_j", cell("_y"))
     around = asked.withColumn("_i", F.explode(F.sequence(cell("x") - 1, cell("x") + 1))).withColumn(
         "_j", F.explode(F.sequence(cell("y") - 1, cell("y") + 1)))
-    hit = around.join(keyed, ["_i", "_j"]).filter(
-        (F.abs(F.col("x") - F.col("_x")) < tol) & (F.abs(F.col("y") - F.col("_y")) < tol))
-    return hit.groupBy(*asked.columns).agg(F.min("found").alias("found"))
+
+    def close(v, c):
+        return F.abs(F.col(v) - c) < tol
+    return answers(keyed, around, tol, lambda x0, x1, y0, y1: close("x", x0) & close("x", x1) & close("y", y0) & close("y", y1),
+                   lambda x0, x1, y0, y1: (x0 - F.col("x") >= tol) | (F.col("x") - x1 >= tol) | (y0 - F.col("y") >= tol) | (F.col("y") - y1 >= tol))

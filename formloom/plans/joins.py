@@ -119,3 +119,19 @@ def hover(spark, d):
     s = X.scores(spark, d, 2).select(F.col("ID").alias("id"), F.col("PC1").alias("x"), F.col("PC2").alias("y"))
     ask = s.select(F.col("id").alias("ask"), (F.col("x") + 0.0004).alias("x"), (F.col("y") - 0.0003).alias("y"))
     return J.lookup_within(s, ask, 0.001).select("ask", "found")
+
+
+# every second point of the cloud is drawn into one tolerance cell
+_CROWD = """c AS (SELECT id, x + CASE WHEN id % 2 = 0 THEN 0 ELSE 100 END AS x, y FROM (
+SELECT l_orderkey*10 + l_linenumber AS id, CASE WHEN (l_orderkey*10 + l_linenumber) % 2 = 0 THEN l_quantity/100 ELSE l_quantity END AS x,
+CASE WHEN (l_orderkey*10 + l_linenumber) % 2 = 0 THEN l_extendedprice/200000 ELSE l_extendedprice/1000 END AS y FROM lineitem))"""
+
+
+@query("jon_14_crowded", f"""WITH {_CROWD}, a AS (SELECT vec_id AS ask, 0.25 + 2*embedding[1]::DOUBLE AS x, 0.25 + 2*embedding[2]::DOUBLE AS y FROM embeddings)
+SELECT ask, min(id) AS found FROM a JOIN c ON abs(c.x - a.x) < 0.8 AND abs(c.y - a.y) < 0.8 GROUP BY ask""")
+def hover_in_a_crowd(spark, d):
+    even = F.col("id") % 2 == 0
+    c = X.cloud(spark, d).select("id", F.when(even, F.col("x") / 100).otherwise(F.col("x") + 100).alias("x"), F.when(even, F.col("y") / 200000).otherwise(F.col("y") / 1000).alias("y"))
+    s = X.scores(spark, d, 2)
+    ask = s.select(F.col("ID").alias("ask"), (0.25 + 2 * F.col("PC1")).alias("x"), (0.25 + 2 * F.col("PC2")).alias("y"))
+    return J.lookup_within(c, ask, 0.8).select("ask", "found")

@@ -223,6 +223,19 @@ def domain(spark, d):
     return c.join(ring, "pair").select("pair", "ix", "iy", G.in_polygon(F.col("x"), F.col("y"), F.col("ring"), F.lit(0.0)).alias("inside"))
 
 
+_NEAR = """nr AS (SELECT a.* FROM pp a WHERE EXISTS (SELECT 1 FROM pp b WHERE b.pair = a.pair AND b.id <> a.id AND sqrt((a.x - b.x)**2 + (a.y - b.y)**2) <= 0.03))"""
+_RING_NEAR = hull_sql("(SELECT * FROM nr)", "pair").replace("RECURSIVE ", "", 1)
+
+
+@query("res_17_alpha", f"WITH RECURSIVE {PTS}, {_NEAR}, {_RING_NEAR}, {GRID[len(PTS) + 2:]}, {_EDGE} SELECT sd.pair, ix, iy, turn > 0 AS inside FROM sd JOIN gr USING (pair) WHERE turn > 0 OR d < 0.05*(sx + sy)/2")
+def alpha_domain(spark, d):
+    p = _points(spark, d)
+    g = G.grid(p, RES, 0.05)
+    ring = G.domain_polygon(p, "alpha", 0.015)
+    c = G.domain_cells(G.cells(g, RES), ring, g, 0.05)
+    return c.join(ring, "pair").select("pair", "ix", "iy", G.in_polygon(F.col("x"), F.col("y"), F.col("ring"), F.lit(0.0)).alias("inside"))
+
+
 @query("jon_08", f"WITH {_RING}, {GRID}, {_EDGE} SELECT pair, ix, iy FROM sd WHERE turn > 0")
 def cells_in_hull(spark, d):
     p = _points(spark, d)

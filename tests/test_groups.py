@@ -131,3 +131,30 @@ def test_shared_bounds_match_direct_bins(spark):
         a = runs.filter(F.col("g") == g).select(F.lit(0).alias("k"), F.col("PC1").alias("x"), F.col("PC2").alias("y"))
         b = ref.select(F.lit(0).alias("k"), F.col("PC1").alias("x"), F.col("PC2").alias("y"))
         assert got[g] == pytest.approx(tables.cell_iou(a, b, ["k"], 15).first().iou)
+
+
+@pytest.mark.parametrize("crowd", [2, 64])
+def test_lookup_in_split_cells(spark, monkeypatch, crowd):
+    """Points spread over many scales, equal points, and asked positions on the edge of the reach."""
+    from formloom.operators import cells
+    monkeypatch.setattr(cells, "CROWD", crowd)
+    monkeypatch.setattr(joins, "answers", lambda *a, **k: cells.answers(*a, **{**k, "crowd": crowd}))
+    rng = np.random.default_rng(12)
+    p = np.concatenate([rng.normal(0, s, (120, 2)) for s in (3, .3, .01, 1e-4)] + [np.full((90, 2), .5), rng.integers(-4, 5, (60, 2)) / 2])
+    ask = np.concatenate([rng.normal(0, 1, (80, 2)), rng.integers(-6, 7, (60, 2)) / 2, p[:40]])
+    points = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(p)], "id long, x double, y double").repartition(3)
+    asked = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(ask)], "ask long, x double, y double")
+    got = {r.ask: r.found for r in joins.lookup_within(points, asked, .5).collect()}
+    hit = (np.abs(ask[:, None] - p[None]) < .5).all(axis=2)
+    assert got == {i: int(h.argmax()) for i, h in enumerate(hit) if h.any()}
+
+
+def test_alpha_points_beside_a_crowd(spark):
+    from formloom.operators import gaps
+    rng = np.random.default_rng(13)
+    p = np.concatenate([rng.normal(0, .02, (300, 2)), rng.normal(0, 1, (150, 2))])
+    df = spark.createDataFrame([("a", i, float(x), float(y)) for i, (x, y) in enumerate(p)], "pair string, id long, x double, y double")
+    d = np.hypot(*(p[:, None] - p[None]).transpose(2, 0, 1))
+    np.fill_diagonal(d, np.inf)
+    for alpha in (.01, .05, .2):
+        assert {r.id for r in gaps.alpha_points(df, alpha).collect()} == set(np.flatnonzero(d.min(axis=1) <= 2 * alpha).tolist())
