@@ -128,7 +128,12 @@ def distance(a, b):
     return row[-1]
 
 
-def test_lines(spark):
+def normal(line):
+    return regex.sub(r"[^\p{L}\p{N}]+", " ", line.lower()).strip(" ")
+
+
+def some_lines():
+    """Documents of 25 stock lines, most of them with copies that differ in a word."""
     rng = random.Random(2)
     words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(300)]
     stock = []
@@ -140,12 +145,39 @@ def test_lines(spark):
                 x[rng.randrange(len(x))] = rng.choice(words)
             stock.append(" ".join(x).capitalize() + rng.choice(["", "!", " ."]))
     data = [(i % 37 if i % 8 else None, "\n".join(rng.choice(stock) for _ in range(rng.randint(0, 7))), "en") for i in range(45)]
-    data += [r for r in rows(n=8) if r[0] != 106] + [(93, f"{stock[3]}\n{stock[3]}\n  {stock[3].upper()}..", "en")]
+    return data + [r for r in rows(n=8) if r[0] != 106] + [(93, f"{stock[3]}\n{stock[3]}\n  {stock[3].upper()}..", "en")]
+
+
+def test_lines_by_edit_distance_alone(spark):
+    """The default against groups over all pairs within 10 %: nothing else goes, and nine tenths or more of what should go."""
+    data = some_lines()
     docs = frame(spark, data)
-    got = lines.dedup_lines(docs).collect()
+    got = {(r.doc_id, r.text) for r in lines.dedup_lines(docs).collect()}
+    own = {(r.doc_id, r.text): r.k for r in docs.selectExpr("doc_id", "text", "xxhash64(doc_id, text) k").collect()}
+    places: dict = {}
+    for d, t in own:
+        for i, line in enumerate((t or "").split("\n")):
+            if x := normal(line):
+                places.setdefault(x, []).append((d is None, d or 0, own[d, t], i))
+    names = sorted(places)
+    edges = [(i, j) for i in range(len(names)) for j in range(i) if distance(names[i], names[j]) <= int(.1 * max(len(names[i]), len(names[j])) + 1e-9)]
+    groups: dict = {}
+    for name, root in zip(names, roots(len(names), edges)):
+        groups.setdefault(root, []).extend(places[name])
+    first = {(k, i) for g in groups.values() for _, _, k, i in sorted(g)[:1]}
+    gone = {(k, i) for g in groups.values() for _, _, k, i in sorted(g)[1:]}
+    n = {(d, t): len((t or "").split("\n")) for d, t in own}
+    kept = {r.row: set(range(n[r.doc_id, r.old])) - set(r.gone or []) for r in
+            docs.selectExpr("doc_id", "text old", "xxhash64(doc_id, text) row").distinct().join(lines.removals(docs), "row", "left").collect()}
+    removed = {(k, i) for (d, t), k in own.items() for i in range(n[d, t]) if i not in kept[k]}
+    assert not removed & first and removed <= gone and len(removed) >= .9 * len(gone)
+    assert got
+
 
-    def normal(line):
-        return regex.sub(r"[^\p{L}\p{N}]+", " ", line.lower()).strip(" ")
+def test_lines(spark):
+    data = some_lines()
+    docs = frame(spark, data)
+    got = lines.dedup_lines(docs, whole=False).collect()
     own = {(r.doc_id, r.text): r.k for r in docs.selectExpr("doc_id", "text", "xxhash64(doc_id, text) k").collect()}
     places: dict = {}
     for d, t in own:
