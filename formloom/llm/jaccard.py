@@ -8,7 +8,9 @@ Documents with equal sets are one class from the start; links are found between
   (rarer ones first, by counts over all documents in a table of fixed size). Inverted lists of these elements are
   scanned. First every class is held against one head of its lists, so groups of near copies fall
   together in work linear in their size; then pairs that are still apart and share enough of their first elements are counted, those whose
-  count and rest cannot reach ``o`` leave, and the others are verified on their whole sets. No pair is left out: each pair that
+  count and rest cannot reach ``o`` leave, and the others are verified on their whole sets. Every class carries the parities of its elements in
+  ``PARITIES`` hash cells: the cells in which two sets differ are no more than the elements in which they differ, so pairs
+  with too many of them leave before anything is counted or sent. No pair is left out: each pair that
   can link was verified or already is in one component.
 * The boundary is the size with the least cost by the histogram of small sizes: rows of subsets below, rows of lists above.
 
@@ -98,7 +100,22 @@ def levels(cells: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(np.log2(over + 1)), 31).astype(np.uint8)
 
 
-SETS = "doc_id long, n long, cid long, tokens array<long>, small array<long>"
+PARITIES = 512
+SETS = "doc_id long, n long, cid long, tokens array<long>, small array<long>, bits array<long>"
+
+
+def parities(h: np.ndarray, text: np.ndarray, texts: int) -> np.ndarray:
+    """Per text the parity of its number of elements in each of ``PARITIES`` hash cells, as longs."""
+    cell = (mix(h ^ np.uint64(0x8EBC6AF09C88C6E3)) >> np.uint64(20)).astype(np.int64) % PARITIES
+    odd = (np.bincount(text * PARITIES + cell, minlength=texts * PARITIES) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8").reshape(texts, PARITIES // 64)
+
+
+def alike(a: str | Column, b: str | Column, n_a: Column, n_b: Column, t: int) -> Column:
+    """No link is ruled out by the parities ``a`` and ``b``: linked sets differ in at most ``n_a + n_b - 2 * o`` elements."""
+    a, b = (F.col(x) if isinstance(x, str) else x for x in (a, b))
+    odd = sum((F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i)))) for i in range(PARITIES // 64)), F.lit(0))
+    return odd <= n_a + n_b - 2 * _up(n_a + n_b, t, 100 + t)
 
 
 def class_ids(h: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -125,11 +142,13 @@ def sets(docs: DataFrame, size: int, t: int) -> DataFrame:
             text = np.repeat(np.arange(len(n)), n)
             order = order[np.lexsort((order, text))].astype(np.int64)
             start = np.cumsum(n) - n
+            bits = parities(h, text, len(n))
             first = np.where(n > 0, n - kept_by_any(n, t) + 1, 0)
             yield record(out, {
                 "doc_id": rows["doc_id"], "n": n, "cid": [c if k else None for c, k in zip(cid.tolist(), n.tolist())],
                 "tokens": [order[s:s + f] for s, f in zip(start.tolist(), first.tolist())],
-                "small": [h[s:s + k].view(np.int64) if 0 < k <= LARGEST_SMALL else None for s, k in zip(start.tolist(), n.tolist())]})
+                "small": [h[s:s + k].view(np.int64) if 0 < k <= LARGEST_SMALL else None for s, k in zip(start.tolist(), n.tolist())],
+                "bits": list(bits)})
     return docs.mapInArrow(run, SETS)
 
 
@@ -166,7 +185,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, size: int, t: i
     salts = pairs.groupBy("b").agg(F.ceil(F.count("*") / 256).alias("k"))
     own = pairs.join(salts, "b").select(F.col("a").alias("cid"), "b", F.pmod(F.xxhash64("a"), "k").alias("salt"), F.lit(1).alias("role"))
     heads = salts.select(F.col("b").alias("cid"), "b", F.explode(F.sequence(F.lit(0), F.col("k") - 1)).alias("salt"), F.lit(0).alias("role"))
-    wanted = own.unionByName(heads).join(reps, "cid").select(F.col("rep").alias("own"), "cid", "b", "salt", "role")
+    wanted = own.unionByName(heads).join(reps.select("cid", "rep"), "cid").select(F.col("rep").alias("own"), "cid", "b", "salt", "role")
     wanted = small_side(wanted)
     rows = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.own)).select("text", "cid", "b", "salt", "role")
     schema = "cid long, b long, salt long, role int, elements binary"
@@ -215,13 +234,14 @@ def _pairs(apart: DataFrame, t: int) -> DataFrame:
     of the largest k is taken. Past the last element they share there they can share no more than the shorter rest.
     """
     def side(x):
-        return apart.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "n", "pos", "root")])
+        return apart.select("token", *[F.col(c).alias(f"{c}_{x}") for c in ("cid", "n", "pos", "root", "bits")])
     n_a, n_b = F.col("n_a"), F.col("n_b")
     o = _up(n_a + n_b, t, 100 + t)
     k = F.floor((o - _up(F.greatest("n_a", "n_b"), t)) / 2) + 1
     first = (F.col("pos_a") <= n_a - o + k) & (F.col("pos_b") <= n_b - o + k)
     met = side("a").join(side("b"), "token").where(
-        (F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b")) & _near(n_a, n_b, t) & first)
+        (F.col("cid_a") < F.col("cid_b")) & (F.col("root_a") != F.col("root_b")) & _near(n_a, n_b, t) & first
+                                               & alike("bits_a", "bits_b", n_a, n_b, t))
     met = met.groupBy("cid_a", "cid_b", "n_a", "n_b").agg(
         F.count("*").alias("c"), F.max("pos_a").alias("at_a"), F.max("pos_b").alias("at_b"))
     rest = F.least(n_a - F.col("at_a"), n_b - F.col("at_b"))
@@ -238,7 +258,7 @@ def heavy_links(rows: DataFrame, reps: DataFrame, docs: DataFrame, largest: int,
     listed = rows.where(F.col("n") * 100 > t * largest).select(F.posexplode("tokens").alias("pos", "token"), "cid")
     shared = listed.groupBy("token").agg(F.min("cid").alias("x"), F.max("cid").alias("z")).where("x < z").select("token")
     once = listed.join(shared, "token").groupBy("token", "cid").agg((F.min("pos") + 1).alias("pos"))
-    lists = cut(once.join(reps.select("cid", "n"), "cid"))
+    lists = cut(once.join(reps.select("cid", "n", "bits"), "cid"))
     for k in range(rounds + 1):
         known = components(links)
         apart = lists.join(known.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -246,9 +266,10 @@ def heavy_links(rows: DataFrame, reps: DataFrame, docs: DataFrame, largest: int,
         apart = apart.join(open_lists, "token")
         if k < rounds:
             # a head for each list and round, of one class; every class then meets the head that it shares most lists with
-            pick = F.min(F.struct(F.xxhash64("cid", F.lit(k)), "cid", "n", "root"))
+            pick = F.min(F.struct(F.xxhash64("cid", F.lit(k)), "cid", "n", "root", "bits"))
             heads = apart.groupBy("token").agg(pick.alias("h"))
-            met = apart.join(heads, "token").where((F.col("h.root") != F.col("root")) & _near(F.col("n"), F.col("h.n"), t))
+            met = apart.join(heads, "token").where((F.col("h.root") != F.col("root")) & _near(F.col("n"), F.col("h.n"), t)
+                                                    & alike("bits", F.col("h.bits"), F.col("n"), F.col("h.n"), t))
             met = met.groupBy(F.col("cid").alias("a"), F.col("h.cid").alias("b")).agg(F.count("*").alias("c"))
             best = met.groupBy("a").agg(F.max(F.struct("c", "b")).alias("m"))
             pairs = best.where(F.col("m.c") > 2).select("a", F.col("m.b").alias("b"))
@@ -263,12 +284,12 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     docs = two(docs, id_col, text_col)
     rows = cut(sets(docs, size, t))
     full = rows.where(F.col("cid").isNotNull())
-    reps = cut(full.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n")))
+    reps = cut(full.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("n").alias("n"), F.first("bits").alias("bits")))
     histogram = {r[0]: r[1] for r in reps.where(F.col("n") <= LARGEST_SMALL).groupBy("n").count().collect()}  # 20 rows
     largest = boundary(histogram, t)
     small = full.where(F.col("n") <= largest).select("cid", "n", "small").dropDuplicates(["cid"])
     links = cut(light_links(small, largest, t))
-    links = heavy_links(full, reps, docs, largest, links, size, t)
+    links = heavy_links(full.drop("bits"), reps, docs, largest, links, size, t)
     roots = components(links).withColumnRenamed("id", "cid")
     named = rows.select("doc_id", "n", "cid").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     named = cut(named)

@@ -229,3 +229,21 @@ def test_simhash_of_a_very_long_line(spark):
     for d, t, _ in data:
         w = [hashes[x] for x in t.split()]
         assert got[d] == sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in w) > len(w))
+
+
+def test_parities_never_rule_out_a_link(spark):
+    rng = np.random.default_rng(3)
+    pairs = []
+    for n in (3, 20, 150, 900):
+        for shared in np.linspace(.6, 1, 15):
+            k = int(shared * n)
+            pool = rng.integers(0, 1 << 62, 2 * n - k).astype(np.uint64)
+            pairs.append((pool[:n], np.concatenate([pool[:k], pool[n:]])))
+    rows = []
+    for a, b in pairs:
+        bits = jaccard.parities(np.concatenate([a, b]), np.repeat([0, 1], [len(a), len(b)]), 2)
+        both = len(np.intersect1d(a, b))
+        rows.append((bits[0].tolist(), bits[1].tolist(), len(a), len(b), 100 * both >= 80 * (len(a) + len(b) - both)))
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>, n long, m long, link boolean")
+    got = df.select("link", "n", jaccard.alike("a", "b", df.n, df.m, 80).alias("may")).collect()
+    assert all(r.may for r in got if r.link) and sum(not r.may for r in got if r.n < 200) > 10
