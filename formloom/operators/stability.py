@@ -11,17 +11,17 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import efa as E
 from ..functions import kernels
 from ..functions import outline as O
-from ..functions.base import div, pt
+from ..functions.base import div, let, pt
 from ..session import cut, small_side
 from . import pca as P
-from .hull import convex_hull, hull_iou
+from .hull import convex_hull
 from .ranks import hash_cutoffs, quantiles
 from .tables import bin_of, column_pairs, fraction_schedule
 
@@ -85,21 +85,45 @@ def axis_shift(rotations: DataFrame, reference: DataFrame, keys: Sequence[str])
 
 
 def _rings(df: DataFrame, keys: Sequence[str], row_id: str, out: str) -> DataFrame:
-    """``keys, <out>``: hull polygon (array of points) per key."""
+    """``keys, <out>``: counter-clockwise hull polygon (array of points) per key."""
     h = convex_hull(df, keys, "x", "y", row_id)
-    ring = F.array_sort(F.collect_list(F.struct("ord", "x", "y")))
-    return h.groupBy(*keys).agg(F.transform(ring, lambda p: pt(p["x"], p["y"])).alias(out))
+    ring = F.reverse(F.array_sort(F.collect_list(F.struct("ord", "x", "y"))))
+    return h.groupBy(*keys).agg(F.transform(ring, lambda p: pt(p["x"].cast("double"), p["y"].cast("double"))).alias(out))
 
 
-def _clipped(df: DataFrame, a: str, b: str) -> DataFrame:
-    """Adds ``iou`` of two small polygons in one row."""
-    @F.pandas_udf("double")
-    def iou(ax: pd.Series, ay: pd.Series, bx: pd.Series, by: pd.Series) -> pd.Series:
-        return pd.Series([hull_iou(np.column_stack([p, q]).astype(float), np.column_stack([r, s]).astype(float))
-                          for p, q, r, s in zip(ax, ay, bx, by)])
-    held = kernels.hold(df, "_p", F.struct(F.col(a).alias("a"), F.col(b).alias("b")))
-    return held.withColumn("iou", F.nanvl(iou(F.col("_p.a.x"), F.col("_p.a.y"), F.col("_p.b.x"), F.col("_p.b.y")),
-                                          F.lit(None).cast("double"))).drop("_p")
+RING = "array<struct<x:double,y:double>>"
+
+
+def clipped(subject: Column, clip: Column) -> Column:
+    """The part of a convex ring inside another, both counter-clockwise: a fold over the edges of ``clip``.
+
+    Every edge keeps the points on its left and adds the crossings of the ring with its line.
+    """
+    def half(ring, e):
+        def side(p):
+            return (e["b"]["x"] - e["a"]["x"]) * (p["y"] - e["a"]["y"]) - (e["b"]["y"] - e["a"]["y"]) * (p["x"] - e["a"]["x"])
+
+        def kept(p, q):
+            def points(v):
+                s, t = v["s"], v["t"]
+                cross = let(div(s, s - t), lambda f: pt(p["x"] + (q["x"] - p["x"]) * f, p["y"] + (q["y"] - p["y"]) * f))
+                return F.array_compact(F.array(F.when(s >= 0, pt(p["x"], p["y"])), F.when(((s > 0) & (t < 0)) | ((s < 0) & (t > 0)), cross)))
+            return let(F.struct(side(p).alias("s"), side(q).alias("t")), points)
+        following = F.concat(F.slice(ring, F.lit(2), F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))  # nothing may be left
+        return F.flatten(F.zip_with(ring, following, kept)).cast(RING)
+    edges = F.zip_with(clip, O.with_next(clip), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    return F.aggregate(edges, subject.cast(RING), half)
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Area of the intersection over the union of two convex rings; NULL for a ring without area."""
+    def area(r):
+        return F.when(F.size(r) >= 3, O.area(r)).otherwise(F.lit(0.0))
+
+    def share(v):
+        union = v["a"] + v["b"] - v["c"]
+        return F.when((v["a"] > 0) & (v["b"] > 0) & (union > 0), v["c"] / union)
+    return let(F.struct(area(a).alias("a"), area(b).alias("b"), let(clipped(a, b), area).alias("c")), share)
 
 
 def hull_iou_of(a: DataFrame, b: DataFrame, keys: Sequence[str], row_id: str) -> DataFrame:
@@ -109,7 +133,7 @@ def hull_iou_of(a: DataFrame, b: DataFrame, keys: Sequence[str], row_id: str) ->
     """
     keys = list(keys)
     both = _rings(a, keys, row_id, "_a").join(_rings(b, keys, row_id, "_b"), keys)
-    return _clipped(both, "_a", "_b").select(*keys, "iou")
+    return both.select(*keys, overlap(F.col("_a"), F.col("_b")).alias("iou"))
 
 
 def occupancy(runs: DataFrame, reference: DataFrame, keys: Sequence[str], pcs: Sequence[str],
@@ -122,7 +146,7 @@ def occupancy(runs: DataFrame, reference: DataFrame, keys: Sequence[str], pcs: S
     keys = list(keys)
     mine = column_pairs(runs, pcs, [*keys, "id"], all_pairs=True)
     ref = column_pairs(reference, pcs, ["id"], all_pairs=True)
-    hulls = _clipped(_rings(mine, [*keys, "pair"], "id", "_a").join(_rings(ref, ["pair"], "id", "_b"), "pair"), "_a", "_b")
+    hulls = _rings(mine, [*keys, "pair"], "id", "_a").join(_rings(ref, ["pair"], "id", "_b"), "pair").withColumn("iou", overlap(F.col("_a"), F.col("_b")))
     out = _grid_overlap(mine, ref, keys, resolution).join(
         hulls.select(*keys, "pair", F.col("iou").alias("h")), [*keys, "pair"], "full").groupBy(*keys).agg(
         F.avg("iou").alias("grid_iou"), F.avg("h").alias("hull_iou"))

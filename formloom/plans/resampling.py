@@ -16,7 +16,7 @@ from ..operators import tables as T
 from .morphospace import inverse_sql
 from .outline import long
 from .registry import query
-from .tables import RUNS, SUMMARY, draw_runs, hull_sql
+from .tables import RUNS, SUMMARY, draw_runs, hull_sql, overlap_sql
 
 N = "(SELECT count(*) FROM embeddings)"
 
@@ -116,10 +116,21 @@ def axis_shift(spark, d):
     return a.select("run", "pc", r6(F.col("similarity")).alias("similarity"), r6(F.col("angle_deg")).alias("angle_deg"))
 
 
-@query("res_09")
+_AXES = [("PC1-PC2", 1, 2), ("PC1-PC3", 1, 3), ("PC2-PC3", 2, 3)]
+_OCC = " UNION ALL ".join(f"SELECT '{p}' AS pair, label AS run, embedding[{i}]::DOUBLE AS x, embedding[{j}]::DOUBLE AS y FROM embeddings" for p, i, j in _AXES)
+_RUN_HULLS = hull_sql(f"(SELECT pair || '|' || run AS g, x, y FROM ({_OCC}) UNION ALL SELECT pair || '|all', x, y FROM ({_OCC}))", "g")
+_RUN_IOU = overlap_sql("right(a.g, 3) <> 'all'", "right(b.g, 3) = 'all'", "left(a.g, 7) = left(b.g, 7)")
+
+
+@query("res_09", f"""WITH {_RUN_HULLS}, {_RUN_IOU}, p AS ({_OCC}), b AS (SELECT pair, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p GROUP BY pair),
+c AS (SELECT DISTINCT pair, run, greatest(1, least(60, ceil((x-x0)/((x1-x0)/60)))) AS i, greatest(1, least(60, ceil((y-y0)/((y1-y0)/60)))) AS j FROM p JOIN b USING (pair)),
+n AS (SELECT pair, count(*) AS whole FROM (SELECT DISTINCT pair, i, j FROM c) GROUP BY pair),
+gi AS (SELECT run, avg(k/whole) AS grid_iou FROM (SELECT pair, run, count(*) AS k FROM c GROUP BY pair, run) JOIN n USING (pair) GROUP BY run),
+hi AS (SELECT substr(g, 9)::INT AS run, avg(iou) AS hull_iou FROM iou GROUP BY run)
+SELECT run::INT AS "group", R6(grid_iou) AS grid_iou, R6(hull_iou) AS hull_iou, R6((grid_iou + hull_iou)/2) AS combined_available, R6((grid_iou + hull_iou)/2) AS combined_strict FROM gi JOIN hi USING (run)""")
 def occupancy(spark, d):
     s = X.scores(spark, d, 3).withColumnRenamed("ID", "id").select("id", "group", "PC1", "PC2", "PC3")
-    o = S.occupancy(s, s.drop("group"), ["group"], ["PC1", "PC2", "PC3"], 20)
+    o = S.occupancy(s, s.drop("group"), ["group"], ["PC1", "PC2", "PC3"])
     return o.select("group", *[r6(F.col(c)).alias(c) for c in ("grid_iou", "hull_iou", "combined_available", "combined_strict")])
 
 

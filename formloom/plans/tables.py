@@ -467,14 +467,35 @@ def _two_sets(spark, d):
 @query("set_01", """WITH p AS (SELECT 'PC1-PC2' AS pair, vec_id % 2 AS w, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings
 UNION ALL SELECT 'PC3-PC4', vec_id % 2, embedding[3]::DOUBLE, embedding[4]::DOUBLE FROM embeddings),
 b AS (SELECT pair, min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1 FROM p GROUP BY pair),
-c AS (SELECT pair, greatest(1, least(20, ceil((x-x0)/((x1-x0)/20)))) AS i, greatest(1, least(20, ceil((y-y0)/((y1-y0)/20)))) AS j, max(w) AS hi, min(w) AS lo FROM p JOIN b USING (pair) GROUP BY 1, 2, 3)
+c AS (SELECT pair, greatest(1, least(60, ceil((x-x0)/((x1-x0)/60)))) AS i, greatest(1, least(60, ceil((y-y0)/((y1-y0)/60)))) AS j, max(w) AS hi, min(w) AS lo FROM p JOIN b USING (pair) GROUP BY 1, 2, 3)
 SELECT pair, R6(count(*) FILTER (hi = 1 AND lo = 0)/count(*)) AS iou FROM c GROUP BY pair""")
 def grid_overlap(spark, d):
     a, b = _two_sets(spark, d)
-    return T.cell_iou(a, b, ["pair"], 20).select("pair", r6(F.col("iou")).alias("iou"))
+    return T.cell_iou(a, b, ["pair"], 60).select("pair", r6(F.col("iou")).alias("iou"))
 
 
-@query("set_02")
+def overlap_sql(first, second, on):
+    """Ring overlap in SQL: ``hull`` rows by g; the rings g = ``first`` are clipped by the edges of the rings g = ``second``, one edge a step."""
+    r = "list_transform(range(1, len(ring) + 1), lambda i: {})"
+    area = "abs(list_sum(" + r.format("ring[i].x*ring[(i % len(ring)) + 1].y - ring[(i % len(ring)) + 1].x*ring[i].y") + "))/2"
+    return f"""rings AS (SELECT g, list({{'x': x, 'y': y}} ORDER BY k) AS ring FROM hull GROUP BY g),
+sized AS (SELECT *, CASE WHEN len(ring) >= 3 THEN {area} ELSE 0 END AS area FROM rings),
+both_ AS (SELECT a.g AS g, a.ring AS subject, b.ring AS clip, a.area AS aa, b.area AS ab FROM sized a JOIN sized b ON {on} WHERE {first} AND {second}),
+cut_ AS (SELECT g, 1 AS k, subject AS ring, clip, aa, ab FROM both_ UNION ALL
+SELECT g, k + 1, flatten(list_transform(range(1, len(ring) + 1), lambda i: list_filter([CASE WHEN s[i] >= 0 THEN ring[i] END,
+ CASE WHEN s[i]*s[(i % len(ring)) + 1] < 0 THEN {{'x': ring[i].x + (ring[(i % len(ring)) + 1].x - ring[i].x)*(s[i]/(s[i] - s[(i % len(ring)) + 1])),
+ 'y': ring[i].y + (ring[(i % len(ring)) + 1].y - ring[i].y)*(s[i]/(s[i] - s[(i % len(ring)) + 1]))}} END], lambda z: z IS NOT NULL))), clip, aa, ab FROM (
+ SELECT *, list_transform(ring, lambda p: (clip[(k % len(clip)) + 1].x - clip[k].x)*(p.y - clip[k].y) - (clip[(k % len(clip)) + 1].y - clip[k].y)*(p.x - clip[k].x)) AS s FROM cut_ WHERE k <= len(clip))),
+iou AS (SELECT g, CASE WHEN aa > 0 AND ab > 0 THEN c/(aa + ab - c) END AS iou FROM (
+ SELECT g, aa, ab, CASE WHEN len(ring) >= 3 THEN {area} ELSE 0 END AS c FROM cut_ WHERE k = len(clip) + 1))"""
+
+
+_HALVES = """(SELECT 'PC1-PC2|' || vec_id % 2 AS g, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings
+UNION ALL SELECT 'PC3-PC4|' || vec_id % 2, embedding[3]::DOUBLE, embedding[4]::DOUBLE FROM embeddings)"""
+
+
+@query("set_02", f"""WITH {hull_sql(_HALVES, 'g')}, {overlap_sql("right(a.g, 1) = '0'", "right(b.g, 1) = '1'", 'left(a.g, 7) = left(b.g, 7)')}
+SELECT left(g, 7) AS pair, R6(iou) AS iou FROM iou""")
 def hull_overlap(spark, d):
     from ..operators.stability import hull_iou_of
     a, b = _two_sets(spark, d)

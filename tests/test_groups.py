@@ -158,3 +158,17 @@ def test_alpha_points_beside_a_crowd(spark):
     np.fill_diagonal(d, np.inf)
     for alpha in (.01, .05, .2):
         assert {r.id for r in gaps.alpha_points(df, alpha).collect()} == set(np.flatnonzero(d.min(axis=1) <= 2 * alpha).tolist())
+
+
+def test_overlap_fold_against_loops(spark):
+    """The fold over edges against clipping point by point: crossing, nested, disjoint, equal and degenerate hulls."""
+    rng = np.random.default_rng(21)
+    sets = [(rng.normal(size=(12, 2)), rng.normal(rng.normal(scale=s), 1, (9, 2))) for s in (0, .5, 1, 2, 6) for _ in range(6)]
+    sq = np.array([[0, 0], [2, 0], [2, 2], [0, 2]], float)
+    sets += [(sq, sq), (sq, sq + 1), (sq, sq + 5), (sq, sq / 4 + .5), (sq / 4 + .5, sq), (sq, sq + [2, 0]), (sq, sq[:2]), (sq[:1], sq), (sq, np.array([[0, 0], [1, 1], [2, 2]], float))]
+    rows = [(k, which, i, float(x), float(y)) for k, pair in enumerate(sets) for which, pts in zip("ab", pair) for i, (x, y) in enumerate(pts)]
+    df = spark.createDataFrame(rows, "k int, w string, id long, x double, y double")
+    got = {r.k: r.iou for r in stability.hull_iou_of(df.where("w = 'a'"), df.where("w = 'b'"), ["k"], "id").collect()}
+    for k, (a, b) in enumerate(sets):
+        want = hull.hull_iou(a, b)
+        assert got[k] is None if np.isnan(want) else got[k] == pytest.approx(want, abs=1e-12)
