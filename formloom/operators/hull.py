@@ -94,11 +94,8 @@ def hull_iou(a: np.ndarray, b: np.ndarray) -> float:
     return inter / union if union > 0 else float("nan")
 
 
-def hull_facets(p: np.ndarray) -> np.ndarray:
-    """Triangles (outward order) of the 3-D hull; empty when it has no volume."""
-    empty = np.zeros((0, 3), int)
-    if len(p) < 4:
-        return empty
+def _simplex(p: np.ndarray):
+    """Four points that span the most, ``None`` for the plane or line on which all lie, and the plane's two axes."""
     scale = max(float(np.ptp(p, axis=0).max()), 1e-300)
     eps = 1e-12 * scale
     a = int(np.argmin(p[:, 0]))
@@ -107,13 +104,37 @@ def hull_facets(p: np.ndarray) -> np.ndarray:
     off = np.linalg.norm(np.cross(p - p[a], line), axis=1)
     c = int(np.argmax(off))
     if off[c] <= eps * scale:
-        return empty
+        return None, eps, (line, None)
     normal = np.cross(line, p[c] - p[a])
     height = (p - p[a]) @ normal
     d = int(np.argmax(np.abs(height)))
     if abs(height[d]) <= eps * scale * scale:
+        return None, eps, (line, np.cross(normal, line))
+    return (a, b, c, d), eps, None
+
+
+def flat_hull(p: np.ndarray) -> np.ndarray:
+    """Positions of the hull vertices of points in one plane or on one line."""
+    _, _, (line, across) = _simplex(p)
+    u = p @ (line / max(float(np.linalg.norm(line)), 1e-300))
+    if across is None:
+        return np.unique([int(u.argmin()), int(u.argmax())])
+    return np.sort(hull_order(u, p @ (across / max(float(np.linalg.norm(across)), 1e-300))))
+
+
+def hull_facets(p: np.ndarray) -> np.ndarray:
+    """Triangles (outward order) of the 3-D hull; empty when it has no volume.
+
+    An inner polytope grows by the farthest point of a facet at a time. Every point outside is kept with one facet that it lies
+    above; when facets go, only their points are dealt out to the new ones, and a point above none of them is inside for good.
+    """
+    empty = np.zeros((0, 3), int)
+    if len(p) < 4:
+        return empty
+    first, eps, _ = _simplex(p)
+    if first is None:
         return empty
-    inside = p[[a, b, c, d]].mean(axis=0)
+    inside = p[list(first)].mean(axis=0)
 
     def oriented(f):
         n = np.cross(p[f[1]] - p[f[0]], p[f[2]] - p[f[0]])
@@ -123,16 +144,24 @@ def hull_facets(p: np.ndarray) -> np.ndarray:
         n = np.cross(p[fs[:, 1]] - p[fs[:, 0]], p[fs[:, 2]] - p[fs[:, 0]])
         n = n / np.maximum(np.linalg.norm(n, axis=1, keepdims=True), 1e-300)
         return n, np.einsum("ij,ij->i", n, p[fs[:, 0]])
+
+    def dealt(left, ns, os_):
+        out = []
+        for n, o in zip(ns, os_):
+            above = p[left] @ n - o > eps
+            out.append(left[above])
+            left = left[~above]
+        return out
+    a, b, c, d = first
     faces = np.array([oriented(f) for f in ((a, b, c), (a, b, d), (a, c, d), (b, c, d))])
     normals, offsets = plane(faces)
-    todo = np.arange(len(p))
-    while len(todo):
-        above = (p[todo] @ normals.T - offsets).max(axis=1)
-        todo, above = todo[above > eps], above[above > eps]
-        if not len(todo):
-            break
-        i = int(todo[np.argmax(above)])
+    outside = dealt(np.arange(len(p)), normals, offsets)
+    todo = [k for k, o in enumerate(outside) if len(o)]
+    while todo:
+        k = todo[-1]
+        i = int(outside[k][np.argmax(p[outside[k]] @ normals[k])])
         seen = normals @ p[i] - offsets > eps
+        seen[k] = True
         edges = {}
         for f in faces[seen]:
             for e in ((f[0], f[1]), (f[1], f[2]), (f[2], f[0])):
@@ -142,9 +171,11 @@ def hull_facets(p: np.ndarray) -> np.ndarray:
                     edges[e] = True
         fresh = np.array([(u, v, i) for u, v in edges])
         n2, o2 = plane(fresh)
-        faces = np.vstack([faces[~seen], fresh])
-        normals, offsets = np.vstack([normals[~seen], n2]), np.concatenate([offsets[~seen], o2])
-        todo = todo[todo != i]
+        orphans = np.concatenate([outside[j] for j in np.flatnonzero(seen)])
+        kept = np.flatnonzero(~seen)
+        outside = [outside[j] for j in kept] + dealt(orphans[orphans != i], n2, o2)
+        faces, normals, offsets = np.vstack([faces[kept], fresh]), np.vstack([normals[kept], n2]), np.concatenate([offsets[kept], o2])
+        todo = [j for j, o in enumerate(outside) if len(o)]
     return faces
 
 
@@ -391,15 +422,20 @@ def hull_area(df: DataFrame, keys: Sequence[str], x: str, y: str, row_id: str) -
 
 
 def hull_volume(df: DataFrame, keys: Sequence[str], axes: Sequence[str]) -> DataFrame:
-    """``keys, volume, facets`` over three axes; at least four points."""
+    """``keys, volume, facets`` over three axes; at least four points.
+
+    A partition sends the vertices of its points' hull, of their planar hull if they are flat, or two ends if they lie on a line.
+    """
     keys, axes = list(keys), list(axes)
     cols = [*keys, *axes]
 
     def shrink(pdf):
         pdf = pdf.drop_duplicates(axes)
         p = pdf[axes].to_numpy(float)
+        if len(p) < 3:
+            return pdf
         faces = hull_facets(p)
-        return pdf.iloc[np.unique(faces)] if len(faces) else pdf
+        return pdf.iloc[np.unique(faces) if len(faces) else flat_hull(p) if _simplex(p)[0] is None else np.arange(len(p))]
 
     def final(pdf):
         pdf = pdf.drop_duplicates(axes).sort_values(axes)

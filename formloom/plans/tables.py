@@ -264,7 +264,15 @@ def hull_areas(spark, d):
     return H.hull_area(X.cloud(spark, d), ["g"], "x", "y", "id").select("g", F.round(F.col("area") / 1000, 3).alias("area"))
 
 
-@query("agg_10")
+# every plane through three points with all others on one side is a facet
+@query("agg_10", """WITH s AS (SELECT label AS g, vec_id AS i, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
+o AS (SELECT g, avg(x) AS ox, avg(y) AS oy, avg(z) AS oz FROM s GROUP BY g),
+n AS (SELECT a.g, a.i AS i, b.i AS j, c.i AS k, a.x AS ax, a.y AS ay, a.z AS az, (b.y-a.y)*(c.z-a.z) - (b.z-a.z)*(c.y-a.y) AS nx,
+(b.z-a.z)*(c.x-a.x) - (b.x-a.x)*(c.z-a.z) AS ny, (b.x-a.x)*(c.y-a.y) - (b.y-a.y)*(c.x-a.x) AS nz
+FROM s a JOIN s b ON b.g = a.g AND b.i > a.i JOIN s c ON c.g = a.g AND c.i > b.i),
+f AS (SELECT n.g, n.i, j, k, any_value(abs(nx*(ox-ax) + ny*(oy-ay) + nz*(oz-az))/6) AS v FROM n JOIN s ON s.g = n.g JOIN o ON o.g = n.g
+WHERE s.i NOT IN (n.i, j, k) GROUP BY n.g, n.i, j, k HAVING min(nx*(x-ax) + ny*(y-ay) + nz*(z-az)) > 0 OR max(nx*(x-ax) + ny*(y-ay) + nz*(z-az)) < 0)
+SELECT g AS "group", R6(sum(v)) AS volume, count(*)::INT AS facets FROM f GROUP BY g""")
 def hull_volumes(spark, d):
     return H.hull_volume(X.scores(spark, d, 3), ["group"], ["PC1", "PC2", "PC3"]).select(
         "group", r6(F.col("volume")).alias("volume"), "facets")

@@ -172,3 +172,26 @@ def test_overlap_fold_against_loops(spark):
     for k, (a, b) in enumerate(sets):
         want = hull.hull_iou(a, b)
         assert got[k] is None if np.isnan(want) else got[k] == pytest.approx(want, abs=1e-12)
+
+
+def test_flat_groups_shrink_in_the_first_stage():
+    rng = np.random.default_rng(31)
+    turn = np.linalg.qr(rng.normal(size=(3, 3)))[0]
+    plane = rng.random((3000, 2))
+    flat = np.column_stack([plane, np.zeros(3000)]) @ turn + 5
+    assert sorted(hull.flat_hull(flat)) == sorted(hull.hull_order(*plane.T)) and not len(hull.hull_facets(flat))
+    assert sorted(hull.flat_hull(np.outer(rng.permutation(50), [1.0, 2, 3]))) and len(hull.flat_hull(np.outer(rng.permutation(50), [1.0, 2, 3]))) == 2
+
+
+def test_facets_of_points_on_and_in_a_sphere(spark):
+    rng = np.random.default_rng(32)
+    p = rng.normal(size=(400, 3))
+    p /= np.linalg.norm(p, axis=1)[:, None]
+    p = np.concatenate([p, rng.normal(scale=.2, size=(2000, 3))])
+    f = hull.hull_facets(p)
+    assert len(np.unique(f)) == 400 and len(f) == 2 * 400 - 4
+    n = np.cross(p[f[:, 1]] - p[f[:, 0]], p[f[:, 2]] - p[f[:, 0]])
+    assert (p @ n.T - np.einsum("ij,ij->i", n, p[f[:, 0]])).max() < 1e-9
+    df = spark.createDataFrame([(i % 2, *map(float, x)) for i, x in enumerate(p)] + [(2, float(i), float(j), 0.0) for i in range(9) for j in range(9)], "g int, a double, b double, c double")
+    got = {r.g: r for r in hull.hull_volume(df.repartition(5), ["g"], ["a", "b", "c"]).collect()}
+    assert set(got) == {0, 1} and all(got[g].facets == len(hull.hull_facets(p[g::2])) for g in got)
