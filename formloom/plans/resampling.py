@@ -296,10 +296,13 @@ def perturbed(spark, d):
 
 
 def _covered(src, keys, res=RES):
-    r = "1.5*(dx+dy)/2"
-    return f"""SELECT {keys}, i::INT AS ix, j::INT AS iy FROM (SELECT *, unnest(range(greatest(ceil((py - {r} - gy)/dy), 0)::INT, least(floor((py + {r} - gy)/dy), {res - 1})::INT + 1)) AS j FROM (
-SELECT *, unnest(range(greatest(ceil((px - {r} - gx)/dx), 0)::INT, least(floor((px + {r} - gx)/dx), {res - 1})::INT + 1)) AS i FROM {src}))
-WHERE sqrt((gx + i*dx - px)**2 + (gy + j*dy - py)**2) <= {r}"""
+    """Cells within 1.5 cell sizes of px, py: columns of cells first, then the chord of the circle in each."""
+    def span(at, half, origin, step):
+        return f"range(greatest(ceil(({at} - {half} - {origin})/{step}), 0)::INT, least(floor(({at} + {half} - {origin})/{step}), {res - 1})::INT + 1)"
+    across = f"SELECT {keys}, px, py, gx, gy, dx, dy, 1.5*(dx+dy)/2 AS r FROM {src}"
+    column = f"SELECT {keys}, gx, gy, dx, dy, r, px, py, unnest({span('px', 'r', 'gx', 'dx')}) AS i FROM ({across})"
+    chord = f"SELECT {keys}, i::INT AS ix, {span('py', 'h', 'gy', 'dy')} AS js FROM (SELECT *, sqrt(greatest(r**2 - (gx + i*dx - px)**2, 0)) AS h FROM ({column}))"
+    return f"SELECT {keys}, ix, unnest(js)::INT AS iy FROM ({chord})"
 
 
 @query("jon_07", f"WITH {GRID}, q AS (SELECT gr.*, x AS px, y AS py FROM pp JOIN gr USING (pair)) SELECT DISTINCT pair, ix, iy FROM ({_covered('q', 'pair')})")
@@ -310,9 +313,10 @@ def covered(spark, d):
 
 
 def _hits(src):
-    """Per cell and run the noise draws that occupy it, as bits of words."""
-    return f"""(SELECT pair, ix, iy, b, sum(bit_count(w))::BIGINT AS hits FROM (
-SELECT pair, ix, iy, b, bit_or(1::UBIGINT << (m % 64)::UBIGINT) AS w FROM ({_covered(src, 'pair, b, m')}) GROUP BY pair, ix, iy, b, m // 64) GROUP BY pair, ix, iy, b)"""
+    """Per cell and run the noise draws (at most 128) that occupy it, as bits of two words."""
+    words = ", ".join(f"bit_or(CASE WHEN m // 64 = {k} THEN 1::UBIGINT << (m % 64)::UBIGINT ELSE 0 END) AS w{k}" for k in (0, 1))
+    return f"""(SELECT pair, (code // 1000000 // {RES})::INT AS ix, (code // 1000000 % {RES})::INT AS iy, code % 1000000 AS b, (bit_count(w0) + bit_count(w1))::BIGINT AS hits FROM (
+SELECT pair, (ix*{RES} + iy)::BIGINT*1000000 + b AS code, {words} FROM ({_covered(src, 'pair, b, m')}) GROUP BY pair, code))"""
 
 
 _MC_ROWS = _mix(_mix(_mix("(SELECT *, 1 AS b FROM " + _keyed("pp", 4) + f" JOIN gr USING (pair), range(1, {MC + 1}) v(m))", "b"), "0"), "m")
