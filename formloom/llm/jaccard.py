@@ -100,7 +100,7 @@ def levels(cells: np.ndarray) -> np.ndarray:
     return np.minimum(np.floor(np.log2(over + 1)), 31).astype(np.uint8)
 
 
-PARITIES = 512
+PARITIES = 256
 SETS = "doc_id long, n long, cid long, tokens array<long>, small array<long>, bits array<long>"
 
 
@@ -258,7 +258,8 @@ def heavy_links(rows: DataFrame, reps: DataFrame, docs: DataFrame, largest: int,
     listed = rows.where(F.col("n") * 100 > t * largest).select(F.posexplode("tokens").alias("pos", "token"), "cid")
     shared = listed.groupBy("token").agg(F.min("cid").alias("x"), F.max("cid").alias("z")).where("x < z").select("token")
     once = listed.join(shared, "token").groupBy("token", "cid").agg((F.min("pos") + 1).alias("pos"))
-    lists = cut(once.join(reps.select("cid", "n", "bits"), "cid"))
+    lists = cut(once.join(reps.select("cid", "n"), "cid"))
+    bits = reps.select("cid", "bits")
     for k in range(rounds + 1):
         known = components(links)
         apart = lists.join(known.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -266,15 +267,16 @@ def heavy_links(rows: DataFrame, reps: DataFrame, docs: DataFrame, largest: int,
         apart = apart.join(open_lists, "token")
         if k < rounds:
             # a head for each list and round, of one class; every class then meets the head that it shares most lists with
-            pick = F.min(F.struct(F.xxhash64("cid", F.lit(k)), "cid", "n", "root", "bits"))
+            pick = F.min(F.struct(F.xxhash64("cid", F.lit(k)), "cid", "n", "root"))
             heads = apart.groupBy("token").agg(pick.alias("h"))
-            met = apart.join(heads, "token").where((F.col("h.root") != F.col("root")) & _near(F.col("n"), F.col("h.n"), t)
-                                                    & alike("bits", F.col("h.bits"), F.col("n"), F.col("h.n"), t))
-            met = met.groupBy(F.col("cid").alias("a"), F.col("h.cid").alias("b")).agg(F.count("*").alias("c"))
-            best = met.groupBy("a").agg(F.max(F.struct("c", "b")).alias("m"))
-            pairs = best.where(F.col("m.c") > 2).select("a", F.col("m.b").alias("b"))
+            met = apart.join(heads, "token").where((F.col("h.root") != F.col("root")) & _near(F.col("n"), F.col("h.n"), t))
+            met = met.groupBy(F.col("cid").alias("a"), F.col("h.cid").alias("b"), F.col("n").alias("n_a"), F.col("h.n").alias("n_b")).agg(F.count("*").alias("c"))
+            best = met.groupBy("a", "n_a").agg(F.max(F.struct("c", "b", "n_b")).alias("m")).where(F.col("m.c") > 2)
+            one = best.select("a", "n_a", F.col("m.b").alias("b"), F.col("m.n_b").alias("n_b"))  # one pair for each class: the parities meet it here
+            one = one.join(bits.withColumnsRenamed({"cid": "a", "bits": "bits_a"}), "a").join(bits.withColumnsRenamed({"cid": "b", "bits": "bits_b"}), "b")
+            pairs = one.where(alike("bits_a", "bits_b", F.col("n_a"), F.col("n_b"), t)).select("a", "b")
         else:
-            pairs = _pairs(apart, t)
+            pairs = _pairs(apart.join(bits, "cid"), t)
         links = links.unionByName(cut(verified(pairs, reps, docs, size, t)))
     return links
 
