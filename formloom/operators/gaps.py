@@ -193,6 +193,17 @@ def bootstrap_counts(points: DataFrame, grid_table: DataFrame, resolution: int,
     return occupied_counts(points, grid_table, resolution, iterations, mc, uncertainty, seed, rate, radius, kind)
 
 
+def count_draws(occ: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``keys, hits``: distinct draws ``m``, as bits of 64-bit words.
+
+    A word folds on the map side to one number per cell, so neither the shuffle
+    nor the hash table grows with points or draws of the same word.
+    """
+    words = occ.groupBy(*keys, F.floor(F.col("m") / 64).alias("_w")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(m % 64 as int))")).alias("_bits"))
+    return words.groupBy(*keys).agg(F.sum(F.bit_count("_bits")).cast("bigint").alias("hits"))
+
+
 def _dense_counts(points, grid_table, resolution, runs, mc, uncertainty, seed, rate, kind) -> DataFrame:
     """The same counts with cells of positive kernel density as occupied ones."""
     rows = points.join(F.broadcast(grid_table), "pair").withColumn("b", F.explode(F.sequence(F.lit(1), F.lit(runs))))
@@ -200,7 +211,7 @@ def _dense_counts(points, grid_table, resolution, runs, mc, uncertainty, seed, r
     rows = rows.withColumn("_t", times).filter("_t > 0").withColumn("k", F.explode(F.sequence(F.lit(0), F.col("_t") - 1))).drop("_t")
     moved = perturb(rows.withColumn("m", F.explode(F.sequence(F.lit(1), F.lit(mc)))), uncertainty, seed, ["b", "k", "m"], kind)
     dense = kde_cells(moved, ["pair", "b", "m"], grid_table, resolution)
-    per_run = dense.groupBy("pair", "ix", "iy", "b").agg(F.count("*").alias("hits"))
+    per_run = count_draws(dense, ["pair", "ix", "iy", "b"])
     return per_run.groupBy("pair", "ix", "iy").agg(F.sum("hits").alias("hits"), F.count_if(1 - F.col("hits") / mc <= 0.5).alias("full"))
 
 
