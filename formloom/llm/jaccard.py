@@ -9,7 +9,7 @@ Documents with equal sets are one class from the start; links are found between
   scanned. First every class is held against one head of its lists, so groups of near copies fall
   together in work linear in their size; then pairs that are still apart and share enough of their first elements are counted, those whose
   count and rest cannot reach ``o`` leave, and the others are verified on their whole sets. Every class carries the parities of its elements in
-  ``PARITIES`` hash cells: the cells in which two sets differ are no more than the elements in which they differ, so pairs
+  ``PARITIES`` hash cells: the cells in which two sets differ are no more than the elements in which they differ, so of the pairs still apart those
   with too many of them leave before anything is counted or sent. No pair is left out: each pair that
   can link was verified or already is in one component.
 * The boundary is the size with the least cost by the histogram of small sizes: rows of subsets below, rows of lists above.
@@ -259,7 +259,6 @@ def heavy_links(rows: DataFrame, reps: DataFrame, docs: DataFrame, largest: int,
     shared = listed.groupBy("token").agg(F.min("cid").alias("x"), F.max("cid").alias("z")).where("x < z").select("token")
     once = listed.join(shared, "token").groupBy("token", "cid").agg((F.min("pos") + 1).alias("pos"))
     lists = cut(once.join(reps.select("cid", "n"), "cid"))
-    bits = reps.select("cid", "bits")
     for k in range(rounds + 1):
         known = components(links)
         apart = lists.join(known.withColumnRenamed("id", "cid"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
@@ -270,13 +269,11 @@ def heavy_links(rows: DataFrame, reps: DataFrame, docs: DataFrame, largest: int,
             pick = F.min(F.struct(F.xxhash64("cid", F.lit(k)), "cid", "n", "root"))
             heads = apart.groupBy("token").agg(pick.alias("h"))
             met = apart.join(heads, "token").where((F.col("h.root") != F.col("root")) & _near(F.col("n"), F.col("h.n"), t))
-            met = met.groupBy(F.col("cid").alias("a"), F.col("h.cid").alias("b"), F.col("n").alias("n_a"), F.col("h.n").alias("n_b")).agg(F.count("*").alias("c"))
-            best = met.groupBy("a", "n_a").agg(F.max(F.struct("c", "b", "n_b")).alias("m")).where(F.col("m.c") > 2)
-            one = best.select("a", "n_a", F.col("m.b").alias("b"), F.col("m.n_b").alias("n_b"))  # one pair for each class: the parities meet it here
-            one = one.join(bits.withColumnsRenamed({"cid": "a", "bits": "bits_a"}), "a").join(bits.withColumnsRenamed({"cid": "b", "bits": "bits_b"}), "b")
-            pairs = one.where(alike("bits_a", "bits_b", F.col("n_a"), F.col("n_b"), t)).select("a", "b")
+            met = met.groupBy(F.col("cid").alias("a"), F.col("h.cid").alias("b")).agg(F.count("*").alias("c"))
+            best = met.groupBy("a").agg(F.max(F.struct("c", "b")).alias("m"))
+            pairs = best.where(F.col("m.c") > 2).select("a", F.col("m.b").alias("b"))
         else:
-            pairs = _pairs(apart.join(bits, "cid"), t)
+            pairs = _pairs(apart.join(reps.select("cid", "bits"), "cid"), t)
         links = links.unionByName(cut(verified(pairs, reps, docs, size, t)))
     return links
 
