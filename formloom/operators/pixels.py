@@ -9,6 +9,7 @@ bytes; only morphs of chosen pairs join, image with image.
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections import namedtuple
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
@@ -27,26 +28,31 @@ def each_image(images: DataFrame, fn: Callable, keep: Sequence[str] = ("img",),
 
     ``fn`` yields tuples (name values..., array) for one image; ``row`` has the
     other columns.  NULL or short pixel data is an unreadable image: it keeps
-    one row without names and pixels.
+    one row without names and pixels.  A task holds one Arrow batch of input and
+    about half a million pixels of output.
     """
     keep, names = list(keep), list(names)
     kinds = [images.schema[k] for k in keep] + [T.StructField(n, T.StringType()) for n in names]
     schema = T.StructType(kinds + [T.StructField("height", T.IntegerType()), T.StructField("width", T.IntegerType()),
                                    T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("status", T.StringType())])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for row in pdf.itertuples(index=False):
-                kept = [getattr(row, k) for k in keep]
-                if row.v is None or pd.isna(row.height) or pd.isna(row.width) or len(row.v) != row.height * row.width:
-                    out.append((*kept, *[None] * (len(names) + 3), "unreadable image"))
+    arrow, at = to_arrow_schema(schema), {c: i for i, c in enumerate(images.columns)}
+    other = [c for c in images.columns if c != "v"]
+    Row = namedtuple("Row", other, rename=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                row, v = Row(*[batch.column(at[c])[i].as_py() for c in other]), batch.column(at["v"])[i]
+                named = dict(zip(other, row))
+                kept, h, w = [named[k] for k in keep], named["height"], named["width"]
+                if not v.is_valid or h is None or w is None or len(v) != h * w:
+                    yield (*kept, *[None] * (len(names) + 3), "unreadable image")
                     continue
-                a = np.asarray(row.v, float).reshape(int(row.height), int(row.width))
+                a = v.values.to_numpy(zero_copy_only=False).astype(float).reshape(int(h), int(w))
                 for *labels, b in fn(a, row):
-                    out.append((*kept, *labels, *b.shape, np.ascontiguousarray(b).ravel(), "ok"))
-            yield pd.DataFrame(out, columns=[f.name for f in schema.fields], dtype=object)
-    return images.mapInPandas(run, schema)
+                    yield (*kept, *labels, *b.shape, np.ascontiguousarray(b).ravel(), "ok")
+    return images.mapInArrow(lambda b: _recorded(run(b), arrow, nan_is_null=True), schema)
 
 
 def _nearest(a: np.ndarray, height: int, width: int) -> np.ndarray:
@@ -227,18 +233,21 @@ def _unpacked(raw: bytes, pixels: int) -> np.ndarray:
     return np.frombuffer(raw, np.uint8) / 255 if len(raw) == pixels else np.frombuffer(raw, "<f8")
 
 
-def _recorded(rows: Iterable[tuple], schema: pa.Schema, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+def _recorded(rows: Iterable[tuple], schema: pa.Schema, size: int = 1 << 19, nan_is_null: bool = False) -> Iterator[pa.RecordBatch]:
     """Rows as record batches of about ``size`` pixels."""
     held: list[tuple] = []
     pixels = 0
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(list(c), f.type, from_pandas=nan_is_null) for c, f in zip(zip(*held), schema)], schema=schema)
     for row in rows:
         held.append(row)
         pixels += max((len(x) for x in row if isinstance(x, (bytes, np.ndarray))), default=0) + 64
         if pixels > size:
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+            yield batch()
             held, pixels = [], 0
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+        yield batch()
 
 
 def _sequence(images: DataFrame, steps: int, weight: Callable, gamma: float, threshold: float,
