@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-CHUNK = 2_000_000
+CHUNK = 1 << 17  # cells of a working array: some hold eight of them, whatever the batch
 
 
 def hold(df: DataFrame, name: str, value: Column) -> DataFrame:

@@ -234,11 +234,11 @@ def hull_orders(x: np.ndarray, y: np.ndarray, left: np.ndarray | None = None) ->
 
 
 def _by_length(x: pd.Series, y: pd.Series):
-    """Rows of a batch as rows x points arrays, one for each number of points."""
+    """Rows of a batch as rows x points arrays of one number of points, at most ``kernels.CHUNK`` cells each."""
     sizes = x.str.len().to_numpy()
     for n in np.unique(sizes[~np.isnan(sizes.astype(float))]):
         at = np.flatnonzero(sizes == n)
-        step = max(1, 4_000_000 // max(int(n), 1))
+        step = max(1, kernels.CHUNK // max(int(n), 1))
         for k in range(0, len(at), step):
             part = at[k:k + step]
             yield part, np.array(x.iloc[part].tolist(), float).reshape(len(part), -1), np.array(y.iloc[part].tolist(), float).reshape(len(part), -1)
@@ -299,23 +299,29 @@ def with_hull(outlines: DataFrame) -> DataFrame:
 
 def onion(outlines: DataFrame, close: bool = True) -> DataFrame:
     """``id, layer, ord, seq``: repeated hulls while more than 3 points stay."""
-    @F.pandas_udf("array<struct<layer:int,ord:int,seq:int>>")
-    def peel(x: pd.Series, y: pd.Series) -> pd.Series:
-        out: list[list] = [[] for _ in range(len(x))]
+    @F.pandas_udf("layer array<int>, ord array<int>, seq array<int>")
+    def peel(x: pd.Series, y: pd.Series) -> pd.DataFrame:
+        none = np.zeros(0, np.int32)
+        out: list[tuple] = [(none, none, none)] * len(x)
         for part, u, v in _by_length(x, y):
-            left, layer = np.isfinite(u) & np.isfinite(v), 1
+            found: list[list[np.ndarray]] = [[] for _ in range(len(part))]
+            left = np.isfinite(u) & np.isfinite(v)
             rows = np.flatnonzero(left.sum(axis=1) > 3)
             while len(rows):
                 for r, ids in zip(rows, hull_orders(u[rows], v[rows], left[rows])):
                     ids = np.roll(ids, -int(np.argmin(ids)))
-                    shown = np.append(ids, ids[0]) if close else ids
-                    out[part[r]] += [{"layer": layer, "ord": k + 1, "seq": int(i) + 1} for k, i in enumerate(shown)]
+                    found[r].append(np.append(ids, ids[0]) if close else ids)
                     left[r, ids] = False
-                rows, layer = rows[left[rows].sum(axis=1) > 3], layer + 1
-        return pd.Series(out)
+                rows = rows[left[rows].sum(axis=1) > 3]
+            for k, shown in zip(part, found):
+                if shown:
+                    sizes = [len(s) for s in shown]
+                    out[k] = (np.repeat(np.arange(1, len(shown) + 1, dtype=np.int32), sizes),
+                              np.concatenate([np.arange(1, n + 1, dtype=np.int32) for n in sizes]), (np.concatenate(shown) + 1).astype(np.int32))
+        return pd.DataFrame(out, columns=["layer", "ord", "seq"])
     c = F.col("coo")
-    held = kernels.hold(outlines, "coo", c)
-    return held.select("id", "coo", F.explode(peel(c.getField("x"), c.getField("y"))).alias("l")).select(
+    held = kernels.hold(outlines, "coo", c).withColumn("_l", peel(c.getField("x"), c.getField("y")))
+    return held.select("id", "coo", F.explode(F.arrays_zip("_l.layer", "_l.ord", "_l.seq")).alias("l")).select(
         "id", "l.layer", "l.ord", "l.seq", F.element_at(c, F.col("l.seq"))["x"].alias("x"),
         F.element_at(c, F.col("l.seq"))["y"].alias("y"))
 

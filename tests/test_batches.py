@@ -1,10 +1,12 @@
 """What a task holds in Python doesn't grow with the rows of a batch."""
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import types as T
 
-from formloom.operators import pixels
+from formloom.functions import kernels
+from formloom.operators import hull, pixels
 
 
 class Images:
@@ -30,3 +32,16 @@ def test_images_leave_a_task_in_small_batches():
     t = pa.Table.from_batches(got).to_pylist()
     assert [(r["img"], r["part"]) for r in t] == [(i, p) for i in range(2000) for p in "lr"] + [(2000, None)]
     assert t[3] == {"img": 1, "part": "r", "height": 32, "width": 32, "v": [1.0] * 1024, "status": "ok"} and t[-1]["status"] == "unreadable image"
+
+
+def test_working_arrays_of_kernels_are_small():
+    lengths = np.full(10_000, 64)
+    parts = list(kernels._chunks(lengths, lambda n: 12 * (n + 1)))
+    assert max(len(rows) * 12 * 65 for _, rows in parts) * 8 <= 1 << 20
+    assert np.array_equal(np.concatenate([rows for _, rows in parts]), np.arange(10_000))
+
+
+def test_hulls_take_a_batch_in_parts():
+    x = pd.Series([np.arange(64.0)] * 10_000)
+    parts = list(hull._by_length(x, x))
+    assert max(u.nbytes for _, u, _ in parts) <= 1 << 20 and sum(len(p) for p, _, _ in parts) == 10_000
