@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 POOL = 2048
-CELLS = 1 << 20  # distances held at a time
+CELLS = 1 << 15  # distances to one centre of each model held at a time
 
 
 @dataclass
@@ -45,25 +45,29 @@ def finite(cols: Sequence[str]) -> Column:
 
 
 def _sums(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """(models, k, p + 3): rows, sums of the columns, sum of squares and cost of the nearest centres' clusters."""
+    """(models, k, p + 3): rows, sums of the columns and sum of squares of the nearest centres' clusters, and the cost of all of them with the first.
+
+    Centres are taken one by one over blocks that stay in the processor's cache; a row of equal distances belongs to the first.
+    """
     m, k, p = centres.shape
     out = np.zeros((m, k, p + 3))
-    flat = centres.reshape(m * k, p)
-    level = (flat * flat).sum(axis=1)
-    model = np.arange(m) * k
-    step = max(1, CELLS // max(m * k, 1))
+    turns = [np.hstack([-2 * c, (c * c).sum(axis=1)[:, None]]) for c in centres.transpose(1, 0, 2)]
+    step = max(1, CELLS // max(m, 1))
     for at in range(0, len(x), step):
         rows = x[at:at + step]
-        d = level - 2 * (rows @ flat.T)
-        near = d.reshape(len(rows), m, k).argmin(axis=2)
-        cell = (near + model).ravel()
         square = (rows * rows).sum(axis=1)
-        least = np.take_along_axis(d, near + model, axis=1) + square[:, None]
-        columns = [None, *rows.T, square]
-        for j, column in enumerate(columns):
-            w = None if column is None else np.repeat(column, m)
-            out[:, :, j] += np.bincount(cell, w, m * k).reshape(m, k)
-        out[:, :, p + 2] += np.bincount(cell, np.maximum(least, 0).ravel(), m * k).reshape(m, k)
+        lifted = np.vstack([rows.T, np.ones(len(rows))])
+        columns = np.column_stack([np.ones(len(rows)), rows, square])
+        distances = [t @ lifted for t in turns]
+        least = distances[0]
+        for d in distances[1:]:
+            least = np.minimum(least, d)
+        left = np.ones(least.shape, bool)
+        for j, d in enumerate(distances):
+            hit = (d == least) & left
+            left ^= hit
+            out[:, j, :p + 2] += hit.astype(float) @ columns
+        out[:, 0, p + 2] += np.maximum(least + square, 0).sum(axis=1)
     return out
 
 

@@ -1,12 +1,14 @@
 """What a task holds in Python doesn't grow with the rows of a batch."""
 
+import tracemalloc
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import types as T
 
 from formloom.functions import kernels
-from formloom.operators import hull, pixels
+from formloom.operators import hull, kmeans, pixels
 
 
 class Images:
@@ -45,3 +47,21 @@ def test_hulls_take_a_batch_in_parts():
     x = pd.Series([np.arange(64.0)] * 10_000)
     parts = list(hull._by_length(x, x))
     assert max(u.nbytes for _, u, _ in parts) <= 1 << 20 and sum(len(p) for p, _, _ in parts) == 10_000
+
+
+def test_sums_of_models_work_in_small_blocks():
+    rng = np.random.default_rng(3)
+    x, centres = rng.normal(size=(10_000, 2)), rng.normal(size=(25, 10, 2))
+    centres[3, 4] = centres[3, 2]  # equal distances belong to the first
+    tracemalloc.start()
+    got = kmeans._sums(x, centres)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8 << 20
+    d = ((x[:, None, None] - centres[None]) ** 2).sum(axis=3)
+    near = d.argmin(axis=2)
+    for i in range(25):
+        for j in range(10):
+            own = x[near[:, i] == j]
+            assert np.allclose(got[i, j, :4], [len(own), *own.sum(axis=0), (own * own).sum()])
+        assert np.isclose(got[i, :, 4].sum(), d[:, i].min(axis=1).sum())
