@@ -68,11 +68,19 @@ def mixed(h: Column, *values) -> Column:
 
 def mixed_np(h: np.ndarray, *values) -> np.ndarray:
     """:func:`mixed` over int64 arrays."""
+    return mixed_32(np.asarray(h, np.int64).astype(np.uint32), *values).astype(np.int64)
+
+
+def mixed_32(h: np.ndarray, *values) -> np.ndarray:
+    """:func:`mixed` over unsigned 32-bit arrays, whose sums and products wrap as the masks do."""
+    step, first, second = (np.array([c & MASK], np.uint32) for c in (STEP, FIRST, SECOND))
     for v in values:
-        h = (h + np.asarray(v, np.int64) * STEP) & MASK
-        h = ((h ^ (h >> 16)) * FIRST) & MASK
-        h = ((h ^ (h >> 13)) * SECOND) & MASK
-        h = h ^ (h >> 16)
+        h = h + np.asarray(v, np.int64).astype(np.uint32) * step
+        h ^= h >> 16
+        h *= first
+        h ^= h >> 13
+        h *= second
+        h ^= h >> 16
     return h
 
 

@@ -114,6 +114,27 @@ def test_occupied_cells(spark, monkeypatch, rate, mc, scratch):
     assert {(r.ix, r.iy): (r.hits, r.full) for r in got} == want
 
 
+@pytest.mark.parametrize("kind", ["gaussian", "uniform"])
+def test_crowded_cells_take_no_exact_draws(monkeypatch, kind):
+    monkeypatch.setattr(occupancy, "RENEW", 2000)
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(scale=.3, size=(2, 3000))
+    x[:2], y[2:4], x[7] = (-1, 1), (-1, 1), np.nan
+    g = {"gx0": -1.1, "gy0": -1.1, "dx": 2.2 / 19, "dy": 2.2 / 19, "cell": 2.2 / 19}
+    m, reach = np.arange(1, 6), (.1, .1)
+    quick, plain, exact = occupancy._ByteMarks(g, 20, 1, 1.5), occupancy._Marks(400, 1), []
+    for at in range(0, len(x), 100):
+        h = draws.mixed_32(np.arange(at, at + 100).astype(np.uint32)[:, None], m)
+        row, noise = np.repeat(np.arange(at, at + 100), 5), np.tile(m - 1, 100)
+        px, py = occupancy.placed(x[row], y[row], h.ravel(), reach, kind)
+        plain.add(px, py, noise, g, 20, 1.5)
+        left = quick.open(x[at:at + 100], y[at:at + 100], h, reach, kind)
+        quick.add(px[left], py[left], noise[left])
+        exact.append(len(left))
+    assert (quick.table() == plain.table()).all()
+    assert exact[0] == 500 and sum(exact[-5:]) < 1250
+
+
 def test_no_draw_is_shuffled_or_joined(spark):
     df = spark.range(50).select(F.lit("p").alias("pair"), "id", F.rand(1).alias("x"), F.rand(2).alias("y"))
     plan = gaps.bootstrap_counts(df, gaps.grid(df, 10, .05), 10, 5, 4, .05, 1)._jdf.queryExecution().executedPlan().toString()
