@@ -28,12 +28,13 @@ from pyspark.sql import functions as F
 
 from formloom.session import cut, scratch
 
-from .common import arrow_schema, ascii_lower, mix, record, slices, two, word_hashes
+from .common import arrow_schema, ascii_lower, mix, ragged, record, slices, two, word_hashes
 
 END, START = np.uint64(1), np.uint64(2)
 BLOCKS = ("block long, doc_ids array<long>, held array<boolean>, lengths array<int>, tokens binary, words binary, "
           "trained binary, tails binary")
 BATCH = 1 << 15
+PART = 1 << 18  # bytes of text that are hashed at a time
 
 
 def tails(texts: list[bytes], tail_classes: int) -> np.ndarray:
@@ -75,12 +76,13 @@ def write_blocks(docs: DataFrame, tail_classes: int, size: int = 4 << 20) -> Dat
         base = TaskContext.get().partitionId() << 24
         ids, held, parts, total, number = [], [], [], 0, 0
         for b in slices(batches, "text"):
-            rows = b.to_pydict()
-            texts = [ascii_lower(t or "") for t in rows["text"]]
-            parts.append((*word_hashes(texts), tails(texts, tail_classes)))
+            rows = b.select(["doc_id", "held"]).to_pydict()
             ids += rows["doc_id"]
             held += rows["held"]
-            total += sum(map(len, texts))
+            for some in slices([b], "text", size=PART):  # hashing takes some hundred bytes a character of its part
+                texts = [ascii_lower(t or "") for t in some.column("text").to_pylist()]
+                parts.append((*word_hashes(texts), tails(texts, tail_classes)))
+                total += sum(map(len, texts))
             if total >= size:
                 yield block(base + number, ids, held, parts)
                 ids, held, parts, total, number = [], [], [], 0, number + 1
@@ -146,28 +148,56 @@ def facts_of(rows: DataFrame, top: dict[int, int], frequent: int, buckets: int)
 
 
 class Batches:
-    """A block with its facts: classes and feature slots of its tokens."""
+    """A block with its facts. Classes and feature slots are made for some of its tokens at a time."""
 
     def __init__(self, lengths, tokens, words, classes, slots: int):
         self.n = np.asarray(lengths, np.int64)
         self.tokens = np.frombuffer(tokens, "<u4")
-        self.cls = np.frombuffer(classes, np.uint8)[self.tokens]
-        h = np.frombuffer(words, "<u8")[self.tokens]
+        self.classes, self.words = np.frombuffer(classes, np.uint8), np.frombuffer(words, "<u8")
         first = np.cumsum(self.n) - self.n
-        one = np.append(START, h[:-1])
-        one[first] = START
-        two_ = np.append(START, one[:-1])
-        two_[first] = START
-        s = np.uint64(slots)
-        self.features = np.stack([mix(one + np.uint64(11)) % s, mix(one * np.uint64(3) + mix(two_)) % s, mix(two_ + np.uint64(13)) % s]).astype(np.int32)
-
-    def probabilities(self, weights: np.ndarray, bias: np.ndarray, at: slice | np.ndarray) -> np.ndarray:
-        f = self.features[:, at]
-        x = weights[f[0]] + weights[f[1]] + weights[f[2]] + bias
-        x -= x.max(axis=1, keepdims=True)
-        np.exp(x, out=x)
-        x /= x.sum(axis=1, keepdims=True)
-        return x
+        self.before = np.full(len(self.tokens), 2, np.uint8)  # how many tokens its text has before a token, two at most
+        self.before[first[self.n > 1] + 1] = 1
+        self.before[first] = 0
+        self.slots = np.uint64(slots)
+
+    def of(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Classes, and feature slots (three rows), of the tokens ``at``."""
+        one, two_ = (np.where(self.before[at] >= k, self.words[self.tokens[at - k]], START) for k in (1, 2))
+        s = self.slots
+        return self.classes[self.tokens[at]], np.stack(
+            [mix(one + np.uint64(11)) % s, mix(one * np.uint64(3) + mix(two_)) % s, mix(two_ + np.uint64(13)) % s]).astype(np.int32)
+
+
+def probabilities(f: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The probability of every class for the feature slots ``f``."""
+    x = weights.take(f[0], axis=0)
+    x += weights.take(f[1], axis=0)
+    x += weights.take(f[2], axis=0)
+    x += bias
+    top = x
+    while top.shape[1] % 2 == 0:  # by halves: rows are short
+        top = np.maximum(*np.split(top, 2, axis=1))
+    x -= top.max(axis=1, keepdims=True)
+    np.exp(x, out=x)
+    x /= x.sum(axis=1, keepdims=True)
+    return x
+
+
+def run_sums(x: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """``np.add.reduceat(x, first)`` to the last bit: it is slow over many short runs, which are added side by side here."""
+    size = np.diff(np.append(first, len(x)))
+    out = x.take(first, axis=0)
+    long = np.flatnonzero(size > 8)  # from here on it adds in another order
+    own = np.flatnonzero((size > 1) & (size <= 8))
+    rest, left, k = x.take(first[own] + 1, axis=0), np.arange(len(own)), 2
+    while len(left := left[size[own[left]] > k]):
+        rest[left] += x.take(first[own[left]] + k, axis=0)
+        k += 1
+    out[own] += rest
+    if len(long):
+        n = size[long]
+        out[long] = np.add.reduceat(x.take(ragged(first[long], n), axis=0), np.cumsum(n) - n, axis=0)
+    return out
 
 
 def gradient(blocks: DataFrame, weights: np.ndarray, bias: np.ndarray, chunks: int = 16) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +210,7 @@ def gradient(blocks: DataFrame, weights: np.ndarray, bias: np.ndarray, chunks: i
     def run(batches):
         w, b0 = held.value
         g, e = np.zeros(w.shape, np.float32), np.zeros(w.shape, np.float32)
-        some = False
+        some, small = False, np.uint16 if len(w) <= 1 << 16 else np.int32
         for b in batches:
             for i in range(b.num_rows):
                 lengths, hold, tokens, words, classes = (b.column(j)[i] for j in range(5))
@@ -188,13 +218,14 @@ def gradient(blocks: DataFrame, weights: np.ndarray, bias: np.ndarray, chunks: i
                 train = np.nonzero(np.repeat(~np.array(hold.as_py(), bool), x.n))[0]
                 some |= bool(len(train))
                 for k in range(0, len(train), BATCH):
-                    at = train[k:k + BATCH]
-                    p = x.probabilities(w, b0, at)
-                    for f in x.features[:, at]:
-                        order = np.argsort(f, kind="stable")
-                        first = np.nonzero(np.append(True, np.diff(f[order]) != 0))[0]
-                        e[f[order[first]]] += np.add.reduceat(p[order], first, axis=0)
-                        g += np.bincount(f.astype(np.int64) * w.shape[1] + x.cls[at], minlength=w.size).reshape(w.shape)
+                    cls, features = x.of(train[k:k + BATCH])
+                    p = probabilities(features, w, b0)
+                    for f in features:
+                        order = np.argsort(f.astype(small), kind="stable")  # 16 bits: a radix sort
+                        sorted_ = f[order]
+                        first = np.nonzero(np.append(True, sorted_[1:] != sorted_[:-1]))[0]
+                        e[sorted_[first]] += run_sums(p.take(order, axis=0), first)
+                    g += np.bincount((features.astype(np.int64) * w.shape[1] + cls).ravel(), minlength=w.size).reshape(w.shape)
         if some:
             g -= e
             yield record(out, {"chunk": range(chunks), "g": [c.tobytes() for c in np.split(g, chunks)],
@@ -261,15 +292,15 @@ def train_and_score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
                 x = Batches(lengths.as_py(), tokens.as_buffer(), words.as_buffer(), classes.as_buffer(), len(w))
                 c = np.frombuffer(counts.as_buffer(), "<u8")[x.tokens].astype(np.float64)
                 base = np.log10((c + 1) / (total + distinct + 1))
-                inner = np.log10((c + 1) / (n_k + v_k + 1)[x.cls])
-                outer = np.empty(len(c))
+                both = np.empty(len(c))
                 for k in range(0, len(c), BATCH):
-                    at = slice(k, k + BATCH)
-                    p = x.probabilities(w, b0, at)
-                    outer[at] = np.log10(np.maximum(p[np.arange(len(p)), x.cls[at]], 1e-30))
+                    at = np.arange(k, min(k + BATCH, len(c)))
+                    cls, features = x.of(at)
+                    p = probabilities(features, w, b0)
+                    both[at] = np.log10((c[at] + 1) / (n_k + v_k + 1)[cls]) + np.log10(np.maximum(p[np.arange(len(p)), cls], 1e-30))
                 doc = np.repeat(np.arange(len(x.n)), x.n)
                 size = len(x.n)
                 yield record(out, {"doc_id": ids.as_py(), "held_out": hold.as_py(), "n_tokens": x.n,
                                    "n_known": np.bincount(doc[c > 0], minlength=size), "train_tokens": np.full(size, int(total)),
-                                   "base_score": np.bincount(doc, base, size), "score": np.bincount(doc, inner + outer, size)})
+                                   "base_score": np.bincount(doc, base, size), "score": np.bincount(doc, both, size)})
     return joined.select("doc_ids", "held", "lengths", "tokens", "words", "classes", "counts").mapInArrow(run, schema)

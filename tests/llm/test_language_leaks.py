@@ -1,8 +1,14 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from formloom.llm import maxent
 from formloom.llm.decontaminate import decontaminate
 from formloom.llm.maxent import train_and_score
 
@@ -82,3 +88,55 @@ def test_empty(spark):
     assert train_and_score(none).count() == 0
     assert decontaminate(none, spark.createDataFrame([(1, "a benchmark item that is long enough to be searched")], "item_id long, text string")).count() == 0
     assert decontaminate(frame(spark, rows(n=8)), spark.createDataFrame([], "item_id long, text string")).count() == 0
+
+
+def test_block_features_in_small_arrays():
+    rng = np.random.default_rng(2)
+    n = np.append(rng.integers(1, 6, 60_000), 400_000)
+    tokens, words = rng.integers(0, 5000, n.sum()), rng.integers(1, 1 << 63, 5000).astype(np.uint64)
+    classes = rng.integers(0, 64, 5000).astype(np.uint8)
+    raw = n, tokens.astype("<u4").tobytes(), words.astype("<u8").tobytes(), classes.tobytes()
+    tracemalloc.start()
+    x = maxent.Batches(*raw, 8192)
+    first = np.cumsum(n) - n
+    for at in (np.arange(3000), np.arange(int(n.sum()) - 3000, int(n.sum()))):
+        cls, features = x.of(at)
+        assert (cls == classes[tokens[at]]).all()
+        for i, t in enumerate(at):
+            start = first[np.searchsorted(first, t, "right") - 1]
+            one, two = (words[tokens[t - k]] if t - k >= start else maxent.START for k in (1, 2))
+            one, two = np.array([one]), np.array([two])
+            keys = maxent.mix(one + np.uint64(11)), maxent.mix(one * np.uint64(3) + maxent.mix(two)), maxent.mix(two + np.uint64(13))
+            assert [int(k[0] % np.uint64(8192)) for k in keys] == features[:, i].tolist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12 * n.sum()
+
+
+@pytest.mark.parametrize("size", [200, 1 << 18])
+def test_blocks_do_not_depend_on_the_hashed_parts(monkeypatch, size):
+    texts = [" ".join(f"w{i * k % 37}" for k in range(30)) for i in range(40)] + ["", "\n"]
+    raw = [maxent.ascii_lower(t) for t in texts]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    parts = [[t.encode() for t in b.column(0).to_pylist()] for b in maxent.slices([batch], "text", size=size)]
+    assert len(parts) > 1 or size > 200
+    for f in (lambda x: maxent.word_hashes(x)[0], lambda x: maxent.word_hashes(x)[1], lambda x: maxent.tails(x, 24)):
+        assert np.array_equal(np.concatenate([f(p) for p in parts]), f(raw))
+
+
+def test_sums_of_runs_to_the_last_bit():
+    rng = np.random.default_rng(4)
+    size = np.concatenate([rng.integers(1, 12, 3000), [1, 8, 9, 10, 130, 1000]])
+    x = rng.normal(size=(size.sum(), 64)).astype(np.float32)
+    first = np.cumsum(size) - size
+    want = np.add.reduceat(x, first, axis=0)
+    assert (maxent.run_sums(x, first) == want).all()
+    assert (maxent.run_sums(x[:1], first[:1]) == x[:1]).all()
+
+
+def test_probabilities():
+    rng = np.random.default_rng(6)
+    for classes in (64, 30, 7):
+        w, b, f = rng.normal(size=(50, classes)), rng.normal(size=classes), rng.integers(0, 50, (3, 90))
+        x = np.exp(w[f].sum(axis=0) + b)
+        assert np.allclose(maxent.probabilities(f, w.astype(np.float32), b.astype(np.float32)), x / x.sum(axis=1, keepdims=True), atol=1e-5)
