@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import os
 import re
-from collections.abc import Sequence
+from collections.abc import Iterable, Sequence
+from itertools import groupby
 
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -236,9 +239,44 @@ def write_scores(scores: DataFrame, path: str, fmt: str = "parquet") -> None:
     w.option("header", True).csv(path) if fmt == "csv" else w.format(fmt).save(path)
 
 
+ODD_IN_FOLDERS = re.compile("[\x01-\x1f\x7f\"#%'*/:=?\\\\{\\[\\]^]")
+
+
+def id_folder(name: str | None) -> str:
+    """The folder that Spark's own writer gives an id."""
+    return "id=" + (ODD_IN_FOLDERS.sub(lambda m: f"%{ord(m[0]):02X}", name) if name else "__HIVE_DEFAULT_PARTITION__")
+
+
+def _put_files(rows: Iterable, folder: str) -> None:
+    """One file for each id of the rows (id, value), which are sorted by id; another attempt of a task replaces its files."""
+    task = TaskContext.get()
+    file = f"part-{task.partitionId():05d}.txt"
+    for name, own in groupby(rows, lambda r: id_folder(r["id"])):
+        home = os.path.join(folder, name)
+        os.makedirs(home, exist_ok=True)
+        draft = os.path.join(home, f".{file}-{task.taskAttemptId()}")
+        with open(draft, "wb") as out:
+            out.writelines((r["value"] or "").encode() + b"\n" for r in own)
+        os.replace(draft, os.path.join(home, file))
+
+
 def write_outlines(outlines: DataFrame, path: str) -> None:
-    """One text file per outline under ``id=<id>/``: lines ``x y`` in order.  Many outlines go into bundles instead."""
-    outline_records(outlines).write.partitionBy("id").text(path)
+    """One text file per outline under ``id=<id>/``: lines ``x y`` in order.  Many outlines go into bundles instead.
+
+    In a folder of the file system that all machines mount the tasks write the files themselves: Hadoop's local files cost a ``chmod``
+    process each. Any other store takes Spark's writer.
+    """
+    records = outline_records(outlines)
+    context = outlines.sparkSession.sparkContext
+    target = context._jvm.org.apache.hadoop.fs.Path(path)
+    if target.getFileSystem(context._jsc.hadoopConfiguration()).getUri().getScheme() != "file":
+        records.write.partitionBy("id").text(path)
+        return
+    folder = target.toUri().getPath()
+    os.makedirs(folder)
+    named = records.withColumn("id", F.col("id").cast("string"))
+    named.sortWithinPartitions("id").foreachPartition(lambda rows: _put_files(rows, folder))
+    open(os.path.join(folder, "_SUCCESS"), "wb").close()
 
 
 def write_tps(outlines: DataFrame, path: str) -> None:
@@ -256,7 +294,14 @@ def write_tps(outlines: DataFrame, path: str) -> None:
 def list_files(spark: SparkSession, folder: str, extensions: Sequence[str] = ("jpg", "jpeg"),
                recursive: bool = True, case_sensitive: bool = False) -> DataFrame:
     """``path`` of matching files; contents are not read (column pruning)."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder).select("path")
+    # a listing task for every folder (up to 10,000 by default) takes longer to start than to run
+    most = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(most)
+    spark.conf.set(most, str(min(int(before), 8 * spark.sparkContext.defaultParallelism)))
+    try:
+        df = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(folder).select("path")
+    finally:
+        spark.conf.set(most, before)
     pat = r"\.(" + "|".join(re.escape(e) for e in extensions) + ")$"
     return df.filter(F.col("path").rlike(pat if case_sensitive else "(?i)" + pat))
 

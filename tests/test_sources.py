@@ -277,3 +277,19 @@ def test_sequences_equal_planned_morphs(spark, kind):
     assert all_of(pixels.morph_distance_sequence(im, 2, threshold=.2)) == all_of(pixels.morph_distance(plan, im, threshold=.2))
     assert pixels.morph_sequence(im.limit(0), 2).count() == 0
     assert "Join" not in pixels.morph_sequence(im, 2)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_outline_files_start_no_process_each(spark, tmp_path, monkeypatch):
+    """The same files as Spark's own writer (odd, null and repeated ids too), without its start of a process for each file."""
+    point = lambda x: [(float(x), 0.5)]
+    rows = [("a b", point(1)), ("x/y=1%", point(2)), (None, point(3)), ("", []), ("twice", point(4)), ("twice", None), ("[é]{^}\n", point(5))]
+    outlines = spark.createDataFrame(rows, "id string, coo array<struct<x:double,y:double>>").coalesce(1)
+    text.outline_records(outlines).write.partitionBy("id").text(str(tmp_path / "spark"))
+    text.write_outlines(outlines, "file://" + str(tmp_path / "own"))
+
+    def files(name):
+        return {str(p.parent.relative_to(tmp_path / name)): sorted(p.read_text().split("\n")) for p in (tmp_path / name).rglob("*.txt") if p.name[0] != "."}
+    assert files("own") == files("spark")
+    assert not list((tmp_path / "own").rglob("*.crc")) and (tmp_path / "own" / "_SUCCESS").exists()
+    with pytest.raises(FileExistsError):
+        text.write_outlines(outlines, str(tmp_path / "own"))
