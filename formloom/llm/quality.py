@@ -5,7 +5,7 @@ The model is a character model of order five with modified Kneser-Ney smoothing,
 Spark counts all documents: tasks fold their 5-grams, the counts of lower orders (distinct left neighbours) come
 from those of the order above. No text is scored by a model that counted it: texts are dealt into two halves by their hash
 (equal texts into the same one), and each half is scored by the model of the other. The model stays a Spark table with all its n-grams: the
-distinct 5-grams of a half are joined to it order by order, and their probabilities go to blocks of documents.
+distinct 5-grams of a half are joined to it order by order, and their probabilities go to blocks of documents of a bounded size.
 (``train`` and ``log_probability`` hold a model as sorted arrays, for small corpora.)
 
 A document's score is its mean negative log probability per character. Each language has a median, a robust spread
@@ -96,6 +96,13 @@ def fold(codes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return codes[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def runs(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct codes in order, and how often each occurs."""
+    codes = np.sort(codes)
+    first = np.nonzero(np.append(True, codes[1:] != codes[:-1]))[0] if len(codes) else np.zeros(0, np.int64)
+    return codes[first], np.diff(np.append(first, len(codes)))
+
+
 def by_language(langs: list[str | None], n: np.ndarray):
     """Language, its rows, and which of the grams in a row are its own."""
     names = np.array([x or "" for x in langs], object)
@@ -126,7 +133,7 @@ def count_grams(docs: DataFrame, held: int = 3_000_000) -> DataFrame:
             rows = b.to_pydict()
             g, n = grams(rows["text"])
             for lang, _, own in by_language(rows["lang"], n):
-                kept.setdefault(lang, []).append(fold(own_g := g[own], np.ones(len(own_g), np.int64)))
+                kept.setdefault(lang, []).append(runs(g[own]))
                 if sum(len(c) for c, _ in kept[lang][1:]) > 500_000:
                     merge(lang)
             if sum(len(c) for x in kept.values() for c, _ in x) > held:
@@ -233,21 +240,40 @@ def probabilities(wanted: DataFrame, entries: DataFrame) -> DataFrame:
     return p.select("lang", F.col("rest").alias("code"), F.log("lower").alias("lp"))
 
 
-def score(docs: DataFrame, rows: int = 4096) -> DataFrame:
-    """doc_id, lang, the base counts and the sums of log probabilities of every document (doc_id, lang, text) by the other half's model."""
+BLOCK = 96 << 20  # bytes of text: a larger block asks for fewer probabilities, since most of its 5-grams come again
+
+
+def block_count(docs: DataFrame, rows: int) -> int:
+    """Blocks of ``BLOCK`` bytes and ``rows`` rows on average; a small table has a block for each core, but none under a sixth of that."""
+    n, size = docs.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return max(-(-size // BLOCK), -(-n // rows), min(cores, -(-6 * size // BLOCK)), 1)
+
+
+def score(docs: DataFrame, rows: int = 1 << 17) -> DataFrame:
+    """doc_id, lang, the base counts and the sums of log probabilities of every document (doc_id, lang, text) by the other half's model.
+
+    Texts are shuffled once, into blocks by their hash: the list of a block's 5-grams and its scores read the same shuffle.
+    """
     docs = docs.withColumn("half", half(F.col("lang"), F.col("text")))
     counts = cut(count_grams(docs.select(F.col("half").alias("lang"), "text")))
     swap = F.concat(F.expr("left(lang, length(lang) - 1)"), F.when(F.col("lang").endswith("0"), "1").otherwise("0"))
     found = probabilities(counts.select("lang", "code"), entries_of(counts.select(swap.alias("lang"), "code", "a")))
-    blocks = cut(docs.withColumn("block", F.shiftrightunsigned(F.monotonically_increasing_id(), rows.bit_length() - 1)))
+    of = F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(block_count(docs, rows)).cast("long"))
+    blocks = docs.select(of.alias("block"), "doc_id", "lang", "half", "text").repartition("block")
     made = arrow_schema(docs.sparkSession, "block long, lang string, code long")
     out = arrow_schema(docs.sparkSession, f"doc_id long, lang string, {FEATURES}")
 
     def distinct(batches):
         at, kept = None, {}
 
+        def merge(lang):
+            kept[lang] = [np.unique(np.concatenate(kept[lang]))]
+
         def let_go():
-            for lang, codes in kept.items():
+            for lang in kept:
+                merge(lang)
+                codes = kept[lang][0]
                 yield record(made, {"block": np.full(len(codes), at), "lang": [lang] * len(codes), "code": codes.astype(np.int64)})
             kept.clear()
         for b in slices(batches, "text"):
@@ -260,7 +286,9 @@ def score(docs: DataFrame, rows: int = 4096) -> DataFrame:
                 mine = np.nonzero(number == block)[0]
                 g, n = grams([got["text"][i] for i in mine])
                 for lang, _, own in by_language([got["half"][i] for i in mine], n):
-                    kept[lang] = np.union1d(kept.get(lang, g[:0]), g[own])
+                    kept.setdefault(lang, []).append(runs(g[own])[0])
+                    if sum(map(len, kept[lang][1:])) > 500_000:
+                        merge(lang)
         yield from let_go()
 
     def sums(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -272,22 +300,23 @@ def score(docs: DataFrame, rows: int = 4096) -> DataFrame:
             c, first = np.unique(c.astype(np.uint64), return_index=True)
             table[x] = c, v[first]
         done = []
-        for b in slices(left.to_batches(), "text"):
+        for b in slices(left.to_batches(), "text", size=2 << 20):
             got = b.to_pydict()
             g, n = grams(got["text"])
             lp = np.zeros(len(g))
             for x, _, own in by_language(got["half"], n):
                 c, v = table[x]
-                lp[own] = v[np.searchsorted(c, g[own])]
+                one, back = np.unique(g[own], return_inverse=True)
+                lp[own] = v[np.searchsorted(c, one)][back]
             doc = np.repeat(np.arange(len(n)), n)
             base = np.array([base_rules(t) for t in got["text"]], np.int64).reshape(-1, 5)
             names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
             done.append(record(out, {"doc_id": got["doc_id"], "lang": got["lang"], "n_grams": n, "log_sum": np.bincount(doc, lp, len(n)),
                                      "square_sum": np.bincount(doc, lp * lp, len(n))} | {c: base[:, i] for i, c in enumerate(names)}))
         return pa.Table.from_batches(done, out)
-    wanted = blocks.select("block", "half", "text").mapInArrow(distinct, "block long, lang string, code long")
+    wanted = blocks.sortWithinPartitions("block").mapInArrow(distinct, "block long, lang string, code long")
     dealt = wanted.join(found, ["lang", "code"]).select("block", "lang", "code", "lp")
-    return blocks.select("block", "doc_id", "lang", "half", "text").groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(
+    return blocks.groupBy("block").cogroup(dealt.groupBy("block")).applyInArrow(
         sums, f"doc_id long, lang string, {FEATURES}")
 
 

@@ -28,3 +28,14 @@ def test_scores_are_the_other_half_s_model(spark):
     got = [(str(r.doc_id), r.lang, r.n_grams, r.log_sum) for r in Q.score(docs.drop("half"), rows=4).collect()]
     for a, b in zip(sorted(got), sorted(want), strict=True):
         assert a[:3] == b[:3] and np.isclose(a[3], b[3], rtol=1e-4)
+
+
+def test_texts_are_shuffled_once_and_not_copied(spark, monkeypatch):
+    """No scratch table holds the texts, both readers of the blocks share a shuffle, and blocks grow with the bytes, not with the rows."""
+    docs = frame(spark, [(i % 50, f"line {i} of some words {i * i}", "en") for i in range(9000)]).select("doc_id", "lang", "text")
+    made, was = [], Q.cut
+    monkeypatch.setattr(Q, "cut", lambda df: made.append(df.columns) or was(df))
+    assert Q.block_count(docs, 1 << 17) == 1 and Q.block_count(docs, 1000) == 9
+    got = Q.score(docs)
+    assert len(got.collect()) == 9000 and made and not any("text" in c for c in made)
+    assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
