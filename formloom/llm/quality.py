@@ -256,10 +256,13 @@ def score(docs: DataFrame, rows: int = 1 << 17) -> DataFrame:
     Texts are shuffled once, into blocks by their hash: the list of a block's 5-grams and its scores read the same shuffle.
     """
     docs = docs.withColumn("half", half(F.col("lang"), F.col("text")))
-    counts = cut(count_grams(docs.select(F.col("half").alias("lang"), "text")))
+    n = block_count(docs, rows)
+    # few tasks count, one a core at least: a 5-gram leaves each of them once
+    read = docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, n // 2))
+    counts = cut(count_grams(read.select(F.col("half").alias("lang"), "text")))
     swap = F.concat(F.expr("left(lang, length(lang) - 1)"), F.when(F.col("lang").endswith("0"), "1").otherwise("0"))
     found = probabilities(counts.select("lang", "code"), entries_of(counts.select(swap.alias("lang"), "code", "a")))
-    of = F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(block_count(docs, rows)).cast("long"))
+    of = F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(n).cast("long"))
     blocks = docs.select(of.alias("block"), "doc_id", "lang", "half", "text").repartition("block")
     made = arrow_schema(docs.sparkSession, "block long, lang string, code long")
     out = arrow_schema(docs.sparkSession, f"doc_id long, lang string, {FEATURES}")

@@ -39,3 +39,12 @@ def test_texts_are_shuffled_once_and_not_copied(spark, monkeypatch):
     got = Q.score(docs)
     assert len(got.collect()) == 9000 and made and not any("text" in c for c in made)
     assert "ReusedExchange" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_few_tasks_count(spark, monkeypatch):
+    """A table of many small partitions is counted by one task a core, so that its 5-grams are not shuffled once for each of them."""
+    docs = frame(spark, [(i, f"line {i} of some words {i * i}", "en") for i in range(400)]).select("doc_id", "lang", "text").repartition(64)
+    seen, was = [], Q.count_grams
+    monkeypatch.setattr(Q, "count_grams", lambda df: seen.append(df.rdd.getNumPartitions()) or was(df))
+    assert Q.score(docs).count() == 400
+    assert seen and seen[0] <= spark.sparkContext.defaultParallelism
