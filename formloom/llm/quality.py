@@ -25,7 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formloom.session import cut, small_side
+from formloom.session import cut, discard, small_side
 
 from .common import SPACES, arrow_schema, mix, record, slices, words_of
 
@@ -129,7 +129,7 @@ def count_grams(docs: DataFrame, held: int = 3_000_000) -> DataFrame:
                 for i in range(0, len(codes), 200_000):
                     part = codes[i:i + 200_000]
                     yield record(out, {"lang": [lang] * len(part), "code": part.astype(np.int64), "a": a[i:i + 200_000]})
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", size=2 << 20):
             rows = b.to_pydict()
             g, n = grams(rows["text"])
             for lang, _, own in by_language(rows["lang"], n):
@@ -162,8 +162,10 @@ def entries_of(level: DataFrame) -> DataFrame:
     sums = table.groupBy("lang", "order", "context").agg(F.sum("a").alias("total"))
     a = F.col("a")
     u = (a - F.when(a == 1, F.col("d1")).when(a == 2, F.col("d2")).otherwise(F.col("d3"))) / F.col("total")
-    return cut(table.join(discounts, ["lang", "order"]).join(sums, ["lang", "order", "context"])
-               .select("lang", "order", "code", "context", "a", u.alias("u")))
+    shares = cut(table.join(discounts, ["lang", "order"]).join(sums, ["lang", "order", "context"])
+                 .select("lang", "order", "code", "context", "a", u.alias("u")))
+    discard(table)
+    return shares
 
 
 def train(docs: DataFrame, max_entries: int = 1 << 21) -> dict:
@@ -224,7 +226,7 @@ def half(lang, text):
 
 def probabilities(wanted: DataFrame, entries: DataFrame) -> DataFrame:
     """(lang, code, lp): the natural log of the probability of the last character of each wanted 5-gram (lang, code)."""
-    p = None
+    p = below = None
     for k in range(1, ORDER + 1):
         own = entries.where(F.col("order") == k)
         weights = own.groupBy("lang", "context").agg((1 - F.sum("u")).alias("w"))
@@ -237,10 +239,14 @@ def probabilities(wanted: DataFrame, entries: DataFrame) -> DataFrame:
             got = got.withColumn("rest", F.col("code").bitwiseAND((1 << BITS * (k - 1)) - 1)).join(p, ["lang", "rest"])
         value = F.coalesce("u", F.lit(0.0)) + F.greatest(F.coalesce("w", F.lit(1.0)), F.lit(1e-6)) * F.col("lower")
         p = cut(got.select("lang", F.col("code").alias("rest"), value.alias("lower")))
+        if below is not None:
+            discard(below)
+        below = p
     return p.select("lang", F.col("rest").alias("code"), F.log("lower").alias("lp"))
 
 
 BLOCK = 96 << 20  # bytes of text: a larger block asks for fewer probabilities, since most of its 5-grams come again
+HELD = 16 << 20  # bytes of text that a task holds while it packs them
 
 
 def block_count(docs: DataFrame, rows: int) -> int:
@@ -250,10 +256,48 @@ def block_count(docs: DataFrame, rows: int) -> int:
     return max(-(-size // BLOCK), -(-n // rows), min(cores, -(-6 * size // BLOCK)), 1)
 
 
+def packed(docs: DataFrame, held: int = HELD) -> DataFrame:
+    """(block, data): the rows of ``docs`` (block, doc_id, lang, half, text), many to a piece of compressed Arrow data."""
+    schema = "block long, data binary"
+    out = arrow_schema(docs.sparkSession, schema)
+
+    def run(batches):
+        kept, size = [], 0
+        small = pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))
+
+        def let_go():
+            table = pa.Table.from_batches(kept).combine_chunks().sort_by("block")
+            number = table.column("block").to_numpy()
+            edge = [0, *(np.nonzero(np.diff(number))[0] + 1), len(number)]
+            for a, b in zip(edge, edge[1:]):
+                part = table.slice(a, b - a).drop_columns("block")
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, part.schema, options=small) as writer:
+                    writer.write_table(part)
+                yield record(out, {"block": [number[a]], "data": [sink.getvalue().to_pybytes()]})
+            kept.clear()
+        for b in slices(batches, "text"):
+            kept.append(b)
+            size += pc.sum(pc.binary_length(b.column("text"))).as_py() or 0
+            if size > held:
+                yield from let_go()
+                size = 0
+        if kept:
+            yield from let_go()
+    return docs.select("block", "doc_id", "lang", "half", "text").mapInArrow(run, schema)
+
+
+def unpacked(data: pa.Array | pa.ChunkedArray):
+    """The batches (doc_id, lang, half, text) of packed pieces, one piece at a time."""
+    for piece in data:
+        with pa.ipc.open_stream(piece.as_buffer()) as reader:
+            yield from reader
+
+
 def score(docs: DataFrame, rows: int = 1 << 17) -> DataFrame:
     """doc_id, lang, the base counts and the sums of log probabilities of every document (doc_id, lang, text) by the other half's model.
 
-    Texts are shuffled once, into blocks by their hash: the list of a block's 5-grams and its scores read the same shuffle.
+    Texts are shuffled once and packed, into blocks by their hash: the list of a block's 5-grams and its scores read the same shuffle.
     """
     docs = docs.withColumn("half", half(F.col("lang"), F.col("text")))
     n = block_count(docs, rows)
@@ -261,9 +305,11 @@ def score(docs: DataFrame, rows: int = 1 << 17) -> DataFrame:
     read = docs.coalesce(max(docs.sparkSession.sparkContext.defaultParallelism, n // 2))
     counts = cut(count_grams(read.select(F.col("half").alias("lang"), "text")))
     swap = F.concat(F.expr("left(lang, length(lang) - 1)"), F.when(F.col("lang").endswith("0"), "1").otherwise("0"))
-    found = probabilities(counts.select("lang", "code"), entries_of(counts.select(swap.alias("lang"), "code", "a")))
+    entries = entries_of(counts.select(swap.alias("lang"), "code", "a"))
+    found = probabilities(counts.select("lang", "code"), entries)
+    discard(counts, entries)  # before the texts move, which take the most room
     of = F.pmod(F.xxhash64("doc_id", "lang", "text"), F.lit(n).cast("long"))
-    blocks = docs.select(of.alias("block"), "doc_id", "lang", "half", "text").repartition("block")
+    blocks = packed(docs.withColumn("block", of)).repartition("block")
     made = arrow_schema(docs.sparkSession, "block long, lang string, code long")
     out = arrow_schema(docs.sparkSession, f"doc_id long, lang string, {FEATURES}")
 
@@ -279,19 +325,17 @@ def score(docs: DataFrame, rows: int = 1 << 17) -> DataFrame:
                 codes = kept[lang][0]
                 yield record(made, {"block": np.full(len(codes), at), "lang": [lang] * len(codes), "code": codes.astype(np.int64)})
             kept.clear()
-        for b in slices(batches, "text"):
-            got = b.to_pydict()
-            number = np.array(got["block"])
-            for block in np.unique(number):
+        for b in batches:
+            for block, data in zip(b.column("block").to_pylist(), b.column("data")):
                 if block != at:
                     yield from let_go()
                     at = block
-                mine = np.nonzero(number == block)[0]
-                g, n = grams([got["text"][i] for i in mine])
-                for lang, _, own in by_language([got["half"][i] for i in mine], n):
-                    kept.setdefault(lang, []).append(runs(g[own])[0])
-                    if sum(map(len, kept[lang][1:])) > 500_000:
-                        merge(lang)
+                for part in slices(unpacked([data]), "text", size=2 << 20):
+                    g, n = grams(part.column("text").to_pylist())
+                    for lang, _, own in by_language(part.column("half").to_pylist(), n):
+                        kept.setdefault(lang, []).append(runs(g[own])[0])
+                        if sum(map(len, kept[lang][1:])) > 500_000:
+                            merge(lang)
         yield from let_go()
 
     def sums(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -303,7 +347,7 @@ def score(docs: DataFrame, rows: int = 1 << 17) -> DataFrame:
             c, first = np.unique(c.astype(np.uint64), return_index=True)
             table[x] = c, v[first]
         done = []
-        for b in slices(left.to_batches(), "text", size=2 << 20):
+        for b in slices(unpacked(left.column("data")), "text", size=2 << 20):
             got = b.to_pydict()
             g, n = grams(got["text"])
             lp = np.zeros(len(g))

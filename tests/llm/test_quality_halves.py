@@ -1,3 +1,4 @@
+import os
 import random
 
 import numpy as np
@@ -48,3 +49,32 @@ def test_few_tasks_count(spark, monkeypatch):
     monkeypatch.setattr(Q, "count_grams", lambda df: seen.append(df.rdd.getNumPartitions()) or was(df))
     assert Q.score(docs).count() == 400
     assert seen and seen[0] <= spark.sparkContext.defaultParallelism
+
+
+def test_texts_travel_packed(spark):
+    """Blocks hold many rows to a compressed piece, so the shuffle of the texts is smaller than they are; every row comes back once."""
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 7))) for _ in range(80)]
+    data = [(i % 290, None if i % 100 == 7 else " ".join(rng.choice(words) for _ in range(200)), None if i % 3 else "en") for i in range(300)]
+    docs = frame(spark, [*data, (None, "", "fr"), (None, "x" * 70_000, "fr")]).select("doc_id", "lang", "text")
+    docs = docs.withColumn("half", Q.half(Q.F.col("lang"), Q.F.col("text"))).withColumn("block", Q.F.col("doc_id") % 3)
+    docs = docs.fillna(1, ["block"]).repartition(2)
+    for held in (1 << 14, Q.HELD):
+        pieces = Q.packed(docs, held).collect()
+        back = [(p.block, *r.values()) for p in pieces for b in Q.unpacked([Q.pa.scalar(bytes(p.data))]) for r in b.to_pylist()]
+        assert sorted(back, key=str) == sorted(((r.block, r.doc_id, r.lang, r.half, r.text) for r in docs.collect()), key=str)
+    assert len(pieces) <= 6 and 2 * sum(len(p.data) for p in pieces) < sum(len(t or "") for _, t, _ in data)
+    plan = Q.score(docs.select("doc_id", "lang", "text"))._jdf.queryExecution().optimizedPlan().toString()
+    dealt = [x for x in plan.split("\n") if "RepartitionByExpression [block" in x]
+    assert dealt and "MapInArrow" in plan and all("text" not in x for x in dealt)
+
+
+def test_the_counts_are_gone_when_texts_move(spark, monkeypatch):
+    """Only the probabilities are still in the scratch folder when the texts are shuffled."""
+    docs = frame(spark, [(i, f"line {i} of some words {i * i}", "en") for i in range(60)]).select("doc_id", "lang", "text")
+    made, was = [], Q.cut
+    monkeypatch.setattr(Q, "cut", lambda df: made.append(was(df)) or made[-1])
+    got = Q.score(docs)
+    folders = [x.inputFiles()[0].removeprefix("file:").rsplit("/", 1)[0].replace("//", "") for x in made]
+    assert len(folders) > 5 and [os.path.isdir(x) for x in folders] == [False] * (len(folders) - 1) + [True]
+    assert got.count() == 60
